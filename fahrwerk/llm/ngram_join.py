@@ -42,6 +42,9 @@ SHINGLE = 5
 PERCENT = 75
 SKETCH = 128
 BLOCK = 512
+CHUNK = 256
+#: Roles in comparisons (24 bytes each) are broadcast up to this number of rows; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
 #: Partitions of the domain for each unit of the band's largest size, and parts in each.
 PARTITIONS_PER_SIZE = 0.36
 PARTS = 1
@@ -226,7 +229,8 @@ def _sketch_filter(percent: int):
         for a, b, n1, s1, n2, s2 in tv.rows(batches, ["a", "b", "n1", "s1", "n2", "s2"]):
             m = [np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(-1, SKETCH) for s in (s1, s2)]
             ok = pa.array(_near(n1.to_numpy(), m[0], n2.to_numpy(), m[1], percent))
-            yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], ["a", "b"])
+            low = pa.array(np.abs(m[0].astype(np.int16) - m[1]).sum(axis=1, dtype=np.int64) / np.maximum(n1.to_numpy() + n2.to_numpy(), 1))
+            yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok), low.filter(ok)], ["a", "b", "low"])
 
     return run
 
@@ -254,39 +258,46 @@ def _blocks(percent: int):
     return run
 
 
-def _sets(batches):
-    for cid, texts in tv.rows(batches, ["cid", "text"]):
-        for i, buf, off in tv.slices(texts):
-            sets = shingle_sets(buf, off)
-            yield pa.RecordBatch.from_arrays([cid.slice(i, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "elements"])
-
-
 def _verify(percent: int):
+    """Compares each member's full set with its group's centre, which comes first in its group."""
+
     def run(batches):
-        for a, b, x, y in tv.rows(batches, ["a", "b", "x", "y"]):
-            ok = []
-            for p, q in zip(x, y, strict=True):
-                p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([p, q]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= percent * (len(both) - common))
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], ["a", "b"])
+        at, centre = None, None
+        for a, salt, cid, texts in tv.rows(batches, ["a", "salt", "cid", "text"]):
+            a, salt, cid = a.to_pylist(), salt.to_pylist(), cid.to_pylist()
+            left, right = [], []
+            for i, buf, off in tv.slices(texts):
+                for k, s in enumerate(shingle_sets(buf, off), i):
+                    if not len(s) or set_id(s) != cid[k]:
+                        continue  # another row with the same doc_id
+                    if cid[k] == a[k]:
+                        at, centre = (a[k], salt[k]), s
+                    elif at == (a[k], salt[k]):
+                        both = np.sort(np.concatenate([centre, s]), kind="stable")
+                        common = int((both[1:] == both[:-1]).sum())
+                        if 100 * common >= percent * (len(both) - common):
+                            left.append(a[k])
+                            right.append(cid[k])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return run
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of set names that hold in full, by the sets themselves."""
-    named = classes.select(F.col("cid"), F.col("doc_id"))
-    need = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct().join(named, "cid")
-    texts = documents.select("doc_id", "text").join(need, "doc_id").select("cid", "text")
-    sets = texts.mapInArrow(_sets, "cid long, elements binary")
-    sets = materialize(sets)
-    one = pairs.join(sets.select(F.col("cid").alias("a"), F.col("elements").alias("x")), "a")
-    two = one.join(sets.select(F.col("cid").alias("b"), F.col("elements").alias("y")), "b")
-    out = materialize(two.mapInArrow(_verify(percent), "a long, b long").distinct())
-    release(sets)
+    """Pairs of set names that hold in full, by the texts of both.
+
+    Members travel to their centre in chunks of at most about CHUNK, so that
+    a centre with very many members is spread over tasks.
+    """
+    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    members = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("salt"), F.col("b").alias("cid"))
+    centres = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"), F.col("a").alias("cid"))
+    roles = materialize(members.union(centres).join(classes.select("cid", "doc_id"), "cid"))
+    near = F.broadcast(roles) if roles.count() <= BROADCAST_ROWS else roles
+    texts = documents.select("doc_id", "text").join(near, "doc_id")
+    dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("cid") != F.col("a"), "cid")
+    out = materialize(dealt.select("a", "salt", "cid", "text").mapInArrow(_verify(percent), "a long, b long").distinct())
+    release(roles)
     return out
 
 
@@ -312,8 +323,21 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFram
         return pairs.join(s.toDF("a", "n1", "s1"), "a").join(s.toDF("b", "n2", "s2"), "b")
 
     stars = groups.where("kind = 0").select("a", "b").distinct()
-    stars = materialize(sides(stars).mapInArrow(_sketch_filter(percent), "a long, b long"))
-    links = _verified(stars, docs, full, percent)
+    stars = materialize(sides(stars).mapInArrow(_sketch_filter(percent), "a long, b long, low double"))
+    # Each set with the centre that its sketch is closest to; then what still lies apart.
+    closest = stars.groupBy("b").agg(F.min_by("a", F.struct("low", "a")).alias("a")).select("a", "b")
+    closest = materialize(closest)
+    links1 = _verified(closest, docs, full, percent)
+    comps = materialize(connected_components(links1))
+
+    def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+        x = pairs.join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left")
+        return x.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+
+    rest = materialize(apart(stars.select("a", "b"), comps).join(closest, ["a", "b"], "left_anti"))
+    links2 = _verified(rest, docs, full, percent)
+    links = materialize(links1.union(links2))
+    release(comps)
     comps = materialize(connected_components(links))
 
     # Groups that hold more than one component after the first round.
@@ -326,15 +350,15 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFram
     members = members.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     blocks = members.groupBy("gid", "i", "j").agg(F.collect_list(F.struct("block", "cid", "comp", "n", "sketch")).alias("members"))
     more = blocks.select("i", "j", "members").mapInArrow(_blocks(percent), "a long, b long").distinct()
-    more = materialize(more.join(stars, ["a", "b"], "left_anti"))
-    links2 = _verified(more, docs, full, percent)
-    everything = materialize(connected_components(links.union(links2)))
+    more = materialize(more.join(rest.union(closest), ["a", "b"], "left_anti"))
+    links3 = _verified(more, docs, full, percent)
+    everything = materialize(connected_components(links.union(links3)))
 
     # From set names to the smallest doc_id of each component.
     sets = full.select("cid", "doc_id").join(everything.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     lowest = sets.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_set = materialize(sets.join(lowest, "comp").select("cid", "component_id"))
-    release(groups, stars, links, comps, more, links2, everything, full)
+    release(groups, stars, links1, links2, links3, links, comps, rest, more, everything, full)
     return table.join(by_set, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
