@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from .bpe_codec import op2_bpe_round_trip
+from .media_sniff import op8_media_sniffing
 from .ngram_join import op10_ngram_jaccard_join
 from .packing import op5_packing
 from .secret_scan import op9_secret_scans, op9_sql
 from .token_counts import op6_token_counts
+from .toxicity import op3_toxicity
 
 
 def queries() -> dict:
-    found = [op2_bpe_round_trip, op5_packing, op6_token_counts, op9_secret_scans, op10_ngram_jaccard_join]
+    found = [op2_bpe_round_trip, op3_toxicity, op5_packing, op6_token_counts, op8_media_sniffing, op9_secret_scans, op10_ngram_jaccard_join]
     return {f.__name__: f for f in found}
 
 
