@@ -8,12 +8,13 @@ from .media_sniff import op8_media_sniffing
 from .ngram_join import op10_ngram_jaccard_join
 from .packing import op5_packing
 from .secret_scan import op9_secret_scans, op9_sql
+from .substring_dedup import op7_substring_dedup
 from .token_counts import op6_token_counts
 from .toxicity import op3_toxicity
 
 
 def queries() -> dict:
-    found = [op1_embedding_near_dedup, op2_bpe_round_trip, op3_toxicity, op5_packing, op6_token_counts, op8_media_sniffing, op9_secret_scans, op10_ngram_jaccard_join]
+    found = [op1_embedding_near_dedup, op2_bpe_round_trip, op3_toxicity, op5_packing, op6_token_counts, op7_substring_dedup, op8_media_sniffing, op9_secret_scans, op10_ngram_jaccard_join]
     return {f.__name__: f for f in found}
 
 
