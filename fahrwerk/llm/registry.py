@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe_codec import op2_bpe_round_trip
 from .embedding_dedup import op1_embedding_near_dedup
+from .license_scan import op4_license_scans
 from .media_sniff import op8_media_sniffing
 from .ngram_join import op10_ngram_jaccard_join
 from .packing import op5_packing
@@ -14,7 +15,7 @@ from .toxicity import op3_toxicity
 
 
 def queries() -> dict:
-    found = [op1_embedding_near_dedup, op2_bpe_round_trip, op3_toxicity, op5_packing, op6_token_counts, op7_substring_dedup, op8_media_sniffing, op9_secret_scans, op10_ngram_jaccard_join]
+    found = [op1_embedding_near_dedup, op2_bpe_round_trip, op3_toxicity, op4_license_scans, op5_packing, op6_token_counts, op7_substring_dedup, op8_media_sniffing, op9_secret_scans, op10_ngram_jaccard_join]
     return {f.__name__: f for f in found}
 
 
