@@ -18,7 +18,8 @@ Groups of equal signatures become pairs in two rounds.  First each group's
 smallest set is compared with the others, which joins near copies without
 listing all their pairs; then groups that still hold several components are
 compared in blocks, inside tasks.  Before the exact comparison of full sets,
-a count sketch gives an exact lower bound of the difference.
+a count sketch, as fine as the set is large, gives an exact lower bound of
+the difference.
 
 Null or empty texts have no shingles and link with nothing; equal texts are
 one set (a copy costs a row, not a comparison); rows that repeat a doc_id
@@ -40,7 +41,7 @@ from .common import connected_components, materialize, release
 
 SHINGLE = 5
 PERCENT = 75
-SKETCH = 128
+LEAST_CELLS = 64
 BLOCK = 512
 CHUNK = 256
 #: Roles in comparisons (24 bytes each) are broadcast up to this number of rows; beyond it the join shuffles.
@@ -74,7 +75,19 @@ def set_id(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8)
+    """Counts of elements by their low bits, in about a third as many cells as there are elements."""
+    cells = LEAST_CELLS
+    while 3 * cells < len(s):
+        cells *= 2
+    return np.minimum(np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8)
+
+
+def folded(x: np.ndarray, cells: int) -> np.ndarray:
+    """A sketch in fewer cells."""
+    x = x.astype(np.int16)
+    while len(x) > cells:
+        x = x[: len(x) // 2] + x[len(x) // 2 :]
+    return x
 
 
 def band_tops(limit: int, percent: int = PERCENT) -> list[int]:
@@ -218,8 +231,8 @@ def _pairs(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _near(n1, s1, n2, s2, percent: int):
-    """False where sizes or sketches prove that two sets are less similar than the threshold."""
-    low = np.abs(s1.astype(np.int16) - s2.astype(np.int16)).sum(axis=-1, dtype=np.int64)
+    """False where sizes or sketches (of equally many cells) prove that two sets are less similar than the threshold."""
+    low = np.abs(s1 - s2).sum(axis=-1, dtype=np.int64)
     total = n1 + n2
     return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & ((100 + percent) * low <= (100 - percent) * total)
 
@@ -227,10 +240,15 @@ def _near(n1, s1, n2, s2, percent: int):
 def _sketch_filter(percent: int):
     def run(batches):
         for a, b, n1, s1, n2, s2 in tv.rows(batches, ["a", "b", "n1", "s1", "n2", "s2"]):
-            m = [np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(-1, SKETCH) for s in (s1, s2)]
-            ok = pa.array(_near(n1.to_numpy(), m[0], n2.to_numpy(), m[1], percent))
-            low = pa.array(np.abs(m[0].astype(np.int16) - m[1]).sum(axis=1, dtype=np.int64) / np.maximum(n1.to_numpy() + n2.to_numpy(), 1))
-            yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok), low.filter(ok)], ["a", "b", "low"])
+            ok, low = [], []
+            for p, x, q, y in zip(n1.to_pylist(), s1, n2.to_pylist(), s2, strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                cells = min(len(x), len(y))
+                x, y = folded(x, cells), folded(y, cells)
+                ok.append(bool(_near(p, x, q, y, percent)))
+                low.append(float(np.abs(x - y).sum(dtype=np.int64)) / (p + q))
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok), pa.array(low, pa.float64()).filter(ok)], ["a", "b", "low"])
 
     return run
 
@@ -244,7 +262,8 @@ def _blocks(percent: int):
             for x, y, m in zip(i.to_pylist(), j.to_pylist(), members, strict=True):
                 flat = m.values
                 blk, cid, comp, n = (flat.field(f).to_numpy() for f in ("block", "cid", "comp", "n"))
-                sk = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+                sk = [np.frombuffer(v, np.uint8) for v in flat.field("sketch").to_pylist()]
+                sk = np.stack([folded(v, min(map(len, sk))) for v in sk])
                 p, q = np.flatnonzero(blk == x), np.flatnonzero(blk == y)
                 for r in p.tolist():
                     others = q[q > r] if x == y else q
