@@ -32,12 +32,12 @@ from .common import materialize, release
 K = 10
 W = 10
 GAP = 30
-REACH = 20
+REACH = W  # a longer common end would hold another seed
 LEAST = 50
 IDENTITY = 0.8
 SEED_WEIGHT = 5.0
 GAP_COST = 0.1
-#: Requests for words are broadcast up to this number of rows (about 100 bytes each); beyond it the join shuffles.
+#: Rows of a document's id and spans are broadcast up to this number; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 PER_REQUEST = 512
 
@@ -242,6 +242,12 @@ def repeated_passages(documents: DataFrame, least: int = LEAST, identity: float
     firsts = seeds.groupBy("h").agg(F.min(F.struct("doc", "place")).alias("f"), F.max("doc").alias("top")).where("top > f.doc")
     firsts = materialize(firsts.select("h", F.col("f.doc").alias("a"), F.col("f.place").alias("p")))
     met = seeds.join(firsts, "h").where("doc <> a")
+    # Seeds too far from others to be part of a passage, with whichever documents they match, go.
+    w = Window.partitionBy("doc").orderBy("place")
+    met = met.withColumn("new", F.coalesce(F.col("place") - F.lag("place").over(w) > K + 2 * REACH, F.lit(True)).cast("int"))
+    met = met.withColumn("part", F.sum("new").over(w))
+    part = Window.partitionBy("doc", "part")
+    met = met.withColumn("span", F.max("place").over(part) - F.min("place").over(part)).where(F.col("span") + K + 2 * REACH >= least)
     pairs = met.groupBy("a", F.col("doc").alias("b")).agg(F.collect_list(F.struct("p", F.col("place").alias("q"))).alias("matches"))
     found = materialize(pairs.mapInArrow(_chained, _CHAIN))
     side = lambda d, s, n, k: found.select(F.col(d).alias("doc_id"), F.struct("a", "b", "b0", "a0", F.lit(k).alias("side"), F.col(s).alias("s"), F.col(n).alias("n")).alias("r"))
@@ -250,8 +256,7 @@ def repeated_passages(documents: DataFrame, least: int = LEAST, identity: float
     load = both.groupBy("doc_id").agg(F.ceil(F.count("*") / PER_REQUEST).alias("rows"))
     asked = both.join(load, "doc_id").withColumn("part", F.pmod(F.xxhash64("r.a", "r.b", "r.b0"), F.col("rows")))
     asked = materialize(asked.groupBy("doc_id", "part").agg(F.collect_list("r").alias("requests")).drop("part"))
-    near = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-    words = docs.join(near, "doc_id").select("text", "requests").mapInArrow(_fetched, "a long, b long, b0 int, a0 int, side int, lens array<int>, words binary")
+    words = docs.join(asked, "doc_id").select("text", "requests").mapInArrow(_fetched, "a long, b long, b0 int, a0 int, side int, lens array<int>, words binary")
     words = materialize(words.dropDuplicates(["a", "b", "b0", "a0", "side"]))
     key = ["a", "b", "b0", "a0"]
     ends = found.select(*key, "a1", "b1")
