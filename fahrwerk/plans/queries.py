@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, geo, labels, text, units
 from ..model import physics_groups
-from ..operators import cluster, features, joins, pricing
+from ..operators import autoencoder, cluster, features, joins, pricing
 from ..operators import sequence as sq
+from ..streaming import buffer
 from ..sources.telemetry import FEAT_SQL, SHIP_SQL, TELE_SQL, map_features, shipments, table, telemetry
 
 QUERIES: dict = {}
@@ -585,3 +586,34 @@ def union_runs(spark, sf_dir):
 @query(f"with {TELE_SQL} select run_id from tele union select l_suppkey from lineitem")
 def distinct_merge(spark, sf_dir):
     return telemetry(spark, sf_dir).select("run_id").union(table(spark, sf_dir, "lineitem").select("l_suppkey")).distinct()
+
+
+# Anomaly signal, streams
+
+
+@query()
+def recon_error(spark, sf_dir):
+    """Reconstruction error of the middle rows, by a linear autoencoder over the windows of all runs."""
+    s = shipments(spark, sf_dir).select("run_id", "seq", "quantity", (F.col("price") / 1000).alias("price"), "discount", "tax")
+    signals = ["quantity", "price", "discount", "tax"]
+    w = autoencoder.frames(s, signals)
+    mean, top = autoencoder.fit_linear(w, 30 * len(signals))
+    e = autoencoder.point_errors(s.select("run_id", "seq"), w, mean, top, len(signals))
+    return e.select("run_id", "seq", F.transform("error", lambda x: F.round(x, 5)).alias("error"))
+
+
+@query(f"with {TELE_SQL}, c as (select run_id as dev, cast(seq // 10 as bigint) as chunk, value, seq from tele) select dev, chunk, count(*) as n, min(seq) as first, max(seq) as last, round(sum(value), 4) as total from c group by dev, chunk")
+def buffer_chunks(spark, sf_dir):
+    t = telemetry(spark, sf_dir).select(F.col("run_id").alias("dev"), F.col("seq").alias("t"), "value")
+    return buffer.chunks(t, 10).withColumn("total", r(F.col("total")))
+
+
+@query(f"with {TELE_SQL} select run_id, min(epoch_us(t)) as t0, max(epoch_us(t)) as t1, arg_min(value, seq) as first, arg_max(value, seq) as last from tele group by run_id")
+def series_bounds(spark, sf_dir):
+    us = F.unix_micros(F.col("t").cast("timestamp"))
+    return telemetry(spark, sf_dir).groupBy("run_id").agg(F.min(us).alias("t0"), F.max(us).alias("t1"), F.min_by("value", "seq").alias("first"), F.max_by("value", "seq").alias("last"))
+
+
+@query(f"with {TELE_SQL} select count(*) as n, count(distinct run_id) as runs, count(distinct context) as contexts, sum(case when value is null then 1 else 0 end)::bigint as nulls, min(value) as lo, max(value) as hi, round(avg(value), 4) as mean from tele")
+def profile(spark, sf_dir):
+    return telemetry(spark, sf_dir).agg(F.count("*").alias("n"), F.countDistinct("run_id").alias("runs"), F.countDistinct("context").alias("contexts"), F.count_if(F.col("value").isNull()).alias("nulls"), F.min("value").alias("lo"), F.max("value").alias("hi"), r(F.avg("value")).alias("mean"))
