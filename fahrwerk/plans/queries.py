@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, geo, labels, text, units
 from ..model import physics_groups
-from ..operators import autoencoder, cluster, features, joins, pricing
+from ..operators import autoencoder, cluster, features, joins, pricing, reduction
 from ..operators import sequence as sq
 from ..streaming import buffer
 from ..sources.telemetry import FEAT_SQL, SHIP_SQL, TELE_SQL, map_features, shipments, table, telemetry
@@ -617,3 +617,47 @@ def series_bounds(spark, sf_dir):
 @query(f"with {TELE_SQL} select count(*) as n, count(distinct run_id) as runs, count(distinct context) as contexts, sum(case when value is null then 1 else 0 end)::bigint as nulls, min(value) as lo, max(value) as hi, round(avg(value), 4) as mean from tele")
 def profile(spark, sf_dir):
     return telemetry(spark, sf_dir).agg(F.count("*").alias("n"), F.countDistinct("run_id").alias("runs"), F.countDistinct("context").alias("contexts"), F.count_if(F.col("value").isNull()).alias("nulls"), F.min("value").alias("lo"), F.max("value").alias("hi"), r(F.avg("value")).alias("mean"))
+
+
+# Reduction, further clustering, small reports
+
+
+@query()
+def reduce_hybrid(spark, sf_dir):
+    p = _vectors(spark, sf_dir)
+    out = reduction.fit_reducer(p, "hybrid", 64, "label", k=8, select=32).apply(p)
+    return out.select("vec_id", F.transform("z", lambda x: F.round(x, 6)).alias("z"))
+
+
+@query()
+def warped_clusters(spark, sf_dir):
+    w = _windows(spark, sf_dir)
+    seeds = [r.v for r in w.orderBy("run_id", "win").limit(3).collect()]
+    return reduction.warped_kmeans(w, seeds, ["run_id", "win"], rounds=1)
+
+
+@query(f"with {TELE_SQL}, f as (select event_type, min(event_id) as first from tele group by event_type) select event_type, dense_rank() over (order by first) - 1 as code from f")
+def factorize(spark, sf_dir):
+    f = telemetry(spark, sf_dir).groupBy("event_type").agg(F.min("event_id").alias("first"))
+    # One row per label.
+    return f.select("event_type", (F.dense_rank().over(Window.orderBy("first")) - 1).cast("long").alias("code"))
+
+
+@query(f"""with {TELE_SQL}, n as (select coalesce(nullif(context, 'road'), 'road') as context, count(*) as n from tele group by 1), m as (select *, max(n) over () as top from n)
+  select context, case when context in ('crash', 'road') then greatest(2.0::double, least(6.0::double, n * 4.0::double / top + 2)) else greatest(1.0::double, least(3.0::double, n * 2.0::double / top)) end as width,
+  case when context = 'crash' then 1 when context = 'road' then 2 else 0 end as place from m""")
+def layout_widths(spark, sf_dir):
+    n = telemetry(spark, sf_dir).groupBy("context").agg(F.count("*").alias("n"))
+    top = F.max("n").over(Window.partitionBy())
+    wide = F.greatest(F.lit(2.0), F.least(F.lit(6.0), F.col("n") * 4.0 / top + 2))
+    slim = F.greatest(F.lit(1.0), F.least(F.lit(3.0), F.col("n") * 2.0 / top))
+    place = F.when(F.col("context") == "crash", 1).when(F.col("context") == "road", 2).otherwise(0)
+    return n.select("context", F.when(F.col("context").isin("crash", "road"), wide).otherwise(slim).alias("width"), place.alias("place"))
+
+
+@query(f"with {SHIP_SQL} select run_id, seq, round(quantity - (quantity + discount + tax) / 3, 6) as quantity, round(discount - (quantity + discount + tax) / 3, 6) as discount from ship")
+def dc_removed(spark, sf_dir):
+    """Each signal less the mean of all signals at that time."""
+    s = shipments(spark, sf_dir)
+    mean = (F.col("quantity") + F.col("discount") + F.col("tax")) / 3
+    return s.select("run_id", "seq", r(F.col("quantity") - mean, 6).alias("quantity"), r(F.col("discount") - mean, 6).alias("discount"))

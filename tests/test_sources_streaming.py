@@ -45,3 +45,64 @@ def test_stream_flushes_by_count(spark, tmp_path):
     q.awaitTermination()
     got = spark.read.parquet(out).groupBy("dev").agg(F.count("*").alias("n"), F.sum("n").alias("rows")).orderBy("dev").collect()
     assert [(r.dev, r.n, r.rows) for r in got] == [(1, 2, 10), (2, 2, 10)]
+
+
+def serve(records, put):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Store(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if self.path == "/get":
+                q = body["series"]
+                out = {"series": [r for r in records if q["t0"] <= r["timestamp"] <= q["t1"]][:3]}
+            elif self.path == "/last":
+                out = {"t": max(r["timestamp"] for r in records)}
+            else:
+                put.append((self.path, body))
+                out = {}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(out).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Store)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return server, f"http://127.0.0.1:{server.server_port}"
+
+
+def test_record_store(spark, tmp_path):
+    from fahrwerk.sources.store import RecordStore
+
+    put = []
+    server, url = serve([{"dev": 1, "unit": 5, "signature": 2, "value": float(i), "timestamp": i} for i in range(20)], put)
+    spark.dataSource.register(RecordStore)
+    df = spark.read.format("record_store").options(url=url, unit=5, dev=1, signature=2, t0=0, tf=19, slice=7).load()
+    assert [r.t for r in df.orderBy("t").collect()] == list(range(20))
+    df.coalesce(1).write.format("record_store").options(url=url, buffer=8).mode("append").save()
+    assert sum(len(b["records"]) for p, b in put if p == "/put") == 20 and [p for p, _ in put].count("/create") == 3
+    stream = spark.readStream.format("record_store").options(url=url, unit=5, dev=1, signature=2, t0=0).load()
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 20
+    server.shutdown()
+
+
+def test_zipped_contexts(spark):
+    import base64
+    import io
+    import zipfile
+
+    from fahrwerk.sources.store import time_slices, zipped_contexts
+
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("a.json", json.dumps({"id": "abc\nrun 1"}))
+        z.writestr("b.json", json.dumps({"id": "other\nrun 2"}))
+    df = spark.createDataFrame([(base64.b64encode(raw.getvalue()).decode(),), ("bm8=",), (None,)], "value string")
+    assert zipped_contexts(df, "value", "abc").count() == 1
+    assert [r.until for r in time_slices(spark.createDataFrame([(0, 3_500_000)], "t0 long, tf long")).collect()] == [1_000_000, 2_000_000, 3_000_000]
