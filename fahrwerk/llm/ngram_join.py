@@ -14,10 +14,13 @@ if it is *weak*: if it has no more than ``k // (k2 + 1)`` partitions all of
 whose choices hold elements.  If one set of a similar pair is not weak, some
 shared choice holds elements; if both are, both emit all.  No pair is lost.
 
-Groups of equal signatures become pairs in two rounds.  First each group's
-smallest set is compared with the others, which joins near copies without
-listing all their pairs; then groups that still hold several components are
-compared in blocks, inside tasks.  Before the exact comparison of full sets,
+Sets that differ in d elements differ in at most d partitions, so a similar
+pair shares all but so many of the partitions that its larger set holds.
+Small groups of equal signatures give all their pairs, and pairs that share
+too few groups are dropped.  Large groups become pairs in two rounds.  First
+each group's smallest set is compared with the others, which joins near
+copies without listing all their pairs; then groups that still hold several
+components are compared in blocks, inside tasks.  Before the exact comparison of full sets,
 a count sketch, as fine as the set is large, gives an exact lower bound of
 the difference.
 
@@ -42,6 +45,8 @@ from .common import connected_components, materialize, release
 SHINGLE = 5
 PERCENT = 75
 LEAST_CELLS = 64
+#: Groups of up to so many sets give all their pairs.
+SMALL = 16
 BLOCK = 512
 CHUNK = 256
 #: Roles in comparisons (24 bytes each) are broadcast up to this number of rows; beyond it the join shuffles.
@@ -141,6 +146,12 @@ def signatures(s: np.ndarray, percent: int = PERCENT, parts: int = PARTS) -> np.
     return np.concatenate(found)
 
 
+def held_cells(s: np.ndarray, percent: int = PERCENT, parts: int = PARTS) -> int:
+    """Partitions of the set's own band that hold elements, if a choice is a whole partition; else 0."""
+    _, n1, n2, k2 = scheme(_TOPS[bands_of(len(s), percent)[0]], percent, parts)
+    return len(np.unique((s >> np.uint64(32)) * np.uint64(n1) >> np.uint64(32))) if n2 == 1 and not k2 else 0
+
+
 def _describe(batches):
     for ids, texts in tv.rows(batches, ["doc_id", "text"]):
         for i, buf, off in tv.slices(texts):
@@ -150,9 +161,11 @@ def _describe(batches):
                     ids.slice(i, len(sets)),
                     pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([bands_of(len(s))[0] if len(s) else None for s in sets], pa.int32()),
+                    pa.array([held_cells(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["doc_id", "cid", "n", "sketch"],
+                ["doc_id", "cid", "n", "band", "held", "sketch"],
             )
 
 
@@ -183,7 +196,11 @@ def _emit(buckets: int):
 
 
 def _shared(percent: int):
-    """Groups of equal signatures in a bucket: star pairs (kind 0) and members of larger groups (kind 1)."""
+    """Groups of equal signatures in a bucket.
+
+    All pairs of small groups with how many groups they share (kind 0); of
+    larger ones the pairs with their smallest set (2) and the members (1).
+    """
 
     def run(batches):
         parts = list(batches)
@@ -210,24 +227,41 @@ def _shared(percent: int):
                 continue
             row, size = row[keep], size[size > 1]
             first = np.cumsum(size) - size
-            names, ns = cid[rows], t["n"].to_numpy()[rows]
-            centre = np.repeat(row[first], size)  # rows are in the order of their names
-            a, z = ns[centre], ns[row]
-            pair = (centre != row) & (100 * np.minimum(a, z) >= percent * np.maximum(a, z))
-            pairs = np.unique((centre[pair].astype(np.uint64) << np.uint64(32)) | row[pair].astype(np.uint64))
-            yield _pairs(0, names[(pairs >> np.uint64(32)).astype(np.int64)], names[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)])
-            gid = tv.mix(np.add.reduceat(tv.mix(names[row].view(np.uint64)), first)).view(np.int64)
-            once = np.zeros(len(gid), bool)
-            once[np.unique(gid, return_index=True)[1]] = True
-            once &= size > 2
-            chosen = np.repeat(once, size)
-            yield _pairs(1, np.repeat(gid[once], size[once]), names[row[chosen]])
+            names, ns = cid[rows], t["n"].to_numpy()[rows]  # rows are in the order of their names
+            big = size > SMALL
+            pairs = [np.zeros(0, np.uint64)]
+            for k in np.unique(size[~big]).tolist():
+                m = row[first[size == k][:, None] + np.arange(k)].astype(np.uint64)
+                i, j = np.triu_indices(k, 1)
+                pairs.append((m[:, i] << np.uint64(32) | m[:, j]).ravel())
+            pairs, times = np.unique(np.concatenate(pairs), return_counts=True)
+            yield _pairs(0, names, ns, pairs, times, percent)
+            chosen = np.repeat(big, size)
+            centre = np.repeat(row[first[big]], size[big]).astype(np.uint64)
+            member = row[chosen].astype(np.uint64)
+            pairs = np.unique((centre << np.uint64(32) | member)[centre != member])
+            yield _pairs(2, names, ns, pairs, np.zeros(len(pairs), np.int64), percent)
+            if big.any():
+                size = size[big]
+                first = np.cumsum(size) - size
+                gid = tv.mix(np.add.reduceat(tv.mix(names[row[chosen]].view(np.uint64)), first)).view(np.int64)
+                once = np.zeros(len(gid), bool)
+                once[np.unique(gid, return_index=True)[1]] = True
+                members = names[row[chosen]][np.repeat(once, size)]
+                yield _links(1, np.repeat(gid[once], size[once]), members, np.zeros(len(members), np.int64))
 
     return run
 
 
-def _pairs(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
+def _links(kind: int, a: np.ndarray, b: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(times, pa.int64())], ["kind", "a", "b", "times"])
+
+
+def _pairs(kind: int, names, ns, pairs, times, percent: int) -> pa.RecordBatch:
+    """Pairs of rows, packed in one number each, whose sizes don't rule them out."""
+    a, b = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    ok = 100 * np.minimum(ns[a], ns[b]) >= percent * np.maximum(ns[a], ns[b])
+    return _links(kind, names[a[ok]], names[b[ok]], times[ok])
 
 
 def _near(n1, s1, n2, s2, percent: int):
@@ -330,18 +364,26 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFram
     docs = documents.select("doc_id", "text")
     buckets = max(24, docs.count() // DOCS_PER_BUCKET)
 
-    table = materialize(docs.mapInArrow(_describe, "doc_id long, cid long, n long, sketch binary"))
+    table = materialize(docs.mapInArrow(_describe, "doc_id long, cid long, n long, band int, held long, sketch binary"))
     first = table.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     full = materialize(first.join(table, ["cid", "doc_id"]).dropDuplicates(["cid"]))
 
     rows = docs.mapInArrow(_emit(buckets), "bucket int, cid long, n long, sigs binary")
-    groups = materialize(rows.repartition(buckets, "bucket").mapInArrow(_shared(percent), "kind int, a long, b long"))
+    groups = materialize(rows.repartition(buckets, "bucket").mapInArrow(_shared(percent), "kind int, a long, b long, times long"))
 
     def sides(pairs: DataFrame) -> DataFrame:
         s = full.select("cid", "n", "sketch")
         return pairs.join(s.toDF("a", "n1", "s1"), "a").join(s.toDF("b", "n2", "s2"), "b")
 
-    stars = groups.where("kind = 0").select("a", "b").distinct()
+    # Similar sets differ in at most as many partitions as they differ in elements; the other held ones they share.
+    # A pair that shares too few is dissimilar, unless it shares larger groups too, whose pairs come by other ways.
+    sized = full.select("cid", "n", "band", "held")
+    shared = groups.where("kind = 0").groupBy("a", "b").agg(F.sum("times").alias("times"))
+    shared = shared.join(sized.toDF("a", "na", "ba", "ha"), "a").join(sized.toDF("b", "nb", "bb", "hb"), "b")
+    apart_most = F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent))
+    of_larger = F.when(F.col("ba") == F.col("bb"), F.greatest("ha", "hb")).otherwise(F.when(F.col("ba") > F.col("bb"), F.col("ha")).otherwise(F.col("hb")))
+    enough = shared.where(F.col("times") >= of_larger - apart_most).select("a", "b")
+    stars = enough.union(groups.where("kind = 2").select("a", "b")).distinct()
     stars = materialize(sides(stars).mapInArrow(_sketch_filter(percent), "a long, b long, low double"))
     # Each set with the centre that its sketch is closest to; then what still lies apart.
     closest = stars.groupBy("b").agg(F.min_by("a", F.struct("low", "a")).alias("a")).select("a", "b")
