@@ -382,7 +382,8 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFram
     shared = shared.join(sized.toDF("a", "na", "ba", "ha"), "a").join(sized.toDF("b", "nb", "bb", "hb"), "b")
     apart_most = F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent))
     of_larger = F.when(F.col("ba") == F.col("bb"), F.greatest("ha", "hb")).otherwise(F.when(F.col("ba") > F.col("bb"), F.col("ha")).otherwise(F.col("hb")))
-    enough = shared.where(F.col("times") >= of_larger - apart_most).select("a", "b")
+    # Two signatures of a set may fall together in 32 bits: allow for it.
+    enough = shared.where(F.col("times") + 2 >= of_larger - apart_most).select("a", "b")
     stars = enough.union(groups.where("kind = 2").select("a", "b")).distinct()
     stars = materialize(sides(stars).mapInArrow(_sketch_filter(percent), "a long, b long, low double"))
     # Each set with the centre that its sketch is closest to; then what still lies apart.
