@@ -66,7 +66,11 @@ def winnow(buf: np.ndarray, off: np.ndarray, k: int = K, w: int = W):
     picked = np.zeros(len(line), bool)
     for j in range(w):
         picked[window + j] |= line[window + j] == low[window]
-    keep = picked[spot]
+    # Of a run of equal k-mers (one word again and again) every w-th is enough.
+    new = np.ones(total, bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    place = np.arange(total)
+    keep = picked[spot] & ((place - np.maximum.accumulate(np.where(new, place, 0))) % w == 0)
     return doc[keep], at[keep], h[keep]
 
 
