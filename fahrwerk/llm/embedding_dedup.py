@@ -176,11 +176,10 @@ def descend(points: DataFrame, graph: DataFrame, k: int, threshold: float) -> Da
     return materialize(best_lists(graph.union(new), k, threshold))
 
 
-def audit(points: DataFrame, graph: DataFrame, threshold: float, sample: int = AUDIT) -> tuple[int, int]:
-    """(links of sample points by comparing them with all rows, components' worth of them that the graph lacks).
+def audit(points: DataFrame, components: DataFrame, threshold: float, sample: int = AUDIT) -> tuple[int, int]:
+    """(links of sample points, found by comparing them with all rows; how many of them lie inside one component).
 
-    The queries are a fixed number of points and are broadcast.  A link counts
-    as found if both ends have the same component in ``graph`` (node, component).
+    The queries are a fixed number of points and go to every task.
     """
     queries = points.orderBy(F.xxhash64("pid", F.lit(7)), "pid").limit(sample).select(F.col("pid").alias("q"), F.col("label").alias("ql"), F.col("dim").alias("qd"), F.col("unit").alias("qu")).toPandas()
     if not len(queries):
@@ -199,7 +198,7 @@ def audit(points: DataFrame, graph: DataFrame, threshold: float, sample: int = A
             yield _edges(parts)
 
     truth = points.mapInArrow(run, EDGE).where("u <> v")
-    c = graph
+    c = components
     joined = truth.join(c.toDF("u", "cu"), "u", "left").join(c.toDF("v", "cv"), "v", "left")
     r = joined.agg(F.count("*").alias("n"), F.count(F.when(F.col("cu") == F.col("cv"), 1)).alias("found")).first()
     return r.n, r.found

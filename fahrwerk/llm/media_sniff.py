@@ -169,7 +169,7 @@ def _gzip(b, at):
         rest = memoryview(b)[at:]
         while rest and not d.eof:
             d.decompress(rest, 1 << 16)
-            rest = d.unconsumed_tail or (b"" if d.eof else b"")
+            rest = d.unconsumed_tail
         return (len(b) - at - len(d.unused_data), []) if d.eof else None
     except zlib.error:
         return None

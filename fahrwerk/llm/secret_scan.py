@@ -53,7 +53,7 @@ RULES = [
 ]
 
 
-def _literal_runs(tree, fold: bool) -> list[list[str]]:
+def _literal_runs(tree) -> list[list[str]]:
     """Sets of strings of which each match holds one, in order; an unknown part ends a run."""
     runs: list[list[str]] = []
     now = [""]
@@ -72,9 +72,9 @@ def _literal_runs(tree, fold: bool) -> list[list[str]]:
         close()
         name = str(op)
         if name == "SUBPATTERN":
-            runs += _literal_runs(arg[-1], fold)
+            runs += _literal_runs(arg[-1])
         elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
-            runs += _literal_runs(arg[2], fold)
+            runs += _literal_runs(arg[2])
     close()
     return runs
 
@@ -108,7 +108,7 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     """An OR of ANDs of lower-case trigrams that every match's text satisfies; empty if none is mandatory."""
     tree = re._parser.parse(pattern)
     best: list[frozenset[str]] = []
-    for run in _literal_runs(tree, True):
+    for run in _literal_runs(tree):
         grams = {frozenset(s.lower()[i : i + 3] for i in range(len(s) - 2)) for s in run}
         if frozenset() in grams:
             continue
