@@ -48,6 +48,8 @@ LEAST_CELLS = 64
 #: Groups of up to so many sets give all their pairs.
 SMALL = 16
 BLOCK = 512
+#: A bucket's signatures are grouped in so many ranges (as bits), one after the other.
+RANGE_BITS = 3
 CHUNK = 256
 #: Roles in comparisons (24 bytes each) are broadcast up to this number of rows; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -215,44 +217,50 @@ def _shared(percent: int):
             loads = t["sigs"].take(pa.array(rows)).combine_chunks()
             loads = loads.chunk(0) if isinstance(loads, pa.ChunkedArray) else loads
             off = np.frombuffer(loads.buffers()[1], np.int32)[loads.offset : loads.offset + len(loads) + 1]
-            sig = np.frombuffer(loads.buffers()[2], np.uint32)[off[0] // 4 : off[-1] // 4]
-            row = np.repeat(np.arange(len(rows)), np.diff(off) // 4)
-            key = np.unique((sig.astype(np.uint64) << np.uint64(32)) | row.astype(np.uint64))
-            sig, row = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            new = np.diff(sig, prepend=sig[:1] ^ np.uint64(1)) != 0
-            first = np.flatnonzero(new)
-            size = np.diff(np.append(first, len(sig)))
-            keep = np.repeat(size > 1, size)
-            if not keep.any():
-                continue
-            row, size = row[keep], size[size > 1]
-            first = np.cumsum(size) - size
+            every = np.frombuffer(loads.buffers()[2], np.uint32)[off[0] // 4 : off[-1] // 4]
+            of = np.repeat(np.arange(len(rows), dtype=np.uint32), np.diff(off) // 4)
             names, ns = cid[rows], t["n"].to_numpy()[rows]  # rows are in the order of their names
-            big = size > SMALL
-            pairs = [np.zeros(0, np.uint64)]
-            for k in np.unique(size[~big]).tolist():
-                m = row[first[size == k][:, None] + np.arange(k)].astype(np.uint64)
-                i, j = np.triu_indices(k, 1)
-                pairs.append((m[:, i] << np.uint64(32) | m[:, j]).ravel())
-            pairs, times = np.unique(np.concatenate(pairs), return_counts=True)
-            yield _pairs(0, names, ns, pairs, times, percent)
-            chosen = np.repeat(big, size)
-            centre = np.repeat(row[first[big]], size[big]).astype(np.uint64)
-            member = row[chosen].astype(np.uint64)
-            pairs = np.unique((centre << np.uint64(32) | member)[centre != member])
-            yield _pairs(2, names, ns, pairs, np.zeros(len(pairs), np.int64), percent)
-            if big.any():
-                size = size[big]
-                first = np.cumsum(size) - size
-                gid = tv.mix(np.add.reduceat(tv.mix(names[row[chosen]].view(np.uint64)), first)).view(np.int64)
-                once = np.zeros(len(gid), bool)
-                once[np.unique(gid, return_index=True)[1]] = True
-                members = names[row[chosen]][np.repeat(once, size)]
-                yield _links(1, np.repeat(gid[once], size[once]), members, np.zeros(len(members), np.int64))
+            # A range of signatures at a time, for the memory of a task.
+            for part in range(1 << RANGE_BITS):
+                own = every >> np.uint32(32 - RANGE_BITS) == part
+                yield from _groups(every[own], of[own], names, ns, percent)
 
     return run
 
 
+def _groups(sig: np.ndarray, row: np.ndarray, names: np.ndarray, ns: np.ndarray, percent: int):
+    """What groups of equal signatures give, where row i has the name names[i] and ns[i] elements."""
+    key = np.unique((sig.astype(np.uint64) << np.uint64(32)) | row)
+    sig, row = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.diff(sig, prepend=sig[:1] ^ np.uint64(1)) != 0)
+    size = np.diff(np.append(first, len(sig)))
+    row = row[np.repeat(size > 1, size)]
+    size = size[size > 1]
+    if not len(size):
+        return
+    first = np.cumsum(size) - size
+    big = size > SMALL
+    pairs = [np.zeros(0, np.uint64)]
+    for k in np.unique(size[~big]).tolist():
+        m = row[first[size == k][:, None] + np.arange(k)].astype(np.uint64)
+        i, j = np.triu_indices(k, 1)
+        pairs.append((m[:, i] << np.uint64(32) | m[:, j]).ravel())
+    pairs, times = np.unique(np.concatenate(pairs), return_counts=True)
+    yield _pairs(0, names, ns, pairs, times, percent)
+    if not big.any():
+        return
+    member, size = row[np.repeat(big, size)], size[big]
+    first = np.cumsum(size) - size
+    centre = np.repeat(member[first], size)
+    pairs = np.unique((centre.astype(np.uint64) << np.uint64(32) | member.astype(np.uint64))[centre != member])
+    yield _pairs(2, names, ns, pairs, np.zeros(len(pairs), np.int64), percent)
+    gid = tv.mix(np.add.reduceat(tv.mix(names[member].view(np.uint64)), first)).view(np.int64)
+    once = np.zeros(len(gid), bool)
+    once[np.unique(gid, return_index=True)[1]] = True
+    members = names[member[np.repeat(once, size)]]
+    yield _links(1, np.repeat(gid[once], size[once]), members, np.zeros(len(members), np.int64))
+
+
 def _links(kind: int, a: np.ndarray, b: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(times, pa.int64())], ["kind", "a", "b", "times"])
 
