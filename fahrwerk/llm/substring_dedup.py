@@ -10,8 +10,9 @@ conflicts, a Fenwick tree over positions finds the best chain with gap costs.
 Chains are cut at gaps above GAP words.  Between seeds that are
 at the same distance of at most K words in both documents, words are equal;
 all other gaps, and up to REACH words beyond both ends, are fetched and aligned
-by longest common subsequence.  Parts with at least IDENTITY of their words
-matched remain; as a passage's seeds may first occur in different documents,
+by longest common subsequence.  Of a chain, all longest stretches with at
+least IDENTITY of their words matched remain, so that filler beside a passage
+doesn't count against it; as a passage's seeds may first occur in different documents,
 parts that touch count as one passage, which must have at least LEAST words.
 
 Null and empty texts have no words.  doc_id is a key: rows that repeat it
@@ -213,22 +214,62 @@ def _same(x: np.ndarray, y: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else n
 
 
+def stretches(parts: list[tuple[int, int, int, bool, bool]], identity: float) -> list[tuple[int, int, float]]:
+    """(first part, last part, share) of all longest stretches with enough words matched.
+
+    A part has its words in both documents, those matched, and whether a
+    stretch may start or end with it.  None of the stretches lies inside
+    another; any stretch with enough words matched lies inside one.
+    """
+    a, b, met = (np.cumsum([0, *(p[i] for p in parts)]) for i in range(3))
+    share = lambda i, j: (met[j] - met[i]) / np.maximum(a[j] - a[i], b[j] - b[i])
+    first, last = (np.flatnonzero([p[i] for p in parts]) for i in (3, 4))
+    out, top = [], -1
+    for i in first.tolist():
+        if top == last[-1]:
+            break
+        ends = last[np.searchsorted(last, max(i, top + 1)) :]
+        good = ends[share(i, ends + 1) >= identity]
+        if len(good):
+            top = int(good[-1])
+            out.append((i, top, float(share(i, top + 1))))
+    return out
+
+
+def _parts(segments: list[int], gaps: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, bool, bool]]:
+    """The parts of a chain for ``stretches``: segments of equal words, grown into the gaps between them, and what remains of the gaps."""
+    segments, rest = list(segments), []
+    for k, (g, h) in enumerate(gaps):
+        left = _same(g, h)
+        g, h = g[left:], h[left:]
+        right = _same(g[::-1], h[::-1])
+        g, h = g[: len(g) - right], h[: len(h) - right]
+        segments[k] += left
+        segments[k + 1] += right
+        rest.append((len(g), len(h), common_words(g.tolist(), h.tolist()), False, False))
+    parts = []
+    for n, gap in zip(segments, [*rest, None], strict=True):
+        parts.append((n, n, n, True, True))
+        if gap:
+            parts.append(gap)
+    return parts
+
+
 def _aligned(identity: float):
     def run(batches):
-        for da, db, a0, b0, a1, b1, la, wa, lb, wb in tv.rows(batches, ["a", "b", "a0", "b0", "a1", "b1", "la", "wa", "lb", "wb"]):
+        for da, db, a0, b0, sa, la, wa, lb, wb in tv.rows(batches, ["a", "b", "a0", "b0", "sa", "la", "wa", "lb", "wb"]):
             out = []
-            for x, y, i, j, k, m, pl, pw, ql, qw in zip(*(c.to_pylist() for c in (da, db, a0, b0, a1, b1, la, wa, lb, wb)), strict=True):
+            for x, y, i, j, s, pl, pw, ql, qw in zip(*(c.to_pylist() for c in (da, db, a0, b0, sa, la, wa, lb, wb)), strict=True):
                 p = np.split(np.frombuffer(pw, np.uint64), np.cumsum(pl)[:-1])
                 q = np.split(np.frombuffer(qw, np.uint64), np.cumsum(ql)[:-1])
                 left, right = _same(p[0][::-1], q[0][::-1]), _same(p[-1], q[-1])
-                gaps = list(zip(p[1:-1], q[1:-1], strict=True))
-                missed_a = sum(len(g) for g, _ in gaps)
-                missed_b = sum(len(h) for _, h in gaps)
-                met = sum(common_words(g.tolist(), h.tolist()) for g, h in gaps)
-                size_a, size_b = k - i + left + right, m - j + left + right
-                share = min(size_a - missed_a + met, size_b - missed_b + met) / max(size_a, size_b)
-                if share >= identity:
-                    out.append((y, x, j - left, m + right, i - left, k + right, size_b, round(share, 6)))
+                segments = [end - start - n for start, n, end in zip(s, pl, s[1:])]
+                segments[0] += left
+                segments[-1] += right
+                parts = _parts(segments, list(zip(p[1:-1], q[1:-1], strict=True)))
+                at_a, at_b = (np.cumsum([z - left, *(part[k] for part in parts)]).tolist() for k, z in ((0, i), (1, j)))
+                for first, last, share in stretches(parts, identity):
+                    out.append((y, x, at_b[first], at_b[last + 1], at_a[first], at_a[last + 1], at_b[last + 1] - at_b[first], round(share, 6)))
             cols = list(zip(*out, strict=True)) if out else [[] for _ in range(8)]
             types = [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "first_doc_id", "start", "end", "first_start", "first_end", "n_words", "identity"])
@@ -263,7 +304,7 @@ def repeated_passages(documents: DataFrame, least: int = LEAST, identity: float
     words = docs.join(asked, "doc_id").select("text", "requests").mapInArrow(_fetched, "a long, b long, b0 int, a0 int, side int, lens array<int>, words binary")
     words = materialize(words.dropDuplicates(["a", "b", "b0", "a0", "side"]))
     key = ["a", "b", "b0", "a0"]
-    ends = found.select(*key, "a1", "b1")
+    ends = found.select(*key, "sa")
     of = lambda k, x, y: words.where(F.col("side") == k).select(*key, F.col("lens").alias(x), F.col("words").alias(y))
     joined = ends.join(of(0, "la", "wa"), key).join(of(1, "lb", "wb"), key)
     parts = joined.mapInArrow(_aligned(identity), PASSAGE).distinct()

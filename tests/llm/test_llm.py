@@ -232,6 +232,41 @@ def test_substring_finds_exact_and_fuzzy_passages(spark):
     assert left[2] == prose(90, 53) + " " + prose(10, 54) and left[3] == prose(70, 55)
 
 
+def passages_found(spark, pairs, least):
+    """How many of the pairs of texts, each with a vocabulary of its own, have a passage of so many words."""
+    texts = [" ".join(f"{w}{i}" for w in t.split()) for i, pair in enumerate(pairs) for t in pair]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = substring_dedup.repeated_passages(docs).where(F.col("n_words") >= least)
+    return found.select("doc_id").distinct().count()
+
+
+def test_exact_passages_beside_shared_lines_are_found(spark):
+    pairs = []
+    for i in range(40):
+        passage, line, more = (prose(n, f"{n} {i}") for n in (55, 15, 16))
+        filler = lambda k: prose(14, f"filler {k} {i}")  # noqa: E731, B023
+        pairs.append([f"{more} {filler(k)} {passage} {filler(k + 2)} {line}" for k in range(2)])
+    assert passages_found(spark, pairs, 55) == len(pairs)
+
+
+def test_stretches_equal_brute_force():
+    for _ in range(200):
+        parts = []
+        for _ in range(RNG.randint(1, 8)):
+            n, g = RNG.randint(1, 20), (RNG.randint(1, 12), RNG.randint(1, 12))
+            parts += [(n, n, n, True, True), (*g, RNG.randint(0, min(g)), False, False)]
+        parts.pop()
+        good = {}
+        for i in range(0, len(parts), 2):
+            for j in range(i, len(parts), 2):
+                a, b, met = (sum(p[k] for p in parts[i : j + 1]) for k in range(3))
+                if met / max(a, b) >= 0.8:
+                    good[i, j] = met / max(a, b)
+        want = [(i, j) for i, j in good if not any((x, y) != (i, j) and x <= i and j <= y for x, y in good)]
+        got = substring_dedup.stretches(parts, 0.8)
+        assert [(i, j) for i, j, _ in got] == sorted(want) and all(abs(s - good[i, j]) < 1e-12 for i, j, s in got)
+
+
 def test_chains_and_common_words():
     best = substring_dedup.chains(np.array([0, 5, 100, 10, 15]), np.array([0, 5, 7, 10, 15]))
     assert [0, 1, 3, 4] in [c.tolist() for c in best]
