@@ -10,7 +10,8 @@ conflicts, a Fenwick tree over positions finds the best chain with gap costs.
 Chains are cut at gaps above GAP words.  Between seeds that are
 at the same distance of at most K words in both documents, words are equal;
 all other gaps, and up to REACH words beyond both ends, are fetched and aligned
-by longest common subsequence.  Of a chain, all longest stretches with at
+by longest common subsequence.  An end reaches as far as the words matched
+exceed those missed by most.  Of a chain, all longest stretches with at
 least IDENTITY of their words matched remain, so that filler beside a passage
 doesn't count against it; as a passage's seeds may first occur in different documents,
 parts that touch count as one passage, which must have at least LEAST words.
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import materialize, release
 
-K = 10
-W = 10
+K = 5
+W = 5
 GAP = 30
-REACH = W  # a longer common end would hold another seed
+REACH = 2 * (K + W)  # an edit, and the words beyond it that may hold no seed
 LEAST = 50
 IDENTITY = 0.8
 SEED_WEIGHT = 5.0
@@ -214,6 +215,31 @@ def _same(x: np.ndarray, y: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else n
 
 
+def reached(x: list[int], y: list[int]) -> tuple[int, int, int]:
+    """(words of x, words of y, common words) of the beginnings whose common words exceed the others by most; ends with common ones."""
+    if set(x).isdisjoint(y):
+        return 0, 0, 0
+    spots: dict[int, int] = {}
+    for i, w in enumerate(x):
+        spots[w] = spots.get(w, 0) | 1 << i
+    row = full = (1 << len(x)) - 1
+    best, n, met = 0, 0, 0
+    for k in range(max(len(x), len(y))):
+        if k < len(y):
+            hit = row & spots.get(y[k], 0)
+            row = ((row + hit) | (row - hit)) & full
+        low = min(k + 1, len(x))
+        common = low - (row & ((1 << low) - 1)).bit_count()
+        if 2 * common - k - 1 > best:
+            best, n, met = 2 * common - k - 1, k + 1, common
+    i, j = min(n, len(x)), min(n, len(y))
+    while i and common_words(x[: i - 1], y[:j]) == met:
+        i -= 1
+    while j and common_words(x[:i], y[: j - 1]) == met:
+        j -= 1
+    return i, j, met
+
+
 def stretches(parts: list[tuple[int, int, int, bool, bool]], identity: float) -> list[tuple[int, int, float]]:
     """(first part, last part, share) of all longest stretches with enough words matched.
 
@@ -236,23 +262,34 @@ def stretches(parts: list[tuple[int, int, int, bool, bool]], identity: float) ->
     return out
 
 
-def _parts(segments: list[int], gaps: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, bool, bool]]:
-    """The parts of a chain for ``stretches``: segments of equal words, grown into the gaps between them, and what remains of the gaps."""
-    segments, rest = list(segments), []
+def _parts(segments: list[int], gaps: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[tuple[int, int, int, bool, bool]], int, int]:
+    """The parts of a chain for ``stretches``: segments of equal words, what lies near them beyond edits, and what remains of the gaps.
+
+    The first and the last gap lie beyond the ends.  Also the words of both
+    documents by which the parts begin before the first segment.
+    """
+    segments, rest = [0, *segments, 0], []
     for k, (g, h) in enumerate(gaps):
-        left = _same(g, h)
+        # Segment k lies before gap k, and k + 1 after it; the outermost don't exist.
+        left = _same(g, h) if k else 0
         g, h = g[left:], h[left:]
-        right = _same(g[::-1], h[::-1])
-        g, h = g[: len(g) - right], h[: len(h) - right]
+        right = _same(g[::-1], h[::-1]) if k + 1 < len(gaps) else 0
+        if not k:
+            outer = right
         segments[k] += left
         segments[k + 1] += right
-        rest.append((len(g), len(h), common_words(g.tolist(), h.tolist()), False, False))
-    parts = []
-    for n, gap in zip(segments, [*rest, None], strict=True):
-        parts.append((n, n, n, True, True))
-        if gap:
-            parts.append(gap)
-    return parts
+        g, h = g[: len(g) - right].tolist(), h[: len(h) - right].tolist()
+        common = common_words(g, h)
+        after = reached(g, h) if k else (0, 0, 0)
+        g, h = g[after[0] :], h[after[1] :]
+        before = reached(g[::-1], h[::-1]) if k + 1 < len(gaps) else (0, 0, 0)
+        g, h = g[: len(g) - before[0]], h[: len(h) - before[1]]
+        rest.append([(*after, False, True), (len(g), len(h), common - after[2] - before[2], False, False), (*before, True, False)])
+    ahead = rest[0][2]
+    parts = [ahead]
+    for n, gap in zip(segments[1:-1], rest[1:], strict=True):
+        parts += [(n, n, n, True, True), *gap]
+    return [p for p in parts[:-2] if any(p[:3])], outer + ahead[0], outer + ahead[1]
 
 
 def _aligned(identity: float):
@@ -262,12 +299,8 @@ def _aligned(identity: float):
             for x, y, i, j, s, pl, pw, ql, qw in zip(*(c.to_pylist() for c in (da, db, a0, b0, sa, la, wa, lb, wb)), strict=True):
                 p = np.split(np.frombuffer(pw, np.uint64), np.cumsum(pl)[:-1])
                 q = np.split(np.frombuffer(qw, np.uint64), np.cumsum(ql)[:-1])
-                left, right = _same(p[0][::-1], q[0][::-1]), _same(p[-1], q[-1])
-                segments = [end - start - n for start, n, end in zip(s, pl, s[1:])]
-                segments[0] += left
-                segments[-1] += right
-                parts = _parts(segments, list(zip(p[1:-1], q[1:-1], strict=True)))
-                at_a, at_b = (np.cumsum([z - left, *(part[k] for part in parts)]).tolist() for k, z in ((0, i), (1, j)))
+                parts, start_a, start_b = _parts([end - start - n for start, n, end in zip(s, pl, s[1:])], list(zip(p, q, strict=True)))
+                at_a, at_b = (np.cumsum([z, *(part[k] for part in parts)]).tolist() for k, z in ((0, i - start_a), (1, j - start_b)))
                 for first, last, share in stretches(parts, identity):
                     out.append((y, x, at_b[first], at_b[last + 1], at_a[first], at_a[last + 1], at_b[last + 1] - at_b[first], round(share, 6)))
             cols = list(zip(*out, strict=True)) if out else [[] for _ in range(8)]
@@ -289,7 +322,7 @@ def repeated_passages(documents: DataFrame, least: int = LEAST, identity: float
     met = seeds.join(firsts, "h").where("doc <> a")
     # Seeds too far from others to be part of a passage, with whichever documents they match, go.
     w = Window.partitionBy("doc").orderBy("place")
-    met = met.withColumn("new", F.coalesce(F.col("place") - F.lag("place").over(w) > K + 2 * REACH, F.lit(True)).cast("int"))
+    met = met.withColumn("new", F.coalesce(F.col("place") - F.lag("place").over(w) > K + max(GAP, 2 * REACH), F.lit(True)).cast("int"))
     met = met.withColumn("part", F.sum("new").over(w))
     part = Window.partitionBy("doc", "part")
     met = met.withColumn("span", F.max("place").over(part) - F.min("place").over(part)).where(F.col("span") + K + 2 * REACH >= least)

@@ -249,6 +249,26 @@ def test_exact_passages_beside_shared_lines_are_found(spark):
     assert passages_found(spark, pairs, 55) == len(pairs)
 
 
+def test_edited_passages_are_found(spark):
+    pairs = []
+    for i in range(60):
+        words = prose(80, f"edited {i}").split()
+        # One word near the start, a run in the middle, every tenth word.
+        for k in ([[10], range(33, 47), range(9, 80, 10)])[i % 3]:
+            words[k] = f"changed{k}"
+        pairs.append([f"{prose(30, f'before {k} {i}')} {t} {prose(30, f'after {k} {i}')}" for k, t in enumerate((prose(80, f"edited {i}"), " ".join(words)))])
+    assert passages_found(spark, pairs, 78) == len(pairs)
+
+
+def test_reached_equals_brute_force():
+    for _ in range(200):
+        x, y = ([RNG.randint(0, 4) for _ in range(RNG.randint(0, 9))] for _ in range(2))
+        score = lambda i, j: 2 * substring_dedup.common_words(x[:i], y[:j]) - max(i, j)  # noqa: E731, B023
+        i, j, met = substring_dedup.reached(x, y)
+        assert met == substring_dedup.common_words(x[:i], y[:j])
+        assert score(i, j) == max(score(a, b) for a in range(len(x) + 1) for b in range(len(y) + 1))
+
+
 def test_stretches_equal_brute_force():
     for _ in range(200):
         parts = []
