@@ -3,19 +3,23 @@
 Lines that hold a word of license language are candidates, each alone and,
 where several follow each other, as one block.  A block is compressed plainly
 and with each template as a raw zstandard dictionary; the more its size falls,
-the closer the template.  The templates with the largest falls are confirmed
-by the exact difference in wording: the words of the template that the block
-lacks and the words that it adds.
+the closer the template.  Templates are confirmed, the largest fall first, by
+the exact difference in wording: the words of the template that the block lacks
+and the words that it adds, over the whole block or else over the stretch that
+shares most words with the template, apart from other licenses beside it.  The
+fall only ranks: a short notice in a long block may not show in it.
 
 Null and empty texts have no candidates.  Equal falls are ranked by the
 template's name.  Very long lines are scanned around their license words in
-overlapping stretches, so that nothing is skipped.  Rows that repeat a doc_id
+overlapping stretches, and long runs of lines in overlapping blocks, so that
+nothing is skipped.  Rows that repeat a doc_id
 are scanned each on its own.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -70,14 +74,16 @@ TEMPLATES = {
     ),
 }
 HINT = r"(?i)licen[cs]|copyright|rights reserved|redistribut|public domain|creative commons|\bcc[ -]by|warrant(?:y|ies)|permission (?:is|to|notice)"
-BEST = 3
 #: Least share of a template's words found, and of the found stretch's words that are the template's.
 FOUND, PURE = 0.85, 0.75
 LEVEL = 3
 #: Lines around candidate lines that may belong to the same license.
 AROUND = 3
-#: Longer lines are cut into stretches of this many characters that overlap by half.
+#: Longer lines are scanned in stretches that reach at least half as many characters beyond each license word.
 STRETCH = 4000
+#: Longer runs of lines are cut into blocks of this many characters that overlap by OVERLAP, more than a template with its line breaks.
+LONGEST = 4 * STRETCH
+OVERLAP = STRETCH // 2
 _WORD = re.compile(r"[\w.+-]*\w")
 _hint = re.compile(HINT)
 
@@ -108,7 +114,7 @@ class Scanner:
             elif hits:
                 step = STRETCH // 2
                 for k in sorted({h // step for h in hits}):
-                    yield at + max(0, k - 1) * step, min(end, at + (k + 1) * step)
+                    yield at + max(0, k - 1) * step, min(end, at + (k + 2) * step)
             lines.append((at, end))
             at = end + 1
         for i in hinted:
@@ -119,8 +125,10 @@ class Scanner:
                 if k + 1 < len(hinted) and hinted[k + 1] - hinted[k] <= apart:
                     continue
                 i, j = max(0, hinted[first] - around), min(len(lines) - 1, hinted[k] + around)
-                if j > i and lines[j][1] - lines[i][0] <= 4 * STRETCH:
-                    yield lines[i][0], lines[j][1]
+                if j > i:
+                    start, end = lines[i][0], lines[j][1]
+                    for cut in range(start, max(start + 1, end - OVERLAP), LONGEST - OVERLAP):
+                        yield cut, min(end, cut + LONGEST)
                 first = k + 1
 
     def rank(self, block: str) -> list[tuple[str, int, int]]:
@@ -128,11 +136,13 @@ class Scanner:
         raw = block.encode("utf-8")
         plain = len(self.plain.compress(raw))
         sizes = [(k, plain, len(c.compress(raw))) for k, c in self.given.items()]
-        return sorted(sizes, key=lambda s: (s[2], s[0]))[:BEST]
+        return sorted(sizes, key=lambda s: (s[2], s[0]))
 
     def confirm(self, block: list[str], name: str):
         """Share of the template's words found in order, those missing and those added; None if too few."""
         want = self.words[name]
+        if (Counter(want) & Counter(block)).total() < FOUND * len(want):
+            return None
         parts = [m for m in SequenceMatcher(None, want, block, autojunk=False).get_matching_blocks() if m.size]
         while parts:
             found = sum(m.size for m in parts)
@@ -150,6 +160,20 @@ class Scanner:
         added = [block[i] for i in range(first, last) if i not in used]
         return found / len(want), missing, added
 
+    def nearest(self, block: list[str], name: str) -> list[str]:
+        """The stretch of a block, as long as a confirmed one may be, that shares most words with the template."""
+        want = Counter(self.words[name])
+        size, shared, best, at = int(want.total() / PURE) + 1, 0, -1, 0
+        for i, w in enumerate(block):
+            want[w] -= 1
+            shared += want[w] >= 0
+            if i >= size:
+                want[block[i - size]] += 1
+                shared -= want[block[i - size]] > 0
+            if shared > best:
+                best, at = shared, i + 1
+        return block[max(0, at - size) : at]
+
     def scan(self, text: str):
         """(license, start, end, plain size, given size, share, missing, added) of confirmed blocks."""
         seen: dict[str, list[tuple[int, int]]] = {}
@@ -159,7 +183,7 @@ class Scanner:
             for name, plain, given in self.rank(block):
                 if any(start <= a and b <= end for a, b in seen.get(name, [])):
                     continue  # a smaller block holds it
-                if given < plain and (ok := self.confirm(own, name)):
+                if ok := self.confirm(own, name) or self.confirm(self.nearest(own, name), name):
                     seen.setdefault(name, []).append((start, end))
                     yield name, start, end, plain, given, round(ok[0], 6), " ".join(ok[1]), " ".join(ok[2])
 

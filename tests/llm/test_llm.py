@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -340,6 +341,21 @@ def test_each_license_is_found(name):
     assert name in [m[0] for m in license_scan.Scanner(license_scan.TEMPLATES).scan(text)]
 
 
+def test_licenses_in_long_texts_are_found():
+    scanner, known = license_scan.Scanner(license_scan.TEMPLATES), license_scan.TEMPLATES
+    wrapped = lambda name: "\n".join(textwrap.wrap(known[name], 100))
+    names = ["apache-2.0-header", "bsd-conditions", "gpl-header", "isc", "mit-permission", "mpl-2.0-header", "unlicense"]
+    # Four in one block; a run of license lines of over 16,000 characters; any place in one long line.
+    four = scanner.scan("\n".join(wrapped(n) for n in names[:5]))
+    assert set(names[:5]) <= {m[0] for m in four}
+    line = "Copyright holder " + prose(20, 9)
+    run = "\n".join([*[line] * 150, wrapped("apache-2.0-header"), *[line] * 150, wrapped("mit-permission"), *[line] * 150])
+    assert {"apache-2.0-header", "mit-permission"} <= {m[0] for m in scanner.scan(run)}
+    for at in range(1000, 3100, 150):
+        text = prose(2000, 3)[:at] + " " + known["unlicense"] + " " + prose(2000, 4)
+        assert "unlicense" in [m[0] for m in scanner.scan(text)], at
+
+
 def test_license_differences_are_exact():
     scanner = license_scan.Scanner(license_scan.TEMPLATES)
     assert not list(scanner.scan("He lost his driving license in the rain.\nNo copyright here."))
