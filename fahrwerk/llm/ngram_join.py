@@ -1,42 +1,44 @@
 """N-gram Jaccard self-join by PartEnum signatures.
 
-A document is the set of its distinct 5-word shingles (64-bit hashes).
-Sets with Jaccard similarity of at least t differ in at most
-``(1 - t) / (1 + t) * (|r| + |s|)`` elements.  Sizes are cut into bands; in
-the band of the larger set the difference is at most ``k``.  The hash domain
-is cut into ``n1`` partitions of ``n2`` parts each.  By pigeonhole some
-partition holds at most ``k2 = k // n1`` differences, so that some choice of
-``n2 - k2`` of its parts is the same in both sets: each such choice is one
-signature, and similar sets share one.
-
-Choices without elements would be shared by all, so a set emits them only
-if it is *weak*: if it has no more than ``k // (k2 + 1)`` partitions all of
-whose choices hold elements.  If one set of a similar pair is not weak, some
-shared choice holds elements; if both are, both emit all.  No pair is lost.
-
-Sets that differ in d elements differ in at most d partitions, so a similar
-pair shares all but so many of the partitions that its larger set holds.
-Small groups of equal signatures give all their pairs, and pairs that share
-too few groups are dropped.  Large groups become pairs in two rounds.  First
-each group's smallest set is compared with the others, which joins near
-copies without listing all their pairs; then groups that still hold several
-components are compared in blocks, inside tasks.  Before the exact comparison of full sets,
-a count sketch, as fine as the set is large, gives an exact lower bound of
-the difference.
-
-Null or empty texts have no shingles and link with nothing; equal texts are
-one set (a copy costs a row, not a comparison); rows that repeat a doc_id
-are kept and share its component; columns beyond doc_id and text are not
-read.  An empty table gives an empty result.
+A document is the set of its distinct 5-word shingles (64-bit hashes).  Sets
+r and s with Jaccard similarity of at least t differ in at most
+``d = (1 - t) / (1 + t) * (|r| + |s|)`` elements.  Sizes are cut into bands of
+ratio 1 / t; in the band of the larger set the difference is at most ``k``.
+The hash domain is cut into ``n1 > k / 2`` partitions of three parts.  By
+pigeonhole some partition holds at most one difference, so that one of its
+three choices of two parts is the same in both sets: each such choice is one
+signature, and similar sets share one.  A set takes part in its own band and,
+as the smaller one, in the next.
+
+A partition is *full* in a set if two of its parts hold elements.  Of F full
+partitions, one with no difference shares three signatures that hold
+elements, one with a single difference shares one.  So similar sets share at
+least ``max(2 F - d, 3 F - 2 d)`` of them; a pair that shares fewer is
+dropped.  Choices without elements would be shared by all: a set emits them
+only if it is *weak* (F <= k / 2); if one of a similar pair is not weak, they
+share a choice with elements, and if both are, both emit all.
+
+Groups of equal signatures with at most SMALL sets give all their pairs, with
+how often they meet.  Larger groups never give pairs.  There a set keeps only
+its smallest groups, all but so many as it must share with any similar set
+less one (a prefix filter, which loses no pair), and members are compared in
+blocks inside tasks, which give a spanning forest of the links: first in
+three groups of each set, then in the groups that still hold several
+components.  Every link is confirmed on the full sets.
+
+Null or empty texts have no shingles and link with nothing, as rows without
+doc_id do, whose component_id is null.  Equal texts are one set (a copy costs
+a row, not a comparison).  Ties go to the smallest doc_id; rows that repeat a
+doc_id are kept and share its component; very long texts have larger sets,
+nothing else; columns beyond doc_id and text are not read.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -44,322 +46,377 @@ from .common import connected_components, materialize, release
 
 SHINGLE = 5
 PERCENT = 75
-LEAST_CELLS = 64
+#: Partitions of the domain, as a multiple of the least number that the pigeonhole needs.
+SPARE = 1.2
+#: Choices of two of the three parts of a partition.
+CHOICES = ((0, 1), (0, 2), (1, 2))
 #: Groups of up to so many sets give all their pairs.
-SMALL = 16
-BLOCK = 512
-#: A bucket's signatures are grouped in so many ranges (as bits), one after the other.
-RANGE_BITS = 3
+SMALL = 32
+#: Sets and elements of a block of a larger group.
+BLOCK, BLOCK_ELEMENTS = 1024, 1_000_000
+#: Shingles that are compared at once.
+COLUMNS = 4096
 CHUNK = 256
-#: Roles in comparisons (24 bytes each) are broadcast up to this number of rows; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
-#: Partitions of the domain for each unit of the band's largest size, and parts in each.
-PARTITIONS_PER_SIZE = 0.36
-PARTS = 1
+#: Names of sets (24 bytes each) are broadcast up to this number of rows; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
 DOCS_PER_BUCKET = 10_000
+#: Sets whose signatures a task has sent, as far as it remembers; a forgotten one is sent again.
+SENT = 500_000
+#: A bucket's signatures are grouped in so many ranges (as bits), one after the other.
+RANGE_BITS = 3
+_U = np.uint64
 
 
-def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of all texts, and where each text's begin (one more at the end)."""
     starts, ends, first = tv.bounds(buf, off)
     words = tv.word_hashes(buf, starts, ends)
     runs = tv.grams(words, k)
-    out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= k:
-            out.append(np.unique(runs[a : b - k + 1]))
-        elif b > a:
-            out.append(tv.mix(tv.grams(words[a:b], b - a) + np.uint64(b - a)))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+    size, parts = np.zeros(len(first) - 1, np.int64), []
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        if b > a:
+            parts.append(np.sort(runs[a : b - k + 1]) if b - a >= k else tv.mix(tv.grams(words[a:b], b - a) + _U(b - a)))
+            size[i] = len(parts[-1])
+    if not parts:
+        return np.zeros(0, _U), np.zeros(len(first), np.int64)
+    h, doc = np.concatenate(parts), np.repeat(np.arange(len(size)), size)
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(size)))])
+
+
+def set_ids(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A 64-bit name (signed, even) of each set, equal for equal sets; 0 for the empty one."""
+    size, out = np.diff(off), np.zeros(len(off) - 1, _U)
+    some = np.flatnonzero(size)
+    if len(some):
+        sums = np.add.reduceat(tv.mix(h ^ _U(0x5851F42D4C957F2D)), off[:-1][some])
+        out[some] = tv.mix(sums + size[some].astype(_U)) << _U(1)
+    return out.view(np.int64)
+
+
+def band_tops(limit: int, percent: int = PERCENT) -> np.ndarray:
+    """Largest sizes of the bands: each band reaches up to its smallest size / t."""
+    tops, low = [], 1
+    while not tops or tops[-1] < limit:
+        tops.append(max(low, low * 100 // percent))
+        low = tops[-1] + 1
+    return np.array(tops, np.int64)
 
 
-def set_id(s: np.ndarray) -> int:
-    """A 64-bit name of the set (signed), equal for equal sets."""
-    h = tv.mix(np.array([np.add.reduce(tv.mix(s ^ np.uint64(0x5851F42D4C957F2D))) + np.uint64(len(s))]))
-    return int(h.view(np.int64)[0])
+def most_apart(total, percent: int = PERCENT):
+    """Elements in which similar sets of this size together differ at most."""
+    return (100 - percent) * total // (100 + percent)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Counts of elements by their low bits, in about a third as many cells as there are elements."""
-    cells = LEAST_CELLS
-    while 3 * cells < len(s):
-        cells *= 2
-    return np.minimum(np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8)
+def signatures(h: np.ndarray, off: np.ndarray, band: np.ndarray, percent: int = PERCENT):
+    """(set, signature) of all signatures of sets in the given bands, and each set's number of full partitions.
 
+    Sets of bands where only equal sets are similar have no signatures.
+    """
+    size = np.diff(off)
+    k = most_apart(2 * band_tops(1 << 40, percent)[band], percent)
+    n1 = np.where(k > 0, np.maximum(1, np.ceil(SPARE * (k + 1) / 2).astype(np.int64)), 0)
+    doc = np.repeat(np.arange(len(size)), size)
+    if not (k > 0).all():
+        keep = (k > 0)[doc]
+        h, doc = h[keep], doc[keep]
+    base = np.concatenate([[0], np.cumsum(3 * n1)])
+    cell = ((h >> _U(32)) * (3 * n1).astype(_U)[doc] >> _U(32)).astype(np.int64) + base[doc]
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    sums, held = np.zeros(base[-1], _U), np.zeros(base[-1], bool)
+    if len(first):
+        sums[cell[first]] = np.add.reduceat(tv.mix(h), first)
+        held[cell[first]] = True
+    sums, held = sums.reshape(-1, 3), held.reshape(-1, 3)
+    of = np.repeat(np.arange(len(size)), n1)
+    full = np.bincount(of[held.sum(axis=1) > 1], minlength=len(size))
+    weak = (full <= k // 2)[of]
+    partition = (np.arange(len(of)) - base[:-1][of] // 3).astype(_U)
+    found = []
+    for c, (x, y) in enumerate(CHOICES):
+        some = held[:, x] | held[:, y]
+        value = np.where(some, sums[:, x] + sums[:, y], partition + _U(0x9E3779B97F4A7C15))
+        ok = some | weak
+        found.append((of[ok], tv.mix(value[ok] ^ tv.mix((band[of[ok]].astype(_U) << _U(8)) + _U(c + 1)))))
+    return *(np.concatenate(x) for x in zip(*found, strict=True)), full
 
-def folded(x: np.ndarray, cells: int) -> np.ndarray:
-    """A sketch in fewer cells."""
-    x = x.astype(np.int16)
-    while len(x) > cells:
-        x = x[: len(x) // 2] + x[len(x) // 2 :]
-    return x
 
+class Bands:
+    """Signatures of sets in their own band and in the next."""
 
-def band_tops(limit: int, percent: int = PERCENT) -> list[int]:
-    """Largest sizes of the bands: each band reaches up to its smallest size / t."""
-    tops, low = [], 1
-    while not tops or tops[-1] < limit:
-        tops.append(max(low, low * 100 // percent))
-        low = tops[-1] + 1
-    return tops
+    def __init__(self, percent: int):
+        self.percent, self.tops = percent, band_tops(1 << 40, percent)
 
+    def sides(self, h: np.ndarray, off: np.ndarray):
+        """Yields (1 if as the smaller set in the next band, sets, (set, signature) of theirs, full partitions)."""
+        size = np.diff(off)
+        own = np.searchsorted(self.tops, size)
+        for step in (0, 1):
+            which = np.flatnonzero((size > 0) & ((step == 0) | (100 * size >= self.percent * (self.tops[own] + 1))))
+            if len(which):
+                part = h if len(which) == len(size) else h[np.isin(np.repeat(np.arange(len(size)), size), which)]
+                row, sig, full = signatures(part, np.concatenate([[0], np.cumsum(size[which])]), own[which] + step, self.percent)
+                yield step, which, which[row], sig, full
 
-_TOPS = band_tops(1 << 40)
 
+#: Rows that tasks send: kind 0 a document, 1 a set in a band, 2 its signatures in a bucket.
+_SENT = "bucket int, kind int, id long, node long, n long, full long, lost long, sigs binary"
+_SENT_NAMES = [c.split()[0] for c in _SENT.split(", ")]
 
-def bands_of(n: int, percent: int = PERCENT) -> list[int]:
-    """The bands in which a set of this size may be the smaller or larger one."""
-    j = int(np.searchsorted(_TOPS, n))
-    return [j, j + 1] if 100 * n >= percent * (_TOPS[j] + 1) else [j]
 
+def _sent(bucket, kind, ident, node, n, full, lost, sigs) -> pa.RecordBatch:
+    size = len(node)
+    wide = lambda x: pa.array(np.broadcast_to(np.asarray(x, np.int64), size).copy(), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket, pa.int32()), pa.array(np.full(size, kind), pa.int32()), ident if isinstance(ident, pa.Array) else wide(ident), wide(node), wide(n), wide(full), wide(lost), pa.array(sigs, pa.binary()) if sigs is not None else pa.nulls(size, pa.binary())],
+        _SENT_NAMES,
+    )
 
-def scheme(top: int, percent: int = PERCENT, parts: int = PARTS) -> tuple[int, int, int, int]:
-    """(k, n1, n2, k2) of a band with this largest size."""
-    k = (100 - percent) * 2 * top // (100 + percent)
-    n1 = max(1, -(-(k + 1) // parts), round(PARTITIONS_PER_SIZE * top / parts))
-    k2 = k // n1
-    return k, n1, max(parts, k2 + 1), k2
 
+def _emit(buckets: int, percent: int):
+    """Describes each document, and sends the signatures of every set that the task has not sent before, dealt into buckets."""
 
-def signatures(s: np.ndarray, percent: int = PERCENT, parts: int = PARTS) -> np.ndarray:
-    """All PartEnum signatures of a sorted set, for each band it takes part in."""
-    found = []
-    for band in bands_of(len(s), percent):
-        k, n1, n2, k2 = scheme(_TOPS[band], percent, parts)
-        cell = ((s >> np.uint64(32)) * np.uint64(n1 * n2) >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero(np.diff(cell, prepend=-1))
-        sums = np.zeros(n1 * n2, np.uint64)
-        sums[cell[first]] = np.add.reduceat(tv.mix(s), first)
-        held = np.zeros(n1 * n2, bool)
-        held[cell[first]] = True
-        sums, held = sums.reshape(n1, n2), held.reshape(n1, n2)
-        base = np.arange(n1, dtype=np.uint64) << np.uint64(8)
-        sigs, some = [], []
-        for c, choice in enumerate(combinations(range(n2), n2 - k2)):
-            salt = base + np.uint64((band << 48) + c)
-            sigs.append(tv.mix(np.add.reduce(sums[:, choice], axis=1) ^ tv.mix(salt)))
-            some.append(held[:, choice].any(axis=1))
-        some = np.array(some)
-        weak = int(some.all(axis=0).sum()) <= k // (k2 + 1)
-        sigs = np.array(sigs)
-        found.append(sigs.ravel() if weak else sigs[some])
-    return np.concatenate(found)
-
-
-def held_cells(s: np.ndarray, percent: int = PERCENT, parts: int = PARTS) -> int:
-    """Partitions of the set's own band that hold elements, if a choice is a whole partition; else 0."""
-    _, n1, n2, k2 = scheme(_TOPS[bands_of(len(s), percent)[0]], percent, parts)
-    return len(np.unique((s >> np.uint64(32)) * np.uint64(n1) >> np.uint64(32))) if n2 == 1 and not k2 else 0
-
-
-def _describe(batches):
-    for ids, texts in tv.rows(batches, ["doc_id", "text"]):
-        for i, buf, off in tv.slices(texts):
-            sets = shingle_sets(buf, off)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.slice(i, len(sets)),
-                    pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([bands_of(len(s))[0] if len(s) else None for s in sets], pa.int32()),
-                    pa.array([held_cells(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
-                ],
-                ["doc_id", "cid", "n", "band", "held", "sketch"],
-            )
-
-
-def _emit(buckets: int):
     def run(batches):
-        for _ids, texts in tv.rows(batches, ["doc_id", "text"]):
-            for _, buf, off in tv.slices(texts):
-                bucket, cid, n, load = [], [], [], []
-                for s in shingle_sets(buf, off):
-                    if not len(s):
-                        continue
-                    sig = signatures(s)
-                    b = (sig % np.uint64(buckets)).astype(np.int64)
-                    order = np.argsort(b, kind="stable")
-                    b, low = b[order], (sig[order] >> np.uint64(32)).astype(np.uint32)
-                    first = np.flatnonzero(np.diff(b, prepend=-1)).tolist()
-                    name = set_id(s)
-                    bucket += b[first].tolist()
-                    cid += [name] * len(first)
-                    n += [len(s)] * len(first)
-                    load += [low[x:y].tobytes() for x, y in zip(first, [*first[1:], len(low)], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket, pa.int32()), pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(load, pa.binary())],
-                    ["bucket", "cid", "n", "sigs"],
-                )
+        bands, sent = Bands(percent), set()
+        width = max(1, (buckets - 1).bit_length())
+        for ids, texts in tv.rows(batches, ["doc_id", "text"]):
+            for i, buf, off in tv.slices(texts):
+                h, at = shingle_sets(buf, off)
+                names, size = set_ids(h, at), np.diff(at)
+                own = ids.slice(i, len(names))
+                spread = tv.mix(own.cast(pa.int64()).fill_null(0).to_numpy().view(_U)) % _U(buckets)
+                yield _sent(spread.astype(np.int32), 0, own, names, size, 0, 0, None)
+                new = []
+                for k in np.flatnonzero((size > 0) & own.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    if int(names[k]) not in sent:
+                        if len(sent) >= SENT:
+                            sent.clear()
+                        sent.add(int(names[k]))
+                        new.append(k)
+                step = 1 << (31 - width)
+                for j in range(0, len(new), step):
+                    part = np.array(new[j : j + step])
+                    inside = np.zeros(len(size), bool)
+                    inside[part] = True
+                    ph = h[np.repeat(inside, size)]
+                    yield from _signed(bands, ph, np.concatenate([[0], np.cumsum(size[part])]), names[part], buckets, width)
 
     return run
 
 
-def _shared(percent: int):
-    """Groups of equal signatures in a bucket.
+def _signed(bands: Bands, h, off, names, buckets: int, width: int):
+    size = np.diff(off)
+    for step, which, row, sig, full in bands.sides(h, off):
+        node = names | step
+        # Sorted by set, bucket and the signature's other bits; signatures of one set that fall together are counted.
+        key = (row.astype(_U) << _U(32 + width)) | ((sig & _U(0xFFFFFFFF)) * _U(buckets) >> _U(32) << _U(32)) | (sig >> _U(32))
+        key = np.sort(key)
+        key = key[np.diff(key, prepend=key[:1] ^ _U(1)) != 0]
+        lost = np.bincount(row, minlength=len(size)) - np.bincount((key >> _U(32 + width)).astype(np.int64), minlength=len(size))
+        yield _sent((tv.mix(node[which].view(_U)) % _U(buckets)).astype(np.int32), 1, 0, node[which], size[which], full, lost[which], None)
+        if not len(key):
+            continue
+        place = key >> _U(32)
+        first = np.flatnonzero(np.diff(place, prepend=place[:1] ^ _U(1)) != 0)
+        low = (key & _U(0xFFFFFFFF)).astype(np.uint32).tobytes()
+        ends = np.append(first[1:], len(key))
+        of = (place[first] >> _U(width)).astype(np.int64)
+        sigs = [low[4 * a : 4 * b] for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+        yield _sent((place[first] & _U((1 << width) - 1)).astype(np.int32), 2, 0, node[of], size[of], 0, 0, sigs)
 
-    All pairs of small groups with how many groups they share (kind 0); of
-    larger ones the pairs with their smallest set (2) and the members (1).
-    """
+
+#: What buckets give: 0 documents (doc_id, set, size), 1 sets in a band, 2 pairs (a, b, times), 3 members of large groups (node, group, size).
+_SHARED = "kind int, a long, b long, x long, y long, z long"
+
+
+def _shared_rows(kind: int, *columns) -> pa.RecordBatch:
+    size = len(columns[0])
+    columns = [*columns, *[np.zeros(size, np.int64)] * (5 - len(columns))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind), pa.int32()), *(c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns)], ["kind", "a", "b", "x", "y", "z"])
+
+
+def _shared(percent: int):
+    """Groups of equal signatures in a bucket; documents and sets pass through."""
 
     def run(batches):
-        parts = list(batches)
-        if not parts or not sum(p.num_rows for p in parts):
+        parts = []
+        for batch in batches:
+            kind = batch.column(1).to_numpy()
+            for k in (0, 1):
+                b = batch.filter(pa.array(kind == k))
+                if b.num_rows and k == 0:
+                    yield _shared_rows(0, b.column(2), b.column(3), b.column(4))
+                elif b.num_rows:
+                    yield _shared_rows(1, b.column(3), b.column(4), b.column(5), b.column(6))
+            parts.append(batch.filter(pa.array(kind == 2)).select(["bucket", "node", "n", "sigs"]))
+        if not sum(p.num_rows for p in parts):
             return
         t = pa.Table.from_batches(parts)
-        cid = t["cid"].to_numpy()
-        bucket = t["bucket"].to_numpy().astype(np.uint64)
+        node, bucket = t["node"].to_numpy(), t["bucket"].to_numpy().astype(_U)
         for b in np.unique(bucket).tolist():
             rows = np.flatnonzero(bucket == b)
-            rows = rows[np.unique(cid[rows], return_index=True)[1]]
+            rows = rows[np.unique(node[rows], return_index=True)[1]]
             loads = t["sigs"].take(pa.array(rows)).combine_chunks()
             loads = loads.chunk(0) if isinstance(loads, pa.ChunkedArray) else loads
             off = np.frombuffer(loads.buffers()[1], np.int32)[loads.offset : loads.offset + len(loads) + 1]
             every = np.frombuffer(loads.buffers()[2], np.uint32)[off[0] // 4 : off[-1] // 4]
             of = np.repeat(np.arange(len(rows), dtype=np.uint32), np.diff(off) // 4)
-            names, ns = cid[rows], t["n"].to_numpy()[rows]  # rows are in the order of their names
+            names, ns = node[rows], t["n"].to_numpy()[rows]  # rows are in the order of their names
             # A range of signatures at a time, for the memory of a task.
             for part in range(1 << RANGE_BITS):
                 own = every >> np.uint32(32 - RANGE_BITS) == part
-                yield from _groups(every[own], of[own], names, ns, percent)
+                yield from _groups(b, every[own], of[own], names, ns, percent)
 
     return run
 
 
-def _groups(sig: np.ndarray, row: np.ndarray, names: np.ndarray, ns: np.ndarray, percent: int):
+def _groups(bucket: int, sig: np.ndarray, row: np.ndarray, names: np.ndarray, ns: np.ndarray, percent: int):
     """What groups of equal signatures give, where row i has the name names[i] and ns[i] elements."""
-    key = np.unique((sig.astype(np.uint64) << np.uint64(32)) | row)
-    sig, row = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.diff(sig, prepend=sig[:1] ^ np.uint64(1)) != 0)
+    key = np.sort((sig.astype(_U) << _U(32)) | row)
+    sig, row = key >> _U(32), (key & _U(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.diff(sig, prepend=sig[:1] ^ _U(1)) != 0)
     size = np.diff(np.append(first, len(sig)))
-    row = row[np.repeat(size > 1, size)]
-    size = size[size > 1]
-    if not len(size):
+    # Only groups of several sets, one of which at least is in its own band.
+    used = (size > 1) & (np.minimum.reduceat(names[row] & 1, first) == 0) if len(first) else size > 1
+    first, size = first[used], size[used]
+    if not len(first):
         return
-    first = np.cumsum(size) - size
     big = size > SMALL
-    pairs = [np.zeros(0, np.uint64)]
+    pairs = [np.zeros(0, _U)]
     for k in np.unique(size[~big]).tolist():
-        m = row[first[size == k][:, None] + np.arange(k)].astype(np.uint64)
+        m = row[first[size == k][:, None] + np.arange(k)]
         i, j = np.triu_indices(k, 1)
-        pairs.append((m[:, i] << np.uint64(32) | m[:, j]).ravel())
+        a, b = m[:, i].ravel(), m[:, j].ravel()
+        ok = (100 * np.minimum(ns[a], ns[b]) >= percent * np.maximum(ns[a], ns[b])) & ((names[a] & names[b] & 1) == 0) & (names[a] | 1 != names[b] | 1)
+        pairs.append(a[ok].astype(_U) << _U(32) | b[ok].astype(_U))
     pairs, times = np.unique(np.concatenate(pairs), return_counts=True)
-    yield _pairs(0, names, ns, pairs, times, percent)
-    if not big.any():
-        return
-    member, size = row[np.repeat(big, size)], size[big]
-    first = np.cumsum(size) - size
-    centre = np.repeat(member[first], size)
-    pairs = np.unique((centre.astype(np.uint64) << np.uint64(32) | member.astype(np.uint64))[centre != member])
-    yield _pairs(2, names, ns, pairs, np.zeros(len(pairs), np.int64), percent)
-    gid = tv.mix(np.add.reduceat(tv.mix(names[member].view(np.uint64)), first)).view(np.int64)
-    once = np.zeros(len(gid), bool)
-    once[np.unique(gid, return_index=True)[1]] = True
-    members = names[member[np.repeat(once, size)]]
-    yield _links(1, np.repeat(gid[once], size[once]), members, np.zeros(len(members), np.int64))
+    yield _shared_rows(2, names[(pairs >> _U(32)).astype(np.int64)], names[(pairs & _U(0xFFFFFFFF)).astype(np.int64)], times)
+    if big.any():
+        gid = tv.mix(sig[first[big]] << _U(24) ^ _U(bucket)).view(np.int64)
+        at = np.repeat(first[big] - (np.cumsum(size[big]) - size[big]), size[big]) + np.arange(int(size[big].sum()))
+        yield _shared_rows(3, names[row[at]], np.repeat(gid, size[big]), np.repeat(size[big], size[big]))
 
 
-def _links(kind: int, a: np.ndarray, b: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(times, pa.int64())], ["kind", "a", "b", "times"])
-
-
-def _pairs(kind: int, names, ns, pairs, times, percent: int) -> pa.RecordBatch:
-    """Pairs of rows, packed in one number each, whose sizes don't rule them out."""
-    a, b = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    ok = 100 * np.minimum(ns[a], ns[b]) >= percent * np.maximum(ns[a], ns[b])
-    return _links(kind, names[a[ok]], names[b[ok]], times[ok])
-
-
-def _near(n1, s1, n2, s2, percent: int):
-    """False where sizes or sketches (of equally many cells) prove that two sets are less similar than the threshold."""
-    low = np.abs(s1 - s2).sum(axis=-1, dtype=np.int64)
-    total = n1 + n2
-    return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & ((100 + percent) * low <= (100 - percent) * total)
+def _sets(batches):
+    """The set of each document that stands for one."""
+    for cid, texts in tv.rows(batches, ["cid", "text"]):
+        for i, buf, off in tv.slices(texts):
+            h, at = shingle_sets(buf, off)
+            want = cid.slice(i, len(off) - 1)
+            ok = set_ids(h, at) == want.to_numpy()  # another row with the same doc_id may have another text
+            keep = np.flatnonzero(ok)
+            raw = h.tobytes()
+            yield pa.RecordBatch.from_arrays([want.filter(pa.array(ok)), pa.array(np.diff(at)[keep], pa.int64()), pa.array([raw[8 * at[k] : 8 * at[k + 1]] for k in keep.tolist()], pa.binary())], ["cid", "n", "s"])
 
 
-def _sketch_filter(percent: int):
+def _confirm(percent: int):
     def run(batches):
-        for a, b, n1, s1, n2, s2 in tv.rows(batches, ["a", "b", "n1", "s1", "n2", "s2"]):
-            ok, low = [], []
-            for p, x, q, y in zip(n1.to_pylist(), s1, n2.to_pylist(), s2, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
-                cells = min(len(x), len(y))
-                x, y = folded(x, cells), folded(y, cells)
-                ok.append(bool(_near(p, x, q, y, percent)))
-                low.append(float(np.abs(x - y).sum(dtype=np.int64)) / (p + q))
+        for a, b, x, y in tv.rows(batches, ["a", "b", "sa", "sb"]):
+            ok = []
+            for p, q in zip(x, y, strict=True):
+                p, q = np.frombuffer(p.as_buffer(), _U), np.frombuffer(q.as_buffer(), _U)
+                both = np.sort(np.concatenate([p, q]), kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                ok.append(100 * common >= percent * (len(both) - common))
             ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok), pa.array(low, pa.float64()).filter(ok)], ["a", "b", "low"])
+            yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], ["a", "b"])
 
     return run
 
 
-def _blocks(percent: int):
-    """Pairs of different components in a block pair of a group that the sketches can't rule out."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of set names (a, b) that are similar in full; a set with very many partners is spread over tasks."""
+    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("salt"))
+    left = chunks.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").select("a", "sa", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"))
+    both = dealt.join(left, ["a", "salt"]).join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
+    return materialize(both.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"))
+
+
+def common_counts(values: np.ndarray, row: np.ndarray, rows: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Common values of each row of ``left`` with each of ``right``; (value, row) pairs are distinct."""
+    order = np.argsort(values, kind="stable")
+    values, row = values[order], row[order]
+    column = np.cumsum(np.diff(values, prepend=values[:1]) != 0)
+    of = np.bincount(column)
+    shared = of[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    out = np.zeros((len(left), len(right)), np.float32)
+    total = int(column[-1]) + 1 if len(column) else 0
+    for c in range(0, total, COLUMNS):
+        s = slice(*np.searchsorted(column, [c, c + COLUMNS]))
+        part = np.zeros((rows, min(COLUMNS, total - c)), np.float32)
+        part[row[s], column[s] - c] = 1
+        out += part[left] @ part[right].T
+    return out
+
+
+def _forests(percent: int, bits: int):
+    """A spanning forest of the links between different components in each pair of blocks."""
 
     def run(batches):
         for i, j, members in tv.rows(batches, ["i", "j", "members"]):
-            left, right = [], []
+            a, b = [], []
             for x, y, m in zip(i.to_pylist(), j.to_pylist(), members, strict=True):
                 flat = m.values
-                blk, cid, comp, n = (flat.field(f).to_numpy() for f in ("block", "cid", "comp", "n"))
-                sk = [np.frombuffer(v, np.uint8) for v in flat.field("sketch").to_pylist()]
-                sk = np.stack([folded(v, min(map(len, sk))) for v in sk])
-                p, q = np.flatnonzero(blk == x), np.flatnonzero(blk == y)
-                for r in p.tolist():
-                    others = q[q > r] if x == y else q
-                    others = others[comp[others] != comp[r]]
-                    if len(others):
-                        hit = others[_near(n[r], sk[r], n[others], sk[others], percent)]
-                        left += np.minimum(cid[hit], cid[r]).tolist()
-                        right += np.maximum(cid[hit], cid[r]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+                block, cid, comp, n = (flat.field(f).to_numpy() for f in ("block", "cid", "comp", "n"))
+                order = np.argsort(cid)
+                values = [np.frombuffer(v.as_buffer(), _U if bits == 64 else np.uint32) for v in flat.field("s")]
+                values = [values[k] for k in order.tolist()]
+                block, cid, comp, n = block[order], cid[order], comp[order], n[order]
+                left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+                row = np.repeat(np.arange(len(n)), [len(v) for v in values])
+                # Elements of one set that fall together in so few bits may each be common ones.
+                lost = n - np.array([len(v) for v in values])
+                common = common_counts(np.concatenate(values), row, len(n), left, right).astype(np.int64)
+                common += np.minimum(lost[left][:, None], lost[right][None, :])
+                link = 100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)
+                link &= comp[left][:, None] != comp[right][None, :]
+                near = np.zeros((len(n), len(n)), bool)
+                near[np.ix_(left, right)] |= link
+                near |= near.T
+                free = near.any(axis=1)
+                for root in np.flatnonzero(free).tolist():
+                    front = np.array([root]) if free[root] else np.zeros(0, np.int64)
+                    free[root] = False
+                    while len(front):
+                        to = np.flatnonzero(near[front].any(axis=0) & free)
+                        a += cid[front[near[np.ix_(front, to)].argmax(axis=0)]].tolist() if len(to) else []
+                        b += cid[to].tolist()
+                        free[to] = False
+                        front = to
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _verify(percent: int):
-    """Compares each member's full set with its group's centre, which comes first in its group."""
+def group_links(members: DataFrame, sets: DataFrame, percent: int, bits: int = 32) -> DataFrame:
+    """Links (a, b) of the groups that hold several components; ``members`` has gid, cid, comp.
 
-    def run(batches):
-        at, centre = None, None
-        for a, salt, cid, texts in tv.rows(batches, ["a", "salt", "cid", "text"]):
-            a, salt, cid = a.to_pylist(), salt.to_pylist(), cid.to_pylist()
-            left, right = [], []
-            for i, buf, off in tv.slices(texts):
-                for k, s in enumerate(shingle_sets(buf, off), i):
-                    if not len(s) or set_id(s) != cid[k]:
-                        continue  # another row with the same doc_id
-                    if cid[k] == a[k]:
-                        at, centre = (a[k], salt[k]), s
-                    elif at == (a[k], salt[k]):
-                        both = np.sort(np.concatenate([centre, s]), kind="stable")
-                        common = int((both[1:] == both[:-1]).sum())
-                        if 100 * common >= percent * (len(both) - common):
-                            left.append(a[k])
-                            right.append(cid[k])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+    Sets travel as numbers of ``bits`` bits, which may take too many elements
+    for common ones; the links are to be confirmed.
+    """
+    sized = members.join(sets.select("cid", "n"), "cid")
+    mixed = sized.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("total")).where("lo <> hi")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_ELEMENTS)).cast("int")
+    placed = sized.join(mixed.select("gid", blocks.alias("blocks")), "gid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("gid", "cid", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
-    return run
+    def narrow(batches):
+        for cid, n, s in tv.rows(batches, ["cid", "n", "s"]):
+            small = [(np.frombuffer(v.as_buffer(), _U) >> _U(32)).astype(np.uint32) for v in s]
+            yield pa.RecordBatch.from_arrays([cid, n, pa.array([np.unique(v).tobytes() for v in small], pa.binary())], ["cid", "n", "s"])
 
+    loads = sets if bits == 64 else sets.mapInArrow(narrow, "cid long, n long, s binary")
+    together = placed.join(loads, "cid").groupBy("gid", "i", "j").agg(F.collect_list(F.struct("block", "cid", "comp", "n", "s")).alias("members"))
+    return together.select("i", "j", "members").mapInArrow(_forests(percent, bits), "a long, b long").distinct()
 
-def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of set names that hold in full, by the texts of both.
 
-    Members travel to their centre in chunks of at most about CHUNK, so that
-    a centre with very many members is spread over tasks.
-    """
-    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    members = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("salt"), F.col("b").alias("cid"))
-    centres = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"), F.col("a").alias("cid"))
-    roles = materialize(members.union(centres).join(classes.select("cid", "doc_id"), "cid"))
-    near = F.broadcast(roles) if roles.count() <= BROADCAST_ROWS else roles
-    texts = documents.select("doc_id", "text").join(near, "doc_id")
-    dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("cid") != F.col("a"), "cid")
-    out = materialize(dealt.select("a", "salt", "cid", "text").mapInArrow(_verify(percent), "a long, b long").distinct())
-    release(roles)
-    return out
+def _least_shared(full: Column, apart: Column) -> Column:
+    """Signatures that similar sets share at least, from full partitions and the elements that differ."""
+    return F.greatest(F.lit(1), 2 * full - apart, 3 * full - 2 * apart)
 
 
 def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -368,68 +425,68 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFram
     Two documents link if 100 * |intersection| >= percent * |union| of their
     shingle sets; component_id is the smallest doc_id reachable by links.
     """
-    spark: SparkSession = documents.sparkSession
     docs = documents.select("doc_id", "text")
     buckets = max(24, docs.count() // DOCS_PER_BUCKET)
-
-    table = materialize(docs.mapInArrow(_describe, "doc_id long, cid long, n long, band int, held long, sketch binary"))
-    first = table.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    full = materialize(first.join(table, ["cid", "doc_id"]).dropDuplicates(["cid"]))
-
-    rows = docs.mapInArrow(_emit(buckets), "bucket int, cid long, n long, sigs binary")
-    groups = materialize(rows.repartition(buckets, "bucket").mapInArrow(_shared(percent), "kind int, a long, b long, times long"))
-
-    def sides(pairs: DataFrame) -> DataFrame:
-        s = full.select("cid", "n", "sketch")
-        return pairs.join(s.toDF("a", "n1", "s1"), "a").join(s.toDF("b", "n2", "s2"), "b")
-
-    # Similar sets differ in at most as many partitions as they differ in elements; the other held ones they share.
-    # A pair that shares too few is dissimilar, unless it shares larger groups too, whose pairs come by other ways.
-    sized = full.select("cid", "n", "band", "held")
-    shared = groups.where("kind = 0").groupBy("a", "b").agg(F.sum("times").alias("times"))
-    shared = shared.join(sized.toDF("a", "na", "ba", "ha"), "a").join(sized.toDF("b", "nb", "bb", "hb"), "b")
-    apart_most = F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent))
-    of_larger = F.when(F.col("ba") == F.col("bb"), F.greatest("ha", "hb")).otherwise(F.when(F.col("ba") > F.col("bb"), F.col("ha")).otherwise(F.col("hb")))
-    # Two signatures of a set may fall together in 32 bits: allow for it.
-    enough = shared.where(F.col("times") + 2 >= of_larger - apart_most).select("a", "b")
-    stars = enough.union(groups.where("kind = 2").select("a", "b")).distinct()
-    stars = materialize(sides(stars).mapInArrow(_sketch_filter(percent), "a long, b long, low double"))
-    # Each set with the centre that its sketch is closest to; then what still lies apart.
-    closest = stars.groupBy("b").agg(F.min_by("a", F.struct("low", "a")).alias("a")).select("a", "b")
-    closest = materialize(closest)
-    links1 = _verified(closest, docs, full, percent)
-    comps = materialize(connected_components(links1))
-
-    def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-        x = pairs.join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left")
-        return x.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-
-    rest = materialize(apart(stars.select("a", "b"), comps).join(closest, ["a", "b"], "left_anti"))
-    links2 = _verified(rest, docs, full, percent)
-    links = materialize(links1.union(links2))
-    release(comps)
-    comps = materialize(connected_components(links))
-
-    # Groups that hold more than one component after the first round.
-    members = groups.where("kind = 1").select(F.col("a").alias("gid"), F.col("b").alias("cid")).distinct()
-    members = members.join(comps.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    mixed = members.groupBy("gid").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    members = members.join(mixed.select("gid", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "gid").join(full.select("cid", "n", "sketch"), "cid")
-    members = members.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    blocks = members.groupBy("gid", "i", "j").agg(F.collect_list(F.struct("block", "cid", "comp", "n", "sketch")).alias("members"))
-    more = blocks.select("i", "j", "members").mapInArrow(_blocks(percent), "a long, b long").distinct()
-    more = materialize(more.join(rest.union(closest), ["a", "b"], "left_anti"))
-    links3 = _verified(more, docs, full, percent)
-    everything = materialize(connected_components(links.union(links3)))
+    rows = docs.mapInArrow(_emit(buckets, percent), _SENT)
+    shared = materialize(rows.repartition(buckets, "bucket").mapInArrow(_shared(percent), _SHARED))
+    table = shared.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cid"), F.col("x").alias("n"))
+    first = table.where("n > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
+
+    # Sets in their bands: what they must share at least with a similar set, and what they have in large groups.
+    large = shared.where("kind = 3").select(F.col("a").alias("node"), F.col("b").alias("gid"), F.col("x").alias("size"))
+    nodes = shared.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.first("b").alias("n"), F.first("x").alias("full"), F.first("y").alias("lost"))
+    nodes = materialize(nodes.join(large.groupBy("node").agg(F.count("*").alias("held")), "node", "left").na.fill(0, ["held"]))
+
+    # Pairs of small groups that share enough.
+    pairs = shared.where("kind = 2").groupBy("a", "b").agg(F.sum("x").alias("times"))
+    of = lambda k: nodes.toDF(k, f"n{k}", f"full{k}", f"lost{k}", f"held{k}")
+    pairs = pairs.join(of("a"), "a").join(of("b"), "b")
+    need = _least_shared(F.greatest("fulla", "fullb"), F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent)))
+    pairs = pairs.where(F.col("times") + F.least("helda", "heldb") + F.least("losta", "lostb") >= need)
+    cid = lambda c: F.col(c).bitwiseAND(F.lit(-2))
+    pairs = pairs.select(cid("a").alias("p"), cid("b").alias("q"), "times")
+    pairs = materialize(pairs.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.max("times").alias("times")))
+
+    # Members of large groups that can have a similar set which shares only such groups, in as few groups as it takes.
+    most = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent) / (100 + percent))
+    asked = nodes.where("held > 0").withColumn("spare", F.col("held") - _least_shared(F.col("full"), most) + F.col("lost") + 1).where("spare > 0")
+    w = Window.partitionBy("node").orderBy("size", "gid")
+    kept = large.join(asked.select("node", "spare"), "node").withColumn("rank", F.row_number().over(w)).where("rank <= spare")
+    kept = materialize(kept.select(cid("node").alias("cid"), "gid", "rank", "spare"))
+
+    # The sets themselves, of all that have pairs or groups.
+    named = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(kept.select("cid")).distinct()
+    named = materialize(named.join(first, "cid"))
+    few_named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    sets = materialize(docs.join(few_named, "doc_id").select("cid", "text").mapInArrow(_sets, "cid long, n long, s binary").dropDuplicates(["cid"]))
+
+    # Each set with the partner it meets most, and in three of its groups.
+    closest = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
+    few = kept.where((F.col("rank") == 1) | (F.col("rank") == F.col("spare")) | (F.col("rank") == F.floor((F.col("spare") + 1) / 2)))
+    begun = materialize(closest.union(group_links(few.select("gid", "cid", F.col("cid").alias("comp")).distinct(), sets, percent)).distinct())
+    links = confirmed(begun, sets, percent)
+    comps = materialize(connected_components(links).toDF("cid", "comp"))
+
+    # Then pairs and groups that still lie in different components.
+    apart = pairs.join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    members = materialize(kept.select("gid", "cid").distinct().join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).select("gid", "cid", "comp"))
+    more = confirmed(apart, sets, percent)
+    for bits in (32, 64):
+        found = materialize(group_links(members, sets, percent, bits))
+        rest = confirmed(found, sets, percent)
+        if bits == 64 or rest.count() == found.count():
+            break
+        release(found, rest)
+    everything = materialize(connected_components(links.union(more).union(rest)).toDF("cid", "comp"))
 
     # From set names to the smallest doc_id of each component.
-    sets = full.select("cid", "doc_id").join(everything.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    lowest = sets.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    by_set = materialize(sets.join(lowest, "comp").select("cid", "component_id"))
-    release(groups, stars, links1, links2, links3, links, comps, rest, more, everything, full)
-    return table.join(by_set, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    whole = first.join(everything, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    lowest = whole.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    by_set = materialize(whole.join(lowest, "comp").select("cid", "component_id"))
+    out = table.join(by_set.toDF("set", "component_id"), (F.col("cid") == F.col("set")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
+    out = materialize(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+    release(shared, nodes, pairs, kept, named, sets, begun, links, comps, members, more, found, rest, everything, by_set)
+    return out
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
