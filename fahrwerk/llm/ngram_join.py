@@ -53,13 +53,13 @@ CHOICES = ((0, 1), (0, 2), (1, 2))
 #: Groups of up to so many sets give all their pairs.
 SMALL = 32
 #: Sets and elements of a block of a larger group.
-BLOCK, BLOCK_ELEMENTS = 1024, 1_000_000
+BLOCK, BLOCK_ELEMENTS = 1024, 250_000
 #: Shingles that are compared at once.
-COLUMNS = 4096
+COLUMNS = 2048
 CHUNK = 256
 #: Names of sets (24 bytes each) are broadcast up to this number of rows; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
-DOCS_PER_BUCKET = 10_000
+DOCS_PER_BUCKET = 5_000
 #: Sets whose signatures a task has sent, as far as it remembers; a forgotten one is sent again.
 SENT = 500_000
 #: A bucket's signatures are grouped in so many ranges (as bits), one after the other.
