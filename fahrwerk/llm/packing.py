@@ -15,7 +15,9 @@ doc_id are packed as often as they occur.  No id is dropped or repeated.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -24,59 +26,80 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .vocab import Bounded, vocabulary_path
+from .merges import Merges
+from .vocab import CACHE_LIMIT, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 2048
 END_ID = 1
 DOCS_PER_SHARD = 4096
 CACHED_CHARS = 48
+#: Fixed value: how the vocabulary's pattern ends; a run of letters is one pre-token, other marks but single digits are another.
+WORD_PATTERN = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MARKS = re.compile("[\u0300-\U0010ffff]")
+_WIDE = re.compile("[\u0100-\U0010ffff]")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class Words:
-    """Ids of texts, word by word: no pre-token of this vocabulary holds white space."""
+    """Ids of texts, word by word: no pre-token of this vocabulary holds white space.
+
+    Words of letters below U+0100 are one pre-token, which ``Merges`` encodes,
+    many at once; all others go to the library.  That the vocabulary's parts
+    are those that this relies on is checked at the start.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.known = Bounded()
-        self.known[""] = b""
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        spec = json.load(open(path, encoding="utf-8"))
+        steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        if steps != ["NFC", "Replace", "Lowercase"] or not pattern.endswith(WORD_PATTERN) or any(not t["content"].startswith("<|") for t in spec["added_tokens"]):
+            raise ValueError(f"{path} does not cut texts at white space, in lower case")
+        self.model, self.merges = Tokenizer.from_file(path), Merges(path)
+        self.known: dict[str, bytes] = {"": b""}
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
+    def learn(self, words: set[str]) -> None:
         """Encodes new words; a mark at a word's end is a pre-token of its own."""
-        tails = {w: (w[:-1], w[-1]) for w in words if w[-1] in ".,;:!?" and len(w) > 1 and w[-2].isalpha() and w[-2] < "Ā"}
-        need = {w for w in words if w not in tails} | {x for t in tails.values() for x in t}
-        need = [w for w in need if w not in self.known]
-        new = dict(zip(need, self._encode(need), strict=True))
-        for w, (a, b) in tails.items():
-            new[w] = (new.get(a) or self.known.get(a)) + (new.get(b) or self.known.get(b))
-        if len(self.known) + len(new) > self.known.limit:
-            self.known.clear()
-            self.known[""] = b""
-        self.known.update((w, x) for w, x in new.items() if len(w) <= CACHED_CHARS)
-        return new
+        plain, other, tails = [], [], []
+        for w in words:
+            if w.isalpha() and w.islower() and not _WIDE.search(w):
+                plain.append(w)
+            elif w[-1] in ".,;:!?" and (head := w[:-1]).isalpha() and head.islower() and not _WIDE.search(head):
+                tails.append(w)
+            else:
+                other.append(w)
+        known = self.known
+        heads = {w[:-1] for w in tails}.difference(known, plain)
+        plain += heads
+        known.update(zip(plain, self.merges.encode([w.encode("utf-8") for w in plain]), strict=True))
+        other += {w[-1] for w in tails}.difference(known, other)
+        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, self.model.encode_batch_fast(other, add_special_tokens=False), strict=True))
+        known.update((w, known[w[:-1]] + known[w[-1]]) for w in tails)
 
     @staticmethod
     def plain(text: str) -> list[str]:
         """Parts between spaces and line ends, in lower case where that can't change more than single letters."""
-        if "<|" not in text and (text.isascii() or max(text) < "̀"):
+        if "<|" not in text and (text.isascii() or not _MARKS.search(text)):
             text = text.lower()
         return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.plain(t) for t in texts]
-        found = [list(map(self.known.get, p)) for p in parts]
-        missing = {w for p, f in zip(parts, found, strict=True) if None in f for w, x in zip(p, f, strict=True) if x is None}
-        if missing:
-            new = self.learn(missing)
-            found = [[new[w] if x is None else x for w, x in zip(p, f, strict=True)] if None in f else f for p, f in zip(parts, found, strict=True)]
-        return [b"".join(f) for f in found]
+        words = set().union(*parts)
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > CACHE_LIMIT:
+            self.known = {"": b""}
+            new = words - {""}
+        if new:
+            self.learn(new)
+        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        for w in new:
+            if len(w) > CACHED_CHARS:
+                del self.known[w]
+        return out
 
 
 _words: dict[str, Words] = {}

@@ -197,6 +197,19 @@ def test_packing_is_whole_and_tight(documents):
     assert sum(map(len, ids.values())) > 0.98 * 2048 * len(sequences)
 
 
+def test_words_equal_the_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe_codec.vocabulary_path("word_bpe_49k.json"))
+    marks = "abcdeß éüÄÉ .,;:!?'stredlm0123456789-_<|>endoftext\n\t\x85\xa0İſªºµÿŸǅñÑ日本🙂\u0301"
+    texts = ["".join(RNG.choice(marks) for _ in range(RNG.randint(0, 40))) for _ in range(4000)]
+    texts += ["".join(RNG.choice("etaoinshr") for _ in range(RNG.randint(1, 12))) + RNG.choice(".,!?;:x") for _ in range(1000)]
+    texts += ["<|endoftext|> a<|startoftext|>b", "a" * 500, "ß" * 100 + ".", "straße.", ""]
+    got = [x for i in range(0, len(texts), 256) for x in packing.words().encode(texts[i : i + 256])]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in want]
+
+
 def test_fill_is_closest_to_capacity():
     for _ in range(60):
         counts = {RNG.randint(1, 30): RNG.randint(1, 3) for _ in range(5)}
