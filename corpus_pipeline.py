@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet to the shared folder and reads it again for the next one.  All
-stages but the last return the columns of ``documents``.
+stages but the last return the columns of ``documents``, whatever extra
+columns there are and however they are named.  An empty table passes every
+stage as one; rows that repeat a doc_id or a text are handled as the operators
+state; texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fahrwerk.llm.common import materialize
+from fahrwerk.llm.common import free_names, materialize
 from fahrwerk.llm.ngram_join import BROADCAST_ROWS, jaccard_components
 from fahrwerk.llm.packing import pack_documents
 from fahrwerk.llm.secret_scan import redact
@@ -22,26 +25,26 @@ LABELLED_LIMIT = 20_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't score as toxic."""
+    """Documents that don't score as toxic; null and empty texts stay.  Tables without labels leave the lexicon to decide."""
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), LABELLED_LIMIT)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id."""
+    """Of each group of near copies the document with the smallest doc_id; rows that repeat it stay, as do rows without text or doc_id."""
     groups = jaccard_components(docs)
-    others = materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
-    if others.count() <= BROADCAST_ROWS:
-        others = F.broadcast(others)
-    return docs.join(others, docs["doc_id"] == F.col("_id"), "left_anti").select(*docs.columns)
+    (key,) = free_names(docs, "key")
+    others = materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct())
+    near = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
+    return docs.join(near, docs["doc_id"] == F.col(key), "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one holds."""
+    """Documents without the passages that an earlier one holds; those of which nothing remains go, null and empty texts stay."""
     return drop_repeats(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with secrets masked."""
+    """Documents with secrets masked; null and empty texts stay as they are."""
     out = redact(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
@@ -49,7 +52,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids, packed into sequences."""
+    """Pieces of the documents' ids, packed into sequences; null and empty texts are their end id alone."""
     return pack_documents(docs)
 
 

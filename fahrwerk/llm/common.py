@@ -13,17 +13,31 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     Read from ``spark.checkpoint.dir``; where that is unset (tests on one
-    machine) a fresh temporary folder is set once for the session.
+    machine) a fresh temporary folder is set once for the session.  On a
+    cluster an unset folder is an error, as a local one isn't shared.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         ctx = spark.sparkContext
+        if ctx.getCheckpointDir() is None and not ctx.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if ctx.getCheckpointDir() is None:
             ctx.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         base = ctx.getCheckpointDir()
     return base.rstrip("/")
 
 
+def free_names(table: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``table`` doesn't have, whatever its letter case."""
+    held = {c.lower() for c in table.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in held:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back (cuts lineage)."""
     spark = df.sparkSession

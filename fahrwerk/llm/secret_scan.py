@@ -22,7 +22,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_names, materialize
 
 #: Candidates are broadcast only up to this number of rows (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -167,13 +167,13 @@ def _spans(rule: Rule, number: int) -> Column:
 _LONG = {"access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
 
 
-def scan_secrets(documents: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """All columns of ``documents`` and ``found``: an array of (start, number of the rule, end), by start, then rule."""
-    docs = documents.withColumn("text", F.coalesce("text", F.lit("")))
-    hits = materialize(candidates(docs, rules)).withColumnRenamed("doc_id", "_id")
+def _scanned(documents: DataFrame, rules: list[Rule]) -> DataFrame:
+    """row (all columns of ``documents``), text (null: empty) and found."""
+    docs = documents.select(F.struct("*").alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hits = materialize(candidates(docs.select("doc_id", "text"), rules)).withColumnRenamed("doc_id", "key")
     if hits.count() <= BROADCAST_ROWS:
         hits = F.broadcast(hits)
-    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_id"]), "left").drop("_id")
+    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["key"]), "left")
     every = sum(1 << r for r, rule in enumerate(rules) if not trigram_query(rule.pattern))
     joined = joined.withColumn("rules", F.coalesce("rules", F.lit(0)).bitwiseOR(F.lit(every).cast("long")))
     none = F.expr("cast(array() as array<struct<start:int,number:int,end:int>>)")
@@ -182,11 +182,21 @@ def scan_secrets(documents: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
         run = Rule(rule.kind, _LONG.get(rule.kind, rule.pattern), rule.group, rule.least)
         due = F.col("rules").bitwiseAND(F.lit(1 << r).cast("long")) != 0
         each.append(F.when(due & F.col("text").rlike(run.pattern), _spans(run, r)).otherwise(none))
-    return joined.withColumn("found", F.array_sort(F.flatten(F.array(*each)))).drop("rules")
+    return joined.select("row", "text", F.array_sort(F.flatten(F.array(*each))).alias("found"))
+
+
+def scan_secrets(documents: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """All columns of ``documents`` and ``found``: an array of (start, number of the rule, end), by start, then rule.
+
+    A column ``found`` of ``documents`` is kept; the spans then are ``found_``.
+    """
+    (name,) = free_names(documents, "found")
+    return _scanned(documents, rules).select("row.*", F.col("found").alias(name))
 
 
-def span_digest(found: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """doc_id, counts of the base kinds, the digest of their spans, and all spans as text."""
+def span_digest(found: DataFrame, rules: list[Rule] = RULES, name: str = "found") -> DataFrame:
+    """doc_id, counts of the base kinds, the digest of their spans, and all spans (in column ``name``) as text."""
+    found = found.select("doc_id", F.col(name).alias("found"))
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     base = [i for i, r in enumerate(rules) if r.base]
     written = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["number"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
@@ -200,8 +210,8 @@ def span_digest(found: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 
 def redact(documents: DataFrame, rules: list[Rule] = RULES, mark: str = "[SECRET]") -> DataFrame:
-    """``documents`` with every span replaced by a mark; overlapping spans become one."""
-    found = scan_secrets(documents, rules)
+    """``documents`` with every span replaced by a mark; overlapping spans become one, null texts stay null."""
+    found = _scanned(documents, rules)
     none = F.lit("")
 
     def step(acc: Column, s: Column) -> Column:
@@ -212,8 +222,8 @@ def redact(documents: DataFrame, rules: list[Rule] = RULES, mark: str = "[SECRET
 
     rest = F.aggregate("found", F.struct(F.lit(0).alias("at"), none.alias("out")), step)
     clean = F.transform(F.array(rest), lambda r: F.concat(r["out"], F.col("text").substr(r["at"] + 1, F.length("text") - r["at"])))
-    out = found.withColumn("text", F.when(F.size("found") > 0, F.element_at(clean, 1)).otherwise(F.col("text")))
-    return out.drop("found")
+    masked = F.when(F.size("found") > 0, F.element_at(clean, 1)).otherwise(F.col("row.text"))
+    return found.select(*[masked.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in documents.columns])
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,33 +3,45 @@
 Words are runs of anything but spaces and bytes 9 to 13, A-Z taken as a-z.
 Seeds are k-mers of K words, winnowed: every window of W k-mers keeps its
 smallest, so that a common run of K + W - 1 words shares a seed.  Each seed
-is joined with its first occurrence (smallest doc_id, then position), never
-with all others: a passage in n documents gives n - 1 matches.  The matches
-of two documents are chained in order of both positions; where the order
-conflicts, a Fenwick tree over positions finds the best chain with gap costs.
-Chains are cut at gaps above GAP words.  Between seeds that are
-at the same distance of at most K words in both documents, words are equal;
-all other gaps, and up to REACH words beyond both ends, are fetched and aligned
-by longest common subsequence.  An end reaches as far as the words matched
-exceed those missed by most.  Of a chain, all longest stretches with at
-least IDENTITY of their words matched remain, so that filler beside a passage
-doesn't count against it; as a passage's seeds may first occur in different documents,
-parts that touch count as one passage, which must have at least LEAST words.
-
-Null and empty texts have no words.  doc_id is a key: rows that repeat it
-are one document.  Rows without doc_id take no part.  Repeats inside one
-document are not reported.
+is matched with one earlier occurrence, never with all others: a passage in n
+documents gives n - 1 matches.  Within a slice of texts (a few megabytes)
+that is the occurrence with the smallest doc_id, then position; these alone
+are sent on, and meet the smallest of all, so that a seed that very many
+documents hold comes to one place once for each slice.
+
+A document's matches with an earlier one are chained in order of both
+positions; where the order conflicts, a Fenwick tree over positions finds the
+best chain with gap costs.  Chains are cut at gaps above GAP words beyond a
+seed.  What a document's chains can reach at most, REACH words beyond both
+ends, must be LEAST words together, or they are dropped.  Between seeds that
+are at the same distance of at most K words in both documents, words are
+equal; all other gaps and ends are aligned by longest common subsequence.
+The words of earlier documents are fetched in blocks of FETCH words, each
+block once, whoever asks for it.  An end reaches as far as the words matched
+exceed those missed by most.  Of a chain, all longest stretches with at least
+IDENTITY of their words matched remain, so that filler beside a passage
+doesn't count against it; as a passage's seeds may first occur in different
+documents, parts that touch count as one passage, which must have at least
+LEAST words.
+
+Null and empty texts have no words; an empty table gives an empty result.
+doc_id is a key: rows that repeat it are one document, whose words are those
+of the smallest text; rows without doc_id take no part.  Of equal texts the
+smallest doc_id is the earlier one.  Very long texts are read whole.  Repeats
+inside one document are not reported.  Columns beyond doc_id and text are not
+read; ``drop_repeats`` keeps them, whatever their names.  Where slices lie
+decides with which earlier document a passage is reported.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import materialize, release
+from .common import free_names, materialize, release
 
 K = 5
 W = 5
@@ -39,9 +51,13 @@ LEAST = 50
 IDENTITY = 0.8
 SEED_WEIGHT = 5.0
 GAP_COST = 0.1
-#: Rows of a document's id and spans are broadcast up to this number; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
-PER_REQUEST = 512
+#: Ids of documents are broadcast up to this number; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+#: Words of a block of an earlier document.
+FETCH = 64
+#: Bytes of the texts of a slice, and documents whose seeds meet in a bucket on average.
+SLICE = 8_000_000
+DOCS_PER_BUCKET = 10_000
 
 
 def winnow(buf: np.ndarray, off: np.ndarray, k: int = K, w: int = W):
@@ -76,19 +92,68 @@ def winnow(buf: np.ndarray, off: np.ndarray, k: int = K, w: int = W):
     return doc[keep], at[keep], h[keep]
 
 
-def _seeds(k: int, w: int):
+#: Rows that tasks send: the seeds of a slice in a bucket, or (without hashes) matches inside a slice.
+_SENT = "bucket int, h binary, doc binary, place binary, first binary, spot binary"
+
+
+def _sent(buckets: int):
+    """Seeds that no earlier document of the slice holds, dealt into buckets, and the others as matches."""
+
     def run(batches):
+        turn = 0
         for ids, texts in tv.rows(batches, ["doc_id", "text"]):
             ids = ids.to_numpy(zero_copy_only=False)
-            for i, buf, off in tv.slices(texts):
-                doc, at, h = winnow(buf, off, k, w)
-                for j in range(0, len(doc), 100_000):
-                    s = slice(j, j + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[s].view(np.int64)), pa.array(ids[i + doc[s]], pa.int64()), pa.array(at[s], pa.int32())], ["h", "doc", "place"])
+            for i, buf, off in tv.slices(texts, SLICE):
+                doc, at, h = winnow(buf, off)
+                doc = ids[i + doc].astype(np.int64)
+                order = np.lexsort((at, doc, h))
+                h, doc, at = h[order], doc[order], at[order].astype(np.int32)
+                new = np.diff(h, prepend=h[:1] ^ np.uint64(1)) != 0
+                group = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
+                met = doc != doc[group]
+                yield pa.RecordBatch.from_arrays([pa.array([turn % buckets], pa.int32()), pa.nulls(1, pa.binary()), *(pa.array([x.tobytes()], pa.binary()) for x in (doc[met], at[met], doc[group[met]], at[group[met]]))], ["bucket", "h", "doc", "place", "first", "spot"])
+                turn += 1
+                h, doc, at = h[~met], doc[~met], at[~met]
+                bucket = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                h, doc, at, bucket = h[order], doc[order], at[order], bucket[order]
+                edge = np.flatnonzero(np.diff(bucket, prepend=-1))
+                parts = list(zip(edge.tolist(), [*edge[1:].tolist(), len(h)], strict=True)) if len(h) else []
+                cols = [pa.array([x[a:b].tobytes() for a, b in parts], pa.binary()) for x in (h, doc, at)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int32()), *cols, pa.nulls(len(parts), pa.binary()), pa.nulls(len(parts), pa.binary())], ["bucket", "h", "doc", "place", "first", "spot"])
 
     return run
 
 
+_MATCH = "b long, a long, p int, q int"
+
+
+def _matches(b, a, p, q):
+    for i in range(0, len(b), 100_000):
+        s = slice(i, i + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(b[s], pa.int64()), pa.array(a[s], pa.int64()), pa.array(p[s], pa.int32()), pa.array(q[s], pa.int32())], ["b", "a", "p", "q"])
+
+
+def _met(batches):
+    """(document, earlier document, position there, position) of each seed that meets an earlier one."""
+    waiting: dict[int, list] = {}
+    for bucket, *columns in tv.rows(batches, ["bucket", "h", "doc", "place", "first", "spot"]):
+        for k, row in zip(bucket.to_pylist(), zip(*(c.to_pylist() for c in columns), strict=True), strict=True):
+            h, doc, at, first, spot = row
+            if h is None:
+                yield from _matches(np.frombuffer(doc, np.int64), np.frombuffer(first, np.int64), np.frombuffer(spot, np.int32), np.frombuffer(at, np.int32))
+            else:
+                waiting.setdefault(k, []).append((h, doc, at))
+    for parts in waiting.values():
+        h, doc, at = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*parts, strict=True), (np.uint64, np.int64, np.int32), strict=True))
+        order = np.lexsort((at, doc, h))
+        h, doc, at = h[order], doc[order], at[order]
+        new = np.diff(h, prepend=h[:1] ^ np.uint64(1)) != 0
+        group = np.flatnonzero(new)[np.cumsum(new) - 1]
+        met = doc != doc[group]
+        yield from _matches(doc[met], doc[group[met]], at[group[met]], at[met])
+
+
 class Fenwick:
     """Largest value at positions below a bound, with who holds it."""
 
@@ -150,48 +215,73 @@ def chains(a: np.ndarray, b: np.ndarray, gap: int = GAP) -> list[np.ndarray]:
     return out
 
 
-_RANGES = pa.list_(pa.int32())
-_CHAIN = "a long, b long, a0 int, b0 int, a1 int, b1 int, sa array<int>, na array<int>, sb array<int>, nb array<int>"
-
-
-def _chained(batches):
-    """One row per chain: its ends in both documents, and which words of both to fetch: left end, gaps, right end."""
-    for da, db, matches in tv.rows(batches, ["a", "b", "matches"]):
-        out = []
-        for x, y, m in zip(da.to_pylist(), db.to_pylist(), matches, strict=True):
-            m = m.values
-            pa_, pb = m.field("p").to_numpy(), m.field("q").to_numpy()
-            a, b = pa_.astype(np.int64), pb.astype(np.int64)
-            for c in chains(a, b):
-                a0, a1, b0, b1 = int(a[c[0]]), int(a[c[-1]]) + K, int(b[c[0]]), int(b[c[-1]]) + K
-                ca, cb = a[c], b[c]
-                step = np.diff(ca)
-                g = np.flatnonzero((step != np.diff(cb)) | (step > K))
-                # A gap may hold fewer words in one document than seeds overlap in it: keep it from being negative.
-                over = np.maximum(np.maximum(ca[g] + K - ca[g + 1], cb[g] + K - cb[g + 1]), 0)
-                sa, sb = ca[g] + K - over, cb[g] + K - over
-                la, lb = min(REACH, a0), min(REACH, b0)
-                out.append((x, y, a0, b0, a1, b1, [a0 - la, *sa.tolist(), a1], [la, *(ca[g + 1] - sa).tolist(), REACH], [b0 - lb, *sb.tolist(), b1], [lb, *(cb[g + 1] - sb).tolist(), REACH]))
-        cols = list(zip(*out, strict=True)) if out else [[] for _ in range(10)]
-        types = [pa.int64()] * 2 + [pa.int32()] * 4 + [_RANGES] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["a", "b", "a0", "b0", "a1", "b1", "sa", "na", "sb", "nb"])
+_CHAINS = "b long, a array<long>, size array<int>, p binary, q binary"
+
+
+def _chained(least: int):
+    """For each document the chains with earlier ones that may be part of a passage: seeds of all chains one after the other."""
+
+    def run(batches):
+        for docs, matches in tv.rows(batches, ["b", "matches"]):
+            out = []
+            for b, m in zip(docs.to_pylist(), matches, strict=True):
+                a, p, q = (m.values.field(f).to_numpy() for f in ("a", "p", "q"))
+                order = np.argsort(a, kind="stable")
+                a, p, q = a[order], p[order], q[order]
+                edge = np.flatnonzero(np.diff(a, prepend=a[:1] - 1))
+                found = []
+                for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(a)], strict=True):
+                    x, y = p[i:j].astype(np.int64), q[i:j].astype(np.int64)
+                    found += [(int(y[c[0]]), int(y[c[-1]]) + K, int(a[i]), x[c], y[c]) for c in chains(x, y)]
+                found.sort(key=lambda c: (c[0], c[1], c[2], int(c[3][0])))
+                # Chains whose reaches touch are together as long as a passage, or go.
+                kept, run_, start, end = [], [], 0, -1
+                for c in [*found, None]:
+                    if run_ and (c is None or c[0] - REACH > end):
+                        if end - max(0, start) >= least:
+                            kept += run_
+                        run_ = []
+                    if c is not None:
+                        start, end = (min(start, c[0] - REACH), max(end, c[1] + REACH)) if run_ else (c[0] - REACH, c[1] + REACH)
+                        run_.append(c)
+                if kept:
+                    out.append((b, [c[2] for c in kept], [len(c[3]) for c in kept], np.concatenate([c[3] for c in kept]).astype(np.int32).tobytes(), np.concatenate([c[4] for c in kept]).astype(np.int32).tobytes()))
+            cols = list(zip(*out, strict=True)) if out else [[] for _ in range(5)]
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["b", "a", "size", "p", "q"])
+
+    return run
+
+
+def _spans(size: list[int], points: np.ndarray) -> list[tuple[int, int]]:
+    """First and last seed of each chain."""
+    edge = np.cumsum([0, *size])
+    return list(zip(points[edge[:-1]].tolist(), points[edge[1:] - 1].tolist(), strict=True))
+
+
+def _asked(batches):
+    """(document, earlier document, block of its words) that chains need."""
+    for docs, a, size, p in tv.rows(batches, ["b", "a", "size", "p"]):
+        out = set()
+        for b, firsts, sizes, raw in zip(docs.to_pylist(), a.to_pylist(), size.to_pylist(), p.to_pylist(), strict=True):
+            for first, (lo, hi) in zip(firsts, _spans(sizes, np.frombuffer(raw, np.int32)), strict=True):
+                out.update((b, first, k) for k in range(max(0, lo - REACH) // FETCH, (hi + K + REACH) // FETCH + 1))
+        cols = list(zip(*out, strict=True)) if out else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["b", "a", "block"])
 
 
 def _fetched(batches):
-    """The word hashes of each request to a document."""
-    for texts, requests in tv.rows(batches, ["text", "requests"]):
+    """The word hashes of each block that is asked for."""
+    for a, texts, blocks in tv.rows(batches, ["a", "text", "blocks"]):
         for i, buf, off in tv.slices(texts):
             starts, ends, first = tv.bounds(buf, off)
             words = tv.word_hashes(buf, starts, ends)
             out = []
             for k in range(len(off) - 1):
                 own = words[first[k] : first[k + 1]]
-                for r in requests[i + k].as_py():
-                    parts = [own[s : s + n] for s, n in zip(r["s"], r["n"], strict=True)]
-                    out.append((r["a"], r["b"], r["b0"], r["a0"], r["side"], [len(p) for p in parts], np.concatenate(parts).tobytes()))
-            cols = list(zip(*out, strict=True)) if out else [[] for _ in range(7)]
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), _RANGES, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["a", "b", "b0", "a0", "side", "lens", "words"])
+                out += [(a[i + k].as_py(), n, part.tobytes()) for n in blocks[i + k].as_py() if len(part := own[n * FETCH : (n + 1) * FETCH])]
+            cols = list(zip(*out, strict=True)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["a", "block", "words"])
 
 
 def common_words(x: list[int], y: list[int]) -> int:
@@ -292,20 +382,59 @@ def _parts(segments: list[int], gaps: list[tuple[np.ndarray, np.ndarray]]) -> tu
     return [p for p in parts[:-2] if any(p[:3])], outer + ahead[0], outer + ahead[1]
 
 
-def _aligned(identity: float):
+def _aligned_chain(own: np.ndarray, other: np.ndarray, shift: int, p: np.ndarray, q: np.ndarray, identity: float):
+    """(start, end, start in the other, end there, share) of the stretches of a chain; ``other`` begins ``shift`` words into its document."""
+    # Between seeds, words to align; beyond both ends, as far as the reach.
+    step = np.diff(p)
+    g = np.flatnonzero((step != np.diff(q)) | (step > K))
+    # A gap may hold fewer words in one document than seeds overlap in it: keep it from being negative.
+    over = np.maximum(np.maximum(p[g] + K - p[g + 1], q[g] + K - q[g + 1]), 0)
+    p0, p1 = [*(p[g] + K - over).tolist(), int(p[-1]) + K], [int(p[0]), *p[g + 1].tolist()]
+    q0, q1 = [*(q[g] + K - over).tolist(), int(q[-1]) + K], [int(q[0]), *q[g + 1].tolist()]
+    # Gap k lies between the end of segment k - 1 and the start of segment k.
+    cut = lambda x, i, j, z: x[max(i - z, 0) : max(j - z, 0)]
+    starts, ends = [(max(0, p1[0] - REACH), max(0, q1[0] - REACH)), *zip(p0, q0, strict=True)], [*zip(p1, q1, strict=True), (p0[-1] + REACH, q0[-1] + REACH)]
+    gaps = [(cut(other, i, k, shift), cut(own, j, n, 0)) for (i, j), (k, n) in zip(starts, ends, strict=True)]
+    parts, before_p, before_q = _parts([e - b for b, e in zip(p1, p0, strict=True)], gaps)
+    at_p, at_q = (np.cumsum([z, *(part[k] for part in parts)]).tolist() for k, z in ((0, p1[0] - before_p), (1, q1[0] - before_q)))
+    return [(at_q[i], at_q[j + 1], at_p[i], at_p[j + 1], round(share, 6)) for i, j, share in stretches(parts, identity)]
+
+
+def _aligned(least: int, identity: float):
+    """The passages of each document, whose parts touch and have enough words together."""
+
     def run(batches):
-        for da, db, a0, b0, sa, la, wa, lb, wb in tv.rows(batches, ["a", "b", "a0", "b0", "sa", "la", "wa", "lb", "wb"]):
+        for b, texts, a, size, p, q, fetched in tv.rows(batches, ["b", "text", "a", "size", "p", "q", "fetched"]):
             out = []
-            for x, y, i, j, s, pl, pw, ql, qw in zip(*(c.to_pylist() for c in (da, db, a0, b0, sa, la, wa, lb, wb)), strict=True):
-                p = np.split(np.frombuffer(pw, np.uint64), np.cumsum(pl)[:-1])
-                q = np.split(np.frombuffer(qw, np.uint64), np.cumsum(ql)[:-1])
-                parts, start_a, start_b = _parts([end - start - n for start, n, end in zip(s, pl, s[1:])], list(zip(p, q, strict=True)))
-                at_a, at_b = (np.cumsum([z, *(part[k] for part in parts)]).tolist() for k, z in ((0, i - start_a), (1, j - start_b)))
-                for first, last, share in stretches(parts, identity):
-                    out.append((y, x, at_b[first], at_b[last + 1], at_a[first], at_a[last + 1], at_b[last + 1] - at_b[first], round(share, 6)))
+            for i, buf, off in tv.slices(texts):
+                starts, ends, first = tv.bounds(buf, off)
+                words = tv.word_hashes(buf, starts, ends)
+                for k in range(len(off) - 1):
+                    own, doc = words[first[k] : first[k + 1]], b[i + k].as_py()
+                    held = {(x["a"], x["block"]): np.frombuffer(x["words"], np.uint64) for x in fetched[i + k].as_py()}
+                    sizes = size[i + k].as_py()
+                    edge = np.cumsum([0, *sizes]).tolist()
+                    ps, qs = (np.frombuffer(c[i + k].as_py(), np.int32).astype(np.int64) for c in (p, q))
+                    found = set()
+                    for n, other in enumerate(a[i + k].as_py()):
+                        x, y = ps[edge[n] : edge[n + 1]], qs[edge[n] : edge[n + 1]]
+                        low = max(0, int(x[0]) - REACH) // FETCH
+                        parts = [held.get((other, z)) for z in range(low, (int(x[-1]) + K + REACH) // FETCH + 1)]
+                        there = np.concatenate([z for z in parts if z is not None] or [np.zeros(0, np.uint64)])
+                        if y[-1] + K <= len(own) and x[-1] + K - low * FETCH <= len(there):
+                            found.update((s0, s1, other, f0, f1, share) for s0, s1, f0, f1, share in _aligned_chain(own, there, low * FETCH, x, y, identity))
+                    group, end = [], -1
+                    for row in [*sorted(found), None]:
+                        if group and (row is None or row[0] > end):
+                            if end - group[0][0] >= least:
+                                out += [(doc, r[2], r[0], r[1], r[3], r[4], r[1] - r[0], r[5]) for r in group]
+                            group, end = [], -1
+                        if row is not None:
+                            group.append(row)
+                            end = max(end, row[1])
             cols = list(zip(*out, strict=True)) if out else [[] for _ in range(8)]
             types = [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "first_doc_id", "start", "end", "first_start", "first_end", "n_words", "identity"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [c.split()[0] for c in PASSAGE.split(", ")])
 
     return run
 
@@ -313,73 +442,60 @@ def _aligned(identity: float):
 PASSAGE = "doc_id long, first_doc_id long, start int, end int, first_start int, first_end int, n_words int, identity double"
 
 
+def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids`` (one column, distinct)."""
+    near = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return docs.join(near, "doc_id", "left_semi")
+
+
 def repeated_passages(documents: DataFrame, least: int = LEAST, identity: float = IDENTITY) -> DataFrame:
     """One row per passage of a document (words start to end, exclusive) that an earlier one holds."""
-    docs = documents.select("doc_id", "text").where("doc_id is not null")
-    seeds = docs.mapInArrow(_seeds(K, W), "h long, doc long, place int")
-    firsts = seeds.groupBy("h").agg(F.min(F.struct("doc", "place")).alias("f"), F.max("doc").alias("top")).where("top > f.doc")
-    firsts = materialize(firsts.select("h", F.col("f.doc").alias("a"), F.col("f.place").alias("p")))
-    met = seeds.join(firsts, "h").where("doc <> a")
-    # Seeds too far from others to be part of a passage, with whichever documents they match, go.
-    w = Window.partitionBy("doc").orderBy("place")
-    met = met.withColumn("new", F.coalesce(F.col("place") - F.lag("place").over(w) > K + max(GAP, 2 * REACH), F.lit(True)).cast("int"))
-    met = met.withColumn("part", F.sum("new").over(w))
-    part = Window.partitionBy("doc", "part")
-    met = met.withColumn("span", F.max("place").over(part) - F.min("place").over(part)).where(F.col("span") + K + 2 * REACH >= least)
-    pairs = met.groupBy("a", F.col("doc").alias("b")).agg(F.collect_list(F.struct("p", F.col("place").alias("q"))).alias("matches"))
-    found = materialize(pairs.mapInArrow(_chained, _CHAIN))
-    side = lambda d, s, n, k: found.select(F.col(d).alias("doc_id"), F.struct("a", "b", "b0", "a0", F.lit(k).alias("side"), F.col(s).alias("s"), F.col(n).alias("n")).alias("r"))
-    both = side("a", "sa", "na", 0).union(side("b", "sb", "nb", 1))
-    # Much requested documents get several rows of requests.
-    load = both.groupBy("doc_id").agg(F.ceil(F.count("*") / PER_REQUEST).alias("rows"))
-    asked = both.join(load, "doc_id").withColumn("part", F.pmod(F.xxhash64("r.a", "r.b", "r.b0"), F.col("rows")))
-    asked = materialize(asked.groupBy("doc_id", "part").agg(F.collect_list("r").alias("requests")).drop("part"))
-    words = docs.join(asked, "doc_id").select("text", "requests").mapInArrow(_fetched, "a long, b long, b0 int, a0 int, side int, lens array<int>, words binary")
-    words = materialize(words.dropDuplicates(["a", "b", "b0", "a0", "side"]))
-    key = ["a", "b", "b0", "a0"]
-    ends = found.select(*key, "sa")
-    of = lambda k, x, y: words.where(F.col("side") == k).select(*key, F.col("lens").alias(x), F.col("words").alias(y))
-    joined = ends.join(of(0, "la", "wa"), key).join(of(1, "lb", "wb"), key)
-    parts = joined.mapInArrow(_aligned(identity), PASSAGE).distinct()
-    # Parts that touch are one passage.
-    w = Window.partitionBy("doc_id").orderBy("start", "end", "first_doc_id", "first_start")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
-    parts = parts.withColumn("passage", F.sum("new").over(w))
-    whole = Window.partitionBy("doc_id", "passage")
-    parts = parts.withColumns({"lo": F.min("start").over(whole), "hi": F.max("end").over(whole)}).where(F.col("hi") - F.col("lo") >= least)
-    out = materialize(parts.drop("new", "passage", "lo", "hi"))
-    release(firsts, found, asked, words)
+    docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
+    buckets = max(24, docs.count() // DOCS_PER_BUCKET)
+    sent = docs.mapInArrow(_sent(buckets), _SENT)
+    met = sent.repartition(buckets, "bucket").mapInArrow(_met, _MATCH)
+    matches = met.groupBy("b").agg(F.collect_list(F.struct("a", "p", "q")).alias("matches"))
+    found = materialize(matches.mapInArrow(_chained(least), _CHAINS))
+    asked = materialize(found.select("b", "a", "size", "p").mapInArrow(_asked, "b long, a long, block int"))
+    blocks = asked.groupBy(F.col("a").alias("doc_id")).agg(F.collect_set("block").alias("blocks"))
+    ids = materialize(asked.select(F.col("a").alias("doc_id")).distinct())
+    fetched = _of(docs, ids).join(blocks, "doc_id").select(F.col("doc_id").alias("a"), "text", "blocks").mapInArrow(_fetched, "a long, block int, words binary")
+    fetched = fetched.groupBy("a", "block").agg(F.min("words").alias("words"))
+    given = asked.join(fetched, ["a", "block"]).groupBy("b").agg(F.collect_list(F.struct("a", "block", "words")).alias("fetched"))
+    own = _of(docs, materialize(found.select(F.col("b").alias("doc_id")))).groupBy(F.col("doc_id").alias("b")).agg(F.min("text").alias("text"))
+    out = materialize(own.join(found, "b").join(given, "b").select("b", "text", "a", "size", "p", "q", "fetched").mapInArrow(_aligned(least, identity), PASSAGE))
+    release(found, asked, ids)
     return out
 
 
-def _cut(batches):
-    """Texts without the words of the given spans."""
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text"))
-        spans = batch.column(batch.schema.get_field_index("spans"))
-        new = []
-        for i, buf, off in tv.slices(texts):
-            todo = [k for k in range(len(off) - 1) if spans[i + k].is_valid]
-            for k in range(len(off) - 1):
-                new.append(texts[i + k].as_py())
-            for k in todo:
-                raw = buf[off[k] : off[k + 1]]
-                starts, _, _ = tv.bounds(raw, np.array([0, len(raw)]))
-                edge = np.append(starts, len(raw))
-                keep = np.ones(len(raw), bool)
-                gone = np.zeros(len(starts), bool)
-                for s in spans[i + k].as_py():
-                    s0, s1 = s["start"], min(s["end"], len(starts))
-                    gone[s0:s1] = True
-                    if s0 < s1:
-                        keep[edge[s0] : edge[s1]] = False
-                new[i + k] = None if gone.all() else raw[keep].tobytes().decode("utf-8")
-        names = [f for f in batch.schema.names if f != "spans"]
-        cols = [pa.array(new, pa.string()) if f == "text" else batch.column(batch.schema.get_field_index(f)) for f in names]
-        out = pa.RecordBatch.from_arrays(cols, names)
-        gone = pa.array([a is None and b.is_valid for a, b in zip(new, texts, strict=True)])
-        yield out.filter(pa.compute.invert(gone))
+def _cut(name: str):
+    """Texts without the words of the spans in this column."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            spans = batch.column(batch.schema.get_field_index(name))
+            new = texts.to_pylist()
+            for i, buf, off in tv.slices(texts):
+                for k in range(len(off) - 1):
+                    if not spans[i + k].is_valid or new[i + k] is None:
+                        continue
+                    raw = buf[off[k] : off[k + 1]]
+                    starts, _, _ = tv.bounds(raw, np.array([0, len(raw)]))
+                    edge = np.append(starts, len(raw))
+                    keep, gone = np.ones(len(raw), bool), np.zeros(len(starts), bool)
+                    for s in spans[i + k].as_py():
+                        s0, s1 = s["start"], min(s["end"], len(starts))
+                        gone[s0:s1] = True
+                        if s0 < s1:
+                            keep[edge[s0] : edge[s1]] = False
+                    new[i + k] = None if gone.all() else raw[keep].tobytes().decode("utf-8")
+            names = [f for f in batch.schema.names if f != name]
+            cols = [pa.array(new, pa.string()) if f == "text" else batch.column(batch.schema.get_field_index(f)) for f in names]
+            gone = pa.array([a is None and b.is_valid for a, b in zip(new, texts, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(cols, names).filter(pa.compute.invert(gone))
+
+    return run
 
 
 def drop_repeats(documents: DataFrame, least: int = LEAST, identity: float = IDENTITY) -> DataFrame:
@@ -387,10 +503,11 @@ def drop_repeats(documents: DataFrame, least: int = LEAST, identity: float = IDE
     import pyarrow.compute  # noqa: F401
 
     found = repeated_passages(documents, least, identity)
-    spans = materialize(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnRenamed("doc_id", "_id"))
-    near = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
-    joined = documents.join(near, documents["doc_id"] == F.col("_id"), "left").drop("_id")
-    out = joined.mapInArrow(_cut, documents.schema)
+    key, spans_ = free_names(documents, "key", "spans")
+    spans = materialize(found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(spans_)))
+    near = F.broadcast(spans) if (spans.agg(F.sum(F.size(spans_) + 1)).first()[0] or 0) <= BROADCAST_ROWS else spans
+    joined = documents.join(near, documents["doc_id"] == F.col(key), "left").drop(key)
+    out = joined.mapInArrow(_cut(spans_), documents.schema)
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(documents.schema["n_chars"].dataType))
     return out.select(*documents.columns)

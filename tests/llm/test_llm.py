@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fahrwerk.llm import bpe_codec, embedding_dedup, license_scan, media_sniff, ngram_join, packing, registry, secret_scan, substring_dedup, token_counts, toxicity
 from fahrwerk.llm.common import connected_components
 
@@ -70,6 +71,19 @@ def test_odd_rows(name, odd):
         assert n == odd.count()
 
 
+def test_columns_with_clashing_names_are_kept(spark):
+    names = ["rules", "found", "key", "spans", "row", "cid", "comp", "bucket", "score", "_id", "Found"]
+    base = prose(80, 4)
+    rows = [(i, t, *[f"{n} {i}" for n in names[:-1]]) for i, t in enumerate(["token: abcdefghij " + prose(30, 1), None, base, base + " end", prose(20, 3)])]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names[:-1]])
+    for operator in (secret_scan.redact, substring_dedup.drop_repeats, lambda d: corpus_pipeline.near_copies(spark, d, SF), lambda d: corpus_pipeline.toxicity(spark, d, SF)):
+        out = operator(docs)
+        assert out.columns == docs.columns
+        assert all(r[n] == f"{n} {r.doc_id}" for r in out.collect() for n in names[:-1])
+    scanned = secret_scan.scan_secrets(docs)
+    assert scanned.columns == [*docs.columns, "found_"] and secret_scan.span_digest(scanned, name="found_").count() == 5
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_table(name, empty):
     assert OPERATORS[name](empty).count() == 0
@@ -244,7 +258,7 @@ def test_trigram_queries_are_necessary():
 def test_redacted_texts_hold_no_secret(spark):
     docs = spark.createDataFrame([(1, "a token: abcdefgh1 b " + "0f" * 20 + " c"), (2, None), (3, "clean")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
-    assert got == {1: "a [SECRET] b [SECRET] c", 2: "", 3: "clean"}
+    assert got == {1: "a [SECRET] b [SECRET] c", 2: None, 3: "clean"}
 
 
 def test_substring_finds_exact_and_fuzzy_passages(spark):
@@ -253,8 +267,9 @@ def test_substring_finds_exact_and_fuzzy_passages(spark):
     fuzzy[30] = "changed"
     rows = [(1, prose(80, 51) + " " + shared + " " + prose(80, 52)), (2, prose(90, 53) + " " + shared.upper() + " " + prose(10, 54)), (3, shared.replace(" ", "\n") + " " + prose(70, 55)), (4, prose(40, 56) + " " + " ".join(fuzzy)), (5, prose(200, 57)), (6, " ".join(shared.split()[:30]) + " " + prose(60, 58))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {(r.doc_id, r.first_doc_id): (r.start, r.end, r.n_words) for r in substring_dedup.repeated_passages(docs).collect()}
-    assert found[2, 1] == (90, 150, 60) and found[3, 1] == (0, 60, 60) and found[4, 1] == (40, 100, 60) and {d for d, _ in found} == {2, 3, 4}
+    rows_found = substring_dedup.repeated_passages(docs).collect()
+    found = {r.doc_id: (r.start, r.end, r.n_words) for r in rows_found}
+    assert found == {2: (90, 150, 60), 3: (0, 60, 60), 4: (40, 100, 60)} and all(r.first_doc_id < r.doc_id for r in rows_found)
     left = {r.doc_id: r.text for r in substring_dedup.drop_repeats(docs).collect()}
     assert left[1] == rows[0][1] and left[5] == rows[4][1] and left[6] == rows[5][1]
     assert left[2] == prose(90, 53) + " " + prose(10, 54) and left[3] == prose(70, 55)
@@ -288,6 +303,33 @@ def test_edited_passages_are_found(spark):
     assert passages_found(spark, pairs, 78) == len(pairs)
 
 
+def test_passages_with_gaps_are_found(spark):
+    # Equal stretches around a run of changed words, up to the longest gap that chains bridge, at shares of 0.75 to 0.95.
+    pairs, wanted = [], 0
+    for gap in (0, 5, 12, 15, 20, 30):
+        for share in (0.75, 0.8, 0.9, 0.95):
+            equal = max(26, round(gap * share / (1 - share) / 2) + 1)
+            left, right = prose(equal, f"left {gap} {share}"), prose(equal, f"right {gap} {share}")
+            middle = [prose(gap, f"middle {gap} {share} {k}") for k in range(2)]
+            pairs.append([f"{prose(40, f'before {k} {gap} {share}')} {left} {middle[k]} {right} {prose(40, f'after {k} {gap} {share}')}" for k in range(2)])
+            wanted += 2 * equal >= 0.8 * (2 * equal + gap)
+    pairs.append([f"{prose(30, 'left')} {prose(15, k)} {prose(30, 'right')}" for k in range(2)])
+    assert passages_found(spark, pairs, 50) >= wanted + 1
+
+
+def test_many_copies_and_shared_lines(spark):
+    line, base = prose(12, 70), prose(90, 71).split()
+    rows = [(i, f"{prose(30, 700 + i)} {line} {prose(30, 900 + i)} {line} {prose(20, 1100 + i)}") for i in range(60)]
+    rows += [(100 + i, " ".join(base)) for i in range(50)]
+    for i in range(50):
+        words = list(base)
+        words[RNG.randrange(90)] = f"other{i}"
+        rows.append((200 + i, " ".join(words)))
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).toPandas()
+    covered = {d: int((g.end.max() - g.start.min())) for d, g in found.groupby("doc_id")}
+    assert set(covered) == {*range(101, 150), *range(200, 250)} and min(covered.values()) >= 85
+
+
 def test_reached_equals_brute_force():
     for _ in range(200):
         x, y = ([RNG.randint(0, 4) for _ in range(RNG.randint(0, 9))] for _ in range(2))
