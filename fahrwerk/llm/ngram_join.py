@@ -60,6 +60,8 @@ CHUNK = 256
 #: Names of sets (24 bytes each) are broadcast up to this number of rows; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 DOCS_PER_BUCKET = 5_000
+#: Bytes of texts whose sets a task holds at once.
+SLICE = 1_000_000
 #: Sets whose signatures a task has sent, as far as it remembers; a forgotten one is sent again.
 SENT = 500_000
 #: A bucket's signatures are grouped in so many ranges (as bits), one after the other.
@@ -181,7 +183,7 @@ def _emit(buckets: int, percent: int):
         bands, sent = Bands(percent), set()
         width = max(1, (buckets - 1).bit_length())
         for ids, texts in tv.rows(batches, ["doc_id", "text"]):
-            for i, buf, off in tv.slices(texts):
+            for i, buf, off in tv.slices(texts, SLICE):
                 h, at = shingle_sets(buf, off)
                 names, size = set_ids(h, at), np.diff(at)
                 own = ids.slice(i, len(names))
@@ -301,7 +303,7 @@ def _groups(bucket: int, sig: np.ndarray, row: np.ndarray, names: np.ndarray, ns
 def _sets(batches):
     """The set of each document that stands for one."""
     for cid, texts in tv.rows(batches, ["cid", "text"]):
-        for i, buf, off in tv.slices(texts):
+        for i, buf, off in tv.slices(texts, SLICE):
             h, at = shingle_sets(buf, off)
             want = cid.slice(i, len(off) - 1)
             ok = set_ids(h, at) == want.to_numpy()  # another row with the same doc_id may have another text

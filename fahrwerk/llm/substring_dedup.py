@@ -22,7 +22,8 @@ exceed those missed by most.  Of a chain, all longest stretches with at least
 IDENTITY of their words matched remain, so that filler beside a passage
 doesn't count against it; as a passage's seeds may first occur in different
 documents, parts that touch count as one passage, which must have at least
-LEAST words.
+LEAST words, half of them in one part (short lines that many documents hold
+don't make a passage where they happen to follow each other).
 
 Null and empty texts have no words; an empty table gives an empty result.
 doc_id is a key: rows that repeat it are one document, whose words are those
@@ -56,7 +57,7 @@ BROADCAST_ROWS = 1_000_000
 #: Words of a block of an earlier document.
 FETCH = 64
 #: Bytes of the texts of a slice, and documents whose seeds meet in a bucket on average.
-SLICE = 8_000_000
+SLICE = 2_000_000
 DOCS_PER_BUCKET = 10_000
 
 
@@ -426,7 +427,7 @@ def _aligned(least: int, identity: float):
                     group, end = [], -1
                     for row in [*sorted(found), None]:
                         if group and (row is None or row[0] > end):
-                            if end - group[0][0] >= least:
+                            if end - group[0][0] >= least and 2 * max(r[1] - r[0] for r in group) >= least:
                                 out += [(doc, r[2], r[0], r[1], r[3], r[4], r[1] - r[0], r[5]) for r in group]
                             group, end = [], -1
                         if row is not None:
