@@ -36,7 +36,7 @@ def decode_motion(blob: pd.Series) -> pd.DataFrame:
 
 def relative_motion(row: dict[str, Column], ego: dict[str, Column]) -> dict[str, Column]:
     """Motion of a device seen from the ego vehicle, in absolute terms."""
-    return {k: row[k] + ego[k] for k in ("speed", "heading", "yaw_rate", "accel")}
+    return {k: row[k] + ego[k] for k in row}
 
 
 def round_trip(df: DataFrame) -> DataFrame:

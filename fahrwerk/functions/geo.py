@@ -33,6 +33,18 @@ def ecef(lat: Column, lon: Column, alt: Column, radians: bool = False, cut: bool
     )
 
 
+def geodetic(x: Column, y: Column, z: Column) -> Column:
+    """Latitude and longitude in degrees and height in metres of an Earth-centred position (Bowring's formula)."""
+    b = AXIS * (1 - ECC2) ** 0.5
+    p = F.sqrt(x * x + y * y)
+    theta = F.atan2(z * AXIS, p * b)
+    lat = F.atan2(z + ECC2 / (1 - ECC2) * b * F.pow(F.sin(theta), F.lit(3)), p - ECC2 * AXIS * F.pow(F.cos(theta), F.lit(3)))
+    n = AXIS / F.sqrt(1 - ECC2 * F.sin(lat) * F.sin(lat))
+    # The form without a division by the cosine holds near the poles too.
+    alt = p * F.cos(lat) + z * F.sin(lat) - AXIS * AXIS / n
+    return F.struct(F.degrees(lat).alias("lat"), F.degrees(F.atan2(y, x)).alias("lon"), alt.alias("alt"))
+
+
 def squared_distance(p, q) -> Column:
     """Of two triples of columns."""
     return sum(((a - b) * (a - b) for a, b in zip(p[1:], q[1:], strict=True)), (p[0] - q[0]) * (p[0] - q[0]))

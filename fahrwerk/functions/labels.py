@@ -41,3 +41,13 @@ def coarse_context(label: Column) -> Column:
     for kind, _ in FEATURE_PRICES:
         out = out.when(label.startswith(kind), kind)
     return out.otherwise("unknown")
+
+
+def run_name(run: Column, mass: Column, friction: Column) -> Column:
+    """The name of a run's file, without its ending: mass as a whole number."""
+    return F.concat(F.lit("simulation_"), run.cast("string"), F.lit("_mass_"), mass.cast("long").cast("string"), F.lit("_friction_"), friction.cast("double").cast("string"))
+
+
+def split_id(name: Column) -> Column:
+    """The run's number, second part of its file's name."""
+    return F.get(F.split(name, "_"), F.lit(1)).try_cast("int")

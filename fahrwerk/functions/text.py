@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: one log entry (unit, device, time, signature, scalar or list value).
-ENTRY = r"u=\{[^}]+\}=>(\d+),d=(\d+),t=(\d+),sig=(\d+)\)?=\{([^\[\{]*?)(?:\[([^\]]*)\])?\}"
+#: Fixed value: what begins an entry; its unit text follows in braces.
+START = "(u={"
 VECTORS = "array<struct<id: bigint, class: int, lat: bigint, lon: bigint, alt: bigint, speed: double, heading: double, yawr: double, accel: double>>"
 
 
@@ -16,25 +16,37 @@ def repaired_json(text: Column) -> Column:
 
 
 def sanitized(text: Column) -> Column:
-    """The log up to the entry that the first ``.-9`` spoils."""
+    """The log up to the entry that the first ``.-9`` spoils; whole where there is none, or no entry before it."""
     bad = F.instr(text, ".-9")
     head = F.substring(text, F.lit(1), bad - 1)
-    last = F.instr(F.reverse(head), "=u(")  # the reverse of "(u="
-    return F.when(bad == 0, text).otherwise(F.when(last == 0, head).otherwise(F.substring(head, F.lit(1), F.length(head) - last - 2)))
+    last = F.instr(F.reverse(head), START[::-1])
+    return F.when((bad == 0) | (last == 0), text).otherwise(F.substring(head, F.lit(1), F.length(head) - last - len(START) + 1))
 
 
 def log_entries(logs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per entry of whole logs: unit, dev, t, signature, value or value_mv."""
-    body = F.regexp_replace(F.regexp_replace(sanitized(F.col(text)), r"(?s)^.*?Log Start:\n", ""), r",\n\t\]", "\n\t]")
-    hits = logs.select("*", F.posexplode(F.regexp_extract_all(body, F.lit(ENTRY), F.lit(0))).alias("pos", "entry"))
-    part = lambda k: F.regexp_extract("entry", ENTRY, k)
-    return hits.select(
+    """One row per entry of whole logs: unit, dev, t, signature, value or value_mv.
+
+    A log is cut where entries begin.  In each part the number after ``=>``
+    is the unit, fields d, t and sig follow, and the body stands in braces: a
+    number or blank, or a list in brackets.  Parts without these are skipped.
+    """
+    parts = F.split(F.element_at(F.split(sanitized(F.col(text)), "Log Start:\n", 2), -1), r"\(u=\{")
+    whole = r"(?s)^[^}]+\}=>\d+,d=\d+,t=\d+,sig=\d+\)?=\{[^\[\]{}]*(\[[^\]]*\])?\}"
+    entries = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.rlike(whole))
+    found = logs.select("*", F.posexplode(entries).alias("pos", "part"))
+    number = lambda name: F.regexp_extract("part", name + r"(\d+)", 1)
+    body = F.regexp_extract("part", r"(?s)sig=\d+\)?=\{(.*)", 1)
+    listed = F.regexp_extract(body, r"(?s)^[^\[\]{}]*\[([^\]]*)\]\}", 1)
+    # A comma before the end of a list has nothing after it.
+    vectors = repaired_json(F.concat(F.lit("["), F.regexp_replace(F.trim(listed), r",\s*$", ""), F.lit("]")))
+    plain = F.regexp_extract(body, r"^([^\[\]{}]*)\}", 1)
+    return found.select(
         *[c for c in logs.columns if c != text],
         "pos",
-        part(1).cast("long").alias("unit"),
-        part(2).cast("int").alias("dev"),
-        part(3).cast("long").alias("t"),
-        part(4).cast("long").alias("signature"),
-        F.when(part(6) == "", F.nullif(F.trim(part(5)), F.lit("")).try_cast("double")).alias("value"),
-        F.when(part(6) != "", F.from_json(repaired_json(F.concat(F.lit("["), F.trim(part(6)), F.lit("]"))), VECTORS)).alias("value_mv"),
+        F.regexp_extract("part", r"=>(\d+)", 1).cast("long").alias("unit"),
+        number(",d=").cast("int").alias("dev"),
+        number(",t=").cast("long").alias("t"),
+        number(",sig=").cast("long").alias("signature"),
+        F.when(listed == "", F.nullif(F.trim(plain), F.lit("")).try_cast("double")).alias("value"),
+        F.when(listed != "", F.from_json(vectors, VECTORS)).alias("value_mv"),
     )

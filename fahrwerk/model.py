@@ -12,6 +12,9 @@ SENSORS = {
     "PITCH_RATE": 37, "ROLL_RATE": 38, "FUEL": 42, "CO2_EMISSION": 43, "ODOMETER": 54,
 }
 EGO_DEVICE = 16
+#: Devices whose vectors are relative to the ego vehicle, and road users that report themselves.
+RELATIVE_DEVICES = (20, 21, 22, 23)
+ETSI_DEVICES = (26, 27, 28)
 WINDOW = 30
 SAMPLE_HZ = 10.0
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -93,3 +93,27 @@ def anova_scores(df: DataFrame, label: str, vector: str = "v") -> DataFrame:
     t = g.groupBy("i").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("ss"), F.sum("within").alias("within"))
     between = F.col("ss") - F.col("s") * F.col("s") / F.col("n")
     return t.select("i", ((between / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))).alias("f"))
+
+
+def mutual_information(df: DataFrame, label: str, vector: str = "v", bins: int = 10) -> DataFrame:
+    """Mutual information (nats) of each component, in equal-width bins, with the label."""
+    x = df.select(label, F.posexplode(vector).alias("i", "x"))
+    span = x.groupBy("i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+    # One row per component.
+    at = F.least(F.floor((F.col("x") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(bins - 1))
+    cells = x.join(span, "i").groupBy("i", "n", label, F.coalesce(at, F.lit(0)).alias("bin")).agg(F.count("*").alias("c"))
+    both = cells.withColumns({"of_bin": F.sum("c").over(Window.partitionBy("i", "bin")), "of_label": F.sum("c").over(Window.partitionBy("i", label))})
+    return both.groupBy("i").agg(F.sum(F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("of_bin") * F.col("of_label")))).alias("mi"))
+
+
+def random_seeds(points: DataFrame, k: int, key: str, vector: str = "v", seed: int = 42) -> DataFrame:
+    """``k`` points in an order that a digest of key and seed makes random, and repeatable: centroid, c."""
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    first = points.select(order.alias("o"), F.col(vector).alias("c")).orderBy("o").limit(k)
+    # As many rows as clusters.
+    return first.select((F.row_number().over(Window.orderBy("o")) - 1).cast("long").alias("centroid"), "c")
+
+
+def ranked_centroids(centroids: DataFrame, level: Column) -> DataFrame:
+    """Centroids in order of their level: one row per cluster."""
+    return centroids.withColumn("level", level).withColumn("place", (F.row_number().over(Window.orderBy("level", "centroid")) - 1).cast("long"))

@@ -94,6 +94,20 @@ def _by_length(f, width: int):
 fft_features = _by_length(spectrum_features, 7)
 
 
+def _by_size(f):
+    """As ``_by_length``, for results as long as the signal's length makes them."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(values: pd.Series) -> pd.Series:
+        out = np.empty(len(values), object)
+        for at, x in _stacked(values):
+            for k, y in zip(at, f(np.nan_to_num(x)), strict=True):
+                out[k] = y
+        return pd.Series(out)
+
+    return run
+
+
 def _morlet(points: int = 1024) -> np.ndarray:
     """The running integral of the real Morlet wavelet on [-8, 8]."""
     t = np.linspace(-8, 8, points)
@@ -154,23 +168,92 @@ def band_pass(x: np.ndarray, low: float, high: float, fs: float, order: int = 5)
     return y
 
 
-def _warp(x: np.ndarray, y: np.ndarray) -> float:
-    cost = (x[:, None] - y[None, :]) ** 2
-    d = np.full((len(x) + 1, len(y) + 1), np.inf)
-    d[0, 0] = 0
-    for i in range(1, len(x) + 1):
-        best = np.minimum(d[i - 1, 1:], d[i - 1, :-1])
-        run, row = np.inf, d[i]
-        for j in range(1, len(y) + 1):
-            run = cost[i - 1, j - 1] + min(best[j - 1], run)
-            row[j] = run
-    return float(np.sqrt(d[-1, -1]))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def band_passed(values: pd.Series, low: pd.Series, high: pd.Series, fs: pd.Series) -> pd.Series:
+    """Windows filtered to a band, whose bounds and sampling rate are the same in all rows."""
+    out = np.empty(len(values), object)
+    for at, x in _stacked(values):
+        for k, y in zip(at, band_pass(x, float(low.iloc[0]), float(high.iloc[0]), float(fs.iloc[0])), strict=True):
+            out[k] = y
+    return pd.Series(out)
+
+
+def warped(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared warping cost of each row of ``x`` with the same row of ``y``, all rows at once along anti-diagonals."""
+    n, m = x.shape[1], y.shape[1]
+    rows = np.full((3, len(x), n + 1), np.inf)  # the diagonals i + j = s, s - 1 and s - 2, by i
+    rows[1, :, 0] = 0
+    for s in range(2, n + m + 1):
+        lo, hi = max(1, s - m), min(n, s - 1)
+        rows[2, :] = np.inf
+        i = np.arange(lo, hi + 1)
+        best = np.minimum(np.minimum(rows[0][:, i - 1], rows[0][:, i]), rows[1][:, i - 1])
+        rows[2][:, i] = best + (x[:, i - 1] - y[:, s - i - 1]) ** 2
+        rows = rows[[2, 0, 1]]
+    return rows[0][:, n]
 
 
 @F.pandas_udf(T.DoubleType())
 def dtw_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Dynamic time warping distance of two series: root of the least sum of squared differences."""
-    return pd.Series([_warp(np.asarray(x, float), np.asarray(y, float)) if x is not None and y is not None and len(x) and len(y) else None for x, y in zip(a, b, strict=True)])
+    """Dynamic time warping distance of two series: root of the least sum of squared differences; null without values."""
+    out = np.full(len(a), np.nan)
+    sizes = [(len(x), len(y)) if x is not None and y is not None else (0, 0) for x, y in zip(a, b, strict=True)]
+    for n, m in sorted({s for s in sizes if s[0] and s[1]}):
+        at = [k for k, s in enumerate(sizes) if s == (n, m)]
+        out[at] = np.sqrt(warped(np.stack([a.iloc[k] for k in at]).astype(float), np.stack([b.iloc[k] for k in at]).astype(float)))
+    return pd.Series(out).astype("Float64").mask(np.isnan(out))
+
+
+def seven_features(a: Column) -> Column:
+    """Min, max, mean, rms, variance, skew, kurtosis in the first of eleven places; the others stay 0."""
+    s = shape_features(a)
+    return F.array(*[s[c] for c in ("min", "max", "mean", "rms", "var", "skew", "kurt")], *[F.lit(0.0)] * 4)
+
+
+spectrum = _by_size(lambda x: np.abs(np.fft.rfft(x, axis=1)))
+
+
+def cleaned(v: Column, top: float = 0.0) -> Column:
+    """NaN and null become 0, infinities ``top`` and -``top``."""
+    return F.when(v.isNull() | F.isnan(v), 0.0).when(v == float("inf"), top).when(v == float("-inf"), -top).otherwise(v)
+
+
+def combined_features(a: Column) -> Column:
+    """57 features of a signal: 11 in time, 7 of the spectrum, 39 of the wavelet transform; gaps count as 0, a signal without values gives zeros."""
+    whole = F.transform(a, cleaned)
+    t = time_features(whole)
+    every = F.concat(F.array(*[t[c] for c in TIME]), fft_features(whole), morlet_features(whole))
+    some = F.exists(a, lambda x: x.isNotNull() & ~F.isnan(x))
+    return F.transform(F.when(some, every).otherwise(F.array_repeat(F.lit(0.0), 57)), lambda x: cleaned(x, 1e6))
+
+
+def squeezed(x: np.ndarray, fs: float = SAMPLE_HZ, voices: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Magnitude of the synchrosqueezed Morlet transform of one signal, and its frequencies.
+
+    Each coefficient moves to the frequency that the change of its phase
+    shows, so that a tone gathers in one row.
+    """
+    n = len(x)
+    freq = np.fft.fftfreq(n, 1 / fs)
+    octaves = max(1, int(np.log2(max(n, 4))) - 1)
+    centre = fs / 2 * 2.0 ** (-np.arange(octaves * voices) / voices)
+    window = np.exp(-0.5 * (6 * freq[None, :] / centre[:, None] - 6) ** 2) * (freq > 0)
+    spectrum_ = np.fft.fft(x)[None, :] * window
+    w, dw = np.fft.ifft(spectrum_, axis=1), np.fft.ifft(2j * np.pi * freq * spectrum_, axis=1)
+    ok = np.abs(w) > 1e-8 * max(np.abs(w).max(), 1e-300)
+    shown = np.abs(np.imag(dw / np.where(ok, w, 1))) / (2 * np.pi)
+    row = np.rint(-np.log2(np.maximum(shown, 1e-12) / (fs / 2)) * voices).astype(int)
+    ok &= (row >= 0) & (row < len(centre))
+    out = np.zeros(w.shape, complex)
+    at, t = np.nonzero(ok)
+    np.add.at(out, (row[at, t], t), w[at, t])
+    return np.abs(out), centre
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def squeezed_energy(values: pd.Series) -> pd.Series:
+    """Mean magnitude of each row of the squeezed spectrogram, highest frequency first; null for fewer than ten values or none but 0."""
+    return pd.Series([squeezed(np.asarray(v, float))[0].mean(axis=1) if v is not None and len(v) >= 10 and np.any(v) else None for v in values])
 
 
 def spectral_rows(windows: DataFrame, value: str, size: int) -> DataFrame:

@@ -44,24 +44,41 @@ def asof_before(left: DataFrame, right: DataFrame, by: list[str], order: list[st
     return both.withColumn(value, F.coalesce(seen, first)).where("_side = 0").drop("_side", name)
 
 
-def asof_sequential(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
-    """The pointer walk over ego times: at each row it moves on by one if the row lies between it and the next.
+def asof_pointer(left: DataFrame, right: DataFrame, by: list[str], right_by: list[str], values: list[str]) -> DataFrame:
+    """The pointer walk over the right side's times: adds ``at`` (the pointer's time) and ``values`` there.
 
-    State runs through a device's rows, so a key's two sides meet in one task.
-    Columns: ``by``, t (left), t (right); adds ``ego``, the pointer's time.
+    The pointer starts at the latest time strictly before a key's first row,
+    or at the first, and moves on by one at a row that lies strictly between
+    it and the next.  So it moves once in each stretch between two times that
+    holds rows, and stays for good at the first stretch without any: windows
+    over both sides express it, and no key's rows meet in memory.  ``right_by``
+    is the part of ``by`` that the right side has; its times are distinct.
     """
-    import pandas as pd
+    keys, more = [c for c in by if c in right_by], [c for c in by if c not in right_by]
+    order = Window.partitionBy(*keys).orderBy("t")
+    r = right.select(*keys, "t", *values).withColumns({"_i": F.row_number().over(order) - 1, "_next": F.lead("t").over(order)})
+    spot = r.select(*keys, F.col("t").alias("_t"), F.col("_i").alias("_p"), *values)
+    # The right side once for each of the left's keys.
+    heads = left.select(*by).distinct()
+    sides = heads.join(r.select(*keys, "t", "_i", "_next"), keys)
+    both = left.select(*left.columns, F.lit(0).alias("_side")).unionByName(sides.select(*by, "t", "_i", "_next", F.lit(1).alias("_side")), allowMissingColumns=True)
+    # At equal times the left row comes first, as only times strictly before it count.
+    tie = [c for c in left.columns if c not in (*by, "t") and dict(left.dtypes)[c] in ("bigint", "int")]
+    w = Window.partitionBy(*by).orderBy("t", "_side", *tie)
+    upto = F.last(F.when(F.col("_side") == 1, F.coalesce("_next", F.lit(-1))), True).over(w)
+    seen = both.withColumns({"_k": F.last("_i", True).over(w), "_until": upto}).where("_side = 0").drop("_i", "_next", "_side")
+    w = Window.partitionBy(*by).orderBy("t", *tie)
+    start = F.greatest(F.coalesce(F.first("_k").over(w), F.lit(0)), F.lit(0))
+    seen = seen.withColumn("_start", start).withColumn("_inside", F.col("_k").isNotNull() & (F.col("t") < F.col("_until")))
+    # The first row of each stretch.
+    last = F.max(F.when(F.col("_inside"), F.col("_k"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    seen = seen.withColumn("_new", F.col("_inside") & (last.isNull() | (last < F.col("_k"))))
+    nth = F.sum(F.col("_new").cast("int")).over(w)
+    seen = seen.withColumn("_moves", F.col("_new") & (F.col("_k") == F.col("_start") + nth - 1))
+    seen = seen.withColumn("_p", (F.col("_start") + F.sum(F.col("_moves").cast("int")).over(w)).cast("int"))
+    return seen.join(spot, [*keys, "_p"], "left").select(*left.columns, F.col("_t").alias("at"), *values)
 
-    def walk(rows: pd.DataFrame, egos: pd.DataFrame) -> pd.DataFrame:
-        rows, times = rows.sort_values(["t", "rid"]), egos.t.sort_values().to_list()
-        at, out = 0, []
-        if times:
-            earlier = [i for i, e in enumerate(times) if len(rows) and e < rows.t.iloc[0]]
-            at = earlier[-1] if earlier else 0
-        for t in rows.t:
-            if at + 1 < len(times) and times[at] < t < times[at + 1]:
-                at += 1
-            out.append(times[at] if times else None)
-        return rows.assign(ego=pd.array(out, dtype="Int64"))[[by, "rid", "t", "ego"]]
 
-    return left.select(by, "rid", "t").groupBy(by).cogroup(right.select(by, "t").groupBy(by)).applyInPandas(walk, f"{by} long, rid long, t long, ego long")
+def asof_sequential(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
+    """``asof_pointer`` of rows (``by``, rid, t) on times (``by``, t): adds ``ego``, the pointer's time."""
+    return asof_pointer(left.select(by, "rid", "t"), right.select(by, "t"), [by], [by], []).withColumnRenamed("at", "ego")

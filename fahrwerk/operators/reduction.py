@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import anova_scores, pca, project
+from .cluster import anova_scores, mutual_information, pca, project
 
 
 def pick(indices: list[int], vector: str = "v") -> Column:
@@ -38,6 +38,8 @@ def fit_reducer(df: DataFrame, strategy: str, width: int, label: str | None = No
         return Reducer(None, mean, top)
     if strategy == "anova":
         return Reducer(_best(df, label, vector, min(k, width)))
+    if strategy == "mutual_information":
+        return Reducer([r.i for r in mutual_information(df, label, vector).orderBy(F.desc("mi"), "i").limit(min(k, width)).collect()])
     if strategy == "hybrid":
         chosen = _best(df, label, vector, min(select, width))
         mean, top, _ = pca(df.withColumn("z", pick(chosen, vector)), "z", len(chosen), share=1.0, least=min(k, len(chosen)), most=k)

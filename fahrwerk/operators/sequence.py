@@ -99,3 +99,38 @@ def representative_samples(df: DataFrame, value: str, size: int = WINDOW) -> Dat
     joined = b.groupBy("run_id", "context").agg(F.flatten(F.transform(ordered, lambda r: r["v"])).alias("v"))
     times = F.ceil(F.lit(size) / F.size("v")).cast("int")
     return joined.select("run_id", "context", F.slice(F.flatten(F.array_repeat("v", times)), 1, size).alias("sample"))
+
+
+def context_blocks(df: DataFrame, value: str, label: str = "context") -> DataFrame:
+    """Stretches of equal labels with their values in order: run_id, context, start, n, v."""
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("seq", value))), lambda r: r[value])
+    return with_blocks(df, label).groupBy("run_id", "block", label).agg(F.min("seq").alias("start"), F.count("*").alias("n"), rows.alias("v")).drop("block")
+
+
+def chosen_blocks(blocks: DataFrame) -> DataFrame:
+    """Of each context the first block (by run, then place) of more than one row, which seeds its cluster."""
+    first = F.min_by(F.struct("run_id", "start", "v"), F.struct("run_id", "start"))
+    return blocks.where("n > 1").groupBy("context").agg(first.alias("c")).select("context", "c.*")
+
+
+def context_segments(df: DataFrame, value: str, label: str = "context") -> DataFrame:
+    """For each run and context its stretches joined in order, and where each begins and ends in the joined values."""
+    s = F.sort_array(F.collect_list(F.struct("start", "n", "v")))
+    j = context_blocks(df, value, label).groupBy("run_id", label).agg(s.alias("s"))
+    ends = F.aggregate("s", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["n"])))
+    return j.select("run_id", label, ends.alias("bounds"), F.flatten(F.transform("s", lambda x: x["v"])).alias("v"))
+
+
+def whole_groups(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Rows of the groups in which none of the columns is null anywhere."""
+    gap = F.lit(False)
+    for c in columns:
+        gap = gap | F.col(c).isNull()
+    bad = df.groupBy(*by).agg(F.bool_or(gap).alias("gap")).where("gap")
+    return df.join(bad.drop("gap"), by, "left_anti")
+
+
+def random_split(df: DataFrame, key: list[str]) -> DataFrame:
+    """70 % train, 15 % validation, 15 % test by a digest of the key: the same rows in any partitioning."""
+    digest = F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in key])), 1, 2)
+    return df.withColumn("part", F.when(digest < "b3", "train").when(digest < "d9", "validation").otherwise("test"))

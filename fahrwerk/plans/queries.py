@@ -10,26 +10,9 @@ from ..model import physics_groups
 from ..operators import autoencoder, cluster, features, joins, pricing, reduction
 from ..operators import sequence as sq
 from ..streaming import buffer
+from .base import ORACLES, QUERIES, query, r  # noqa: F401
 from ..sources.telemetry import FEAT_SQL, SHIP_SQL, TELE_SQL, map_features, shipments, table, telemetry
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r(x, n: int = 4):
-    return F.round(x, n)
-
-
 GROUPS_SQL = """grp as (select * from (values ('group_1',1,20,8300,1.0::double),('group_2',21,40,10900,1.0),('group_3',41,60,13500,1.0),('group_4',61,80,13500,1.0),
  ('group_5',81,100,10900,1.0),('group_6',101,120,8300,0.75),('group_7',121,140,10900,0.75),('group_8',141,160,13500,0.75),('group_9',161,180,13500,0.5),
  ('group_10',181,200,10900,0.5),('group_11',201,220,8300,0.5)) g(grp, lo, hi, mass, friction))"""
@@ -107,13 +90,15 @@ KINDS = ["click", "error", "purchase", "signup", "view"]
 @query(
     f"with {TELE_SQL}, s as (select run_id, event_type, value, row_number() over (partition by run_id, event_type order by seq) - 1 as pos from tele), runs as (select distinct run_id from tele) "
     + "select run_id, pos, " + ", ".join(f"max(case when event_type = '{k}' then value end) as {k}" for k in KINDS)
-    + " from runs cross join range(20) as t(pos) left join s using (run_id, pos) group by run_id, pos"
+    + " from runs cross join (select unnest(range((select max(pos) + 1 from s))) as pos) left join s using (run_id, pos) group by run_id, pos"
 )
 def pivot_series(spark, sf_dir):
     t = telemetry(spark, sf_dir)
     w = Window.partitionBy("run_id", "event_type").orderBy("seq")
     s = t.select("run_id", F.col("event_type").alias("name"), "value", (F.row_number().over(w) - 1).cast("long").alias("pos"))
-    return sq.pivot_series(s, KINDS, 20)
+    # As long as the longest series.
+    length = s.agg(F.max("pos")).first()[0]
+    return sq.pivot_series(s, KINDS, 1 + (-1 if length is None else length))
 
 
 # Spatial and as-of joins
@@ -139,14 +124,6 @@ def asof_strict(spark, sf_dir):
     return joins.asof_before(left, ego, ["run_id"], ["seq"], "ego")
 
 
-@query()
-def asof_sequential(spark, sf_dir):
-    t = telemetry(spark, sf_dir)
-    left = t.where("event_type = 'error'").select("run_id", F.col("event_id").alias("rid"), F.col("seq").alias("t"))
-    ego = t.where("event_type = 'view'").select("run_id", F.col("seq").alias("t"))
-    return joins.asof_sequential(left, ego, "run_id")
-
-
 @query(f"with {TELE_SQL}, {FEAT_SQL} select run_id, round(min(sqrt((value-ax)*(value-ax) + (k-ay)*(k-ay))), 4) as nearest from tele cross join (select * from feat order by list_idx limit 1) group by run_id")
 def path_min_distance(spark, sf_dir):
     one = F.broadcast(map_features(spark, sf_dir).orderBy("list_idx").limit(1))
@@ -360,8 +337,8 @@ def price_baseline(spark, sf_dir):
 def metrics(df: DataFrame, by: list[str], price: str = "base", true: str = "truth") -> DataFrame:
     """Pearson correlation (null for constant input), mean absolute and root mean squared error."""
     e = F.col(price) - F.col(true)
-    m = df.groupBy(*by).agg(F.corr(price, true).alias("pearson_corr"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
-    return m.withColumn("pearson_corr", F.when(~F.isnan("pearson_corr"), F.col("pearson_corr")))
+    both = F.nullif(F.stddev_pop(price) * F.stddev_pop(true), F.lit(0.0))
+    return df.groupBy(*by).agg((F.covar_pop(price, true) / both).alias("pearson_corr"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
 _METRICS = f"{_BASE}, {GROUPS_SQL}, m as (select grp, mass, friction, case when isnan(corr(base, truth)) then null else corr(base, truth) end as c, avg(abs(base - truth)) as mae, sqrt(avg((base - truth) * (base - truth))) as rmse from base {JOIN_GROUPS} group by grp, mass, friction)"
@@ -438,22 +415,22 @@ def time_features(spark, sf_dir):
 
 
 @query(f"""with {_WIN}, m as (select run_id, win, avg(x) as m, sqrt(var_samp(x)) + 1e-8 as s, sum(x * x) as e from x group by run_id, win)
-  select run_id, win, round(sqrt(avg(x * x)), 4) as rms, round(var_samp(x), 2) as var, round(avg(power((x - m), 3)) / power(max(s), 3), 4) as skew, round(avg(power((x - m), 4)) / power(max(s), 4), 4) as kurt,
+  select run_id, win, min(x) as min, max(x) as max, round(avg(x), 4) as mean, round(sum(x * x), 1) as energy, round(sqrt(avg(x * x)), 4) as rms, round(var_samp(x), 2) as var, round(avg(power((x - m), 3)) / power(max(s), 3), 4) as skew, round(avg(power((x - m), 4)) / power(max(s), 4), 4) as kurt,
   round(sqrt(sum(x)) / avg(abs(x)), 5) as shape, round(max(x) / sqrt(avg(x * x)), 5) as crest, round(-sum(x * x / e * log2(x * x / e + 1e-8)), 4) as entropy from x join m using (run_id, win) group by run_id, win""")
 def features_11(spark, sf_dir):
     f = _windows(spark, sf_dir).select("run_id", "win", features.shape_features(F.col("v")).alias("f"))
-    places = {"var": 2, "shape": 5, "crest": 5}
-    return f.select("run_id", "win", *[r(F.col(f"f.{c}"), places.get(c, 4)).alias(c) for c in ("rms", "var", "skew", "kurt", "shape", "crest", "entropy")])
+    places = {"var": 2, "shape": 5, "crest": 5, "energy": 1, "min": 9, "max": 9}
+    return f.select("run_id", "win", *[r(F.col(f"f.{c}"), places.get(c, 4)).alias(c) for c in ("min", "max", "mean", "energy", "rms", "var", "skew", "kurt", "shape", "crest", "entropy")])
 
 
 _DFT = f"{_WIN}, c as (select run_id, win, b as bin, sum(x * cos(2 * pi() / 30 * b * i)) as re, sum(x * sin(2 * pi() / 30 * b * i)) as im from x cross join range(15) t(b) group by all), mag as (select run_id, win, bin, bin / 3.0::double as f, sqrt(re * re + im * im) as m from c)"
 
 
-@query(f"""with {_DFT}, t as (select run_id, win, sum(m) as s, sum(f * m) / sum(m) as c from mag group by run_id, win)
-  select run_id, win, round(max(c), 4) as centroid, round(sqrt(sum((f - c) * (f - c) * m) / max(s)), 4) as spread, round(arg_max(f, (m, -bin)), 4) as dominant, round(-sum(m / s * log2(m / s + 1e-12)), 4) as entropy from mag join t using (run_id, win) group by run_id, win""")
+@query(f"""with {_DFT}, t as (select run_id, win, sum(m) as s, sum(f * m) / sum(m) as c from mag group by run_id, win), run as (select *, sum(m) over (partition by run_id, win order by bin) as cum, m - lag(m) over (partition by run_id, win order by bin) as step from mag)
+  select run_id, win, round(min(case when cum >= 0.95::double * s - 1e-9 then f end), 4) as rolloff, round(sum(step * step), 0) as flux, round(sum(m * m), 0) as energy, round(max(c), 4) as centroid, round(sqrt(sum((f - c) * (f - c) * m) / max(s)), 4) as spread, round(arg_max(f, (m, -bin)), 4) as dominant, round(-sum(m / s * log2(m / s + 1e-12)), 4) as entropy from run join t using (run_id, win) group by run_id, win""")
 def fft_features(spark, sf_dir):
     f = _windows(spark, sf_dir).select("run_id", "win", features.fft_features("v").alias("f"))
-    return f.select("run_id", "win", *[r(F.col("f")[features.FFT.index(c)]).alias(c) for c in ("centroid", "spread", "dominant", "entropy")])
+    return f.select("run_id", "win", *[r(F.col("f")[i], 0 if c in ("flux", "energy") else 4).alias(c) for i, c in enumerate(features.FFT)])
 
 
 @query()

@@ -68,7 +68,7 @@ SHIP_SQL = """ship as (select l_suppkey as run_id, row_number() over (partition
 
 def map_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as map features: every fifth one a ramp (a segment), the others points of four kinds."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 40 = 0")
+    p = table(spark, sf_dir, "part")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("ramp", "pothole", "speedbump", "elevated_crosswalk", "cut")]), (F.col("p_size") % 5 + 1).cast("int"))
     x = F.round(F.pmod(F.col("p_partkey") * 7.3, F.lit(490.0)), 3)
     y = (F.col("p_size") * 2).cast("double")
@@ -81,4 +81,28 @@ def map_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FEAT_SQL = """feat as (select cast(p_size % 5 as int) as type_rank, p_partkey as list_idx, ['ramp', 'pothole', 'speedbump', 'elevated_crosswalk', 'cut'][p_size % 5 + 1] as ftype,
   round((p_partkey * 7.3::double) % 490.0::double, 3) as ax, cast(p_size * 2 as double) as ay, 0.0::double as az,
-  round((p_partkey * 7.3::double) % 490.0::double, 3) + (case when p_size % 5 = 0 then 12.0::double else 0.0::double end) as bx, cast(p_size * 2 as double) as "by", 0.0::double as bz from part where p_partkey % 40 = 0)"""
+  round((p_partkey * 7.3::double) % 490.0::double, 3) + (case when p_size % 5 = 0 then 12.0::double else 0.0::double end) as bx, cast(p_size * 2 as double) as "by", 0.0::double as bz from part)"""
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as log entries: views are the ego vehicle, errors an SI sensor, clicks and purchases lists of vectors, signups other road users."""
+    e = telemetry(spark, sf_dir)
+    kind = lambda *x: F.element_at(F.create_map(*[F.lit(v) for v in x]), F.col("event_type"))
+    k = F.col("k")
+    vector = lambda n: F.struct((F.col("event_id") + n).alias("id"), (k % 256).cast("int").alias("class"), F.floor(F.col("value") * 1e7).alias("lat"), (k * 125000000).alias("lon"), (F.col("run_id") * 500 + n).alias("alt"), F.col("value").alias("speed"), (k * 0.5).alias("heading"), F.lit(0.25).alias("yawr"), (k * 0.125 + n).alias("accel"))
+    dev = kind("view", 16, "error", 0, "click", 19, "purchase", 20, "signup", 26).cast("long")
+    unit = F.when(dev == 0, F.lit((1 << 31) | (1 << 18)).cast("long")).when(dev.isin(19, 20), F.lit(1 << 29).cast("long")).otherwise(F.lit(0).cast("long"))
+    vectors = F.when(dev == 0, F.lit(None)).when(dev.isin(19, 20), F.array(vector(0), vector(1))).otherwise(F.array(vector(0)))
+    return e.select("run_id", F.col("seq").alias("pos"), "event_id", dev.alias("dev"), unit.alias("unit"), (F.col("seq") * 100000).alias("t"), F.when(dev == 0, F.col("value")).alias("value"), vectors.alias("value_mv"))
+
+
+#: The same in DuckDB, one row for each vector (SI entries have one, of nulls), as CTEs named ent and vec.
+ENTRIES_SQL = TELE_SQL + """, ent as (select run_id, seq as pos, event_id, seq * 100000 as t, value, k, case event_type when 'view' then 16 when 'error' then 0 when 'click' then 19 when 'purchase' then 20 else 26 end as dev from tele),
+  vec as (select ent.*, n as item, event_id + n as id, k % 256 as class, floor(value * 1e7::double) / 1e8::double as lat, k * 1.25::double as lon, (run_id * 500 + n) / 1e3::double as alt, value as speed, k * 0.5::double as heading, 0.25::double as yawr, k * 0.125::double + n as accel
+    from ent join range(2) r(n) on n = 0 or dev in (19, 20) where dev <> 0)"""
+
+
+def ecef_sql(lat: str, lon: str, alt: str, axis: str) -> str:
+    """Earth-centred coordinate as SQL text; angles in radians."""
+    n = f"(6378137.0::double / sqrt(1 - 6.6943799901413165e-3::double * sin({lat}) * sin({lat})))"
+    return {"x": f"({n} + {alt}) * cos({lat}) * cos({lon})", "y": f"({n} + {alt}) * cos({lat}) * sin({lon})", "z": f"({n} * (1 - 6.6943799901413165e-3::double) + {alt}) * sin({lat})"}[axis]

@@ -110,6 +110,41 @@ def test_log(spark):
     assert got[0].value_mv[0].speed == 2.5
 
 
+def test_logs_that_are_spoilt_or_broken(spark):
+    one = "(u={a}=>7,d=1,t=1,sig=3)={1}\n"
+    logs = [(1, "Log Start:\n.-9\n" + one + one), (2, "Log Start:\n" + one + "(u={b}=>8,d=2,t=2,sig=3)={.-9}\n" + one), (3, "Log Start:\n(u={a}=>x)\n" + one), (4, None), (5, "")]
+    got = text.log_entries(spark.createDataFrame(logs, "log int, text string")).collect()
+    assert sorted((r.log, r.pos, r.value) for r in got) == [(1, 0, 1.0), (1, 1, 1.0), (2, 0, 1.0), (3, 0, 1.0)]
+
+
+def test_pointer_sticks_at_an_empty_stretch(spark):
+    left = spark.createDataFrame([(1, i, t) for i, t in enumerate([5, 15, 15, 20, 45, 55])], "run_id long, rid long, t long")
+    right = spark.createDataFrame([(1, t) for t in (0, 10, 20, 30, 40, 50, 60)], "run_id long, t long")
+    got = [r.ego for r in joins.asof_sequential(left, right, "run_id").orderBy("rid").collect()]
+    assert got == [10, 20, 20, 20, 20, 20]
+    none = joins.asof_sequential(left, right.limit(0), "run_id").collect()
+    assert [r.ego for r in none] == [None] * 6
+
+
+def test_squeezed_tone_gathers_in_one_row():
+    t = np.arange(200) / 10
+    m, freq = features.squeezed(np.sin(2 * np.pi * 1.25 * t))
+    row = m.mean(axis=1)
+    assert abs(freq[row.argmax()] - 1.25) < 0.1 and row.max() > 5 * np.sort(row)[-4]
+
+
+def test_batched_warping_equals_single():
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(5, 7)), rng.normal(size=(5, 4))
+    for a, b, got in zip(x, y, features.warped(x, y), strict=True):
+        d = np.full((8, 5), np.inf)
+        d[0, 0] = 0
+        for i in range(7):
+            for j in range(4):
+                d[i + 1, j + 1] = (a[i] - b[j]) ** 2 + min(d[i, j], d[i, j + 1], d[i + 1, j])
+        assert abs(got - d[-1, -1]) < 1e-9
+
+
 def test_ecef_of_the_equator(spark):
     p = spark.range(1).select(geo.ecef(F.lit(0.0), F.lit(90.0), F.lit(10.0)).alias("p")).first().p
     assert abs(p.x) < 1e-6 and abs(p.y - (geo.AXIS + 10)) < 1e-6 and abs(p.z) < 1e-6
@@ -136,8 +171,8 @@ def test_band_pass_keeps_the_band():
 
 
 def test_dtw():
-    assert features._warp(np.array([1.0, 2, 3]), np.array([1.0, 1, 2, 3, 3])) == 0
-    assert features._warp(np.array([0.0, 0]), np.array([1.0])) == pytest.approx(np.sqrt(2))
+    assert features.warped(np.array([[1.0, 2, 3]]), np.array([[1.0, 1, 2, 3, 3]])).tolist() == [0]
+    assert features.warped(np.array([[0.0, 0]]), np.array([[1.0]])).tolist() == [2]
 
 
 def test_flat_signal_features(spark):
