@@ -32,7 +32,7 @@ environment struct<simulatorSettings: struct<map_friction: double>,
     latitude: double, longitude: double, altitude: double,
     rx: double, ry: double, rz: double, w: double, r: double, l: double, class: string>>>>>
 """
-SERIES = "series array<struct<dev: bigint, value: double, x: double, y: double, z: double, timestamp: bigint>>"
+SERIES = "series array<struct<dev: bigint, value: string, x: double, y: double, z: double, timestamp: bigint>>"
 
 
 def physics_groups(spark: SparkSession) -> DataFrame:

@@ -1,9 +1,12 @@
 """The record store over HTTP: paged reads, incremental reads, idempotent writes, as Python data sources.
 
 A read asks for (unit, dev, signature, t0, tf) and goes on from the last
-record's time plus one until a page is empty.  Partitions are time slices, so
-a long series is read by many tasks.  Retries are bounded: a page that fails
-too often fails the task, and Spark runs it again.
+record's time, without those that it has had, until a page holds nothing new.
+Partitions are time slices, so a long series is read by many tasks.  Retries
+are bounded, with a new session (a new connection) for the last one; a page
+that fails too often fails the task, and Spark runs it again.  Each buffer that
+is put names its write, partition and place, so that a store can tell the
+buffers of a task that ran again from new ones.
 """
 
 from __future__ import annotations
@@ -13,9 +16,12 @@ import io
 import json
 import time
 import urllib.request
+import uuid
 import zipfile
+from collections import Counter
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -41,13 +47,24 @@ def post(url: str, body: dict, retries: int = 3, wait: float = 0.2) -> dict:
 def pages(options: dict, t0: int, tf: int):
     """Records of a time range, page by page."""
     query = {k: int(options[k]) for k in ("unit", "dev", "signature") if k in options}
+    at = lambda r: int(r.get("timestamp", r.get("t")))
+    had: dict[str, int] = {}  # records of the time that is asked for again, and how often they came
     while t0 <= tf:
         found = post(options["url"] + "/get", {"series": query | {"t0": t0, "t1": tf}}, int(options.get("retries", 3))).get("series", [])
-        if not found:
-            return
+        again, new = dict(had), []
         for r in found:
+            name = json.dumps(r, sort_keys=True)
+            if again.get(name, 0):
+                again[name] -= 1
+            else:
+                new.append(r)
+        for r in new:
             yield tuple(r.get("timestamp" if f == "t" and "timestamp" in r else f) for f in FIELDS)
-        t0 = max(int(r.get("timestamp", r.get("t"))) for r in found) + 1
+        if not found:
+            return
+        last = max(map(at, found))
+        # A page of nothing new: all records of this time are known, and the next ones are asked for.
+        had, t0 = ({}, last + 1) if not new else (Counter(json.dumps(r, sort_keys=True) for r in found if at(r) == last), last)
 
 
 class Slice(InputPartition):
@@ -97,17 +114,21 @@ class _Writer(DataSourceWriter):
 
     def __init__(self, options):
         self.options = dict(options)
+        self.name = self.options.get("write", uuid.uuid4().hex)  # the same in all tasks, and when one runs again
 
     def write(self, rows):
+        part_of, sent = TaskContext.get().partitionId(), 0
         most, url, retries = int(self.options.get("buffer", 1000)), self.options["url"], int(self.options.get("retries", 3))
         buffers: dict[tuple, list] = {}
 
         def flush(key):
+            nonlocal sent
             part = buffers.pop(key, [])
             if part:
                 ts = [r["t"] for r in part]
                 post(url + "/create", {"series": {"unit": key[0], "dev": key[1], "signature": key[2], "t0": min(ts), "t1": max(ts)}}, retries)
-                post(url + "/put", {"records": part}, retries)
+                post(url + "/put", {"records": part, "batch": f"{self.name}:{part_of}:{sent}"}, retries)
+                sent += 1
 
         for row in rows:
             r = row.asDict()
@@ -145,19 +166,27 @@ def time_slices(df: DataFrame, step: int = 1_000_000) -> DataFrame:
     return df.where(F.col("tf") - F.col("t0") > step).withColumn("until", F.explode(F.sequence(F.col("t0") + step, F.col("tf") - 1, F.lit(step))))
 
 
+def first_context(contexts: DataFrame, order: str = "t") -> DataFrame:
+    """The context that comes first in a series' order."""
+    return contexts.orderBy(order).limit(1)
+
+
 def zipped_contexts(series: DataFrame, value: str, commit: Column | str) -> DataFrame:
     """Run contexts out of zip archives in base64 text; archives are read in memory, failed builds and other commits are left out."""
 
     def run(batches):
         for b in batches:
-            out = []
-            for v in b["zip"]:
+            out, places = [], []
+            for v, place in zip(b["zip"], b["place"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(base64.b64decode(v or ""))) as z:
-                        out += [z.read(n).decode("utf-8", "replace") for n in sorted(z.namelist()) if n.endswith(".json")]
+                        texts = [z.read(n).decode("utf-8", "replace") for n in sorted(z.namelist()) if n.endswith(".json")]
+                        out += texts
+                        places += [place] * len(texts)
                 except (zipfile.BadZipFile, ValueError):
                     continue
-            yield pd.DataFrame({"context": pd.Series(out, dtype=object)})
+            yield pd.DataFrame({"context": pd.Series(out, dtype=object), "t": pd.Series(places, dtype="Int64")})
 
-    text = series.select(F.col(value).alias("zip")).mapInPandas(run, "context string")
+    place = F.col("t").cast("long") if "t" in series.columns else F.lit(None).cast("long")
+    text = series.select(F.col(value).alias("zip"), place.alias("place")).mapInPandas(run, "context string, t long")
     return text.where(F.split(F.get_json_object("context", "$.id"), "\n")[0] == commit)

@@ -1,5 +1,7 @@
 import json
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fahrwerk.model import physics_groups
@@ -29,6 +31,57 @@ def test_context_and_series(spark, tmp_path):
     (tmp_path / "s" / "c.json").write_text("{not json")
     s = files.read_series(spark, str(tmp_path / "s")).collect()
     assert [(r.sensor, r.value) for r in s] == [("IMU_ACC_X", 1.5)]
+    (tmp_path / "s" / "d.json").write_text(json.dumps({"series": [{"dev": 16, "value": "AAAA"}, {"dev": 16, "value": [{"speed": 2}]}]}))
+    s = files.read_series(spark, str(tmp_path / "s"))
+    assert [(r.value, r.raw) for r in s.where("dev = 16").orderBy("pos").collect()] == [(None, "AAAA"), (None, '[{"speed": 2}]')]
+    assert files.expected_length(s) == 2 and files.expected_length(s.limit(0)) == 0
+    assert {r.unit for r in files.readings(c, {"sensor": 77}).collect()} == {77}
+
+
+def test_files_of_results_and_models(spark, tmp_path):
+    df = spark.createDataFrame([("imu", "a.bin", bytearray(b"xyz")), ("gps", "b.bin", bytearray(b"")), ("gps", None, None)], "measurement string, name string, blob binary")
+    assert files.write_blobs(df, str(tmp_path / "blobs")) == 2 and (tmp_path / "blobs" / "a.bin").read_bytes() == b"xyz"
+    files.write_measurements(df.select("measurement", "name"), str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).where("measurement = 'gps'").count() == 2
+    files.write_report(spark, ["inertia 3", "average 1"], str(tmp_path / "report"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == ["inertia 3", "average 1"]
+    files.save_arrays(spark, {"w": np.arange(6.0).reshape(2, 3), "b": np.zeros(2)}, str(tmp_path / "model"))
+    got = files.load_arrays(spark, str(tmp_path / "model"))
+    assert got["w"].tolist() == [[0, 1, 2], [3, 4, 5]] and got["b"].shape == (2,)
+    files.write_results(spark.createDataFrame([(1, 0.5)], "run int, mae double"), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first().mae == "0.5"
+    files.write_runs(spark.createDataFrame([(3, 0.5), (4, 1.5)], "run_id int, v double"), str(tmp_path / "runs"))
+    assert spark.read.parquet(str(tmp_path / "runs")).where("run_id = 4").first().v == 1.5
+
+
+def test_finding_runs_and_columns(spark, tmp_path):
+    (tmp_path / "simulation_7_mass_8300_friction_0.75.csv").write_text("a\n1\n")
+    assert files.find_run(spark, str(tmp_path), 7).endswith("simulation_7_mass_8300_friction_0.75.csv")
+    with pytest.raises(FileNotFoundError):
+        files.find_run(spark, str(tmp_path), 70)
+    assert files.missing_inputs(spark, [str(tmp_path), str(tmp_path / "no")]) == [str(tmp_path / "no")]
+    df = spark.createDataFrame([(1, 2)], "Speed int, brake int")
+    assert files.check_columns(df, ["SPEED", "GEAR", "brake"]) == (["SPEED", "brake"], ["GEAR"])
+
+
+def test_three_regimes(spark):
+    got = files.three_regimes(spark, 9, 5, 2).groupBy("target").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n")).orderBy("target").collect()
+    assert [r.n for r in got] == [30] * 3 and all(r.target + 1 <= r.lo <= r.hi <= r.target + 2 for r in got)
+    with pytest.raises(ValueError):
+        files.three_regimes(spark, 10, 5, 2)
+
+
+def test_pages_of_equal_times_and_event_windows(spark, tmp_path, monkeypatch):
+    from fahrwerk.sources import store
+
+    records = [{"dev": 1, "value": i, "timestamp": i // 3} for i in range(10)]
+    monkeypatch.setattr(store, "post", lambda url, body, retries: {"series": [r for r in records if r["timestamp"] >= body["series"]["t0"]][:4]})
+    assert [r[2] for r in store.pages({"url": ""}, 0, 99)] == list(range(10))
+    e = spark.createDataFrame([(1, "2024-01-01 00:01:00", 2.0), (1, "2024-01-01 00:09:00", 4.0), (1, "2024-01-01 00:11:00", 1.0)], "dev long, t string, value double").withColumn("t", F.to_timestamp("t"))
+    assert [(r.n, r["mean"]) for r in buffer.event_windows(e).orderBy("start").collect()] == [(2, 3.0), (1, 1.0)]
+    for _ in range(2):
+        buffer.write_once(e, 5, str(tmp_path / "sink"))
+    assert spark.read.parquet(str(tmp_path / "sink")).count() == 3
 
 
 def test_groups(spark):
