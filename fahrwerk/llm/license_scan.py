@@ -9,11 +9,12 @@ and the words that it adds, over the whole block or else over the stretch that
 shares most words with the template, apart from other licenses beside it.  The
 fall only ranks: a short notice in a long block may not show in it.
 
-Null and empty texts have no candidates.  Equal falls are ranked by the
+Null and empty texts have no candidates, and an empty table gives no rows.  Equal falls are ranked by the
 template's name.  Very long lines are scanned around their license words in
 overlapping stretches, and long runs of lines in overlapping blocks, so that
 nothing is skipped.  Rows that repeat a doc_id
-are scanned each on its own.
+are scanned each on its own, as rows of equal texts are.  Columns beyond doc_id
+and text are not read.
 """
 
 from __future__ import annotations
@@ -77,8 +78,8 @@ HINT = r"(?i)licen[cs]|copyright|rights reserved|redistribut|public domain|creat
 #: Least share of a template's words found, and of the found stretch's words that are the template's.
 FOUND, PURE = 0.85, 0.75
 LEVEL = 3
-#: Lines around candidate lines that may belong to the same license.
-AROUND = 3
+#: Characters around candidate lines that may belong to the same license: more than a template has beside its license words.
+REACH = 800
 #: Longer lines are scanned in stretches that reach at least half as many characters beyond each license word.
 STRETCH = 4000
 #: Longer runs of lines are cut into blocks of this many characters that overlap by OVERLAP, more than a template with its line breaks.
@@ -119,12 +120,20 @@ class Scanner:
             at = end + 1
         for i in hinted:
             yield lines[i]
-        for apart, around in ((1, 0), (AROUND + 1, AROUND)):
+        # Runs of candidate lines; then runs of lines that lie within reach of one, however they are wrapped.
+        for near in (False, True):
             first = 0
             for k in range(len(hinted)):
-                if k + 1 < len(hinted) and hinted[k + 1] - hinted[k] <= apart:
-                    continue
-                i, j = max(0, hinted[first] - around), min(len(lines) - 1, hinted[k] + around)
+                if k + 1 < len(hinted):
+                    gap = lines[hinted[k + 1]][0] - lines[hinted[k]][1] <= 2 * REACH if near else hinted[k + 1] - hinted[k] <= 1
+                    if gap:
+                        continue
+                i, j = hinted[first], hinted[k]
+                if near:
+                    while i and lines[hinted[first]][0] - lines[i - 1][1] <= REACH:
+                        i -= 1
+                    while j + 1 < len(lines) and lines[j + 1][0] - lines[hinted[k]][1] <= REACH:
+                        j += 1
                 if j > i:
                     start, end = lines[i][0], lines[j][1]
                     for cut in range(start, max(start + 1, end - OVERLAP), LONGEST - OVERLAP):

@@ -425,6 +425,33 @@ def test_licenses_in_long_texts_are_found():
         assert "unlicense" in [m[0] for m in scanner.scan(text)], at
 
 
+@pytest.mark.parametrize("width", [30, 40, 60, 100])
+@pytest.mark.parametrize("name", ["apache-2.0-header", "bsd-conditions", "gpl-header", "isc", "mit-permission", "mpl-2.0-header", "unlicense"])
+def test_wrapped_licenses_are_found(name, width):
+    text = prose(60, 1) + "\n" + "\n".join(textwrap.wrap(license_scan.TEMPLATES[name], width)) + "\n" + prose(60, 2)
+    assert name in [m[0] for m in license_scan.Scanner(license_scan.TEMPLATES).scan(text)]
+
+
+def test_licenses_of_one_line():
+    names = ["apache-2.0", "cc-by-4.0", "gpl-3.0", "mit", "all-rights-reserved"]
+    line = " ".join(license_scan.TEMPLATES[n] for n in names)
+    assert set(names) <= {m[0] for m in license_scan.Scanner(license_scan.TEMPLATES).scan(line)}
+
+
+def test_license_scan_equals_brute_force(spark, documents):
+    """The query against every short template in every line that holds all of its words in a row."""
+    known = {k: license_scan.words(v) for k, v in license_scan.TEMPLATES.items()}
+    want = set()
+    for r in documents.collect():
+        for line in (r.text or "").split("\n"):
+            own = license_scan.words(line)
+            want |= {(r.doc_id, k) for k, w in known.items() for i in range(len(own) - len(w) + 1) if own[i : i + len(w)] == w}
+    got = {(r.doc_id, r.license) for r in license_scan.op4_license_scans(spark, SF).collect()}
+    assert want and want <= got
+    exact = {(r.doc_id, r.license) for r in license_scan.op4_license_scans(spark, SF).where("missing = '' and added = ''").collect()}
+    assert exact == want
+
+
 def test_license_differences_are_exact():
     scanner = license_scan.Scanner(license_scan.TEMPLATES)
     assert not list(scanner.scan("He lost his driving license in the rain.\nNo copyright here."))
