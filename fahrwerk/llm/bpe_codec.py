@@ -3,16 +3,20 @@
 For a merge list in which every token is made from earlier ones, a prefix of
 a pre-token has exactly one last token: the one that ends there, starts where
 another prefix ends, and whose seam with that prefix's last token no merge
-would close.  The last tokens of the latest ``lookahead`` prefixes (the
-longest token's bytes) decide all that follows, so memory is constant; what
-all of them descend from is stable and is emitted at once.
+would close.  The lookahead is computed from the merge list: the bytes of the
+longest token that the merges build from its own bytes, as no other ever comes
+out.  The last tokens of so many latest prefixes decide all that follows; what
+all of them descend from is stable, is emitted at once and forgotten, so that
+memory doesn't grow with a pre-token's length.
 
 Texts are fed in chunks that start at a space before something else than
 white space, where the pre-tokenizer's pattern always starts anew; short
 chunks are remembered in a bounded cache.
 
-Null texts are empty: no tokens, and the digests of nothing.  Text length is
-not limited; a row is encoded as it stands, repeats included.
+Null texts are empty: no tokens, and the digests of nothing.  An empty table
+gives an empty result.  Text length is not limited; a row is encoded as it
+stands, repeats and ties included; columns beyond doc_id and text are not
+read.
 """
 
 from __future__ import annotations
@@ -63,7 +67,6 @@ class Codec:
             x, y, z = vocab[a], vocab[b], vocab[a + b]
             self.rank.setdefault((x, y), r)
             self.made.setdefault(z, (r, x, y))
-        self.lookahead = self.sufficient_lookahead()
         self.split = regex.compile(PATTERN)
         self.mark = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.seam = Bounded()
@@ -71,10 +74,11 @@ class Codec:
         self.words = Bounded(CACHE_LIMIT // 2)
         # Tokens that the merges don't build from their own bytes never come out.
         self.usable = {t: i for t, i in self.id.items() if len(t) == 1 or i in self.made}
+        self.lookahead = self.sufficient_lookahead()
 
     def sufficient_lookahead(self) -> int:
-        """Bytes after which a prefix's last token can't change what follows: the longest token's."""
-        return max(map(len, self.id))
+        """Prefixes that decide what follows: the bytes of the longest token that the merges build from its own bytes."""
+        return next(len(t) for t in sorted(self.usable, key=len, reverse=True) if self._self_made(t))
 
     def joins(self, left: int, right: int) -> bool:
         """Whether some merge would close the seam between two neighbouring tokens.
@@ -123,7 +127,7 @@ class Codec:
             yield whole
             return
         usable, joins, reach = self.usable, self.joins, self.lookahead
-        start = (None, None)
+        start = [None, None]
         live = deque([start], maxlen=reach + 1)  # (token, what it follows) of the latest prefixes
         emitted = start
         for end in range(1, len(data) + 1):
@@ -135,13 +139,15 @@ class Codec:
                 back = live[-size]
                 if back is None or (back[0] is not None and joins(back[0], token)):
                     continue
-                node = (token, back)
+                node = [token, back]
                 break
             live.append(node)
             if end % (4 * reach) == 0:
                 stable = self._common([x for x in live if x is not None], emitted)
                 yield from self._between(emitted, stable)
-                emitted = stable
+                stable[1], emitted = None, stable  # what lies before it is not needed any more
+        if live[-1] is None:
+            raise ValueError("the lookahead is too short for these merges")
         yield from self._between(emitted, live[-1])
 
     def _self_made(self, data: bytes) -> bool:

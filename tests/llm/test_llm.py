@@ -189,6 +189,70 @@ def test_token_counts_equal_the_library(documents):
     assert [counter.count(t) for t in texts] == [len(x) for x in library.encode(texts)]
 
 
+def test_lookahead_is_the_least_that_suffices():
+    codec = bpe_codec.Codec(bpe_codec.vocabulary_path("byte_bpe_50k.json"))
+    longest = max((t for t in codec.usable if codec._self_made(t)), key=len)
+    assert len(longest) == codec.lookahead
+    text = longest + longest  # not a token itself, so that the stream has to find the parts
+    right = list(codec.stream(text))
+    assert b"".join(codec.bytes[i] for i in right) == text
+    codec.lookahead -= 1
+    with pytest.raises(ValueError):
+        list(codec.stream(text))
+
+
+def test_stream_is_flat_in_memory_and_equals_the_library():
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+
+    codec = bpe_codec.codec()
+    library = Tokenizer.from_file(bpe_codec.vocabulary_path("byte_bpe_50k.json"))
+    peaks = []
+    for n in (20_000, 100_000):
+        data = "".join(RNG.choices("etaoinshrdlu", k=n))
+        ids = np.array(list(codec.stream(data.encode())))
+        assert ids.tolist() == library.encode(data).ids
+        tracemalloc.start()
+        for _ in codec.stream(data.encode()):  # seams are cached by now
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2 * peaks[0]
+
+
+def test_round_trip_digests_of_the_query(spark, documents):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe_codec.vocabulary_path("byte_bpe_50k.json"))
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_codec.op2_bpe_round_trip(spark, SF).collect()}
+    for r in documents.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+        assert got[r.doc_id] == want
+
+
+def test_token_counts_of_the_query(spark, documents):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=bpe_codec.vocabulary_path("piece_bpe_32k.model"))
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.op6_token_counts(spark, SF).collect()}
+    for r in documents.collect():
+        n = len(library.encode(r.text or ""))
+        assert got[r.doc_id] == (len((r.text or "").encode()), n, n > 4096)
+
+
+def test_media_of_the_query(spark, documents):
+    got = {r.doc_id: r for r in media_sniff.op8_media_sniffing(spark, SF).collect()}
+    seen = {}
+    for r in documents.collect():
+        raw = (r.text or "").encode()
+        data = raw + b" " * (192 * max(1, -(-len(raw) // 192)) - len(raw))
+        g = got[r.doc_id]
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]))
+        assert g.media_bytes > 0 and seen.setdefault(r.text, (g.media_sha256, g.feature)) == (g.media_sha256, g.feature)
+
+
 def test_packing_is_whole_and_tight(documents):
     from tokenizers import Tokenizer
 
@@ -471,6 +535,18 @@ def test_media_round_trip_and_carving():
         assert carved[0] is None and carved[1][0] == (kind, 13, len(media))
 
 
+def test_many_magics_stay_linear():
+    import time
+
+    for piece in (b"%PDF-1", b"PK\x03\x04", b"%PDF-1startxref"):
+        took = []
+        for n in (20_000, 80_000):
+            began = time.process_time()
+            assert media_sniff.sniff(piece * n)[0] is None
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * took[0] + 0.2
+
+
 def test_declared_types_are_corrected(spark):
     media = media_sniff.store(b"z" * 192)[0]
     df = spark.createDataFrame([(1, "pdf", bytearray(media)), (2, "wav", bytearray(b"plain")), (3, None, None)], "doc_id long, declared string, media binary")
