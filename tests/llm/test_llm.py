@@ -453,6 +453,28 @@ def test_vectors_equal_brute_force(spark):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_dense_groups_that_touch_are_joined(spark):
+    rng = np.random.default_rng(4)
+
+    def around(degrees, spread, n):
+        t = np.radians(degrees)
+        x = np.zeros((n, 12))
+        x[:, 0], x[:, 1] = np.cos(t), np.sin(t)
+        y = rng.normal(size=(n, 12))
+        y -= (y * x).sum(axis=1, keepdims=True) * x
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        return x + np.tan(np.radians(spread)) * y * rng.random((n, 1))
+
+    x = np.concatenate([around(0, 5, 90), around(11, 0, 1), around(29, 0, 1), around(40, 5, 90), around(120, 5, 60)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    link = x @ x.T >= 0.93
+    np.fill_diagonal(link, False)
+    want = union_find(range(len(x)), [(a, b) for a, b in zip(*np.nonzero(link), strict=True) if a < b])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicate_vectors(df).collect()}
+    assert len(set(want.values())) == 2 and got == {i: (int(link[i].sum()), want[i]) for i in range(len(x))}
+
+
 def test_toxicity_on_held_out_rows(spark, labels):
     docs, marks = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = toxicity.toxicity_scores(docs, marks).join(marks, "doc_id").where("held_out").select("predicted", "toxic").toPandas()
