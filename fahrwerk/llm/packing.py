@@ -10,7 +10,10 @@ the bitsets gives the counts, and the found pattern is used as often as the
 counts allow.
 
 Null texts are empty: one piece with the end id alone.  Rows that repeat a
-doc_id are packed as often as they occur.  No id is dropped or repeated.
+doc_id are packed as often as they occur, each with its own pieces.  No id is
+dropped or repeated.  Pieces of equal length are taken in order of doc_id and
+start; very long texts give many full pieces.  An empty table gives an empty
+result; columns beyond doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -9,8 +9,11 @@ trigrams run over every document.  Matches are leftmost and do not overlap;
 those that fail a rule's length are dropped afterwards.
 
 Null texts are empty and hold nothing.  Rows that repeat a doc_id share
-candidates, and each row's own text decides.  Columns beyond doc_id and text
-are not read.
+candidates, and each row's own text decides.  Of matches of two kinds that
+start at one place the kind listed first comes first.  Very long texts are
+scanned whole.  An empty table gives an empty result.  Columns beyond doc_id
+and text are not read; ``scan_secrets`` and ``redact`` keep them, whatever
+their names.
 """
 
 from __future__ import annotations

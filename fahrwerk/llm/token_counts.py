@@ -8,7 +8,10 @@ piece counts one, all others are merged by the library, each distinct one
 once while it stays in a bounded cache.
 
 Null texts are empty and count 0.  Texts that hold the library's own mark
-for a space are given to it whole.
+for a space are given to it whole.  Rows are counted each on its own, so rows
+that repeat a doc_id or a text have equal counts (there are no ties to break);
+very long texts are cut in the same way.  An empty table gives an empty
+result; columns beyond doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -71,6 +71,46 @@ def test_odd_rows(name, odd):
         assert n == odd.count()
 
 
+def test_values_of_odd_rows(odd, labels):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    by_id = collections.defaultdict(list)
+    for r in odd.collect():
+        by_id[r.doc_id].append(r.text or "")
+    tokens = lambda name, t: Tokenizer.from_file(bpe_codec.vocabulary_path(name)).encode(t, add_special_tokens=False).ids
+    rows_of = lambda df: collections.Counter(tuple(r) for r in df.collect())
+    each = lambda f: collections.Counter((d, *f(t)) for d, ts in by_id.items() for t in ts)
+
+    assert rows_of(OPERATORS["bpe"](odd).select("doc_id", "n_tokens")) == each(lambda t: (len(tokens("byte_bpe_50k.json", t)),))
+    piece = sentencepiece.SentencePieceProcessor(model_file=bpe_codec.vocabulary_path("piece_bpe_32k.model"))
+    assert rows_of(OPERATORS["counts"](odd).select("doc_id", "n_bytes", "n_tokens")) == each(lambda t: (len(t.encode()), len(piece.encode(t))))
+    assert rows_of(OPERATORS["media"](odd).select("doc_id", "n_bytes", "payload_bytes")) == each(lambda t: (len(t.encode()), 192 * max(1, -(-len(t.encode()) // 192))))
+    packed = collections.Counter()
+    for r in OPERATORS["packing"](odd).collect():
+        packed[r.doc_id] += r.length
+    assert packed == {d: sum(len(tokens("word_bpe_49k.json", t)) + 1 for t in ts) for d, ts in by_id.items()}
+
+    got = rows_of(OPERATORS["secrets"](odd).select("doc_id", "n_assign", "n_access", "n_hex"))
+    assert got == each(lambda t: (1, 1, 0) if t.startswith("AKIA") else (0, 0, 0))
+    got = rows_of(OPERATORS["redact"](odd).select("doc_id", F.coalesce("text", F.lit(""))))
+    assert got == each(lambda t: ("[SECRET] [SECRET]",) if t.startswith("AKIA") else (t,))
+    assert OPERATORS["licenses"](odd).count() == 0
+
+    copies = {5, 6, 7, 8}
+    got = rows_of(OPERATORS["ngram"](odd).select("doc_id", "n_shingles", "component_id"))
+    assert got == collections.Counter((d, len(shingles(t)), 5 if d in copies else d) for d, ts in by_id.items() for t in ts)
+    assert {r.doc_id for r in OPERATORS["substring"](odd).collect()} == copies - {5}
+    left = rows_of(OPERATORS["drop_repeats"](odd).select("doc_id", F.coalesce("text", F.lit(""))))
+    assert left == collections.Counter({(d, "and one more" if d == 8 else t): 1 for d, ts in by_id.items() for t in ts if d not in (6, 7)}) + collections.Counter({(5, by_id[5][0]): 2})
+
+    scores = toxicity.toxicity_scores(odd, labels).collect()
+    equal = collections.defaultdict(set)
+    for r in scores:
+        equal[tuple(by_id[r.doc_id])].add(r.score)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in scores) and all(len(x) == 1 for x in equal.values())
+
+
 def test_columns_with_clashing_names_are_kept(spark):
     names = ["rules", "found", "key", "spans", "row", "cid", "comp", "bucket", "score", "_id", "Found"]
     base = prose(80, 4)
