@@ -38,11 +38,25 @@ def free_names(table: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back (cuts lineage)."""
+#: Rows that a task hands to Python at once: few enough for batches of long texts to stay small in memory.
+BATCH = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, batch: int = BATCH) -> DataFrame:
+    """Writes a table to the shared folder and reads it back (cuts lineage).
+
+    ``batch`` is the number of rows in a batch for Python while it is
+    written: less for rows that hold many others.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_KEY)
+    spark.conf.set(_BATCH_KEY, str(min(batch, int(before)) if int(before) > 0 else batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_KEY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._llm_path = path
     return out

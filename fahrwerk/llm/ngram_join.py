@@ -53,7 +53,9 @@ CHOICES = ((0, 1), (0, 2), (1, 2))
 #: Groups of up to so many sets give all their pairs.
 SMALL = 32
 #: Sets and elements of a block of a larger group.
-BLOCK, BLOCK_ELEMENTS = 1024, 250_000
+BLOCK, BLOCK_ELEMENTS = 512, 250_000
+#: Groups, each with all its members, that a task hands to Python at once.
+GROUPS_AT_ONCE = 16
 #: Shingles that are compared at once.
 COLUMNS = 2048
 CHUNK = 256
@@ -465,7 +467,7 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFram
     # Each set with the partner it meets most, and in three of its groups.
     closest = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
     few = kept.where((F.col("rank") == 1) | (F.col("rank") == F.col("spare")) | (F.col("rank") == F.floor((F.col("spare") + 1) / 2)))
-    begun = materialize(closest.union(group_links(few.select("gid", "cid", F.col("cid").alias("comp")).distinct(), sets, percent)).distinct())
+    begun = materialize(closest.union(group_links(few.select("gid", "cid", F.col("cid").alias("comp")).distinct(), sets, percent)).distinct(), GROUPS_AT_ONCE)
     links = confirmed(begun, sets, percent)
     comps = materialize(connected_components(links).toDF("cid", "comp"))
 
@@ -474,7 +476,7 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFram
     members = materialize(kept.select("gid", "cid").distinct().join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).select("gid", "cid", "comp"))
     more = confirmed(apart, sets, percent)
     for bits in (32, 64):
-        found = materialize(group_links(members, sets, percent, bits))
+        found = materialize(group_links(members, sets, percent, bits), GROUPS_AT_ONCE)
         rest = confirmed(found, sets, percent)
         if bits == 64 or rest.count() == found.count():
             break

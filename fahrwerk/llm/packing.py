@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .merges import Merges
-from .vocab import CACHE_LIMIT, vocabulary_path
+from .vocab import vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 2048
 END_ID = 1
 DOCS_PER_SHARD = 4096
 CACHED_CHARS = 48
+#: Words that a worker remembers (some 60 MB).
+CACHE_LIMIT = 300_000
 #: Fixed value: how the vocabulary's pattern ends; a run of letters is one pre-token, other marks but single digits are another.
 WORD_PATTERN = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _MARKS = re.compile("[\u0300-\U0010ffff]")

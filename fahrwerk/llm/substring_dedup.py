@@ -53,11 +53,13 @@ IDENTITY = 0.8
 SEED_WEIGHT = 5.0
 GAP_COST = 0.1
 #: Ids of documents are broadcast up to this number; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
+#: Documents, each with all it needs of earlier ones, that a task hands to Python at once.
+DOCS_AT_ONCE = 200
 #: Words of a block of an earlier document.
 FETCH = 64
 #: Bytes of the texts of a slice, and documents whose seeds meet in a bucket on average.
-SLICE = 2_000_000
+SLICE = 1_000_000
 DOCS_PER_BUCKET = 10_000
 
 
@@ -464,7 +466,7 @@ def repeated_passages(documents: DataFrame, least: int = LEAST, identity: float
     fetched = fetched.groupBy("a", "block").agg(F.min("words").alias("words"))
     given = asked.join(fetched, ["a", "block"]).groupBy("b").agg(F.collect_list(F.struct("a", "block", "words")).alias("fetched"))
     own = _of(docs, materialize(found.select(F.col("b").alias("doc_id")))).groupBy(F.col("doc_id").alias("b")).agg(F.min("text").alias("text"))
-    out = materialize(own.join(found, "b").join(given, "b").select("b", "text", "a", "size", "p", "q", "fetched").mapInArrow(_aligned(least, identity), PASSAGE))
+    out = materialize(own.join(found, "b").join(given, "b").select("b", "text", "a", "size", "p", "q", "fetched").mapInArrow(_aligned(least, identity), PASSAGE), DOCS_AT_ONCE)
     release(found, asked, ids)
     return out
 
