@@ -35,12 +35,14 @@ environment struct<simulatorSettings: struct<map_friction: double>,
 SERIES = "series array<struct<dev: bigint, value: string, x: double, y: double, z: double, timestamp: bigint>>"
 
 
+#: Mass and friction of each group of twenty runs, in order.
+SETTINGS = [
+    (8300, 1.0), (10900, 1.0), (13500, 1.0), (13500, 1.0), (10900, 1.0), (8300, 0.75),
+    (10900, 0.75), (13500, 0.75), (13500, 0.5), (10900, 0.5), (8300, 0.5),
+]
+GROUPS = [(f"group_{i + 1}", 20 * i + 1, 20 * i + 20, m, f) for i, (m, f) in enumerate(SETTINGS)]
+
+
 def physics_groups(spark: SparkSession) -> DataFrame:
     """The eleven groups of twenty runs: lo and hi run number, vehicle mass, road friction."""
-    # Mass and friction of each group, in order.
-    settings = [
-        (8300, 1.0), (10900, 1.0), (13500, 1.0), (13500, 1.0), (10900, 1.0), (8300, 0.75),
-        (10900, 0.75), (13500, 0.75), (13500, 0.5), (10900, 0.5), (8300, 0.5),
-    ]
-    rows = [(f"group_{i + 1}", 20 * i + 1, 20 * i + 20, m, f) for i, (m, f) in enumerate(settings)]
-    return spark.createDataFrame(rows, "group string, lo int, hi int, mass int, friction double")
+    return spark.createDataFrame(GROUPS, "group string, lo int, hi int, mass int, friction double")

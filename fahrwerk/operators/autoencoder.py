@@ -81,3 +81,19 @@ def lstm_reconstruct(x: np.ndarray, layers: dict[str, list[dict]], out: tuple[np
     for w in layers["decoder"]:
         h = lstm(h, w)
     return h @ out[0].T + out[1]
+
+
+def lstm_errors(windows: DataFrame, layers: dict[str, list[dict]], out: tuple[np.ndarray, np.ndarray], signals: int, middle: bool = False) -> DataFrame:
+    """Mean absolute error of each signal of a window that a trained LSTM autoencoder gives back, or its error at the middle row.
+
+    ``windows`` has column v, signals side by side in time.  The weights, as
+    large as the model, go to every task; windows come in batches.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(v: pd.Series) -> pd.Series:
+        x = np.stack(v.to_list()).reshape(len(v), -1, signals)
+        e = np.abs(x - lstm_reconstruct(x, layers, out))
+        return pd.Series(list(e[:, e.shape[1] // 2] if middle else e.mean(axis=1)))
+
+    return windows.withColumn("error", run("v"))

@@ -8,13 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MOST_CENTROIDS = 10_000
+
+
 def distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two arrays."""
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
 def with_distances(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Each point with each centroid (centroid, c, and more): centroids are one per cluster, a number that the caller fixes."""
+    """Each point with each centroid (centroid, c, and more).
+
+    Centroids are one per cluster, a number that the caller fixes; that they
+    are few is checked, as every task gets them all.
+    """
+    n = centroids.count()
+    if n > MOST_CENTROIDS:
+        raise ValueError(f"{n} centroids are more than {MOST_CENTROIDS}")
     return points.crossJoin(F.broadcast(centroids)).withColumn("d", distance(F.col("v"), F.col("c")))
 
 

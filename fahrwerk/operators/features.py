@@ -254,12 +254,3 @@ def squeezed(x: np.ndarray, fs: float = SAMPLE_HZ, voices: int = 8) -> tuple[np.
 def squeezed_energy(values: pd.Series) -> pd.Series:
     """Mean magnitude of each row of the squeezed spectrogram, highest frequency first; null for fewer than ten values or none but 0."""
     return pd.Series([squeezed(np.asarray(v, float))[0].mean(axis=1) if v is not None and len(v) >= 10 and np.any(v) else None for v in values])
-
-
-def spectral_rows(windows: DataFrame, value: str, size: int) -> DataFrame:
-    """The spectrum by a join with frequency bins: run_id, win, bin, mag (for checks against SQL)."""
-    x = windows.select("run_id", "win", F.posexplode(value).alias("i", "x"))
-    bins = F.explode(F.sequence(F.lit(0), F.lit(size // 2 - 1)))
-    angle = 2 * np.pi / size * F.col("bin") * F.col("i")
-    parts = x.select("*", bins.alias("bin")).groupBy("run_id", "win", "bin").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"))
-    return parts.select("run_id", "win", "bin", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("mag"))

@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec, geo, labels, text, units
-from ..model import physics_groups
+from ..model import GROUPS, physics_groups
 from ..operators import autoencoder, cluster, features, joins, pricing, reduction
 from ..operators import sequence as sq
 from ..streaming import buffer
 from .base import ORACLES, QUERIES, query, r  # noqa: F401
 from ..sources.telemetry import FEAT_SQL, SHIP_SQL, TELE_SQL, map_features, shipments, table, telemetry
 
-GROUPS_SQL = """grp as (select * from (values ('group_1',1,20,8300,1.0::double),('group_2',21,40,10900,1.0),('group_3',41,60,13500,1.0),('group_4',61,80,13500,1.0),
- ('group_5',81,100,10900,1.0),('group_6',101,120,8300,0.75),('group_7',121,140,10900,0.75),('group_8',141,160,13500,0.75),('group_9',161,180,13500,0.5),
- ('group_10',181,200,10900,0.5),('group_11',201,220,8300,0.5)) g(grp, lo, hi, mass, friction))"""
+_ROWS = ", ".join(f"('{n}', {lo}, {hi}, {m}, {f}::double)" for n, lo, hi, m, f in GROUPS)
+GROUPS_SQL = f"grp as (select * from (values {_ROWS}) g(grp, lo, hi, mass, friction))"
 PRICE_SQL = """case when context is null then 1.0::double when contains(lower(context), 'road') then 1.0::double
  when contains(lower(context), 'ramp') and try_cast(split_part(context, '_', 3) as double) is null then 3.0::double
  when contains(lower(context), 'ramp') and contains(split_part(context, '_', 2), 'asc') then 2.0::double + 1.5::double * try_cast(split_part(context, '_', 3) as double)

@@ -50,3 +50,39 @@ def event_windows(events: DataFrame, length: str = "10 minutes", late: str = "30
 def write_once(batch: DataFrame, batch_id: int, path: str) -> None:
     """A sink for foreachBatch: a batch that is written again replaces itself."""
     batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+POINTER = "run_id long, rid long, t long, ego long"
+
+
+def pointer_walk(rows: DataFrame) -> DataFrame:
+    """The pointer walk of ``joins.asof_pointer`` on a stream of rows (run_id, t, rid), where an ego time has no rid.
+
+    A row is decided once an ego time after it has come; until then it waits
+    in its run's state, beside the ego times from the pointer on.  Times of a
+    run come in order, batch by batch.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        begun, egos, ts, ids = state.get if state.exists else (False, [], [], [])
+        egos, waiting = list(egos), list(zip(ts, ids, strict=True))
+        for b in batches:
+            ego = b["rid"].isna()
+            egos += b.loc[ego, "t"].tolist()
+            waiting += list(zip(b.loc[~ego, "t"].tolist(), b.loc[~ego, "rid"].astype("int64").tolist(), strict=True))
+        egos.sort()
+        waiting.sort()
+        out = []
+        while waiting and egos and egos[-1] > waiting[0][0]:
+            t, rid = waiting.pop(0)
+            if not begun:  # the latest time strictly before the first row, or the first
+                begun, before = True, [e for e in egos if e < t]
+                egos = egos[max(len(before) - 1, 0) :]
+            if len(egos) > 1 and egos[0] < t < egos[1]:
+                egos.pop(0)
+            out.append((key[0], rid, t, egos[0]))
+        state.update((begun, egos, [t for t, _ in waiting], [i for _, i in waiting]))
+        if out:
+            yield pd.DataFrame(out, columns=["run_id", "rid", "t", "ego"])
+
+    return rows.groupBy("run_id").applyInPandasWithState(run, POINTER, "begun boolean, egos array<long>, ts array<long>, ids array<long>", "append", GroupStateTimeout.NoTimeout)

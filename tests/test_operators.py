@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fahrwerk.functions import codec, geo, labels, text, units
-from fahrwerk.operators import autoencoder, cluster, features, joins, pricing
+from fahrwerk.operators import autoencoder, cluster, features, joins, pricing, reduction
 from fahrwerk.operators import sequence as sq
 
 
@@ -218,3 +218,44 @@ def test_lstm_shapes():
     x = rng.normal(size=(2, 30, 3))
     out = autoencoder.lstm_reconstruct(x, {"encoder": [layer(3, 5), layer(5, 2)], "decoder": [layer(2, 5)]}, (rng.normal(size=(3, 5)), np.zeros(3)))
     assert out.shape == x.shape
+
+
+def test_lstm_errors_of_known_weights(spark):
+    # One unit whose gates stay open copies nothing: with zero weights the output is the bias alone.
+    zero = {"ih": np.zeros((8, 2)), "hh": np.zeros((8, 2)), "b": np.zeros(8)}
+    layers, out = {"encoder": [zero], "decoder": [zero]}, (np.zeros((2, 2)), np.array([1.0, -1.0]))
+    w = spark.createDataFrame([(1, [1.0, -1.0, 3.0, -1.0, 1.0, 2.0])], "run_id long, v array<double>")
+    assert np.allclose(autoencoder.lstm_errors(w, layers, out, 2).first().error, [2 / 3, 1.0])
+    assert np.allclose(autoencoder.lstm_errors(w, layers, out, 2, middle=True).first().error, [2.0, 0.0])
+    rng = np.random.default_rng(1)
+    cell = {"ih": rng.normal(size=(12, 2)), "hh": rng.normal(size=(12, 3)), "b": rng.normal(size=12)}
+    x, h, c = rng.normal(size=(1, 4, 2)), np.zeros(3), np.zeros(3)
+    for t in range(4):
+        z = cell["ih"] @ x[0, t] + cell["hh"] @ h + cell["b"]
+        gate = 1 / (1 + np.exp(-z))
+        c = gate[3:6] * c + gate[:3] * np.tanh(z[6:9])
+        h = gate[9:] * np.tanh(c)
+        assert np.allclose(autoencoder.lstm(x, cell)[0, t], h)
+
+
+def test_too_many_centroids_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "MOST_CENTROIDS", 1)
+    p = spark.createDataFrame([(1, [0.0])], "id long, v array<double>")
+    c = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "centroid long, c array<double>")
+    with pytest.raises(ValueError):
+        cluster.with_distances(p, c)
+
+
+def test_reducers_by_name(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 2, [float(i % 2) + 0.01 * rng.normal(), *rng.normal(size=3).tolist()]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, label long, v array<double>")
+    for name in ("anova", "mutual_information"):
+        r = reduction.fit_reducer(df, name, 4, "label", k=1)
+        assert r.indices == [0]
+    for name, width in (("pca", 4), ("incremental_pca", 4), ("none", 4), ("hybrid", 2)):
+        out = reduction.fit_reducer(df, name, 4, "label", k=2, select=3).apply(df)
+        assert {len(r[-1]) for r in out.select("z").collect()} == {width}, name
+    for name, error in (("umap", RuntimeError), ("other", ValueError)):
+        with pytest.raises(error):
+            reduction.fit_reducer(df, name, 4)

@@ -159,3 +159,19 @@ def test_zipped_contexts(spark):
     df = spark.createDataFrame([(base64.b64encode(raw.getvalue()).decode(),), ("bm8=",), (None,)], "value string")
     assert zipped_contexts(df, "value", "abc").count() == 1
     assert [r.until for r in time_slices(spark.createDataFrame([(0, 3_500_000)], "t0 long, tf long")).collect()] == [1_000_000, 2_000_000, 3_000_000]
+
+
+def test_pointer_walk_on_a_stream(spark, tmp_path):
+    from fahrwerk.operators import joins
+
+    rows = [(1, t, None) for t in (0, 10, 20, 30, 40, 50, 60, 70)] + [(1, t, i) for i, t in enumerate([5, 15, 15, 20, 25, 36, 45, 66])] + [(2, 3, 0), (2, 9, None), (2, 4, 1)]
+    schema, src = "run_id long, t long, rid long", str(tmp_path / "in")
+    for lo, hi in ((0, 16), (16, 37), (37, 99)):
+        spark.createDataFrame([r for r in rows if lo <= r[1] < hi], schema).coalesce(1).write.mode("append").parquet(src)
+    q = buffer.pointer_walk(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    all_rows = spark.createDataFrame(rows, schema)
+    want = joins.asof_sequential(all_rows.where("rid is not null"), all_rows.where("rid is null"), "run_id")
+    key = lambda df: sorted((r.run_id, r.rid, r.t, r.ego) for r in df.collect())
+    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(want)
