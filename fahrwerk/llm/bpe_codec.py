@@ -52,6 +52,7 @@ class Codec:
     """Encoder and decoder of one byte-level vocabulary."""
 
     def __init__(self, path: str):
+        import ahocorasick
         import regex
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -74,6 +75,10 @@ class Codec:
         self.words = Bounded(CACHE_LIMIT // 2)
         # Tokens that the merges don't build from their own bytes never come out.
         self.usable = {t: i for t, i in self.id.items() if len(t) == 1 or i in self.made}
+        self.finder = ahocorasick.Automaton()
+        for t, i in self.usable.items():
+            self.finder.add_word(t.decode("latin-1"), (len(t), i))
+        self.finder.make_automaton()
         self.lookahead = self.sufficient_lookahead()
 
     def sufficient_lookahead(self) -> int:
@@ -210,27 +215,27 @@ class Codec:
 
     def short(self, data: bytes) -> list[int]:
         """As ``stream`` for a pre-token that is shorter than the lookahead: all of it is in view."""
-        get, seam, joins = self.usable.get, self.seam.get, self.joins
+        seam, joins = self.seam.get, self.joins
         n = len(data)
         last, back = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(end):
-                token = get(data[start:end])
-                if token is None:
-                    continue
+        # The tokens that end at each place, the longest first.
+        for end, (size, token) in self.finder.iter(data.decode("latin-1")):
+            end += 1
+            if last[end] >= 0:
+                continue
+            start = end - size
+            if start:
                 before = last[start]
-                if start:
-                    if before < 0:
-                        continue
-                    closed = seam((before, token))
-                    if closed is None:
-                        closed = joins(before, token)
-                    if closed:
-                        continue
-                elif not self._self_made(data[:end]):
+                if before < 0:
                     continue
-                last[end], back[end] = token, start
-                break
+                closed = seam((before, token))
+                if closed is None:
+                    closed = joins(before, token)
+                if closed:
+                    continue
+            elif not self._self_made(data[:end]):
+                continue
+            last[end], back[end] = token, start
         out = []
         while n:
             out.append(last[n])
