@@ -43,18 +43,19 @@ BATCH = 1000
 _BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def materialize(df: DataFrame, batch: int = BATCH) -> DataFrame:
+def materialize(df: DataFrame, batch: int = BATCH, by: str | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back (cuts lineage).
 
     ``batch`` is the number of rows in a batch for Python while it is
-    written: less for rows that hold many others.
+    written: less for rows that hold many others.  ``by`` names a column whose
+    few values get a folder each, so that a filter on it reads no more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
     before = spark.conf.get(_BATCH_KEY)
     spark.conf.set(_BATCH_KEY, str(min(batch, int(before)) if int(before) > 0 else batch))
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(_BATCH_KEY, before)
     out = spark.read.schema(df.schema).parquet(path)

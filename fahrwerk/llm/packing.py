@@ -37,7 +37,7 @@ WINDOW = 2048
 END_ID = 1
 DOCS_PER_SHARD = 4096
 CACHED_CHARS = 48
-#: Words that a worker remembers (some 60 MB).
+#: Words that a task remembers (some 60 MB); they go with it, as workers are used again for other operators.
 CACHE_LIMIT = 300_000
 #: Fixed value: how the vocabulary's pattern ends; a run of letters is one pre-token, other marks but single digits are another.
 WORD_PATTERN = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -135,6 +135,7 @@ def _pieces(name: str, window: int):
                         crc.append(zlib.crc32(part))
                         total.append(n)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, length, crc, total)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        w.known = {"": b""}
 
     return run
 
