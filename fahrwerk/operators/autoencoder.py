@@ -25,6 +25,13 @@ def frames(df: DataFrame, signals: list[str], size: int = WINDOW) -> DataFrame:
     return df.select("run_id", "seq", F.flatten(rows).alias("v"), F.size(rows).alias("n")).where(F.col("n") == size).drop("n")
 
 
+def tumbling_frames(df: DataFrame, signals: list[str], size: int = WINDOW) -> DataFrame:
+    """Windows one after the other, signals side by side: run_id, win, v; an unfinished last one is dropped."""
+    rows = F.sort_array(F.collect_list(F.struct("seq", F.array(*[F.col(s).cast("double") for s in signals]).alias("x"))))
+    w = df.groupBy("run_id", F.floor(F.col("seq") / size).alias("win")).agg(rows.alias("r")).where(F.size("r") == size)
+    return w.select("run_id", "win", F.flatten(F.transform("r", lambda x: x["x"])).alias("v"))
+
+
 def fit_linear(windows: DataFrame, width: int, parts: int = 8):
     """Mean and components of the windows that count as normal."""
     mean, top, _ = pca(windows, "v", width, share=1.0, least=parts, most=parts)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import autoencoder, cluster, features, pricing
+from ..operators import autoencoder, cluster, features, lstm_training, pricing
 from ..operators import sequence as sq
 from ..sources.telemetry import SHIP_SQL, TELE_SQL, shipments, telemetry
 from .base import query, r
@@ -234,6 +234,22 @@ def window_errors(spark, sf_dir):
     return autoencoder.window_errors(w, mean, top, 4).select("run_id", "seq", F.transform("error", lambda x: F.round(x, 5)).alias("error"))
 
 
+def lstm_windows(spark, sf_dir) -> DataFrame:
+    """Windows of four signals with their physics group and their part of the split."""
+    s = shipments(spark, sf_dir)
+    w = autoencoder.tumbling_frames(s, ["quantity", "price", "discount", "tax"])
+    return with_groups(sq.random_split(w, ["run_id", "win"])).select("grp", "run_id", F.col("win").alias("seq"), "v", "part")
+
+
+@query()
+def lstm_test_errors(spark, sf_dir):
+    """Errors of each signal in the test windows, by an LSTM autoencoder that is trained for each physics group."""
+    w = lstm_windows(spark, sf_dir)
+    models = lstm_training.fit(w, 4, hidden=(24, 12, 6), epochs=12)
+    e = lstm_training.errors(w.where("part = 'test'"), models)
+    return e.select("grp", "run_id", F.col("seq").alias("win"), F.transform("error", lambda x: F.round(x, 5)).alias("error"))
+
+
 @query(f"with {TELE_SQL} select event_id, 'simulation_' || run_id || '_mass_' || (run_id % 3) || '_friction_' || (k % 4) / 4.0::double as name, cast(run_id as int) as id, make_timestamp(seq * 1000000) as t, {GENERIC_SQL} as generic from tele")
 def names_and_times(spark, sf_dir):
     """File names of runs, the id that splitting them gives, and row numbers as times."""
