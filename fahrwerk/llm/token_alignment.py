@@ -37,6 +37,7 @@ import hashlib
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,74 +54,81 @@ FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of the texts of a slice; a longer text is a slice of its own.
 SLICE = 2_000_000
 #: Chunks of up to so many characters are remembered, so many of them.
-CACHED_CHARS, CACHE_LIMIT = 48, 200_000
+CACHED_CHARS, CACHE_LIMIT = 48, 250_000
+#: New chunks that are aligned at once, and those that are encoded as one string.
+TOGETHER, STRING = 20_000, 200
 SPACE = "▁"
 _CUT = re.compile(r"(?<=\S)(?= )")
 _RUN = re.compile(r"\s ")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
-def gallop(short: list[int], long: list[int]) -> list[int]:
-    """For each number of an ascending list, how many of the longer ascending list are below it."""
-    out, low, n = [], 0, len(long)
-    for x in short:
-        # Steps double until the number isn't below x.
-        step, high = 1, low
-        while high < n and long[high] < x:
-            low = high + 1
-            high += step
-            step *= 2
-        high = min(high, n)
-        while low < high:
-            mid = (low + high) // 2
-            if long[mid] < x:
-                low = mid + 1
-            else:
-                high = mid
-        out.append(low)
-    return out
+def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of the runs of values that begin at offsets (one more at the end); runs may be empty."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def align_ends(a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(places in a and b of the common ends, places of tokens whose bytes overlap) of two lists that end at the same offset."""
-    if len(a) > len(b):
-        both, links = align_ends(b, a)
-        return [(i, j) for j, i in both], [(i, j) for j, i in links]
-    both, links, begin = [], [], 0
-    for i, rank in enumerate(gallop(a, b)):
+def gallop(short: np.ndarray, long: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each number of ``short`` the first place between its ``low`` and ``high`` where ``long``, ascending there, isn't below it.
+
+    All searches go on side by side: steps double until the number isn't
+    below, then the last step is bisected.
+    """
+    low, top = low.copy(), high
+    high, step, live = low.copy(), 1, np.arange(len(short))
+    while len(live):
+        live = live[high[live] < top[live]]
+        live = live[long[high[live]] < short[live]]
+        low[live] = high[live] + 1
+        high[live] += step
+        step *= 2
+    high = np.minimum(high, top)
+    live = np.flatnonzero(low < high)
+    while len(live):
+        mid = (low[live] + high[live]) // 2
+        below = long[mid] < short[live]
+        low[live] = np.where(below, mid + 1, low[live])
+        high[live] = np.where(below, high[live], mid)
+        live = live[low[live] < high[live]]
+    return low
+
+
+def align_ends(a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places in a and in b of the common ends, places in a and in b of tokens whose bytes overlap).
+
+    Both lists of ends are cut into chunks that begin at ``first_a`` and
+    ``first_b`` (one more at the end) and end at the same offsets.  In each
+    chunk the shorter list drives.
+    """
+    a_drives = np.diff(first_a) <= np.diff(first_b)
+    found = []
+    for short, long, first, other, drives in ((a, b, first_a, first_b, a_drives), (b, a, first_b, first_a, ~a_drives)):
+        size = np.where(drives, np.diff(first), 0)
+        chunk = np.repeat(np.arange(len(size)), size)
+        i = np.arange(len(chunk)) + np.repeat(first[:-1] - (np.cumsum(size) - size), size)
+        rank = gallop(short[i], long, other[:-1][chunk], other[1:][chunk])
+        same = long[rank] == short[i] if len(i) else np.zeros(0, bool)
         # From the token in which the last end lies, or behind it, to the one in which this end lies.
-        links += [(i, j) for j in range(begin, rank + 1)]
-        begin = rank
-        if b[rank] == a[i]:
-            both.append((i, rank))
-            begin += 1
-    return both, links
-
-
-class Chunk:
-    """What a chunk of text gives: numbers of tokens and groups, linked id pairs (A << 16 | B) and the groups as text."""
-
-    __slots__ = ("good", "groups", "links", "n_a", "n_b", "n_groups")
-
-    def __init__(self, a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray, good: bool):
-        self.good = good
-        if not good:
-            self.n_a = self.n_b = self.n_groups = 0
-            self.links, self.groups = np.zeros(0, np.uint32), b""
-            return
-        ends_a, ends_b = np.cumsum(size_a[a]).tolist(), np.cumsum(size_b[b]).tolist()
-        both, links = align_ends(ends_a, ends_b)
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), len(both)
-        self.links = np.array([a[i] << 16 | b[j] for i, j in links], np.uint32)
-        parts, i, j = [], 0, 0
-        for k, m in both:
-            parts.append(f"{','.join(map(str, a[i : k + 1]))}|{','.join(map(str, b[j : m + 1]))}")
-            i, j = k + 1, m + 1
-        self.groups = ";".join(parts).encode()
+        begin = np.concatenate([[0], rank + same])[:-1]
+        head = i == first[:-1][chunk]
+        begin[head] = other[:-1][chunk][head]
+        n = rank - begin + 1
+        spread = np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
+        pair = (i[same], rank[same], np.repeat(i, n), spread)
+        found.append(pair if short is a else (pair[1], pair[0], pair[3], pair[2]))
+    both_a, both_b, link_a, link_b = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(both_a)
+    return both_a[order], both_b[order], link_a, link_b
 
 
 class Aligner:
-    """Both tokenizers, and the chunks that were aligned last."""
+    """Both tokenizers, and the chunks that were aligned last.
+
+    Of each chunk are kept its numbers of tokens and groups, its linked id
+    pairs (A << 16 | B) and its groups as text; ``good`` says whether both
+    tokenizers give its bytes back.
+    """
 
     def __init__(self, first: str, second: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -143,7 +151,16 @@ class Aligner:
             byte = _BYTE.fullmatch(piece)
             self.bytes_b.append(bytes([int(byte[1], 16)]) if byte else piece.replace(SPACE, " ").encode("utf-8"))
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.known: dict[str, Chunk] = {}
+        # Ids as text with what follows them: a comma, a bar (A) or a semicolon (B) at a group's end.
+        most = max(len(self.bytes_a), len(self.bytes_b))
+        self.decimal = np.array([f"{i}{mark}".encode() for mark in ",|;" for i in range(most)], object)
+        self.width = np.array([len(x) for x in self.decimal], np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.figures = np.zeros((4, 0), np.int64)
+        self.links, self.groups = [], []
 
     def encode_b(self, parts: list[str]) -> list[list[int]]:
         """B's ids of chunks, each without its first space; an empty one is a space at the end of a text."""
@@ -153,16 +170,72 @@ class Aligner:
             out = [ids if p else last for p, ids in zip(parts, out, strict=True)]
         return out
 
-    def align(self, parts: list[str]) -> list[Chunk]:
-        """Chunks, each given without its first space."""
-        raw = [f" {p}".encode() for p in parts]
+    def tokens(self, parts: list[str], ends: np.ndarray, whole: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None:
+        """For A and B all ids of these strings, their ends in bytes, and which of them begin a chunk (ends of chunks are given); None if bytes or bounds differ."""
         out = []
-        for text, e, b in zip(raw, self.a.encode_batch_fast([f" {p}" for p in parts], add_special_tokens=False), self.encode_b(parts), strict=True):
-            a = e.ids
-            good = b"".join(map(self.bytes_a.__getitem__, a)) == text == b"".join(map(self.bytes_b.__getitem__, b))
-            out.append(Chunk(a, b, self.size_a, self.size_b, good))
+        for lists, bytes_, sizes in (([e.ids for e in self.a.encode_batch_fast([f" {p}" for p in parts], add_special_tokens=False)], self.bytes_a, self.size_a), (self.encode_b(parts), self.bytes_b, self.size_b)):
+            ids = list(chain.from_iterable(lists))
+            if b"".join(map(bytes_.__getitem__, ids)) != whole:
+                return None
+            ids = np.array(ids, np.int64)
+            at = np.cumsum(sizes[ids])
+            last = np.searchsorted(at, ends)
+            if not np.array_equal(at[last], ends):
+                return None
+            out.append((ids, at, np.concatenate([[0], last + 1])))
         return out
 
+    def learn(self, parts: list[str]) -> None:
+        """Aligns new chunks, given without their first space."""
+        # Chunks that end in something else than white space may follow each other in one string.
+        plain = [p for p in parts if p and not p[-1].isspace()]
+        other = [p for p in parts if not p or p[-1].isspace()]
+        for i in range(0, len(plain), TOGETHER):
+            self._learn(plain[i : i + TOGETHER], True)
+        if other:
+            self._learn(other, False)
+
+    def _learn(self, parts: list[str], joined: bool) -> None:
+        raw = [f" {p}".encode() for p in parts]
+        size, whole = np.array([len(x) for x in raw], np.int64), b"".join(raw)
+        strings = [" ".join(parts[i : i + STRING]) for i in range(0, len(parts), STRING)] if joined else parts
+        found = self.tokens(strings, np.cumsum(size), whole)
+        if found is None:
+            if len(parts) > 1:
+                for p in parts:
+                    self._learn([p], False)
+                return
+            # The tokenizers don't give this chunk back.
+            self._keep(parts, np.zeros((4, 1), np.int64), [np.zeros(0, np.uint32)], [b""])
+            return
+        (ids_a, ends_a, first_a), (ids_b, ends_b, first_b) = found
+        both_a, both_b, link_a, link_b = align_ends(ends_a, ends_b, first_a, first_b)
+        links = (ids_a[link_a] << 16 | ids_b[link_b]).astype(np.uint32)
+        of = np.searchsorted(first_a, link_a, "right") - 1
+        order = np.argsort(of, kind="stable")
+        wide = np.bincount(of, minlength=len(parts))
+        # All groups' text in one string: each group's A ids, then its B ids.
+        most = len(self.decimal) // 3
+        last_a, last_b = np.zeros(len(ids_a), bool), np.zeros(len(ids_b), bool)
+        last_a[both_a], last_b[both_b] = True, True
+        place = np.concatenate([2 * np.searchsorted(both_a, np.arange(len(ids_a))), 2 * np.searchsorted(both_b, np.arange(len(ids_b))) + 1])
+        spot = np.concatenate([ids_a + most * last_a, ids_b + 2 * most * last_b])[np.argsort(place, kind="stable")]
+        text = b"".join(self.decimal[spot].tolist())
+        letters = sums(self.width[spot], first_a + first_b)
+        stop = np.cumsum(letters)
+        groups = [text[i:j] for i, j in zip((stop - letters).tolist(), (stop - 1).tolist(), strict=True)]
+        n_groups = np.diff(np.searchsorted(both_a, first_a))
+        figures = np.stack([np.diff(first_a), np.diff(first_b), n_groups, np.ones(len(parts), np.int64)])
+        links, edge = links[order], np.cumsum(wide)
+        self._keep(parts, figures, [links[i:j] for i, j in zip((edge - wide).tolist(), edge.tolist(), strict=True)], groups)
+
+    def _keep(self, parts: list[str], figures: np.ndarray, links: list, groups: list[bytes]) -> None:
+        n = len(self.groups)
+        self.known.update(zip(parts, range(n, n + len(parts)), strict=True))
+        self.figures = np.concatenate([self.figures, figures], axis=1)
+        self.links += links
+        self.groups += groups
+
     @staticmethod
     def parts(text: str | None) -> list[str]:
         """Chunks of a text, each without its first space; none if it has no tokens."""
@@ -172,24 +245,23 @@ class Aligner:
             return text.split(" ")
         return [c[1:] for c in _CUT.split(f" {text}")]
 
-    def chunks(self, texts: list[str | None]) -> tuple[list[Chunk], list[np.ndarray]]:
-        """Distinct chunks of these texts, and each text as places in that list; texts that B or A can't give back are empty."""
+    def chunks(self, texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Numbers of the distinct chunks of these texts, and each text as places among them; empty where a chunk isn't given back."""
         parts = [self.parts(t) for t in texts]
-        found = list(dict.fromkeys(p for x in parts for p in x))
-        new = [p for p in found if p not in self.known]
+        found = set().union(*parts)
+        new = found.difference(self.known)
         if len(self.known) + len(new) > CACHE_LIMIT:
-            self.known, new = {}, found
-        self.known.update(zip(new, self.align(new), strict=True))
-        table = [self.known[p] for p in found]
-        spot = {p: i for i, p in enumerate(found)}
-        rows = [np.fromiter(map(spot.__getitem__, x), np.int32, len(x)) for x in parts]
+            self.forget()
+            new = found
+        if new:
+            self.learn(sorted(new))
+        rows = [np.fromiter(map(self.known.__getitem__, x), np.int64, len(x)) for x in parts]
+        rows = [r if self.figures[3][r].all() else r[:0] for r in rows]
+        numbers, places = np.unique(np.concatenate([*rows, np.zeros(0, np.int64)]), return_inverse=True)
         for p in new:
             if len(p) > CACHED_CHARS:
                 del self.known[p]
-        if not all(c.good for c in table):
-            good = np.array([c.good for c in table])
-            rows = [r if good[r].all() else r[:0] for r in rows]
-        return table, rows
+        return numbers, np.split(places, np.cumsum([len(r) for r in rows])[:-1])
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -201,12 +273,6 @@ def aligner(first: str = FIRST, second: str = SECOND) -> Aligner:
     return _aligners[first, second]
 
 
-def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of the runs of values that begin at offsets (one more at the end); runs may be empty."""
-    total = np.concatenate([[0], np.cumsum(values)])
-    return total[offsets[1:]] - total[offsets[:-1]]
-
-
 #: Kind 0: a slice's distinct pairs, with how many of its documents hold each.  Kind 1: the slice's documents.
 _SENT = "kind int, slice long, pair long, n long, docs binary, chunks binary"
 _SENT_NAMES = [c.split()[0] for c in _SENT.split(", ")]
@@ -225,36 +291,33 @@ def _unpacked(raw: bytes) -> list:
     return pa.ipc.open_stream(raw).read_all().columns
 
 
-def _slice(number: int, ids: pa.Array, table: list[Chunk], rows: list[np.ndarray]):
+def _slice(number: int, ids: pa.Array, both: Aligner, texts: list[str | None]):
     """What a slice sends."""
-    pairs = [np.unique(c.links) for c in table]
-    held = np.concatenate([*pairs, np.zeros(0, np.uint32)])
-    size = np.array([len(p) for p in pairs], np.int64)
-    begin = np.concatenate([[0], np.cumsum(size)])
+    numbers, rows = both.chunks(texts)
+    links = [both.links[k] for k in numbers.tolist()]
+    width = np.array([len(x) for x in links], np.int64)
+    links, begin = np.concatenate([*links, np.zeros(0, np.uint32)]), np.cumsum(width) - width
+    length = np.array([len(r) for r in rows], np.int64)
+    every = np.concatenate([*rows, np.zeros(0, np.int64)])
     # Distinct chunks of each document, then its distinct pairs.
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    keys, times = np.unique((doc.astype(np.int64) << 32) | np.concatenate([*rows, np.zeros(0, np.int32)]), return_counts=True)
+    keys, times = np.unique((np.repeat(np.arange(len(rows)), length) << 32) | every, return_counts=True)
     doc, chunk = keys >> 32, keys & 0xFFFFFFFF
-    n = size[chunk]
+    n = width[chunk]
     at = np.arange(int(n.sum())) + np.repeat(begin[chunk] - (np.cumsum(n) - n), n)
-    both = np.unique((np.repeat(doc, n).astype(np.uint64) << np.uint64(32)) | held[at])
-    pair, count = np.unique(both & np.uint64(0xFFFFFFFF), return_counts=True)
-    # Links of the chunks as places among the slice's pairs.
-    links = [c.links for c in table]
-    spots = np.searchsorted(pair, np.concatenate([*links, np.zeros(0, np.uint32)])) if len(pair) else np.zeros(0, np.int64)
-    figures = [[getattr(c, f) for c in table] for f in ("n_a", "n_b", "n_groups")]
-    per_doc = [sums(np.array(f, np.int64)[np.concatenate([*rows, np.zeros(0, np.int32)])], np.cumsum([0, *(len(r) for r in rows)])) for f in figures]
-    digest = [hashlib.sha256(b";".join([table[i].groups for i in r.tolist()])).hexdigest() if len(r) else "" for r in rows]
+    held = np.unique((np.repeat(doc, n).astype(np.uint64) << np.uint64(32)) | links[at])
+    pair, count = np.unique((held & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_counts=True)
+    per_doc = [sums(f[numbers][every], np.concatenate([[0], np.cumsum(length)])) for f in both.figures[:3]]
+    groups = [both.groups[k] for k in numbers.tolist()]
+    digest = [hashlib.sha256(b";".join(map(groups.__getitem__, r.tolist()))).hexdigest() if len(r) else "" for r in rows]
     kinds = np.bincount(doc, minlength=len(rows))
+    lists = lambda values, starts: pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values.astype(np.int32)))
     edge = np.cumsum(kinds) - kinds
-    lists = lambda values, starts, n: pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values)) if n else pa.array([], pa.list_(pa.int32()))
-    docs = _packed(ids, *(pa.array(x) for x in per_doc), pa.array(digest, pa.string()), lists(chunk.astype(np.int32), edge, len(rows)), lists(times.astype(np.int32), edge, len(rows)))
-    widths = np.array([len(x) for x in links], np.int64)
-    chunks = _packed(lists(spots.astype(np.int32), np.cumsum(widths) - widths, len(table)))
-    empty = lambda n: pa.nulls(n, pa.binary())
+    docs = _packed(ids, *(pa.array(x) for x in per_doc), pa.array(digest, pa.string()), lists(chunk, edge), lists(times, edge))
+    # Links of the chunks as places among the slice's pairs.
+    chunks = _packed(lists(np.searchsorted(pair, links), begin))
     for i in range(0, len(pair), 50_000):
         p, c = pair[i : i + 50_000].astype(np.int64), count[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(p), np.int32)), pa.array(np.full(len(p), number)), pa.array(p), pa.array(c.astype(np.int64)), empty(len(p)), empty(len(p))], _SENT_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(p), np.int32)), pa.array(np.full(len(p), number)), pa.array(p), pa.array(c.astype(np.int64)), pa.nulls(len(p), pa.binary()), pa.nulls(len(p), pa.binary())], _SENT_NAMES)
     yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([number]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([docs], pa.binary()), pa.array([chunks], pa.binary())], _SENT_NAMES)
 
 
@@ -269,15 +332,15 @@ def _slices(first: str, second: str):
                 text = texts[i].as_py()
                 length = len(text or "")
                 if waiting and size + length > SLICE:
-                    yield from _slice(number, pa.array(waiting_ids, pa.int64()), *both.chunks(waiting))
+                    yield from _slice(number, pa.array(waiting_ids, pa.int64()), both, waiting)
                     number += 1
                     waiting_ids, waiting, size = [], [], 0
                 waiting_ids.append(ids[i].as_py())
                 waiting.append(text)
                 size += length
         if waiting:
-            yield from _slice(number, pa.array(waiting_ids, pa.int64()), *both.chunks(waiting))
-        both.known = {}
+            yield from _slice(number, pa.array(waiting_ids, pa.int64()), both, waiting)
+        both.forget()
 
     return run
 
@@ -328,9 +391,9 @@ def aligned_groups(documents: DataFrame, first: str = FIRST, second: str = SECON
         for ids, texts in tv.rows(batches, ["doc_id", "text"]):
             out = []
             for i in range(0, len(ids), 64):
-                table, rows = both.chunks(texts.slice(i, 64).to_pylist())
+                numbers, rows = both.chunks(texts.slice(i, 64).to_pylist())
                 for r in rows:
-                    found = [g.split("|") for k in r.tolist() for g in table[k].groups.decode().split(";")]
+                    found = [g.split("|") for k in numbers[r].tolist() for g in both.groups[k].decode().split(";")]
                     out.append([{"a": [int(x) for x in a.split(",")], "b": [int(x) for x in b.split(",")]} for a, b in found])
             yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.list_(pa.struct({"a": pa.list_(pa.int32()), "b": pa.list_(pa.int32())})))], ["doc_id", "groups"])
 
