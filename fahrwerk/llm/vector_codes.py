@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .common import materialize
 
@@ -151,7 +152,7 @@ class Codebooks:
                     out.append(None if raw is None else np.concatenate([book[i] for book, i in zip(entries, raw, strict=True)]) / scale)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names, "decoded"])
 
-        schema = codes.schema.add("decoded", "array<double>")
+        schema = StructType([*codes.schema.fields, StructField("decoded", ArrayType(DoubleType()))])
         return codes.mapInArrow(run, schema)
 
 
