@@ -432,7 +432,7 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFram
     docs = documents.select("doc_id", "text")
     buckets = max(24, docs.count() // DOCS_PER_BUCKET)
     rows = docs.mapInArrow(_emit(buckets, percent), _SENT)
-    shared = materialize(rows.repartition(buckets, "bucket").mapInArrow(_shared(percent), _SHARED), by="kind")
+    shared = materialize(rows.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared(percent), _SHARED), by="kind")
     table = shared.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cid"), F.col("x").alias("n"))
     first = table.where("n > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
 

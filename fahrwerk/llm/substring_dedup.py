@@ -456,7 +456,7 @@ def repeated_passages(documents: DataFrame, least: int = LEAST, identity: float
     docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     buckets = max(24, docs.count() // DOCS_PER_BUCKET)
     sent = docs.mapInArrow(_sent(buckets), _SENT)
-    met = sent.repartition(buckets, "bucket").mapInArrow(_met, _MATCH)
+    met = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_met, _MATCH)
     matches = met.groupBy("b").agg(F.collect_list(F.struct("a", "p", "q")).alias("matches"))
     found = materialize(matches.mapInArrow(_chained(least), _CHAINS))
     asked = materialize(found.select("b", "a", "size", "p").mapInArrow(_asked, "b long, a long, block int"))
