@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import autoencoder, cluster, features, lstm_training, pricing
+from ..operators import autoencoder, cluster, features, lstm_training, pricing, ranks
 from ..operators import sequence as sq
 from ..sources.telemetry import SHIP_SQL, TELE_SQL, shipments, telemetry
 from .base import query, r
@@ -148,15 +148,15 @@ def summary_by_method(spark, sf_dir):
 def price_stretched_group(spark, sf_dir):
     """Turned at the median of a whole group of runs."""
     g = with_groups(baseline(spark, sf_dir).select("run_id", "win", "base"))
-    return pricing.stretched(g, "base", ["grp"]).select("grp", "run_id", "win", r(F.col("stretched")).alias("price"))
+    return pricing.stretched_in_groups(g, "base", ["grp"]).select("grp", "run_id", "win", r(F.col("stretched")).alias("price"))
 
 
 @query(f"with {_BASE}, {GROUPS_SQL} select grp, run_id, win, row_number() over (partition by grp order by truth, run_id, win) as place, round(truth, 6) as truth, round(base, 5) as price from base {JOIN_GROUPS}")
 def sorted_pairs(spark, sf_dir):
     """Prices in order of the ground truth."""
     g = with_groups(baseline(spark, sf_dir))
-    place = F.row_number().over(Window.partitionBy("grp").orderBy("truth", "run_id", "win")).cast("long")
-    return g.select("grp", "run_id", "win", place.alias("place"), r(F.col("truth"), 6).alias("truth"), r(F.col("base"), 5).alias("price"))
+    g = ranks.numbered(g, ["grp"], ["truth", "run_id", "win"], "place")
+    return g.select("grp", "run_id", "win", (F.col("place") + 1).alias("place"), r(F.col("truth"), 6).alias("truth"), r(F.col("base"), 5).alias("price"))
 
 
 @query(f"with {_BASE}, {GROUPS_SQL} select run_id, win, round(base, 5) as price from base {JOIN_GROUPS} where grp = 'group_3'")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, geo, labels, text, units
 from ..model import GROUPS, physics_groups
-from ..operators import autoencoder, cluster, features, joins, pricing, reduction
+from ..operators import autoencoder, cluster, features, joins, pricing, ranks, reduction
 from ..operators import sequence as sq
 from ..streaming import buffer
 from .base import ORACLES, QUERIES, query, r  # noqa: F401
@@ -364,9 +364,14 @@ def context_share(spark, sf_dir):
 @query(f"""with {TELE_SQL} select coalesce(event_type, 'all') as label, round(avg(value), 4) as mean, round(stddev_samp(value), 4) as std, round(stddev_pop(value), 4) as pop, min(value) as lo, max(value) as hi,
   round(quantile_cont(value, 0.25), 4) as p25, round(median(value), 4) as p50, round(quantile_cont(value, 0.95), 4) as p95 from tele group by grouping sets ((), (event_type))""")
 def error_stats(spark, sf_dir):
-    g = telemetry(spark, sf_dir).rollup("event_type")
-    p = lambda q: r(F.percentile("value", F.lit(q)))
-    return g.agg(r(F.avg("value")).alias("mean"), r(F.stddev_samp("value")).alias("std"), r(F.stddev_pop("value")).alias("pop"), F.min("value").alias("lo"), F.max("value").alias("hi"), p(0.25).alias("p25"), p(0.5).alias("p50"), p(0.95).alias("p95")).select(F.coalesce("event_type", F.lit("all")).alias("label"), "mean", "std", "pop", "lo", "hi", "p25", "p50", "p95")
+    t = telemetry(spark, sf_dir)
+    sums = [r(F.avg("value")).alias("mean"), r(F.stddev_samp("value")).alias("std"), r(F.stddev_pop("value")).alias("pop"), F.min("value").alias("lo"), F.max("value").alias("hi")]
+    shares = [0.25, 0.5, 0.95]
+    stats = t.rollup("event_type").agg(*sums).select(F.coalesce("event_type", F.lit("all")).alias("label"), "mean", "std", "pop", "lo", "hi")
+    each = ranks.quantiles(t, ["event_type"], "value", shares).withColumnRenamed("event_type", "label")
+    every = ranks.quantiles(t, [], "value", shares).select(F.lit("all").alias("label"), "q")
+    names = zip(("p25", "p50", "p95"), range(3), strict=True)
+    return stats.join(each.union(every), "label").select(*stats.columns, *[r(F.col("q")[k]).alias(n) for n, k in names])
 
 
 # Scaling

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from fahrwerk.plans import billing, records  # noqa: F401  (register their queries)
+from fahrwerk.plans import billing, long_runs, records  # noqa: F401  (register their queries)
 from fahrwerk.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
