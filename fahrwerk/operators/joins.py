@@ -8,25 +8,54 @@ from pyspark.sql import functions as F
 from ..functions.geo import segment_squared_distance
 
 RADIUS = 5.0
+#: Cells along a radius.
+CELLS = 2
 
 
-def spatial_context(points: DataFrame, features: DataFrame, key: list[str], radius: float = RADIUS) -> DataFrame:
-    """Label of the first map feature (by type, then list order) within ``radius`` of each point, or 'road'.
+def ranked_cells(features: DataFrame, radius: float = RADIUS, cells: DataFrame | None = None) -> DataFrame:
+    """The features that can be the first one within ``radius`` of some point of a cell, by cell (cx, cy, cz).
 
-    Features are listed in each grid cell that their box, widened by the
-    radius, touches; a point looks into its own cell.  So the join is on
-    equal cells, however many points and features there are.
+    A feature that is within the radius of a cell's every point settles the
+    cell: no feature of a higher rank can be the first one there.  So a cell
+    keeps the lowest such feature and those of lower ranks that reach into
+    it, which are few however dense the features lie: they grow with the part
+    of the ball that lies at the cell's border, not with the number of features.
+    Of features in the same place the lowest one is kept.  ``cells`` are those
+    that matter (distinct); without them all are made.
     """
-    cell = lambda x: F.floor(x / (2 * radius)).cast("long")
-    f = features
+    side = radius / CELLS
+    cell = lambda x: F.floor(x / side).cast("long")
+    place = [f"{e}{axis}" for axis in "xyz" for e in "ab"]
+    f = features.groupBy(*place).agg(F.min(F.struct("type_rank", "list_idx", "ftype")).alias("rank"))
     for axis in "xyz":
         lo, hi = F.least(f[f"a{axis}"], f[f"b{axis}"]) - radius, F.greatest(f[f"a{axis}"], f[f"b{axis}"]) + radius
         f = f.withColumn(f"c{axis}", F.explode(F.sequence(cell(lo), cell(hi))))
-    p = points.withColumns({f"c{axis}": cell(F.col(axis)) for axis in "xyz"})
-    near = p.join(f, ["cx", "cy", "cz"])
+    f = f if cells is None else f.join(cells, ["cx", "cy", "cz"], "left_semi")
+    ends = [[F.col(f"{e}{c}") for c in "xyz"] for e in "ab"]
+    far = lambda *steps: segment_squared_distance([(F.col(f"c{c}") + s) * side for c, s in zip("xyz", steps, strict=True)], *ends)
+    reach = radius + side * 3**0.5 / 2
+    f = f.where(far(0.5, 0.5, 0.5) <= reach * reach * (1 + 1e-9))
+    # The farthest point of a box from a convex set is a corner; a hair less, for what rounding does.
+    corners = F.greatest(*[far(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)])
+    f = f.withColumn("settles", F.when(corners <= radius * radius * (1 - 1e-9), F.col("rank")))
+    first = F.min("settles").over(Window.partitionBy("cx", "cy", "cz"))
+    return f.withColumn("first", first).where(F.col("first").isNull() | (F.col("rank") <= F.col("first"))).drop("settles", "first")
+
+
+def spatial_context(points: DataFrame, features: DataFrame, key: list[str], radius: float = RADIUS) -> DataFrame:
+    """Label of the first map feature (by type, then list order) within ``radius`` of each point, or 'road'.
+
+    A point looks into its own cell of ``ranked_cells``, so the join is on
+    equal cells, and each point meets a few features, however many there are.
+    """
+    side = radius / CELLS
+    p = points.withColumns({f"c{axis}": F.floor(F.col(axis) / side).cast("long") for axis in "xyz"})
+    cells = p.select("cx", "cy", "cz").distinct()
+    near = p.join(ranked_cells(features, radius, cells), ["cx", "cy", "cz"])
     d2 = segment_squared_distance([F.col(c) for c in "xyz"], [F.col(f"a{c}") for c in "xyz"], [F.col(f"b{c}") for c in "xyz"])
-    best = near.where(d2 <= radius * radius).groupBy(*key).agg(F.min_by(F.concat_ws("_", "ftype", "list_idx"), F.struct("type_rank", "list_idx")).alias("feature"))
-    return points.join(best, key, "left").withColumn("feature", F.coalesce("feature", F.lit("road")))
+    best = near.where(d2 <= radius * radius).groupBy(*key).agg(F.min("rank").alias("rank"))
+    named = best.select(*key, F.concat_ws("_", "rank.ftype", "rank.list_idx").alias("feature"))
+    return points.join(named, key, "left").withColumn("feature", F.coalesce("feature", F.lit("road")))
 
 
 def asof_before(left: DataFrame, right: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
