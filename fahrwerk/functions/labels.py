@@ -51,3 +51,13 @@ def run_name(run: Column, mass: Column, friction: Column) -> Column:
 def split_id(name: Column) -> Column:
     """The run's number, second part of its file's name."""
     return F.get(F.split(name, "_"), F.lit(1)).try_cast("int")
+
+
+def index_time(index: Column) -> Column:
+    """A whole number as nanoseconds since 1970, as far as a time holds them: to the microsecond below."""
+    return F.timestamp_micros(F.floor(index / 1000).cast("long"))
+
+
+def index_nanos(index: Column) -> Column:
+    """The nanoseconds of such a number that lie beyond the microsecond."""
+    return F.pmod(index, F.lit(1000)).cast("int")

@@ -23,30 +23,42 @@ def sanitized(text: Column) -> Column:
     return F.when((bad == 0) | (last == 0), text).otherwise(F.substring(head, F.lit(1), F.length(head) - last - len(START) + 1))
 
 
+def _entry(part: Column) -> Column:
+    """What a part of a log holds, and whether it is an entry: all fields are whole numbers, and the body ends."""
+    head = F.substring_index(part, "={", 1)
+    fields = F.str_to_map(F.concat(F.lit("unit="), F.rtrim(F.substring_index(head, "=>", -1), F.lit(")"))), F.lit(","), F.lit("="))
+    unit, dev, t, signature = (fields[n].try_cast("long") for n in ("unit", "d", "t", "sig"))
+    body = F.substring(part, F.length(head) + 3, F.length(part))
+    plain = F.substring_index(body, "}", 1)
+    # A bracket before the first brace that closes begins a list, which holds braces itself.
+    listed = F.contains(plain, F.lit("["))
+    items = F.substring_index(F.substring_index(body, "]", 1), "[", -1)
+    after = F.substring(body, F.instr(body, "]") + 1, F.lit(1))
+    ends = F.when(listed, F.contains(body, F.lit("]")) & (after == "}")).otherwise(F.contains(body, F.lit("}")))
+    # A comma before the end of a list has nothing after it.
+    vectors = repaired_json(F.concat(F.lit("["), F.regexp_replace(F.trim(items), r",\s*$", ""), F.lit("]")))
+    return F.struct(
+        (ends & unit.isNotNull() & dev.isNotNull() & t.isNotNull() & signature.isNotNull()).alias("whole"),
+        unit.alias("unit"),
+        dev.cast("int").alias("dev"),
+        t.alias("t"),
+        signature.alias("signature"),
+        F.when(~listed, F.nullif(F.trim(plain), F.lit("")).try_cast("double")).alias("value"),
+        F.when(listed, F.from_json(vectors, VECTORS)).alias("value_mv"),
+    )
+
+
 def log_entries(logs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per entry of whole logs: unit, dev, t, signature, value or value_mv.
+    """One row per entry of whole logs: pos, unit, dev, t, signature, value or value_mv.
 
-    A log is cut where entries begin.  In each part the number after ``=>``
-    is the unit, fields d, t and sig follow, and the body stands in braces: a
-    number or blank, or a list in brackets.  Parts without these are skipped.
+    A log is cut where entries begin.  In each part ``=`` and a brace divide
+    the fields from the body.  The number behind the arrow is the unit; d, t
+    and sig are named fields, between commas.  The body ends with the first
+    brace that closes it: a number or blank, or a list in brackets.  Parts
+    whose fields aren't all whole numbers, or whose body doesn't end, are skipped.
     """
     parts = F.split(F.element_at(F.split(sanitized(F.col(text)), "Log Start:\n", 2), -1), r"\(u=\{")
-    whole = r"(?s)^[^}]+\}=>\d+,d=\d+,t=\d+,sig=\d+\)?=\{[^\[\]{}]*(\[[^\]]*\])?\}"
-    entries = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.rlike(whole))
-    found = logs.select("*", F.posexplode(entries).alias("pos", "part"))
-    number = lambda name: F.regexp_extract("part", name + r"(\d+)", 1)
-    body = F.regexp_extract("part", r"(?s)sig=\d+\)?=\{(.*)", 1)
-    listed = F.regexp_extract(body, r"(?s)^[^\[\]{}]*\[([^\]]*)\]\}", 1)
-    # A comma before the end of a list has nothing after it.
-    vectors = repaired_json(F.concat(F.lit("["), F.regexp_replace(F.trim(listed), r",\s*$", ""), F.lit("]")))
-    plain = F.regexp_extract(body, r"^([^\[\]{}]*)\}", 1)
-    return found.select(
-        *[c for c in logs.columns if c != text],
-        "pos",
-        F.regexp_extract("part", r"=>(\d+)", 1).cast("long").alias("unit"),
-        number(",d=").cast("int").alias("dev"),
-        number(",t=").cast("long").alias("t"),
-        number(",sig=").cast("long").alias("signature"),
-        F.when(listed == "", F.nullif(F.trim(plain), F.lit("")).try_cast("double")).alias("value"),
-        F.when(listed != "", F.from_json(vectors, VECTORS)).alias("value_mv"),
-    )
+    parts = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    entries = F.filter(F.transform(parts, _entry), lambda e: e["whole"])
+    kept = [c for c in logs.columns if c != text]
+    return logs.select(*kept, F.posexplode(entries).alias("pos", "entry")).select(*kept, "pos", *[f"entry.{c}" for c in ("unit", "dev", "t", "signature", "value", "value_mv")])

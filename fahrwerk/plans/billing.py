@@ -250,12 +250,12 @@ def lstm_test_errors(spark, sf_dir):
     return e.select("grp", "run_id", F.col("seq").alias("win"), F.transform("error", lambda x: F.round(x, 5)).alias("error"))
 
 
-@query(f"with {TELE_SQL} select event_id, 'simulation_' || run_id || '_mass_' || (run_id % 3) || '_friction_' || (k % 4) / 4.0::double as name, cast(run_id as int) as id, make_timestamp(seq * 1000000) as t, {GENERIC_SQL} as generic from tele")
+@query(f"with {TELE_SQL} select event_id, 'simulation_' || run_id || '_mass_' || (run_id % 3) || '_friction_' || (k % 4) / 4.0::double as name, cast(run_id as int) as id, make_timestamp((seq * 1000003) // 1000) as t, cast((seq * 1000003) % 1000 as int) as nanos, {GENERIC_SQL} as generic from tele")
 def names_and_times(spark, sf_dir):
-    """File names of runs, the id that splitting them gives, and row numbers as times."""
+    """File names of runs, the id that splitting them gives, and whole numbers as nanoseconds since 1970: Spark's times hold microseconds, the rest stands beside them."""
     t = telemetry(spark, sf_dir)
     name = labels.run_name(F.col("run_id"), F.col("run_id") % 3, (F.col("k") % 4) / 4)
-    return t.select("event_id", name.alias("name"), labels.split_id(name).alias("id"), F.timestamp_seconds("seq").alias("t"), labels.generic_context(F.col("context")).alias("generic"))
+    return t.select("event_id", name.alias("name"), labels.split_id(name).alias("id"), labels.index_time(F.col("seq") * 1000003).alias("t"), labels.index_nanos(F.col("seq") * 1000003).alias("nanos"), labels.generic_context(F.col("context")).alias("generic"))
 
 
 @query(f"with {TELE_SQL} " + " union all ".join(f"select '{c}' as name, count(*) as n, count(*) - count({c}) as nulls, count(distinct {c}) as kinds, cast(min({c}) as double) as lo, cast(max({c}) as double) as hi from tele" for c in ("run_id", "seq", "value", "k")))

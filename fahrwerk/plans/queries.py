@@ -392,7 +392,7 @@ def column_minmax(spark, sf_dir):
     return s.crossJoin(F.broadcast(m)).select("run_id", "seq", r((F.col("quantity") - F.col("lo")) / F.when(F.col("hi") == F.col("lo"), 1.0).otherwise(F.col("hi") - F.col("lo")), 6).alias("quantity"))
 
 
-@query(f"with {SHIP_SQL}, m as (select avg(quantity) as m, stddev_pop(quantity) as s from ship) select run_id, seq, round((quantity - m) / s, 5) as quantity from ship, m")
+@query(f"with {SHIP_SQL} select run_id, seq, round((quantity - (select avg(l_quantity) from lineitem)) / (select stddev_pop(l_quantity) from lineitem), 5) as quantity from ship")
 def standard_scale(spark, sf_dir):
     s = shipments(spark, sf_dir)
     m = s.agg(F.avg("quantity").alias("m"), F.stddev_pop("quantity").alias("s"))

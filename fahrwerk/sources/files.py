@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.labels import run_name
 from ..functions.text import log_entries
 from ..model import RUN_CONTEXT, SENSORS, SERIES
 
@@ -32,8 +33,12 @@ def read_runs(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
 
 def write_runs(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """A folder for each run; where mass and friction are columns its name is that of the run's file."""
-    df.write.partitionBy("run_id").format(fmt).mode("overwrite").save(path)
+    """A folder for each run; where mass and friction are columns it bears the name of the run's file, else its id."""
+    if {"mass", "friction"} <= set(df.columns):
+        df = df.withColumn("run", run_name(F.col("run_id"), F.col("mass").cast("int"), F.col("friction").cast("double")))
+        df.write.partitionBy("run").format(fmt).mode("overwrite").save(path)
+    else:
+        df.write.partitionBy("run_id").format(fmt).mode("overwrite").save(path)
 
 
 def read_run_context(spark: SparkSession, path: str) -> DataFrame:
@@ -180,4 +185,5 @@ def three_regimes(spark: SparkSession, series: int, length: int, sensors: int, s
         raise ValueError("the number of series must be a multiple of 3")
     rows = spark.range(series).select("id", (F.floor(F.col("id") * 3 / series)).alias("target"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("t")).select("*", F.explode(F.sequence(F.lit(0), F.lit(sensors - 1))).alias("sensor"))
-    return rows.withColumn("value", 1 + F.col("target") + F.rand(seed))
+    noise = F.pmod(F.xxhash64(F.lit(seed), "id", "t", "sensor"), F.lit(1 << 53)) / (1 << 53)
+    return rows.withColumn("value", 1 + F.col("target") + noise)
