@@ -1,9 +1,7 @@
-"""Feature reduction by name, and k-means under time warping."""
+"""Feature reduction by name."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,47 +47,3 @@ def fit_reducer(df: DataFrame, strategy: str, width: int, label: str | None = No
     if strategy == "umap":
         raise RuntimeError("umap is not available")
     raise ValueError(f"unknown reduction: {strategy}")
-
-
-def _path(x: np.ndarray, c: np.ndarray):
-    """Distance of a series to a centroid, and the centroid's place for each aligned pair."""
-    d = np.full((len(x) + 1, len(c) + 1), np.inf)
-    d[0, 0] = 0
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(c) + 1):
-            d[i, j] = (x[i - 1] - c[j - 1]) ** 2 + min(d[i - 1, j - 1], d[i - 1, j], d[i, j - 1])
-    i, j, pairs = len(x), len(c), []
-    while i and j:
-        pairs.append((i - 1, j - 1))
-        i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda p: d[p])
-    return float(np.sqrt(d[-1, -1])), pairs
-
-
-def warped_kmeans(series: DataFrame, seeds: list[list[float]], key: list[str], rounds: int = 3) -> DataFrame:
-    """Clusters series (column v) by warped distance; barycentres from sums over aligned values, never from whole clusters."""
-    centroids = [np.array(s, float) for s in seeds]
-
-    def sums(batches):
-        for b in batches:
-            acc = [np.zeros((2, len(c))) for c in centroids]
-            for v in b["v"]:
-                x = np.asarray(v, float)
-                found = [_path(x, c) for c in centroids]
-                k = int(np.argmin([f[0] for f in found]))
-                for i, j in found[k][1]:
-                    acc[k][0, j] += x[i]
-                    acc[k][1, j] += 1
-            yield pd.DataFrame([(k, j, a[0, j], a[1, j]) for k, a in enumerate(acc) for j in range(a.shape[1])], columns=["k", "j", "s", "n"])
-
-    for _ in range(rounds):
-        got = series.select("v").mapInPandas(sums, "k int, j int, s double, n double").groupBy("k", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0").collect()
-        for r in got:
-            centroids[r.k][r.j] = r.s / r.n
-
-    def label(batches):
-        for b in batches:
-            near = [[_path(np.asarray(v, float), c)[0] for c in centroids] for v in b["v"]]
-            yield b[key].assign(cluster=[int(np.argmin(d)) for d in near], d=[float(min(d)) for d in near])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in series.select(*key).schema.fields)
-    return series.select(*key, "v").mapInPandas(label, f"{schema}, cluster int, d double")

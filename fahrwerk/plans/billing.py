@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import autoencoder, cluster, features, lstm_training, pricing, ranks
+from ..operators import autoencoder, cluster, features, lstm_training, pricing, ranks, warping
 from ..operators import sequence as sq
 from ..sources.telemetry import SHIP_SQL, TELE_SQL, shipments, telemetry
 from .base import query, r
@@ -100,6 +100,15 @@ def _warped_matrix(windows: DataFrame, centroids: DataFrame) -> DataFrame:
     return windows.crossJoin(c).select("run_id", "win", "context", features.dtw_distance("v", "c").alias("d"))
 
 
+@query()
+def warped_clusters(spark, sf_dir):
+    """Windows by k-means under warping, from the contexts' centroids until it settles; clusters by the order of contexts."""
+    w = _windows(spark, sf_dir)
+    seeds = [c.v for c in chosen_centroids(spark, sf_dir).orderBy("context").collect()]
+    centroids, _ = warping.fit(w, seeds)
+    return warping.assign(w, centroids, ["run_id", "win"]).select("run_id", "win", "cluster", r(F.col("d")).alias("d"))
+
+
 @query()
 def warped_matrix(spark, sf_dir):
     return _warped_matrix(_windows(spark, sf_dir), chosen_centroids(spark, sf_dir)).withColumn("d", r(F.col("d")))

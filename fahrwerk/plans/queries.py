@@ -610,13 +610,6 @@ def reduce_hybrid(spark, sf_dir):
     return out.select("vec_id", F.transform("z", lambda x: F.round(x, 6)).alias("z"))
 
 
-@query()
-def warped_clusters(spark, sf_dir):
-    w = _windows(spark, sf_dir)
-    seeds = [r.v for r in w.orderBy("run_id", "win").limit(3).collect()]
-    return reduction.warped_kmeans(w, seeds, ["run_id", "win"], rounds=1)
-
-
 @query(f"with {TELE_SQL}, f as (select event_type, min(event_id) as first from tele group by event_type) select event_type, dense_rank() over (order by first) - 1 as code from f")
 def factorize(spark, sf_dir):
     f = telemetry(spark, sf_dir).groupBy("event_type").agg(F.min("event_id").alias("first"))

@@ -259,3 +259,42 @@ def test_reducers_by_name(spark):
     for name, error in (("umap", RuntimeError), ("other", ValueError)):
         with pytest.raises(error):
             reduction.fit_reducer(df, name, 4)
+
+
+def test_warped_alignments_equal_a_plain_computation():
+    from fahrwerk.operators import warping
+
+    rng = np.random.default_rng(12)
+    for n, m in ((1, 1), (1, 4), (5, 1), (6, 9), (12, 12)):
+        x, c = rng.integers(0, 4, (7, n)).astype(float), rng.integers(0, 4, m).astype(float)
+        cost, _ = warping.aligned(x, c, back=False)
+        sums = np.zeros((2, m))
+        for row, got in zip(x, cost, strict=True):
+            d = np.full((n + 1, m + 1), np.inf)
+            d[0, 0] = 0
+            for i in range(n):
+                for j in range(m):
+                    d[i + 1, j + 1] = (row[i] - c[j]) ** 2 + min(d[i, j], d[i, j + 1], d[i + 1, j])
+            assert got == d[n, m]
+            i, j = n, m
+            while i and j:
+                sums[:, j - 1] += row[i - 1], 1
+                i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda p: d[p])
+        assert np.array_equal(warping.barycentre_sums(x, c), sums)
+        assert (warping.lower_bounds(x, c) <= cost + 1e-9).all()
+    centroids = [rng.random(k) * s for k, s in ((4, 1), (4, 9), (6, 3), (5, 1))]
+    x = rng.random((60, 8)) * rng.choice([1, 3, 9], (60, 1))
+    every = np.stack([warping.aligned(x, c, back=False)[0] for c in centroids], axis=1)
+    at, best = warping.nearest(x, centroids)
+    assert (at == every.argmin(axis=1)).all() and np.allclose(best, every.min(axis=1))
+
+
+def test_warped_clusters_leave_out_what_has_no_values(spark):
+    from fahrwerk.operators import warping
+
+    rows = [(1, [1.0, 2.0, 3.0]), (2, None), (3, []), (4, [1.0, None]), (5, [9.0, 9.0]), (6, [float("nan")])]
+    series = spark.createDataFrame(rows, "id int, v array<double>")
+    centroids, rounds = warping.fit(series, [[1.0, 3.0], [8.0]])
+    got = {r.id: (r.cluster, r.d) for r in warping.assign(series, centroids, ["id"]).collect()}
+    assert rounds == 2 and centroids[1].tolist() == [9.0] and got[5] == (1, 0.0) and got[1][0] == 0
+    assert all(got[k] == (None, None) for k in (2, 3, 4, 6))

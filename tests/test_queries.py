@@ -115,9 +115,39 @@ def check_reduce_hybrid(spark, got):
     assert all(len(z) == 8 for z in got.z) and len(got) == len(vectors(spark))
 
 
+def path(x, c):
+    """Distance of a series to a centroid, and the aligned pairs, cell by cell."""
+    d = np.full((len(x) + 1, len(c) + 1), np.inf)
+    d[0, 0] = 0
+    for i, a in enumerate(x):
+        for j, b in enumerate(c):
+            d[i + 1, j + 1] = (a - b) ** 2 + min(d[i, j], d[i, j + 1], d[i + 1, j])
+    i, j, pairs = len(x), len(c), []
+    while i and j:
+        pairs.append((i - 1, j - 1))
+        i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda p: d[p])
+    return d[-1, -1], pairs
+
+
 def check_warped_clusters(spark, got):
+    """Against k-means written out, round by round until nothing moves."""
     w = windows(spark)
-    assert len(got) == len(w) and set(got.cluster) <= {0, 1, 2} and (got.d >= 0).all()
+    centroids = [np.array(c.v, float) for c in billing.chosen_centroids(spark, SF).orderBy("context").collect()]
+    for _ in range(50):
+        near = {k: min((path(x, c)[0], n) for n, c in enumerate(centroids)) for k, x in w.items()}
+        moved = 0.0
+        for n, c in enumerate(centroids):
+            found = [(j, w[k][i]) for k in w if near[k][1] == n for i, j in path(w[k], c)[1]]
+            for j in range(len(c)):
+                own = [v for at, v in found if at == j]
+                if own:
+                    moved = max(moved, abs(np.mean(own) - c[j]))
+                    c[j] = np.mean(own)
+        if moved <= 1e-6:
+            break
+    want = {k: min((path(x, c)[0] ** 0.5, n) for n, c in enumerate(centroids)) for k, x in w.items()}
+    assert len(got) == len(w) and got.cluster.nunique() > 1
+    assert all(r.cluster == want[r.run_id, r.win][1] and abs(r.d - want[r.run_id, r.win][0]) < 1e-3 for r in got.itertuples())
 
 
 def check_recon_error(spark, got):
