@@ -257,6 +257,7 @@ def _shared(percent: int):
         if not sum(p.num_rows for p in parts):
             return
         t = pa.Table.from_batches(parts)
+        parts = []
         node, bucket = t["node"].to_numpy(), t["bucket"].to_numpy().astype(_U)
         for b in np.unique(bucket).tolist():
             rows = np.flatnonzero(bucket == b)
@@ -271,6 +272,9 @@ def _shared(percent: int):
             for part in range(1 << RANGE_BITS):
                 own = every >> np.uint32(32 - RANGE_BITS) == part
                 yield from _groups(b, every[own], of[own], names, ns, percent)
+            del loads, every, of
+        del t, parts
+        tv.give_back()
 
     return run
 

@@ -147,7 +147,8 @@ def _met(batches):
                 yield from _matches(np.frombuffer(doc, np.int64), np.frombuffer(first, np.int64), np.frombuffer(spot, np.int32), np.frombuffer(at, np.int32))
             else:
                 waiting.setdefault(k, []).append((h, doc, at))
-    for parts in waiting.values():
+    while waiting:
+        _, parts = waiting.popitem()
         h, doc, at = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*parts, strict=True), (np.uint64, np.int64, np.int32), strict=True))
         order = np.lexsort((at, doc, h))
         h, doc, at = h[order], doc[order], at[order]
@@ -155,6 +156,7 @@ def _met(batches):
         group = np.flatnonzero(new)[np.cumsum(new) - 1]
         met = doc != doc[group]
         yield from _matches(doc[met], doc[group[met]], at[group[met]], at[met])
+    tv.give_back()
 
 
 class Fenwick:
