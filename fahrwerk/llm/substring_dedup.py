@@ -26,8 +26,10 @@ LEAST words, half of them in one part (short lines that many documents hold
 don't make a passage where they happen to follow each other).
 
 Null and empty texts have no words; an empty table gives an empty result.
-doc_id is a key: rows that repeat it are one document, whose words are those
-of the smallest text; rows without doc_id take no part.  Of equal texts the
+Rows that repeat a doc_id and its text are one document; of different texts
+with one doc_id the one with the least digest has its place among the others,
+further ones count as later than all doc_ids, each a document of its own that
+loses its own passages only.  Rows without doc_id take no part.  Of equal texts the
 smallest doc_id is the earlier one.  Very long texts are read whole.  Repeats
 inside one document are not reported.  Columns beyond doc_id and text are not
 read; ``drop_repeats`` keeps them, whatever their names.  Where slices lie
@@ -453,8 +455,52 @@ def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(near, "doc_id", "left_semi")
 
 
+#: Keys of further texts of a doc_id lie in so wide a range beyond all doc_ids.
+KEYS = 1 << 61
+
+
+def _several(documents: DataFrame) -> DataFrame | None:
+    """doc_ids that rows with different texts share, with the digest of the text that keeps the doc_id as its key; None if there are none."""
+    digest = F.xxhash64("text")
+    rows = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
+    found = materialize(rows.groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("shared"), "lo"))
+    if found.limit(1).count():
+        return found
+    release(found)
+    return None
+
+
+def _keyed(documents: DataFrame, several: DataFrame | None, name: str) -> DataFrame:
+    """``documents`` with a column ``name``, equal for rows that are one document: the doc_id, or for further texts of one a key beyond all doc_ids."""
+    if several is None:
+        return documents.withColumn(name, F.col("doc_id"))
+    shared, lo = free_names(documents, "shared", "lo")
+    near = several.toDF(shared, lo)
+    near = F.broadcast(near) if several.count() <= BROADCAST_ROWS else near
+    top = max(0, documents.agg(F.max("doc_id")).first()[0])
+    other = F.lit(top + 1) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(KEYS))
+    joined = documents.join(near, documents["doc_id"] == F.col(shared), "left")
+    first = F.col(lo).isNull() | F.col("text").isNull() | (F.xxhash64("text") == F.col(lo))
+    return joined.withColumn(name, F.when(first, F.col("doc_id")).otherwise(other)).drop(shared, lo)
+
+
 def repeated_passages(documents: DataFrame, least: int = LEAST, identity: float = IDENTITY) -> DataFrame:
     """One row per passage of a document (words start to end, exclusive) that an earlier one holds."""
+    docs = documents.select("doc_id", "text")
+    several = _several(docs)
+    keyed = _keyed(docs, several, "key")
+    out = _passages(keyed.select(F.col("key").alias("doc_id"), "text"), least, identity)
+    if several is None:
+        return out
+    # Keys of further texts go back to their doc_ids.
+    names = materialize(keyed.where("key <> doc_id").select("key", F.col("doc_id").alias("of")).distinct())
+    for column in ("doc_id", "first_doc_id"):
+        out = out.join(names, out[column] == names["key"], "left").withColumn(column, F.coalesce("of", column)).drop("key", "of")
+    return out.select(*[c.split()[0] for c in PASSAGE.split(", ")])
+
+
+def _passages(documents: DataFrame, least: int, identity: float) -> DataFrame:
+    """As ``repeated_passages``, for rows that are the same document if they have the same doc_id."""
     docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     buckets = max(24, docs.count() // DOCS_PER_BUCKET)
     sent = docs.mapInArrow(_sent(buckets), _SENT)
@@ -507,11 +553,13 @@ def drop_repeats(documents: DataFrame, least: int = LEAST, identity: float = IDE
     """``documents`` without passages that an earlier document holds; rows of which nothing remains go."""
     import pyarrow.compute  # noqa: F401
 
-    found = repeated_passages(documents, least, identity)
-    key, spans_ = free_names(documents, "key", "spans")
+    several = _several(documents)
+    key, own, spans_ = free_names(documents, "key", "own", "spans")
+    keyed = _keyed(documents, several, own)
+    found = _passages(keyed.select(F.col(own).alias("doc_id"), "text"), least, identity)
     spans = materialize(found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(spans_)))
     near = F.broadcast(spans) if (spans.agg(F.sum(F.size(spans_) + 1)).first()[0] or 0) <= BROADCAST_ROWS else spans
-    joined = documents.join(near, documents["doc_id"] == F.col(key), "left").drop(key)
+    joined = keyed.join(near, F.col(own) == F.col(key), "left").drop(key, own)
     out = joined.mapInArrow(_cut(spans_), documents.schema)
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(documents.schema["n_chars"].dataType))

@@ -434,6 +434,18 @@ def test_many_copies_and_shared_lines(spark):
     assert set(covered) == {*range(101, 150), *range(200, 250)} and min(covered.values()) >= 85
 
 
+def test_rows_that_share_a_doc_id_lose_their_own_passages_only(spark):
+    passage, alone = prose(70, 301), prose(121, 302)
+    rows = [(1, f"{passage} {prose(20, 303)}"), (2, alone), (2, f"{prose(9, 304)} {passage}"), (2, alone), (3, f"{passage} {prose(8, 305)}"), (3, f"{prose(30, 306)} {passage} {prose(4, 307)}"), (None, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([rows[0], rows[1], rows[3], (2, prose(9, 304)), (3, prose(8, 305)), (3, prose(30, 306) + " " + prose(4, 307)), rows[6]], key=str)
+    for parts in (1, 3, 7):
+        got = substring_dedup.drop_repeats(docs.repartition(parts)).collect()
+        assert sorted(((r.doc_id, r.text.rstrip()) for r in got), key=str) == want
+        found = substring_dedup.repeated_passages(docs.repartition(parts)).collect()
+        assert sorted((r.doc_id, r.n_words) for r in found) == [(2, 70), (3, 70), (3, 70)] and {r.first_doc_id for r in found} <= {1, 2, 3}
+
+
 def test_reached_equals_brute_force():
     for _ in range(200):
         x, y = ([RNG.randint(0, 4) for _ in range(RNG.randint(0, 9))] for _ in range(2))
