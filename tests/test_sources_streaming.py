@@ -1,6 +1,8 @@
+import time
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +177,62 @@ def test_pointer_walk_on_a_stream(spark, tmp_path):
     want = joins.asof_sequential(all_rows.where("rid is not null"), all_rows.where("rid is null"), "run_id")
     key = lambda df: sorted((r.run_id, r.rid, r.t, r.ego) for r in df.collect())
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(want)
+
+
+def test_pointer_walk_in_small_batches_keeps_little(spark, tmp_path):
+    """Batches of a few times each, against the batch form; and what the states hold."""
+    import random
+
+    from fahrwerk.operators import joins
+
+    class State:
+        exists, hasTimedOut, get = False, False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    walk = {}
+    fake = type("Rows", (), {"groupBy": lambda self, *_: self, "applyInPandasWithState": lambda self, run, *_: walk.setdefault("run", run)})
+    buffer.pointer_walk(fake())
+    rng, rows, want, held = random.Random(4), [], [], 0
+    for run_id in range(40):
+        times = sorted(rng.sample(range(200), 60))
+        own = [(run_id, t, None if rng.random() < rng.choice([0.3, 0.6]) else i) for i, t in enumerate(times)]
+        own += [(run_id, t, 1000 + i) for i, (_, t, r) in enumerate(own) if r is None and rng.random() < 0.1]
+        own.sort(key=lambda r: (r[1], r[2] is not None))
+        state = State()
+        batches = [[]]
+        for row in own:  # a batch ends between two times only
+            if batches[-1] and row[1] != batches[-1][-1][1] and rng.random() < 0.4:
+                batches.append([])
+            batches[-1].append(row)
+        for part in [*batches, [(run_id, 10_000, None)]]:
+            frame = pd.DataFrame(part, columns=["run_id", "t", "rid"]).astype({"rid": "float"})
+            want += [tuple(map(int, x)) for out in walk["run"]((run_id,), iter([frame]), state) for x in out.itertuples(index=False)]
+            held = max(held, len(state.get[2]))
+            assert not state.get[1] or (len(state.get[2]) == 1 and not state.get[3])
+        rows += [*own, (run_id, 10_000, None)]
+    frame = spark.createDataFrame(rows, "run_id long, t long, rid long")
+    got = joins.asof_sequential(frame.where("rid is not null"), frame.where("rid is null"), "run_id")
+    assert sorted((r.run_id, r.rid, r.t, r.ego) for r in got.collect()) == sorted(want) and held <= 2
+
+
+def test_buffers_flush_when_told_and_when_idle(spark, tmp_path):
+    schema, src = "dev long, t long, value double", str(tmp_path / "in")
+    first = [(1, t, 1.0) for t in range(7)] + [(2, 5, 2.0), (3, 1, 1.0)]
+    second = [(1, 9, 1.0), (1, None, None), (2, 6, 2.0)]
+    for part in (first, second):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = buffer.flush_by_count(stream, 3, idle=1500).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            found = spark.read.schema(buffer.CHUNK).parquet(str(tmp_path / "out")).collect() if (tmp_path / "out").exists() else []
+            if sum(r.n for r in found) == 11:
+                break
+    finally:
+        q.stop()
+    got = sorted((r.dev, r.chunk, r.n) for r in found)
+    assert [x for x in got if x[0] == 1] == [(1, 0, 3), (1, 1, 3), (1, 2, 2)]  # the order to flush
+    assert sum(n for d, _, n in got if d == 2) == 2 and sum(n for d, _, n in got if d == 3) == 1  # idle
