@@ -60,6 +60,18 @@ def si_records(spark, sf_dir):
     return records.si_records(e, _egos(spark, sf_dir), _BY).select("run_id", "pos", "value", *[r(F.col(c), 3).alias(c) for c in "xyz"])
 
 
+_STEPPED = "first_value(t) over (partition by run_id order by t, pos) + (row_number() over (partition by run_id order by t, pos) - 1) * 50000 as t"
+
+
+@query(f"""with recursive {ENTRIES_SQL}, {_walk_sql(f'select run_id, pos as rid, {_STEPPED} from ent where dev = 0')}
+  select w.run_id, w.rid as pos, x.t, 1000 + w.run_id as signature, s.value, {', '.join(f"round({ecef_sql('radians(v.lat)', 'radians(v.lon)', 'v.alt', a)}, 3) as {a}" for a in 'xyz')}
+  from walk w join rws x on x.run_id = w.run_id and x.n = w.n join ent s on s.run_id = w.run_id and s.pos = w.rid left join egos e on e.run_id = w.run_id and e.i = w.p left join vec v on v.run_id = e.run_id and v.pos = e.pos and v.dev = 16""")
+def si_records_signed(spark, sf_dir):
+    """Sensor records at fixed time steps, under a signature of their run."""
+    e = records.si_records(entries(spark, sf_dir), _egos(spark, sf_dir), _BY, step=50000, signature=1000 + F.col("run_id"))
+    return e.select("run_id", "pos", "t", "signature", "value", *[r(F.col(c), 3).alias(c) for c in "xyz"])
+
+
 _UNIT = "(1::bigint << 29) | (class::bigint << 16) | 1 as unit"
 
 
@@ -80,6 +92,16 @@ def motion_records(spark, sf_dir):
     return _decoded(records.motion_records(e, _egos(spark, sf_dir), _BY), "run_id", "pos", "item", "t", "x", "y", "z")
 
 
+@query(f"""with recursive {ENTRIES_SQL}, {_walk_sql(f'select run_id, pos as rid, {_STEPPED} from ent where dev = 20')}
+  select v.run_id, v.pos, v.item::int as item, x.t, 1000 + v.run_id as signature, v.id, round((v.speed + g.speed)::float::double, 4) as speed
+  from walk w join rws x on x.run_id = w.run_id and x.n = w.n join vec v on v.run_id = w.run_id and v.pos = w.rid left join egos e on e.run_id = w.run_id and e.i = w.p left join vec g on g.run_id = e.run_id and g.pos = e.pos and g.dev = 16""")
+def motion_records_signed(spark, sf_dir):
+    """Vectors of a relative device at fixed time steps, under a signature of their run."""
+    e = entries(spark, sf_dir).where("dev in (16, 20)")
+    m = records.motion_records(e, _egos(spark, sf_dir), _BY, step=50000, signature=1000 + F.col("run_id"))
+    return _decoded(m, "run_id", "pos", "item", "t", "signature").select("run_id", "pos", "item", "t", "signature", "id", "speed")
+
+
 @query(_motion_sql(20))
 def relative_records(spark, sf_dir):
     e = entries(spark, sf_dir).where("dev in (16, 20)")

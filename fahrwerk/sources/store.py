@@ -12,6 +12,7 @@ buffers of a task that ran again from new ones.
 from __future__ import annotations
 
 import base64
+import hashlib
 import io
 import json
 import time
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 
 RECORD = "version string, unit bigint, value double, error int, confidence int, x double, y double, z double, t bigint, signature bigint, dev int"
 FIELDS = [f.split()[0] for f in RECORD.split(", ")]
@@ -117,7 +118,10 @@ class _Writer(DataSourceWriter):
         self.name = self.options.get("write", uuid.uuid4().hex)  # the same in all tasks, and when one runs again
 
     def write(self, rows):
-        part_of, sent = TaskContext.get().partitionId(), 0
+        return self.put_all((row.asDict() for row in rows), f"{TaskContext.get().partitionId()}:")
+
+    def put_all(self, rows, part_of):
+        sent = 0
         most, url, retries = int(self.options.get("buffer", 1000)), self.options["url"], int(self.options.get("retries", 3))
         buffers: dict[tuple, list] = {}
 
@@ -127,11 +131,10 @@ class _Writer(DataSourceWriter):
             if part:
                 ts = [r["t"] for r in part]
                 post(url + "/create", {"series": {"unit": key[0], "dev": key[1], "signature": key[2], "t0": min(ts), "t1": max(ts)}}, retries)
-                post(url + "/put", {"records": part, "batch": f"{self.name}:{part_of}:{sent}"}, retries)
+                post(url + "/put", {"records": part, "batch": f"{self.name}:{part_of}{sent}"}, retries)
                 sent += 1
 
-        for row in rows:
-            r = row.asDict()
+        for r in rows:
             key = (r["unit"], r["dev"], r["signature"])
             buffers.setdefault(key, []).append(r)
             if len(buffers[key]) >= most:
@@ -141,6 +144,29 @@ class _Writer(DataSourceWriter):
         return WriterCommitMessage()
 
 
+class _StreamWriter(_Writer, DataSourceStreamWriter):
+    """As the batch writer; a put bears the digest of its records, so that an epoch or a task that runs again puts the same ones once.
+
+    With the option ``epochs`` the store is told when all tasks of an epoch
+    have put, or not, by ``/commit`` and ``/abort``.
+    """
+
+    def write(self, rows):
+        held = sorted((row.asDict() for row in rows), key=lambda r: json.dumps(r, sort_keys=True, default=str))
+        self.name = hashlib.sha256(json.dumps(held, sort_keys=True, default=str).encode()).hexdigest()[:32]
+        return self.put_all(held, "")
+
+    def commit(self, messages, batch_id):
+        self._tell("/commit", batch_id)
+
+    def abort(self, messages, batch_id):
+        self._tell("/abort", batch_id)
+
+    def _tell(self, what, batch_id):
+        if self.options.get("epochs", "").lower() == "true":
+            post(self.options["url"] + what, {"epoch": batch_id}, int(self.options.get("retries", 3)))
+
+
 class RecordStore(DataSource):
     """Options: url, unit, dev, signature, t0, tf, slice, retries; for writes also buffer."""
 
@@ -160,6 +186,9 @@ class RecordStore(DataSource):
     def writer(self, schema, overwrite):
         return _Writer(self.options)
 
+    def streamWriter(self, schema, overwrite):  # noqa: N802
+        return _StreamWriter(self.options)
+
 
 def time_slices(df: DataFrame, step: int = 1_000_000) -> DataFrame:
     """One row per slice of (t0, tf) for blobs that are fetched second by second; an unfinished last slice is left out."""

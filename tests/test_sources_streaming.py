@@ -236,3 +236,55 @@ def test_buffers_flush_when_told_and_when_idle(spark, tmp_path):
     got = sorted((r.dev, r.chunk, r.n) for r in found)
     assert [x for x in got if x[0] == 1] == [(1, 0, 3), (1, 1, 3), (1, 2, 2)]  # the order to flush
     assert sum(n for d, _, n in got if d == 2) == 2 and sum(n for d, _, n in got if d == 3) == 1  # idle
+
+
+def test_records_reach_the_store_once(spark, tmp_path):
+    """A put fails in the midst of an epoch; the query starts again, and the store holds each record once, with its signature."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from fahrwerk.operators import records
+    from fahrwerk.plans.records import _egos
+    from fahrwerk.sources.store import RecordStore
+    from fahrwerk.sources.telemetry import entries
+
+    held, told, puts = {}, [], []
+
+    class Store(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            bad = False
+            if self.path == "/put":
+                puts.append(body["batch"])
+                bad = len(puts) == 4
+                if not bad:
+                    held.setdefault(body["batch"], body["records"])
+            elif self.path in ("/commit", "/abort"):
+                told.append((self.path, body["epoch"]))
+            self.send_response(500 if bad else 200)
+            self.end_headers()
+            self.wfile.write(b"{}")
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Store)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(RecordStore)
+    sf = "/root/testdata/sf0.001"
+    made = records.for_store(records.si_records(entries(spark, sf), _egos(spark, sf), ["run_id"], step=50000, signature=77)).limit(300)
+    src = str(tmp_path / "in")
+    made.coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    options = {"url": f"http://127.0.0.1:{server.server_port}", "buffer": 20, "retries": 1, "epochs": "true", "checkpointLocation": str(tmp_path / "c")}
+    start = lambda: stream.writeStream.format("record_store").options(**options).start()
+    with pytest.raises(Exception):  # noqa: B017
+        start().processAllAvailable()
+    assert 0 < sum(map(len, held.values())) < 300 and ("/abort", 0) in told
+    q = start()
+    q.processAllAvailable()
+    q.stop()
+    server.shutdown()
+    key = lambda r: (r["dev"], r["t"], r["unit"], r["value"], round(r["x"] or 0, 6), r["signature"], r["version"])
+    assert sorted(map(str, (key(r) for part in held.values() for r in part))) == sorted(map(str, map(key, spark.read.parquet(src).collect())))
+    assert {r["signature"] for part in held.values() for r in part} == {77} and ("/commit", 0) in told
