@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import segmented
 
 MOST_CENTROIDS = 10_000
 
@@ -127,3 +128,42 @@ def random_seeds(points: DataFrame, k: int, key: str, vector: str = "v", seed: i
 def ranked_centroids(centroids: DataFrame, level: Column) -> DataFrame:
     """Centroids in order of their level: one row per cluster."""
     return centroids.withColumn("level", level).withColumn("place", (F.row_number().over(Window.orderBy("level", "centroid")) - 1).cast("long"))
+
+
+def digamma(x: Column) -> Column:
+    """The digamma function of numbers of at least 1: the series at x + 6, and back by the recurrence."""
+    y = x + 6.0
+    series = F.log(y) - 1 / (2 * y) - 1 / (12 * y * y) + 1 / (120 * F.pow(y, F.lit(4))) - 1 / (252 * F.pow(y, F.lit(6))) + 1 / (240 * F.pow(y, F.lit(8)))
+    return series - sum((1 / (x + float(k)) for k in range(1, 6)), 1 / x)
+
+
+def neighbour_information(df: DataFrame, label: str, vector: str = "v", k: int = 3, step: float = 0.01) -> DataFrame:
+    """Mutual information (nats, none below 0) of each component with the label, from distances to the k-th nearest neighbour.
+
+    A value's k-th nearest neighbour among those of its label is among the k
+    before and the k after it in order.  How many values of all labels lie
+    nearer than that is the difference of two ranks, which running counts
+    give over the values and the bounds together, in chunks of ``step``.
+    Labels with fewer values than k + 1 take as many neighbours as there are;
+    those with one value don't count.  Nulls don't count either.
+    """
+    x = df.select(F.col(label).alias("label"), F.posexplode(vector).alias("i", "x")).where("label is not null and x is not null")
+    x = x.withColumn("x", F.col("x").cast("double"))
+    own = Window.partitionBy("i", "label")
+    order = own.orderBy("x")
+    beside = [f("x", j).over(order) for j in range(1, k + 1) for f in (F.lag, F.lead)]
+    steps = [F.struct(F.abs(b - F.col("x")).alias("d"), b.alias("b")) for b in beside]
+    near = x.select("i", "x", F.count("*").over(own).alias("n_label"), F.array_sort(F.filter(F.array(*steps), lambda s: s["d"].isNotNull())).alias("away")).where("n_label > 1")
+    near = near.withColumn("k", F.least(F.lit(k), F.col("n_label") - 1)).withColumn("far", F.element_at("away", F.col("k").cast("int"))).withColumn("d", F.col("far.d"))
+    # The neighbour's own value is one bound, whatever sums round to.  Values at the bounds don't lie nearer; where the neighbour is equal, all equal values count.
+    inner, outer = F.when(F.col("d") > 0, 0).otherwise(2), F.when(F.col("d") > 0, 2).otherwise(0)
+    point = near.select("i", F.col("x").alias("at"), F.lit(1).alias("side"), F.lit(1).alias("one"), F.lit(0).alias("sign"))
+    low = near.select("i", F.when(F.col("far.b") < F.col("x"), F.col("far.b")).otherwise(F.col("x") - F.col("d")).alias("at"), outer.alias("side"), F.lit(0).alias("one"), F.lit(-1).alias("sign"), "k", "n_label", "d", "x")
+    high = near.select("i", F.when(F.col("far.b") > F.col("x"), F.col("far.b")).otherwise(F.col("x") + F.col("d")).alias("at"), inner.alias("side"), F.lit(0).alias("one"), F.lit(1).alias("sign"), "k", "n_label", "d", "x")
+    every = point.unionByName(low, allowMissingColumns=True).unionByName(high, allowMissingColumns=True)
+    ranked = segmented.scanned(every, {"below": segmented.Scan("sum", "one")}, ["i"], ["at", "side"], step).where("sign <> 0")
+    # One row for each component, value, distance and label size: its two ranks, as often as it occurs.
+    inside = ranked.groupBy("i", "x", "d", "k", "n_label").agg((F.sum(F.col("below") * F.col("sign")) / F.count_if(F.col("sign") == 1)).alias("m"), F.count_if(F.col("sign") == 1).alias("n"))
+    mean = lambda c: F.sum(digamma(c.cast("double")) * F.col("n")) / F.sum("n")
+    found = digamma(F.sum("n").cast("double")) + mean(F.col("k")) - mean(F.col("n_label")) - mean(F.col("m"))
+    return inside.groupBy("i").agg(F.greatest(F.lit(0.0), found).alias("mi"))

@@ -222,6 +222,19 @@ def mutual_information(spark, sf_dir):
     return cluster.mutual_information(_vectors(spark, sf_dir), "label").select("i", r(F.col("mi"), 5).alias("mi"))
 
 
+_PSI = lambda x: f"(ln({x} + 6) - 1 / (2 * ({x} + 6)) - 1 / (12 * power({x} + 6, 2)) + 1 / (120 * power({x} + 6, 4)) - 1 / (252 * power({x} + 6, 6)) + 1 / (240 * power({x} + 6, 8)) - {' - '.join(f'1 / ({x} + {k})' for k in range(6))})"
+
+
+@query(f"""with v as (select vec_id, label, count(*) over (partition by label) as n_label, embedding from embeddings where label is not null qualify n_label > 1), x as (select vec_id, label, n_label, unnest(range(len(embedding))) as i, unnest(embedding)::double as x from v),
+  near as (select a.i, a.vec_id, any_value(a.x) as x, any_value(a.n_label)::double as n_label, least(3, any_value(a.n_label) - 1)::double as k, list_sort(list(abs(a.x - b.x))) as away from x a join x b on a.i = b.i and a.label = b.label and a.vec_id <> b.vec_id group by a.i, a.vec_id),
+  d as (select i, vec_id, x, n_label, k, away[k::int] as d from near),
+  m as (select d.i, d.vec_id, any_value(d.n_label) as n_label, any_value(d.k) as k, count(*)::double as m from d join x c on c.i = d.i and (abs(c.x - d.x) < d.d or (d.d = 0 and c.x = d.x)) group by d.i, d.vec_id)
+  select cast(i as int) as i, round(greatest(0::double, {_PSI('count(*)::double')} + avg({_PSI('k')}) - avg({_PSI('n_label')}) - avg({_PSI('m')})), 5) as mi from m group by i""")
+def neighbour_information(spark, sf_dir):
+    """Mutual information of each component with the label, by the third nearest neighbour."""
+    return cluster.neighbour_information(_vectors(spark, sf_dir), "label").select("i", r(F.col("mi"), 5).alias("mi"))
+
+
 # Scaling back, errors, names
 
 

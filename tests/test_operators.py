@@ -298,3 +298,28 @@ def test_warped_clusters_leave_out_what_has_no_values(spark):
     got = {r.id: (r.cluster, r.d) for r in warping.assign(series, centroids, ["id"]).collect()}
     assert rounds == 2 and centroids[1].tolist() == [9.0] and got[5] == (1, 0.0) and got[1][0] == 0
     assert all(got[k] == (None, None) for k in (2, 3, 4, 6))
+
+
+def test_digamma_and_neighbour_information(spark):
+    from fahrwerk.operators import cluster
+
+    euler = 0.5772156649015329
+    psi = lambda n: sum(1 / k for k in range(1, int(n))) - euler
+    for row in spark.range(1, 60).select("id", cluster.digamma(F.col("id").cast("double")).alias("psi")).collect():
+        assert abs(row.psi - psi(row.id)) < 1e-9
+    rng = np.random.default_rng(3)
+    labels = rng.integers(0, 3, 90).tolist() + [7]
+    x = np.stack([rng.integers(0, 6, 91) * 1.0, rng.normal(size=91) + np.array(labels), rng.normal(size=91)], axis=1)
+    frame = spark.createDataFrame([(int(c), [float(z) for z in v]) for c, v in zip(labels, x, strict=True)] + [(None, [1.0, 2.0, 3.0])], "label long, v array<double>")
+    got = {r.i: r.mi for r in cluster.neighbour_information(frame, "label", k=4, step=0.5).collect()}
+    for i in range(3):
+        terms = []
+        for a, c in zip(x[:, i], labels, strict=True):
+            own = sorted(abs(a - b) for b, e in zip(x[:, i], labels, strict=True) if e == c)[1:]
+            if own:
+                k = min(4, len(own))
+                d = own[k - 1]
+                terms.append((psi(k), psi(len(own) + 1), psi(sum(abs(x[:-1, i] - a) < d) if d else sum(x[:-1, i] == a))))  # the last one is alone in its label
+        mean = np.mean(terms, axis=0)
+        assert abs(got[i] - max(0, psi(len(terms)) + mean[0] - mean[1] - mean[2])) < 1e-6
+    assert got[1] > got[2]
