@@ -7,10 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fahrwerk.operators import lstm_training as lt
-from fahrwerk.plans import billing
 from fahrwerk.sources import files
 
-SF = "/root/testdata/sf0.001"
 SCHEMA = "grp string, run_id long, seq long, v array<double>, part string"
 
 
@@ -131,16 +129,3 @@ def test_models_are_saved_as_arrays(spark, trained, tmp_path):
 
 def test_no_windows_no_models(spark):
     assert not lt.fit(spark.createDataFrame([], SCHEMA), 2).weights
-
-
-def test_query_of_test_windows(spark):
-    got = billing.lstm_test_errors(spark, SF).collect()
-    w = billing.lstm_windows(spark, SF)
-    models = lt.fit(w, 4, hidden=(24, 12, 6), epochs=12)
-    want = {(r.grp, r.run_id, r.seq): np.array(r.v).reshape(-1, 4) for r in w.where("part = 'test'").collect()}
-    assert {(r.grp, r.run_id, r.win) for r in got} == set(want) and models.weights
-    assert all(losses[-1] < losses[0] for losses in models.losses.values())
-    for r in [r for r in got if r.error is not None][::9]:
-        g = r.grp
-        x = (want[g, r.run_id, r.win] - models.low[g]) / (models.high[g] - models.low[g])
-        assert np.allclose(r.error, np.abs(plain(x.tolist(), lt.shaped(models.weights[g], models.sizes)) - x).mean(axis=0), atol=1e-5)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from fahrwerk.operators import lstm_training
 from fahrwerk.plans import billing, long_runs, records  # noqa: F401  (register their queries)
 from fahrwerk.plans import queries as plans
 
@@ -150,6 +151,33 @@ def check_warped_clusters(spark, got):
     assert all(r.cluster == want[r.run_id, r.win][1] and abs(r.d - want[r.run_id, r.win][0]) < 1e-3 for r in got.itertuples())
 
 
+def lstm_output(window, layers):
+    """What a stack of LSTM layers gives, number by number."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for w in layers:
+        n = len(w["hh"][0])
+        h, c, out = np.zeros(n), np.zeros(n), []
+        for x in window:
+            z = np.array([np.dot(w["ih"][k], x) + np.dot(w["hh"][k], h) + w["b"][k] for k in range(4 * n)])
+            c = sigmoid(z[n : 2 * n]) * c + sigmoid(z[:n]) * np.tanh(z[2 * n : 3 * n])
+            h = sigmoid(z[3 * n :]) * np.tanh(c)
+            out.append(h)
+        window = out
+    return np.array(window)
+
+
+def check_lstm_test_errors(spark, got):
+    """Against models that are trained in the same way, applied number by number."""
+    w = billing.lstm_windows(spark, SF)
+    models = lstm_training.fit(w, 4, hidden=(24, 12, 6), epochs=12)
+    want = {(r.grp, r.run_id, r.seq): np.array(r.v).reshape(-1, 4) for r in w.where("part = 'test'").collect()}
+    assert set(zip(got.grp, got.run_id, got.win, strict=True)) == set(want) and models.weights
+    assert all(losses[-1] < losses[0] for losses in models.losses.values())
+    for r in got[got.error.notna()].iloc[::9].itertuples():
+        x = (want[r.grp, r.run_id, r.win] - models.low[r.grp]) / (models.high[r.grp] - models.low[r.grp])
+        assert np.allclose(r.error, np.abs(lstm_output(x, lstm_training.shaped(models.weights[r.grp], models.sizes)) - x).mean(axis=0), atol=1e-5)
+
+
 def check_recon_error(spark, got):
     n = got.groupby("run_id").seq.transform("count")
     inside = (got.seq >= 15) & (got.seq < n - 14)
