@@ -72,11 +72,14 @@ def eval_all_methods(spark, sf_dir):
     return plain.join(turned, by).select(*by, *[r(F.col(c), 5).alias(c) for c in ("pearson_corr", "mae", "rmse", "stretched_corr", "stretched_mae", "stretched_rmse")])
 
 
+def summary(m: DataFrame) -> DataFrame:
+    return m.groupBy("grp", "part", "method").agg(F.count("*").alias("runs"), r(F.avg("mae")).alias("mae_mean"), r(F.stddev_samp("mae")).alias("mae_std"), r(F.avg("rmse")).alias("rmse_mean"), r(F.avg("stretched_mae")).alias("stretched_mae_mean"))
+
+
 @query()
 def summary_all_methods(spark, sf_dir):
     """Mean and deviation of the errors by physics group, part and method."""
-    m = eval_all_methods(spark, sf_dir)
-    return m.groupBy("grp", "part", "method").agg(F.count("*").alias("runs"), r(F.avg("mae")).alias("mae_mean"), r(F.stddev_samp("mae")).alias("mae_std"), r(F.avg("rmse")).alias("rmse_mean"), r(F.avg("stretched_mae")).alias("stretched_mae_mean"))
+    return summary(eval_all_methods(spark, sf_dir))
 
 
 @query()

@@ -12,6 +12,7 @@ from fahrwerk.plans import queries as plans
 from fahrwerk.plans.billing import chosen_centroids
 
 SF = "/root/testdata/sf0.001"
+evaluation_schema = "grp string, run_id long, part string, method string, pearson_corr double, mae double, rmse double, stretched_corr double, stretched_mae double, stretched_rmse double"
 
 
 @pytest.fixture(scope="module")
@@ -126,8 +127,12 @@ def test_evaluation_equals_numpy(spark):
             if len(z) > 1 and z.std() > 1e-9 and y.std() > 1e-9:
                 assert r[names[0]] == pytest.approx(np.corrcoef(z, y)[0, 1], abs=1e-4)
             assert r[names[1]] == pytest.approx(np.abs(z - y).mean(), abs=1e-4) and r[names[2]] == pytest.approx(np.sqrt(((z - y) ** 2).mean()), abs=1e-4)
-    total = evaluation.summary_all_methods(spark, SF).collect()
+    frame = spark.createDataFrame([tuple(r) for r in got.values()], evaluation_schema)
+    total = evaluation.summary(frame).collect()
     assert sum(t.runs for t in total) == len(got)
+    for t in total:
+        own = [r.mae for r in got.values() if (r.grp, r.part, r.method) == (t.grp, t.part, t.method)]
+        assert t.runs == len(own) and t.mae_mean == pytest.approx(np.mean(own), abs=1e-3)
 
 
 def test_domains(spark, windows):
