@@ -1,28 +1,31 @@
 """License scans by conditional compression.
 
-Lines that hold a word of license language are candidates, each alone and,
-where several follow each other, as one block.  A block is compressed plainly
-and with each template as a raw zstandard dictionary; the more its size falls,
-the closer the template.  Templates are confirmed, the largest fall first, by
-the exact difference in wording: the words of the template that the block lacks
-and the words that it adds, over the whole block or else over the stretch that
-shares most words with the template, apart from other licenses beside it.  The
-fall only ranks: a short notice in a long block may not show in it.
+Characters within reach of a word of license language are candidates.  Their
+words, in lower case, are cut into windows for each template, twice as long as
+a confirmed copy may be and half overlapping, so that each copy lies whole in
+one.  A window is compressed plainly and with the template as a raw zstandard
+dictionary.  Windows whose size falls by less than the template's bound are
+dropped: half of what a copy falls by that is edited as much as a confirmed
+one may be.  The rest are ranked by their fall.  The first is confirmed by the
+exact difference in wording: words of the template that the stretch lacks, and
+words that it adds.  Confirmed words are taken away, what remains of a window
+is compressed again, and so on until no window falls.  So a copy counts for
+the template that it makes fall most, and each further copy has its own row.
 
 Null and empty texts have no candidates, and an empty table gives no rows.  Equal falls are ranked by the
-template's name.  Very long lines are scanned around their license words in
-overlapping stretches, and long runs of lines in overlapping blocks, so that
-nothing is skipped.  Rows that repeat a doc_id
+template's name, then by place.  Texts and lines of any length are scanned whole; work grows with the
+candidate characters.  Rows that repeat a doc_id
 are scanned each on its own, as rows of equal texts are.  Columns beyond doc_id
 and text are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
-from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,14 +80,10 @@ TEMPLATES = {
 HINT = r"(?i)licen[cs]|copyright|rights reserved|redistribut|public domain|creative commons|\bcc[ -]by|warrant(?:y|ies)|permission (?:is|to|notice)"
 #: Least share of a template's words found, and of the found stretch's words that are the template's.
 FOUND, PURE = 0.85, 0.75
-LEVEL = 3
-#: Characters around candidate lines that may belong to the same license: more than a template has beside its license words.
-REACH = 800
-#: Longer lines are scanned in stretches that reach at least half as many characters beyond each license word.
-STRETCH = 4000
-#: Longer runs of lines are cut into blocks of this many characters that overlap by OVERLAP, more than a template with its line breaks.
-LONGEST = 4 * STRETCH
-OVERLAP = STRETCH // 2
+#: Characters on both sides of license language that may belong to the same copy, at least; REACHES times the longest template if that is more.
+REACH, REACHES = 2000, 3
+#: Share of an edited copy's fall that a window must reach; the rest is for what a copy shares with the words around it.
+SLACK = 0.5
 _WORD = re.compile(r"[\w.+-]*\w")
 _hint = re.compile(HINT)
 
@@ -98,103 +97,125 @@ class Scanner:
         import zstandard
 
         self.words = {k: words(v) for k, v in sorted(templates.items())}
-        self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
+        self.reach = max([REACH, *(REACHES * len(v) for v in templates.values())])
+        # Literals stay as they are with this strategy and target: entropy codes of few literals would hide what matches save.
+        how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=12, chain_log=12, search_log=1, min_match=4, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=False)
+        self.plain = zstandard.ZstdCompressor(compression_params=how)
         self.given = {
-            k: zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(v.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-            for k, v in sorted(templates.items())
+            k: zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(" ".join(v).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            for k, v in self.words.items()
         }
+        self.size = {k: int(len(v) / PURE) + 1 for k, v in self.words.items()}
+        self.least = {k: max(1, int(SLACK * self.fall(self.edited(v), k)[0])) for k, v in self.words.items()}
+
+    @staticmethod
+    def edited(want: list[str]) -> list[str]:
+        """A copy with as many words missing, and as many added, as a confirmed one may have, spread evenly."""
+        out, kept, added = [], 0, 0
+        for i, w in enumerate(want, 1):
+            if int(i * (1 - FOUND) + 1e-9) > i - kept - 1:
+                continue
+            out.append(w)
+            kept += 1
+            if added < int(kept / PURE) - kept:
+                out.append(f"zq{added}")
+                added += 1
+        return out
+
+    def fall(self, stretch: list[str], name: str) -> tuple[int, int, int]:
+        """By how much the template makes the stretch's size fall, the plain size, and the size given the template."""
+        raw = " ".join(stretch).encode("utf-8")
+        plain, given = len(self.plain.compress(raw)), len(self.given[name].compress(raw))
+        return plain - given, plain, given
 
     def blocks(self, text: str):
-        """(start, end) of candidate lines, then of runs of them, then of runs with the lines around them."""
-        lines, hinted, at = [], [], 0
-        for line in text.split("\n"):
-            end = at + len(line)
-            hits = [m.start() for m in _hint.finditer(line)]
-            if hits and len(line) <= STRETCH:
-                hinted.append(len(lines))
-            elif hits:
-                step = STRETCH // 2
-                for k in sorted({h // step for h in hits}):
-                    yield at + max(0, k - 1) * step, min(end, at + (k + 2) * step)
-            lines.append((at, end))
-            at = end + 1
-        for i in hinted:
-            yield lines[i]
-        # Runs of candidate lines; then runs of lines that lie within reach of one, however they are wrapped.
-        for near in (False, True):
-            first = 0
-            for k in range(len(hinted)):
-                if k + 1 < len(hinted):
-                    gap = lines[hinted[k + 1]][0] - lines[hinted[k]][1] <= 2 * REACH if near else hinted[k + 1] - hinted[k] <= 1
-                    if gap:
-                        continue
-                i, j = hinted[first], hinted[k]
-                if near:
-                    while i and lines[hinted[first]][0] - lines[i - 1][1] <= REACH:
-                        i -= 1
-                    while j + 1 < len(lines) and lines[j + 1][0] - lines[hinted[k]][1] <= REACH:
-                        j += 1
-                if j > i:
-                    start, end = lines[i][0], lines[j][1]
-                    for cut in range(start, max(start + 1, end - OVERLAP), LONGEST - OVERLAP):
-                        yield cut, min(end, cut + LONGEST)
-                first = k + 1
-
-    def rank(self, block: str) -> list[tuple[str, int, int]]:
-        """(template, plain size, size given the template), largest fall first."""
-        raw = block.encode("utf-8")
-        plain = len(self.plain.compress(raw))
-        sizes = [(k, plain, len(c.compress(raw))) for k, c in self.given.items()]
-        return sorted(sizes, key=lambda s: (s[2], s[0]))
-
-    def confirm(self, block: list[str], name: str):
-        """Share of the template's words found in order, those missing and those added; None if too few."""
+        """Ranges of characters within reach of license language; those that touch are one."""
+        start = end = None
+        for m in _hint.finditer(text):
+            if start is not None and m.start() - self.reach <= end:
+                end = m.end() + self.reach
+            else:
+                if start is not None:
+                    yield start, end
+                start, end = max(0, m.start() - self.reach), m.end() + self.reach
+        if start is not None:
+            yield start, min(end, len(text))
+
+    def windows(self, n: int):
+        """(template, first, end) over n words: each stretch as long as a confirmed one may be lies in one of them."""
+        for name, size in self.size.items():
+            for i in range(0, max(1, n - size), size):
+                yield name, i, min(n, i + 2 * size)
+
+    def confirm(self, stretch: list[str], name: str):
+        """Share of the template's words found in order, those missing, those added, first place and end; None if too few.
+
+        Of all alignments with a part of the stretch, the one with most words found less half of those added; the
+        first of equal ones.
+        """
         want = self.words[name]
-        if (Counter(want) & Counter(block)).total() < FOUND * len(want):
+        n = len(want)
+        if (Counter(want) & Counter(stretch)).total() < FOUND * n:
             return None
-        parts = [m for m in SequenceMatcher(None, want, block, autojunk=False).get_matching_blocks() if m.size]
-        while parts:
-            found = sum(m.size for m in parts)
-            first, last = parts[0].b, parts[-1].b + parts[-1].size
-            if found >= PURE * (last - first) or len(parts) == 1:
-                break
-            # The end that lies further off belongs to something else.
-            left, right = parts[1].b - first, last - (parts[-2].b + parts[-2].size)
-            parts = parts[1:] if left - parts[0].size >= right - parts[-1].size else parts[:-1]
-        if not parts or found < FOUND * len(want):
+        at = np.array(want, dtype=object)
+        hits = {w: at == w for w in set(want) & set(stretch)}
+        score = np.zeros((len(stretch) + 1, n + 1))
+        for i, w in enumerate(stretch, 1):
+            row = score[i]
+            row[1:] = score[i - 1, 1:] - 0.5
+            if w in hits:
+                row[1:] = np.maximum(row[1:], np.where(hits[w], score[i - 1, :-1] + 1, 0))
+            np.maximum.accumulate(row, out=row)
+        end = i = int(score[:, n].argmax())
+        j, found = n, []
+        while score[i, j] > 0:
+            if want[j - 1] == stretch[i - 1] and score[i, j] == score[i - 1, j - 1] + 1:
+                i, j = i - 1, j - 1
+                found.append((j, i))
+            elif score[i, j] == score[i, j - 1]:
+                j -= 1
+            else:
+                i -= 1
+        if len(found) < FOUND * n or len(found) < PURE * (end - found[-1][1]):
             return None
-        have = {i for m in parts for i in range(m.a, m.a + m.size)}
-        used = {i for m in parts for i in range(m.b, m.b + m.size)}
-        missing = [w for i, w in enumerate(want) if i not in have]
-        added = [block[i] for i in range(first, last) if i not in used]
-        return found / len(want), missing, added
-
-    def nearest(self, block: list[str], name: str) -> list[str]:
-        """The stretch of a block, as long as a confirmed one may be, that shares most words with the template."""
-        want = Counter(self.words[name])
-        size, shared, best, at = int(want.total() / PURE) + 1, 0, -1, 0
-        for i, w in enumerate(block):
-            want[w] -= 1
-            shared += want[w] >= 0
-            if i >= size:
-                want[block[i - size]] += 1
-                shared -= want[block[i - size]] > 0
-            if shared > best:
-                best, at = shared, i + 1
-        return block[max(0, at - size) : at]
+        have, used = {f[0] for f in found}, {f[1] for f in found}
+        missing = [w for k, w in enumerate(want) if k not in have]
+        added = [stretch[k] for k in range(found[-1][1], end) if k not in used]
+        return len(found) / n, missing, added, found[-1][1], end
+
+    def winners(self, own: list[str]):
+        """(license, first word, end, plain size, given size, share, missing, added), the largest fall first."""
+        taken, heap = bytearray(len(own)), []
+
+        def rank(name: str, i: int, j: int) -> None:
+            if j - i < FOUND * len(self.words[name]):
+                return
+            fall, plain, given = self.fall(own[i:j], name)
+            if fall >= self.least[name]:
+                heapq.heappush(heap, (-fall, name, i, j, plain, given))
+
+        for window in self.windows(len(own)):
+            rank(*window)
+        while heap:
+            _, name, i, j, plain, given = heapq.heappop(heap)
+            if 1 in taken[i:j]:
+                # Words went to another license since: what is left of the window is ranked again.
+                for m in re.finditer(rb"\x00+", taken[i:j]):
+                    rank(name, i + m.start(), i + m.end())
+            elif ok := self.confirm(own[i:j], name):
+                share, missing, added, first, last = ok
+                taken[i + first : i + last] = b"\x01" * (last - first)
+                yield name, i + first, i + last, plain, given, share, missing, added
+                rank(name, i, i + first)
+                rank(name, i + last, j)
 
     def scan(self, text: str):
-        """(license, start, end, plain size, given size, share, missing, added) of confirmed blocks."""
-        seen: dict[str, list[tuple[int, int]]] = {}
+        """(license, start, end, plain size, given size, share, missing, added) of confirmed copies, by place."""
         for start, end in self.blocks(text):
-            block = text[start:end]
-            own = words(block)
-            for name, plain, given in self.rank(block):
-                if any(start <= a and b <= end for a, b in seen.get(name, [])):
-                    continue  # a smaller block holds it
-                if ok := self.confirm(own, name) or self.confirm(self.nearest(own, name), name):
-                    seen.setdefault(name, []).append((start, end))
-                    yield name, start, end, plain, given, round(ok[0], 6), " ".join(ok[1]), " ".join(ok[2])
+            spans = [m.span() for m in _WORD.finditer(text, start, end)]
+            own = [text[a:b].lower() for a, b in spans]
+            for name, first, last, plain, given, share, missing, added in sorted(self.winners(own), key=lambda w: w[1:3]):
+                yield name, spans[first][0], spans[last - 1][1], plain, given, round(share, 6), " ".join(missing), " ".join(added)
 
 
 _FIELDS = [("doc_id", pa.int64()), ("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("plain_bytes", pa.int64()), ("given_bytes", pa.int64()), ("found", pa.float64()), ("missing", pa.string()), ("added", pa.string())]
@@ -205,7 +226,7 @@ def _scan(templates: dict[str, str]):
     def run(batches):
         scanner = Scanner(templates)
         for ids, texts in tv.rows(batches, ["doc_id", "text"]):
-            out = [(d, *m) for d, t in zip(ids.to_pylist(), texts, strict=True) for m in dict.fromkeys(scanner.scan(t.as_py() or ""))]
+            out = [(d, *m) for d, t in zip(ids.to_pylist(), texts, strict=True) for m in scanner.scan(t.as_py() or "")]
             cols = list(zip(*out, strict=True)) if out else [[] for _ in _FIELDS]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS, strict=True)], [f for f, _ in _FIELDS])
 
@@ -213,7 +234,7 @@ def _scan(templates: dict[str, str]):
 
 
 def license_matches(documents: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """One row per confirmed license of a block of a text; start and end count characters."""
+    """One row per confirmed copy of a license; start and end are its own, in characters, sizes those of its window."""
     hinted = documents.select("doc_id", "text").where(F.col("text").rlike(HINT))
     return hinted.mapInArrow(_scan(templates or TEMPLATES), SCHEMA)
 

@@ -597,6 +597,99 @@ def test_license_differences_are_exact():
     assert found[0][6] == "" and found[0][7] == "lesser"
 
 
+def aligned(want, part):
+    """Most words found less half of those added, over alignments with all of a part; and the words found."""
+    best = [[(0.0, 0)] * (len(want) + 1) for _ in range(len(part) + 1)]
+    for i in range(1, len(part) + 1):
+        best[i][0] = (best[i - 1][0][0] - 0.5, 0)
+        for j in range(1, len(want) + 1):
+            ways = [(best[i - 1][j][0] - 0.5, best[i - 1][j][1]), best[i][j - 1]]
+            if want[j - 1] == part[i - 1]:
+                ways.append((best[i - 1][j - 1][0] + 1, best[i - 1][j - 1][1] + 1))
+            best[i][j] = max(ways)
+    return best[-1][-1]
+
+
+def brute_licenses(text):
+    """Copies of licenses over all stretches, without compression: the most words found first, each word in one copy."""
+    own = license_scan.words(text)
+    found = []
+    for name, want in ((k, license_scan.words(v)) for k, v in license_scan.TEMPLATES.items()):
+        size, least = int(len(want) / license_scan.PURE) + 1, license_scan.FOUND * len(want)
+        for i in range(len(own)):
+            if own[i] not in want or sum((collections.Counter(own[i : i + size]) & collections.Counter(want)).values()) < least:
+                continue
+            for j in range(i + 1, min(len(own), i + size) + 1):
+                if own[j - 1] in want and j - i >= least:
+                    score, n = aligned(want, own[i:j])
+                    if n >= least and n >= license_scan.PURE * (j - i):
+                        found.append((score, name, i, j))
+    taken, out = set(), set()
+    for _, name, i, j in sorted(found, key=lambda f: (-f[0], f[1], f[2], f[3])):
+        if not taken & set(range(i, j)):
+            taken |= set(range(i, j))
+            out.add((name, i, j))
+    return out
+
+
+def edited(name, seed):
+    """A copy with a tenth of the words replaced and a tenth added."""
+    rng, out = random.Random(seed), license_scan.words(license_scan.TEMPLATES[name])
+    for k in rng.sample(range(1, len(out) - 1), len(out) // 10):
+        out[k] = "zu" + str(k)
+    for k in sorted(rng.sample(range(1, len(out) - 1), len(out) // 10), reverse=True):
+        out.insert(k, "ze" + str(k))
+    return " ".join(out)
+
+
+def license_places(text, scanner=None):
+    spans = [m.span() for m in license_scan._WORD.finditer(text)]
+    first, end = {a: i for i, (a, _) in enumerate(spans)}, {b: i + 1 for i, (_, b) in enumerate(spans)}
+    return {(m[0], first[m[1]], end[m[2]]) for m in (scanner or license_scan.Scanner(license_scan.TEMPLATES)).scan(text)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_edited_licenses_equal_brute_force(seed):
+    rng = random.Random(seed)
+    names = rng.sample(["cc-by-4.0", "gpl-3.0", "isc", "mpl-2.0-header", "unlicense"], 3) + ["mit", "all-rights-reserved", "cc-by-nc-4.0"]
+    rng.shuffle(names)
+    parts = [prose(30, seed)]
+    for k, n in enumerate(names):
+        copy = edited(n, seed * 10 + k) if len(license_scan.words(license_scan.TEMPLATES[n])) > 10 else license_scan.TEMPLATES[n].upper()
+        parts += ["\n".join("# " + line for line in textwrap.wrap(copy, 50 + 10 * seed)), prose(rng.randint(0, 12), 100 + k)]
+    text = "\n".join(parts)
+    want = brute_licenses(text)
+    assert len(want) == len(names) and {w[0] for w in want} == set(names)
+    assert license_places(text) == want
+
+
+@pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
+def test_copies_edited_as_much_as_allowed_are_found(name):
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    copy = scanner.edited(scanner.words[name])
+    text = prose(50, 1) + " license " + " ".join(copy) + " " + prose(50, 2)
+    assert [m[0] for m in scanner.scan(text)] == [name]
+
+
+def test_each_copy_of_a_license_has_its_place():
+    one, scanner = license_scan.TEMPLATES["mit-permission"], license_scan.Scanner(license_scan.TEMPLATES)
+    text = one + "\na line between them\n" + one + " " + one
+    at = [0, text.index(one, 1), len(text) - len(one)]
+    assert [(m[0], m[1], m[2], m[6], m[7]) for m in scanner.scan(text)] == [("mit-permission", a, a + len(one) - 1, "", "") for a in at]
+
+
+def test_falls_decide_on_licenses(monkeypatch):
+    """The header holds the short notice word for word; the larger fall takes the words, and without falls nothing is found."""
+    text = license_scan.TEMPLATES["apache-2.0-header"]
+    assert [m[0] for m in license_scan.Scanner(license_scan.TEMPLATES).scan(text)] == ["apache-2.0-header"]
+    plain = license_scan.Scanner.fall
+    monkeypatch.setattr(license_scan.Scanner, "fall", lambda self, s, name: (1000 - len(self.words[name]), *plain(self, s, name)[1:]))
+    assert [m[0] for m in license_scan.Scanner(license_scan.TEMPLATES).scan(text)][0] == "apache-2.0"
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    monkeypatch.setattr(license_scan.Scanner, "fall", lambda self, s, name: (0, 1, 1))
+    assert not list(scanner.scan(text))
+
+
 def test_media_round_trip_and_carving():
     for text in ["", "é" * 100, "x" * 192, "y" * 193] + [prose(50, i) for i in range(30)]:
         data, n = media_sniff.payload(text)
