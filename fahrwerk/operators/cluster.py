@@ -73,20 +73,26 @@ def moments(df: DataFrame, vector: str, width: int) -> tuple[int, np.ndarray, np
     return n, mean, (ss - n * np.outer(mean, mean)) / max(n - 1, 1)
 
 
-def pca(df: DataFrame, vector: str, width: int, share: float = 0.95, least: int = 10, most: int = 100):
-    """(mean, components, explained shares): as many components as explain ``share``, between the bounds.
-
-    A component's sign is that which makes its largest entry positive.
-    """
-    n, mean, cov = moments(df, vector, width)
+def principal(n: int, cov: np.ndarray, share: float, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Components of a covariance of n rows, and their explained shares."""
     values, vectors = np.linalg.eigh(cov)
     values, vectors = values[::-1], vectors[:, ::-1]
     explained = np.clip(values, 0, None) / max(np.clip(values, 0, None).sum(), 1e-300)
     k = int(np.searchsorted(np.cumsum(explained), share - 1e-12) + 1)
-    k = max(1, min(max(k, least), most, width, max(n - 1, 1)))
+    k = max(1, min(max(k, least), most, len(cov), max(n - 1, 1)))
     top = vectors[:, :k]
     top = top * np.sign(top[np.abs(top).argmax(axis=0), np.arange(k)])
-    return mean, top, explained[:k]
+    return top, explained[:k]
+
+
+def pca(df: DataFrame, vector: str, width: int, share: float = 0.95, least: int = 10, most: int = 100):
+    """(mean, components, explained shares): as many components as explain ``share``, between the bounds.
+
+    A component's sign is that which makes its largest entry positive.
+    """
+    n, mean, cov = moments(df, vector, width)
+    top, explained = principal(n, cov, share, least, most)
+    return mean, top, explained
 
 
 def project(df: DataFrame, vector: str, mean: np.ndarray, top: np.ndarray, name: str = "z") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import autoencoder, cluster, features, lstm_training, pricing, ranks, warping
+from ..operators import autoencoder, cluster, features, lagged, lineage, lstm_training, pricing, ranks, warping
 from ..operators import sequence as sq
 from ..sources.telemetry import SHIP_SQL, TELE_SQL, shipments, telemetry
 from .base import query, r
@@ -251,9 +251,9 @@ def denormalized(spark, sf_dir):
 def window_errors(spark, sf_dir):
     """Mean absolute reconstruction error of each signal in each window."""
     s = shipments(spark, sf_dir).select("run_id", "seq", "quantity", (F.col("price") / 1000).alias("price"), "discount", "tax")
-    w = autoencoder.frames(s, ["quantity", "price", "discount", "tax"])
-    mean, top = autoencoder.fit_linear(w, 120)
-    return autoencoder.window_errors(w, mean, top, 4).select("run_id", "seq", F.transform("error", lambda x: F.round(x, 5)).alias("error"))
+    parts = lineage.cut(lagged.stretches(s, ["quantity", "price", "discount", "tax"]))
+    mean, top = lagged.fit(parts, 4)
+    return lagged.window_errors(parts, mean, top, 4).select("run_id", "seq", F.transform("error", lambda x: F.round(x, 5)).alias("error"))
 
 
 def lstm_windows(spark, sf_dir) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, geo, labels, text, units
 from ..model import GROUPS, physics_groups
-from ..operators import autoencoder, cluster, features, joins, pricing, ranks, reduction
+from ..operators import cluster, features, joins, lagged, lineage, pricing, ranks, reduction
 from ..operators import sequence as sq
 from ..streaming import buffer
 from .base import ORACLES, QUERIES, query, r  # noqa: F401
@@ -577,9 +577,9 @@ def recon_error(spark, sf_dir):
     """Reconstruction error of the middle rows, by a linear autoencoder over the windows of all runs."""
     s = shipments(spark, sf_dir).select("run_id", "seq", "quantity", (F.col("price") / 1000).alias("price"), "discount", "tax")
     signals = ["quantity", "price", "discount", "tax"]
-    w = autoencoder.frames(s, signals)
-    mean, top = autoencoder.fit_linear(w, 30 * len(signals))
-    e = autoencoder.point_errors(s.select("run_id", "seq"), w, mean, top, len(signals))
+    parts = lineage.cut(lagged.stretches(s, signals))
+    mean, top = lagged.fit(parts, len(signals))
+    e = lagged.point_errors(parts, mean, top, len(signals))
     return e.select("run_id", "seq", F.transform("error", lambda x: F.round(x, 5)).alias("error"))
 
 

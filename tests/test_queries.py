@@ -11,6 +11,7 @@ import pytest
 from fahrwerk.operators import lstm_training
 from fahrwerk.plans import billing, long_runs, records  # noqa: F401  (register their queries)
 from fahrwerk.plans import queries as plans
+from fahrwerk.sources.telemetry import shipments
 
 SF = "/root/testdata/sf0.001"
 
@@ -178,14 +179,33 @@ def check_lstm_test_errors(spark, got):
         assert np.allclose(r.error, np.abs(lstm_output(x, lstm_training.shaped(models.weights[r.grp], models.sizes)) - x).mean(axis=0), atol=1e-5)
 
 
+def all_windows(spark):
+    """Windows of 30 rows of four signals by (run, first place), written out, and the eight components that explain most."""
+    t = shipments(spark, SF).orderBy("run_id", "seq").toPandas()
+    found = {}
+    for run, g in t.groupby("run_id"):
+        x = np.stack([g.quantity, g.price / 1000, g.discount, g.tax], axis=1).astype(float)
+        found |= {(run, i): x[i : i + 30].ravel() for i in range(len(x) - 29)}
+    x = np.stack(list(found.values()))
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    top = vectors[:, np.argsort(-values)[:8]]
+    c = x - x.mean(axis=0)
+    e = np.abs(c - c @ top @ top.T).reshape(len(x), 30, 4)
+    return t, dict(zip(found, e, strict=True))
+
+
 def check_recon_error(spark, got):
-    n = got.groupby("run_id").seq.transform("count")
-    inside = (got.seq >= 15) & (got.seq < n - 14)
-    assert (got.error.notna() == inside).all() and all(min(e) >= 0 and len(e) == 4 for e in got.error.dropna())
+    t, errors = all_windows(spark)
+    assert len(got) == len(t) and not got.duplicated(["run_id", "seq"]).any()
+    for r in got.itertuples():
+        want = errors.get((r.run_id, r.seq - 15))
+        assert (want is None) == (r.error is None) and (want is None or np.allclose(want[15], r.error, atol=2e-5))
 
 
 def check_window_errors(spark, got):
-    assert len(got) and all(len(e) == 4 and min(e) >= 0 for e in got.error)
+    _, errors = all_windows(spark)
+    assert len(got) == len(errors) and not got.duplicated(["run_id", "seq"]).any()
+    assert all(np.allclose(errors[r.run_id, r.seq].mean(axis=0), r.error, atol=2e-5) for r in got.itertuples())
 
 
 def check_kmeans_seeded(spark, got):
