@@ -4,7 +4,10 @@ A read asks for (unit, dev, signature, t0, tf) and goes on from the last
 record's time, without those that it has had, until a page holds nothing new.
 Partitions are time slices, so a long series is read by many tasks.  Retries
 are bounded, with a new session (a new connection) for the last one; a page
-that fails too often fails the task, and Spark runs it again.  Each buffer that
+that fails too often fails the task, and Spark runs it again.  With the
+option ``pushdown`` bounds on t and fixed units, devices and signatures reach
+the store.  ``fetched`` reads a table of readings
+(which series, from when to when), ``fetched_blobs`` theirs as files.  Each buffer that
 is put names its write, partition and place, so that a store can tell the
 buffers of a task that ran again from new ones.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import itertools
 import json
 import time
 import urllib.request
@@ -22,13 +26,18 @@ import zipfile
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_type
 
 RECORD = "version string, unit bigint, value double, error int, confidence int, x double, y double, z double, t bigint, signature bigint, dev int"
 FIELDS = [f.split()[0] for f in RECORD.split(", ")]
+#: Records that a task holds before it hands them on.
+BATCH = 1000
 
 
 def post(url: str, body: dict, retries: int = 3, wait: float = 0.2) -> dict:
@@ -86,6 +95,26 @@ class _Reader(DataSourceReader):
         yield from pages(self.options, partition.t0, partition.tf)
 
 
+class _NarrowingReader(_Reader):
+    """A reader that takes filters; Spark runs it only where ``spark.sql.python.filterPushdown.enabled`` is set."""
+
+    def pushFilters(self, filters):  # noqa: N802
+        """Narrows what is asked of the store; Spark applies all filters again, as a store may know none of them."""
+        for f in filters:
+            name = ".".join(getattr(f, "attribute", ()))
+            value = getattr(f, "value", None)
+            if name == "t" and isinstance(value, int):
+                low = {"EqualTo": value, "GreaterThanOrEqual": value, "GreaterThan": value + 1}.get(type(f).__name__)
+                high = {"EqualTo": value, "LessThanOrEqual": value, "LessThan": value - 1}.get(type(f).__name__)
+                if low is not None:
+                    self.options["t0"] = str(max(low, int(self.options["t0"])))
+                if high is not None:
+                    self.options["tf"] = str(min(high, int(self.options["tf"])))
+            elif name in ("unit", "dev", "signature") and name not in self.options and isinstance(f, EqualTo) and isinstance(value, int):
+                self.options[name] = str(value)
+            yield f
+
+
 class _StreamReader(DataSourceStreamReader):
     """Offsets are times: a batch reads from the last one's end to the store's newest record."""
 
@@ -168,7 +197,7 @@ class _StreamWriter(_Writer, DataSourceStreamWriter):
 
 
 class RecordStore(DataSource):
-    """Options: url, unit, dev, signature, t0, tf, slice, retries; for writes also buffer."""
+    """Options: url, unit, dev, signature, t0, tf, slice, retries, pushdown; for writes also buffer."""
 
     @classmethod
     def name(cls):
@@ -178,7 +207,7 @@ class RecordStore(DataSource):
         return RECORD
 
     def reader(self, schema):
-        return _Reader(self.options)
+        return (_NarrowingReader if self.options.get("pushdown", "").lower() == "true" else _Reader)(self.options)
 
     def streamReader(self, schema):
         return _StreamReader(self.options)
@@ -195,6 +224,72 @@ def time_slices(df: DataFrame, step: int = 1_000_000) -> DataFrame:
     return df.where(F.col("tf") - F.col("t0") > step).withColumn("until", F.explode(F.sequence(F.col("t0") + step, F.col("tf") - 1, F.lit(step))))
 
 
+def fetched(readings: DataFrame, url: str, slice: int | None = None, tasks: int | None = None, retries: int = 3) -> DataFrame:
+    """The records of each reading (unit, dev, signature, t0, tf): all its columns, and the record in column ``record``.
+
+    Readings are cut into slices of time and dealt to tasks by their hash, so
+    that many tasks read a long one; a task that is lost asks for its slices
+    again.  Readings with a null among these columns or an empty range give no
+    rows; readings that repeat are fetched each on its own.  ``record.value``
+    is a number or null, ``record.raw`` the value as text.
+    """
+    readings = _signed(readings)
+    step = F.lit(slice).cast("long") if slice else F.col("tf") - F.col("t0") + 1
+    whole = readings.where("unit is not null and dev is not null and signature is not null and t0 <= tf")
+    parts = whole.withColumn("_from", F.explode(F.sequence(F.col("t0"), F.col("tf"), step))).withColumn("_until", F.least(F.col("_from") + step - 1, F.col("tf")))
+    return _asked(parts, url, tasks, retries).drop("_from", "_until")
+
+
+def _signed(readings: DataFrame) -> DataFrame:
+    """The readings of run contexts call their signature ``sig``."""
+    return readings if "signature" in readings.columns else readings.withColumnRenamed("sig", "signature")
+
+
+def _asked(parts: DataFrame, url: str, tasks: int | None, retries: int) -> DataFrame:
+    """``parts`` and the records from _from to _until, both included."""
+    keys = ["unit", "dev", "signature", "_from", "_until"]
+    fields = [*RECORD.split(", "), "raw string"]
+    kind = T.StructType.fromDDL(", ".join(fields))
+    schema = T.StructType([*parts.schema.fields, T.StructField("record", kind)])
+
+    def run(batches):
+        record = to_arrow_type(kind)
+        for b in batches:
+            asked = zip(*[b.column(k).to_pylist() for k in keys], strict=True)
+            for i, (unit, dev, signature, start, end) in enumerate(asked):
+                found = pages({"url": url, "unit": unit, "dev": dev, "signature": signature, "retries": retries}, start, end)
+                while part := list(itertools.islice(found, BATCH)):
+                    rows = [_typed(p) for p in part]
+                    columns = b.take(pa.array([i] * len(rows))).columns
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, record)], [*b.schema.names, "record"])
+
+    return parts.repartition(*([tasks] if tasks else []), F.xxhash64(*keys)).mapInArrow(run, schema)
+
+
+def _typed(record: tuple) -> dict:
+    r = dict(zip(FIELDS, record, strict=True))
+    value = r["value"]
+    r["raw"] = value if value is None or isinstance(value, str) else json.dumps(value)
+    r["value"] = float(value) if isinstance(value, (int, float)) else None
+    return r
+
+
+def fetched_blobs(readings: DataFrame, url: str, step: int = 1_000_000, dev: int | None = 0, retries: int = 3) -> DataFrame:
+    """Blobs of readings, asked for by slices of ``step``: measurement, name (measurement, time and signature) and blob, for ``files.write_blobs``.
+
+    An unfinished last slice is left out, as in ``time_slices``; where slices
+    meet, a record is read once.  ``dev`` takes the place of the readings' own,
+    None leaves it.  Values that are no base64 text give no blob.
+    """
+    readings = _signed(readings)
+    plan = time_slices(readings if dev is None else readings.withColumn("dev", F.lit(dev)), step).withColumnRenamed("until", "_until")
+    start = F.col("_until") - step
+    plan = plan.where("unit is not null and dev is not null and signature is not null").withColumn("_from", F.when(start > F.col("t0"), start + 1).otherwise(start))
+    got = _asked(plan, url, None, retries)
+    name = F.concat(F.col("measurement"), F.lit("-"), F.col("record.t").cast("string"), F.lit("_"), F.col("signature").cast("string"), F.lit(".raw"))
+    return got.select("measurement", name.alias("name"), F.try_to_binary(F.col("record.raw"), F.lit("base64")).alias("blob")).where("blob is not null")
+
+
 def first_context(contexts: DataFrame, order: str = "t") -> DataFrame:
     """The context that comes first in a series' order."""
     return contexts.orderBy(order).limit(1)

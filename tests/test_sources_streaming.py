@@ -147,6 +147,83 @@ def test_record_store(spark, tmp_path):
     server.shutdown()
 
 
+def asking(records, asked):
+    """A server as ``serve``'s that also heeds unit, device and signature, and keeps what it was asked for."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Store(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            q = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["series"]
+            asked.append(q)
+            same = [r for r in records if all(r[k] == q[k] for k in ("unit", "dev", "signature") if k in q)]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"series": [r for r in same if q["t0"] <= r["timestamp"] <= q["t1"]][:4]}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Store)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return server, f"http://127.0.0.1:{server.server_port}"
+
+
+def test_filters_reach_the_store(spark):
+    from fahrwerk.sources.store import RecordStore
+
+    asked = []
+    server, url = asking([{"unit": u, "dev": 1, "signature": 2, "value": 1.0, "timestamp": i} for i in range(30) for u in (5, 6)], asked)
+    spark.dataSource.register(RecordStore)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = spark.read.format("record_store").options(url=url, dev=1, t0=0, tf=29, slice=5, pushdown=True).load()
+        got = df.where("t >= 8 and t < 20 and unit = 6 and value > 0").collect()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+        server.shutdown()
+    assert sorted((r.unit, r.t) for r in got) == [(6, t) for t in range(8, 20)]
+    assert asked and all(q["unit"] == 6 and q["dev"] == 1 and q["t0"] >= 8 and q["t1"] <= 19 for q in asked)
+
+
+def test_readings_are_fetched_by_slices(spark, tmp_path):
+    from fahrwerk.sources import store
+
+    records = [{"unit": u, "dev": d, "signature": s, "value": u * 100.0 + i, "timestamp": i} for u in (1, 2) for d in (0, 1) for s in (7, 8) for i in range(0, 40, 2)]
+    asked = []
+    server, url = asking(records, asked)
+    rows = [("imu", 1, 0, 7, 0, 39, "x"), ("imu", 2, 1, 8, 5, 9, None), ("gps", 2, 1, 8, 5, 9, "again"), ("no", 1, 1, None, 0, 9, "x"), ("late", 1, 1, 7, 9, 5, "x"), ("none", 9, 0, 7, 0, 9, "x")]
+    plan = spark.createDataFrame(rows, "measurement string, unit long, dev long, signature long, t0 long, tf long, value string")
+    got = store.fetched(plan, url, slice=10, tasks=3)
+    assert got.columns == [*plan.columns, "record"]
+    found = sorted((r.measurement, r.value or "", r.record.t, r.record.value, r.record.raw) for r in got.collect())
+    want = [("imu", "x", t, 100.0 + t, str(100.0 + t)) for t in range(0, 40, 2)] + [(m, v, t, 200.0 + t, str(200.0 + t)) for m, v in (("imu", ""), ("gps", "again")) for t in (6, 8)]
+    assert found == sorted(want)
+    assert all(q["t1"] - q["t0"] < 10 for q in asked) and {q["unit"] for q in asked} == {1, 2, 9}
+    assert store.fetched(plan.limit(0), url).count() == 0
+    server.shutdown()
+
+
+def test_readings_to_blobs_to_files(spark, tmp_path):
+    """Run contexts give readings, readings series, and series files, in one plan."""
+    import base64
+
+    from fahrwerk.sources import store
+
+    ctx = {"id": "a", "sigs": [5, 6], "vehicles": [{"body": {"mass": 8300}, "sensors": [{"kind": "camera", "readings": [{"measurement": "m", "unit": "3", "t0": "0", "tf": "35", "dev": "4"}]}], "actuation": [], "telemetry": []}],
+           "environment": {"simulatorSettings": {"map_friction": 0.5}, "location": {"map_features": {}}}}
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "ctx.json").write_text(json.dumps(ctx))
+    text = lambda s, t: base64.b64encode(f"{s} at {t}".encode()).decode()
+    records = [{"unit": 3, "dev": 0, "signature": s, "value": text(s, t) if t != 15 else "!", "timestamp": t} for s in (5, 6) for t in range(0, 36, 5)]
+    server, url = asking(records, [])
+    readings = files.readings(files.read_run_context(spark, str(tmp_path / "c")))
+    blobs = store.fetched_blobs(readings, url, step=10)
+    assert files.write_blobs(blobs, str(tmp_path / "blobs")) == 2 * 6
+    server.shutdown()
+    assert {p.name: p.read_text() for p in (tmp_path / "blobs").iterdir()} == {f"m-{t}_{s}.raw": f"{s} at {t}" for s in (5, 6) for t in (0, 5, 10, 20, 25, 30)}
+
+
 def test_zipped_contexts(spark):
     import base64
     import io
