@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fahrwerk.operators import joins, ranks, segmented
 from fahrwerk.operators import sequence as sq
+from fahrwerk.plans import long_runs
 
 BY, ORDER, SIZE = ["run_id"], ["seq"], 7
 
@@ -107,3 +108,17 @@ def test_quantiles(spark, runs, monkeypatch, buffer, bins):
 def test_empty_tables(runs):
     none = runs.limit(0)
     assert segmented.with_blocks(none, BY, ORDER).count() == segmented.filled(none, "v", BY, ORDER).count() == ranks.numbered(none.drop("seq"), BY, ["t"]).count() == ranks.quantiles(none, BY, "v", [0.5]).count() == 0
+
+
+def test_ties_that_sql_leaves_open_are_settled_by_the_row(spark, tmp_path):
+    """Line items of one flag, date, order and line number: the same numbers and results in whatever order the files hold them."""
+    rng, rows = random.Random(5), []
+    for i in range(40):
+        rows += [("A", i // 4, i, 1 + i % 7, float(q)) for q in rng.sample(range(1, 51), 1 + 2 * (i % 2))]
+    found = []
+    for turn, part in enumerate((sorted(rows), sorted(rows)[::-1])):
+        t = spark.createDataFrame(part, "l_returnflag string, day int, l_orderkey long, l_linenumber int, l_quantity double")
+        t.withColumn("l_shipdate", F.to_timestamp(F.date_add(F.lit("2000-01-01").cast("date"), F.col("day")))).drop("day").coalesce(1).write.parquet(f"{tmp_path}/{turn}/lineitem.parquet")
+        queries = [long_runs.long_numbered, long_runs.long_fill, long_runs.long_gap_fill, long_runs.long_blocks, long_runs.long_crash_dilation, long_runs.long_sliding_windows, long_runs.long_asof]
+        found.append([sorted(map(str, q(spark, f"{tmp_path}/{turn}").collect())) for q in queries])
+    assert found[0] == found[1] and all(found[0])
