@@ -66,6 +66,10 @@ DOCS_PER_BUCKET = 5_000
 SLICE = 1_000_000
 #: Sets whose signatures a task has sent, as far as it remembers; a forgotten one is sent again.
 SENT = 500_000
+#: Cells of the hash domain in which the elements of a set are counted, in a byte each: what two sets have in common is at most the sum of the lesser counts.
+CELLS = 128
+#: Rows, each with the signatures of a slice in a bucket, that a task hands to Python at once.
+LOADS_AT_ONCE = 100
 #: A bucket's signatures are grouped in so many ranges (as bits), one after the other.
 RANGE_BITS = 3
 _U = np.uint64
@@ -164,20 +168,35 @@ class Bands:
                 yield step, which, which[row], sig, full
 
 
-#: Rows that tasks send: kind 0 a document, 1 a set in a band, 2 its signatures in a bucket.
-_SENT = "bucket int, kind int, id long, node long, n long, full long, lost long, sigs binary"
+#: Rows that tasks send: kind 0 a document, 1 a set in a band, 2 the signatures of a slice's sets in a bucket, set by set.
+_SENT = "bucket int, kind int, id long, node long, n long, full long, lost long, nodes binary, ns binary, counts binary, sigs binary"
 _SENT_NAMES = [c.split()[0] for c in _SENT.split(", ")]
 
 
-def _sent(bucket, kind, ident, node, n, full, lost, sigs) -> pa.RecordBatch:
+def _sent(bucket, kind, ident, node, n, full, lost) -> pa.RecordBatch:
     size = len(node)
     wide = lambda x: pa.array(np.broadcast_to(np.asarray(x, np.int64), size).copy(), pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket, pa.int32()), pa.array(np.full(size, kind), pa.int32()), ident if isinstance(ident, pa.Array) else wide(ident), wide(node), wide(n), wide(full), wide(lost), pa.array(sigs, pa.binary()) if sigs is not None else pa.nulls(size, pa.binary())],
+        [pa.array(bucket, pa.int32()), pa.array(np.full(size, kind), pa.int32()), ident if isinstance(ident, pa.Array) else wide(ident), wide(node), wide(n), wide(full), wide(lost), *[pa.nulls(size, pa.binary())] * 4],
         _SENT_NAMES,
     )
 
 
+def _sent_signatures(bucket, loads) -> pa.RecordBatch:
+    size = len(bucket)
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(np.full(size, 2), pa.int32()), *[pa.nulls(size, pa.int64())] * 5, *(pa.array(x, pa.binary()) for x in loads)], _SENT_NAMES)
+
+
+def narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest takes."""
+    return x.astype(np.min_scalar_type(int(x.max()))).tobytes()
+
+
+def widened(raw: bytes, size: int) -> np.ndarray:
+    """The ``size`` numbers of ``narrow``."""
+    return np.frombuffer(raw, f"u{len(raw) // size}").astype(np.int64)
+
+
 def _emit(buckets: int, percent: int):
     """Describes each document, and sends the signatures of every set that the task has not sent before, dealt into buckets."""
 
@@ -190,7 +209,7 @@ def _emit(buckets: int, percent: int):
                 names, size = set_ids(h, at), np.diff(at)
                 own = ids.slice(i, len(names))
                 spread = tv.mix(own.cast(pa.int64()).fill_null(0).to_numpy().view(_U)) % _U(buckets)
-                yield _sent(spread.astype(np.int32), 0, own, names, size, 0, 0, None)
+                yield _sent(spread.astype(np.int32), 0, own, names, size, 0, 0)
                 new = []
                 for k in np.flatnonzero((size > 0) & own.is_valid().to_numpy(zero_copy_only=False)).tolist():
                     if int(names[k]) not in sent:
@@ -213,21 +232,24 @@ def _signed(bands: Bands, h, off, names, buckets: int, width: int):
     size = np.diff(off)
     for step, which, row, sig, full in bands.sides(h, off):
         node = names | step
-        # Sorted by set, bucket and the signature's other bits; signatures of one set that fall together are counted.
-        key = (row.astype(_U) << _U(32 + width)) | ((sig & _U(0xFFFFFFFF)) * _U(buckets) >> _U(32) << _U(32)) | (sig >> _U(32))
+        # Sorted by bucket, set and the signature's other bits; signatures of one set that fall together are counted.
+        key = ((sig & _U(0xFFFFFFFF)) * _U(buckets) >> _U(32) << _U(64 - width)) | (row.astype(_U) << _U(32)) | (sig >> _U(32))
         key = np.sort(key)
         key = key[np.diff(key, prepend=key[:1] ^ _U(1)) != 0]
-        lost = np.bincount(row, minlength=len(size)) - np.bincount((key >> _U(32 + width)).astype(np.int64), minlength=len(size))
-        yield _sent((tv.mix(node[which].view(_U)) % _U(buckets)).astype(np.int32), 1, 0, node[which], size[which], full, lost[which], None)
+        place = key >> _U(32)
+        rows = (place & _U((1 << (32 - width)) - 1)).astype(np.int64)
+        lost = np.bincount(row, minlength=len(size)) - np.bincount(rows, minlength=len(size))
+        yield _sent((tv.mix(node[which].view(_U)) % _U(buckets)).astype(np.int32), 1, 0, node[which], size[which], full, lost[which])
         if not len(key):
             continue
-        place = key >> _U(32)
         first = np.flatnonzero(np.diff(place, prepend=place[:1] ^ _U(1)) != 0)
-        low = (key & _U(0xFFFFFFFF)).astype(np.uint32).tobytes()
         ends = np.append(first[1:], len(key))
-        of = (place[first] >> _U(width)).astype(np.int64)
-        sigs = [low[4 * a : 4 * b] for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
-        yield _sent((place[first] & _U((1 << width) - 1)).astype(np.int32), 2, 0, node[of], size[of], 0, 0, sigs)
+        of, held = rows[first], (place[first] >> _U(32 - width)).astype(np.int32)
+        edge = np.flatnonzero(np.diff(held, prepend=-1))
+        low, counts, loads = (key & _U(0xFFFFFFFF)).astype(np.uint32), ends - first, []
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(first)], strict=True):
+            loads.append((node[of[a:b]].tobytes(), narrow(size[of[a:b]]), narrow(counts[a:b]), low[first[a] : ends[b - 1]].tobytes()))
+        yield _sent_signatures(held[edge], zip(*loads, strict=True))
 
 
 #: What buckets give: 0 documents (doc_id, set, size), 1 sets in a band, 2 pairs (a, b, times), 3 members of large groups (node, group, size).
@@ -253,21 +275,24 @@ def _shared(percent: int):
                     yield _shared_rows(0, b.column(2), b.column(3), b.column(4))
                 elif b.num_rows:
                     yield _shared_rows(1, b.column(3), b.column(4), b.column(5), b.column(6))
-            parts.append(batch.filter(pa.array(kind == 2)).select(["bucket", "node", "n", "sigs"]))
+            parts.append(batch.filter(pa.array(kind == 2)).select(["bucket", "nodes", "ns", "counts", "sigs"]))
         if not sum(p.num_rows for p in parts):
             return
         t = pa.Table.from_batches(parts)
         parts = []
-        node, bucket = t["node"].to_numpy(), t["bucket"].to_numpy().astype(_U)
+        bucket = t["bucket"].to_numpy().astype(_U)
         for b in np.unique(bucket).tolist():
-            rows = np.flatnonzero(bucket == b)
-            rows = rows[np.unique(node[rows], return_index=True)[1]]
-            loads = t["sigs"].take(pa.array(rows)).combine_chunks()
-            loads = loads.chunk(0) if isinstance(loads, pa.ChunkedArray) else loads
-            off = np.frombuffer(loads.buffers()[1], np.int32)[loads.offset : loads.offset + len(loads) + 1]
-            every = np.frombuffer(loads.buffers()[2], np.uint32)[off[0] // 4 : off[-1] // 4]
-            of = np.repeat(np.arange(len(rows), dtype=np.uint32), np.diff(off) // 4)
-            names, ns = node[rows], t["n"].to_numpy()[rows]  # rows are in the order of their names
+            loads = t.filter(pa.array(bucket == b)).select(["nodes", "ns", "counts", "sigs"]).to_pydict()
+            held = [len(x) // 8 for x in loads["nodes"]]
+            nodes, every = np.frombuffer(b"".join(loads["nodes"]), np.int64), np.frombuffer(b"".join(loads["sigs"]), np.uint32)
+            ns, counts = (np.concatenate([widened(x, k) for x, k in zip(loads[c], held, strict=True)]) for c in ("ns", "counts"))
+            # Rows are in the order of their names; what several tasks have sent counts once.
+            names, at = np.unique(nodes, return_index=True)
+            ns, rank = ns[at], np.full(len(nodes), len(names), np.uint32)
+            rank[at] = np.arange(len(names), dtype=np.uint32)
+            of = np.repeat(rank, counts)
+            if len(names) < len(nodes):
+                every, of = every[of < len(names)], of[of < len(names)]
             # A range of signatures at a time, for the memory of a task.
             for part in range(1 << RANGE_BITS):
                 own = every >> np.uint32(32 - RANGE_BITS) == part
@@ -314,8 +339,34 @@ def _sets(batches):
             want = cid.slice(i, len(off) - 1)
             ok = set_ids(h, at) == want.to_numpy()  # another row with the same doc_id may have another text
             keep = np.flatnonzero(ok)
-            raw = h.tobytes()
-            yield pa.RecordBatch.from_arrays([want.filter(pa.array(ok)), pa.array(np.diff(at)[keep], pa.int64()), pa.array([raw[8 * at[k] : 8 * at[k + 1]] for k in keep.tolist()], pa.binary())], ["cid", "n", "s"])
+            raw, cells = h.tobytes(), cell_counts(h, at)
+            yield pa.RecordBatch.from_arrays(
+                [want.filter(pa.array(ok)), pa.array(np.diff(at)[keep], pa.int64()), pa.array([raw[8 * at[k] : 8 * at[k + 1]] for k in keep.tolist()], pa.binary()), pa.array([cells[k].tobytes() for k in keep.tolist()], pa.binary())],
+                ["cid", "n", "s", "cells"],
+            )
+
+
+def cell_counts(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each set how many elements fall into each cell; 255 stands for as many or more."""
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    counts = np.bincount(doc * CELLS + (h >> _U(57)).astype(np.int64), minlength=(len(off) - 1) * CELLS)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, CELLS)
+
+
+def _possible(percent: int):
+    """Pairs whose counts in cells leave room for enough common elements."""
+
+    def run(batches):
+        for a, b, n, m, x, y in tv.rows(batches, ["a", "b", "na", "nb", "xa", "xb"]):
+            if not len(a):
+                continue
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, CELLS) for c in (x, y))
+            n, m = n.to_numpy(), m.to_numpy()
+            common = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            ok = pa.array((100 * common >= percent * (n + m - common)) | ((x == 255) & (y == 255)).any(axis=1))
+            yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], ["a", "b"])
+
+    return run
 
 
 def _confirm(percent: int):
@@ -335,11 +386,17 @@ def _confirm(percent: int):
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of set names (a, b) that are similar in full; a set with very many partners is spread over tasks."""
+    counts = lambda c: sets.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("cells").alias(f"x{c}"))
+    pairs = materialize(pairs.join(counts("a"), "a").join(counts("b"), "b").mapInArrow(_possible(percent), "a long, b long"))
+    named = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
+    sets = sets.join(F.broadcast(named) if named.count() <= BROADCAST_ROWS else named, "cid", "left_semi")
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("salt"))
     left = chunks.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").select("a", "sa", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"))
     both = dealt.join(left, ["a", "salt"]).join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
-    return materialize(both.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"))
+    out = materialize(both.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"))
+    release(pairs, named)
+    return out
 
 
 def common_counts(values: np.ndarray, row: np.ndarray, rows: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -403,21 +460,25 @@ def group_links(members: DataFrame, sets: DataFrame, percent: int, bits: int = 3
     """Links (a, b) of the groups that hold several components; ``members`` has gid, cid, comp.
 
     Sets travel as numbers of ``bits`` bits, which may take too many elements
-    for common ones; the links are to be confirmed.
+    for common ones; the links are to be confirmed.  Groups whose members have
+    the same smallest hash, as groups with nearly the same members mostly do,
+    are compared as one, so that a set travels once for all of them.
     """
+    alike = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.xxhash64("cid")).alias("least")).where("lo <> hi")
+    members = members.join(alike.select("gid", "least"), "gid").select(F.col("least").alias("gid"), "cid", "comp").distinct()
     sized = members.join(sets.select("cid", "n"), "cid")
-    mixed = sized.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("total")).where("lo <> hi")
+    mixed = sized.groupBy("gid").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_ELEMENTS)).cast("int")
     placed = sized.join(mixed.select("gid", blocks.alias("blocks")), "gid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("gid", "cid", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
-    def narrow(batches):
+    def narrowed(batches):
         for cid, n, s in tv.rows(batches, ["cid", "n", "s"]):
             small = [(np.frombuffer(v.as_buffer(), _U) >> _U(32)).astype(np.uint32) for v in s]
             yield pa.RecordBatch.from_arrays([cid, n, pa.array([np.unique(v).tobytes() for v in small], pa.binary())], ["cid", "n", "s"])
 
-    loads = sets if bits == 64 else sets.mapInArrow(narrow, "cid long, n long, s binary")
+    loads = sets if bits == 64 else sets.select("cid", "n", "s").mapInArrow(narrowed, "cid long, n long, s binary")
     together = placed.join(loads, "cid").groupBy("gid", "i", "j").agg(F.collect_list(F.struct("block", "cid", "comp", "n", "s")).alias("members"))
     return together.select("i", "j", "members").mapInArrow(_forests(percent, bits), "a long, b long").distinct()
 
@@ -436,7 +497,7 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFram
     docs = documents.select("doc_id", "text")
     buckets = max(24, docs.count() // DOCS_PER_BUCKET)
     rows = docs.mapInArrow(_emit(buckets, percent), _SENT)
-    shared = materialize(rows.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared(percent), _SHARED), by="kind")
+    shared = materialize(rows.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared(percent), _SHARED), LOADS_AT_ONCE, by="kind")
     table = shared.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cid"), F.col("x").alias("n"))
     first = table.where("n > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
 
@@ -466,7 +527,7 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFram
     named = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(kept.select("cid")).distinct()
     named = materialize(named.join(first, "cid"))
     few_named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
-    sets = materialize(docs.join(few_named, "doc_id").select("cid", "text").mapInArrow(_sets, "cid long, n long, s binary").dropDuplicates(["cid"]))
+    sets = materialize(docs.join(few_named, "doc_id").select("cid", "text").mapInArrow(_sets, "cid long, n long, s binary, cells binary").dropDuplicates(["cid"]))
 
     # Each set with the partner it meets most, and in three of its groups.
     closest = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")

@@ -8,6 +8,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -721,6 +722,21 @@ def test_declared_types_are_corrected(spark):
     assert got == {1: media_sniff.sniff(media)[0], 2: None, 3: None}
 
 
+def test_signatures_travel_once_a_slice_and_bucket():
+    """Rows that a task sends don't grow with sets times buckets; counts in cells never rule a link out."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefgh", k=60)) for _ in range(50)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(50)), "text": texts})
+    rows = [r for b in ngram_join._emit(16, 75)(iter([batch])) for r in b.to_pylist()]
+    assert len([r for r in rows if r["kind"] == 2]) <= 2 * 16
+    h, off = ngram_join.shingle_sets(*next(ngram_join.tv.slices(batch.column(1)))[1:])
+    cells = ngram_join.cell_counts(h, off)
+    sets = [h[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+    for i in range(50):
+        for j in range(i):
+            assert np.minimum(cells[i], cells[j]).sum() >= len(np.intersect1d(sets[i], sets[j]))
+
+
 def test_names_and_sql(spark):
     import duckdb
 
