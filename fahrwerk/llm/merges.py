@@ -34,6 +34,9 @@ class Merges:
         self.made = np.zeros(len(merges), np.int64)
         for rank, made in pairs.values():
             self.made[rank] = made
+        # Ranks of two bytes side by side, inside a word and at its end.
+        every = np.repeat(self.inner[:, None], 256, axis=1)
+        self.beside, self.ending = (self.ranks(every, np.repeat(x[None, :], 256, axis=0)) for x in (self.inner, self.last))
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 24 | b
@@ -50,16 +53,16 @@ class Merges:
             for i in range(0, len(same), 20_000):
                 which = same[i : i + 20_000]
                 raw = np.frombuffer(b"".join([words[k] for k in which.tolist()]), np.uint8).reshape(-1, n)
-                for rows, ids in self._merged(np.hstack([self.inner[raw[:, :-1]], self.last[raw[:, -1:]]])):
+                rank = np.hstack([self.beside[raw[:, :-2], raw[:, 1:-1]], self.ending[raw[:, -2:-1], raw[:, -1:]]]) if n > 1 else np.zeros((len(raw), 0), np.int64)
+                for rows, ids in self._merged(np.hstack([self.inner[raw[:, :-1]], self.last[raw[:, -1:]]]), rank):
                     data, step = ids.astype("<u4").tobytes(), 4 * ids.shape[1]
                     for j, k in enumerate(which[rows].tolist()):
                         out[k] = data[j * step : (j + 1) * step]
         return out
 
-    def _merged(self, ids: np.ndarray):
-        """Yields (rows, their ids) by the number of ids that remain."""
+    def _merged(self, ids: np.ndarray, rank: np.ndarray):
+        """Yields (rows, their ids) by the number of ids that remain; ``rank`` has that of each pair."""
         rows, n = np.arange(len(ids)), ids.shape[1]
-        rank = self.ranks(ids[:, :-1], ids[:, 1:])
         while len(rows):
             if n == 1:
                 yield rows, ids
