@@ -56,8 +56,12 @@ SEED_WEIGHT = 5.0
 GAP_COST = 0.1
 #: Ids of documents are broadcast up to this number; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Spans to cut, and documents that have some, are broadcast (8 bytes each) up to this number; beyond it texts are shuffled once more.
+BROADCAST_SPANS = 500_000
 #: Documents, each with all it needs of earlier ones, that a task hands to Python at once.
 DOCS_AT_ONCE = 200
+#: Rows with the seeds of a slice in a bucket, or documents with their matches, that it does.
+LOADS_AT_ONCE = 100
 #: Words of a block of an earlier document.
 FETCH = 64
 #: Bytes of the texts of a slice, and documents whose seeds meet in a bucket on average.
@@ -506,7 +510,7 @@ def _passages(documents: DataFrame, least: int, identity: float) -> DataFrame:
     sent = docs.mapInArrow(_sent(buckets), _SENT)
     met = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_met, _MATCH)
     matches = met.groupBy("b").agg(F.collect_list(F.struct("a", "p", "q")).alias("matches"))
-    found = materialize(matches.mapInArrow(_chained(least), _CHAINS))
+    found = materialize(matches.mapInArrow(_chained(least), _CHAINS), LOADS_AT_ONCE)
     asked = materialize(found.select("b", "a", "size", "p").mapInArrow(_asked, "b long, a long, block int"))
     blocks = asked.groupBy(F.col("a").alias("doc_id")).agg(F.collect_set("block").alias("blocks"))
     ids = materialize(asked.select(F.col("a").alias("doc_id")).distinct())
@@ -519,6 +523,27 @@ def _passages(documents: DataFrame, least: int, identity: float) -> DataFrame:
     return out
 
 
+def _united(key: str, name: str):
+    """Spans of each document without overlaps: those that touch become one."""
+
+    def run(batches):
+        for docs, spans in tv.rows(batches, [key, name]):
+            starts, ends, size = [], [], []
+            for m in spans:
+                start, end = (m.values.field(f).to_numpy() for f in ("start", "end"))
+                order = np.argsort(start, kind="stable")
+                start, end = start[order], np.maximum.accumulate(end[order])
+                first = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
+                starts.append(start[first])
+                ends.append(end[np.append(first[1:], len(end)) - 1])
+                size.append(len(first))
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int32), pa.int32()) for x in (starts, ends)], ["start", "end"])
+            edge = pa.array(np.cumsum([0, *size]), pa.int32())
+            yield pa.RecordBatch.from_arrays([docs, pa.ListArray.from_arrays(edge, flat)], [key, name])
+
+    return run
+
+
 def _cut(name: str):
     """Texts without the words of the spans in this column."""
 
@@ -557,8 +582,9 @@ def drop_repeats(documents: DataFrame, least: int = LEAST, identity: float = IDE
     key, own, spans_ = free_names(documents, "key", "own", "spans")
     keyed = _keyed(documents, several, own)
     found = _passages(keyed.select(F.col(own).alias("doc_id"), "text"), least, identity)
-    spans = materialize(found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(spans_)))
-    near = F.broadcast(spans) if (spans.agg(F.sum(F.size(spans_) + 1)).first()[0] or 0) <= BROADCAST_ROWS else spans
+    spans = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(spans_))
+    spans = materialize(spans.mapInArrow(_united(key, spans_), f"`{key}` long, `{spans_}` array<struct<start: int, end: int>>"))
+    near = F.broadcast(spans) if (spans.agg(F.sum(F.size(spans_) + 1)).first()[0] or 0) <= BROADCAST_SPANS else spans
     joined = keyed.join(near, F.col(own) == F.col(key), "left").drop(key, own)
     out = joined.mapInArrow(_cut(spans_), documents.schema)
     if "n_chars" in documents.columns:

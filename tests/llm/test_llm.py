@@ -737,6 +737,13 @@ def test_signatures_travel_once_a_slice_and_bucket():
             assert np.minimum(cells[i], cells[j]).sum() >= len(np.intersect1d(sets[i], sets[j]))
 
 
+def test_spans_that_touch_are_united():
+    spans = [[(5, 9), (0, 3), (9, 12), (1, 2)], [(4, 6)]]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["k", "s"])
+    (out,) = substring_dedup._united("k", "s")(iter([batch]))
+    assert [[(x["start"], x["end"]) for x in r] for r in out.column(1).to_pylist()] == [[(0, 3), (5, 12)], [(4, 6)]]
+
+
 def test_names_and_sql(spark):
     import duckdb
 
