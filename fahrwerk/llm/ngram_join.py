@@ -23,8 +23,11 @@ how often they meet.  Larger groups never give pairs.  There a set keeps only
 its smallest groups, all but so many as it must share with any similar set
 less one (a prefix filter, which loses no pair), and members are compared in
 blocks inside tasks, which give a spanning forest of the links: first in
-three groups of each set, then in the groups that still hold several
-components.  Every link is confirmed on the full sets.
+three groups of each set, where each block meets itself and one other, then
+in the groups that still hold several components.  There counts of elements
+in cells are compared first, and only members whose counts leave room for a
+link with another component travel as sets.  Every link is confirmed on the
+full sets.
 
 Null or empty texts have no shingles and link with nothing, as rows without
 doc_id do, whose component_id is null.  Equal texts are one set (a copy costs
@@ -68,6 +71,8 @@ SLICE = 1_000_000
 SENT = 500_000
 #: Cells of the hash domain in which the elements of a set are counted, in a byte each: what two sets have in common is at most the sum of the lesser counts.
 CELLS = 128
+#: Members of a group whose counts in cells are compared at once, and least cells (as bits); a set has two to four elements a cell on average.
+COUNTED, LEAST_BITS = 2048, 6
 #: Rows, each with the signatures of a slice in a bucket, that a task hands to Python at once.
 LOADS_AT_ONCE = 100
 #: A bucket's signatures are grouped in so many ranges (as bits), one after the other.
@@ -456,22 +461,108 @@ def _forests(percent: int, bits: int):
     return run
 
 
-def group_links(members: DataFrame, sets: DataFrame, percent: int, bits: int = 32) -> DataFrame:
+def folded_counts(h: np.ndarray, bits: int) -> np.ndarray:
+    """How many elements fall into each of so many cells (as bits); 255 stands for as many or more."""
+    return np.minimum(np.bincount((h >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def _counted(batches):
+    """Each set with the counts of its elements in cells."""
+    for cid, n, s in tv.rows(batches, ["cid", "n", "s"]):
+        bits = [max(LEAST_BITS, k.bit_length() - 2) for k in n.to_pylist()]
+        counts = [folded_counts(np.frombuffer(v.as_buffer(), _U), b).tobytes() for v, b in zip(s, bits, strict=True)]
+        yield pa.RecordBatch.from_arrays([cid, n, pa.array(counts, pa.binary())], ["cid", "n", "cells"])
+
+
+def possible_partners(counts: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of ``left`` and ``right`` have room for enough common elements, by counts in cells (one row a set)."""
+    common = np.zeros((len(left), len(right)), np.float32)
+    x, y = counts[left], counts[right]
+    for least in range(1, int(counts.max(initial=0)) + 1):
+        # Cells in which a set of either side holds so many.
+        some = np.flatnonzero((x >= least).any(axis=0) & (y >= least).any(axis=0))
+        if not len(some):
+            break
+        common += (x[:, some] >= least).astype(np.float32) @ (y[:, some] >= least).astype(np.float32).T
+    full = (counts == 255).any(axis=1)
+    return ((100 + percent) * common.astype(np.int64) >= percent * (n[left][:, None] + n[right][None, :])) | (full[left][:, None] & full[right][None, :])
+
+
+def _partnered(percent: int):
+    """Members of a pair of blocks that have a possible partner of another component there."""
+
+    def run(batches):
+        for gid, i, j, members in tv.rows(batches, ["gid", "i", "j", "members"]):
+            out = []
+            for g, x, y, m in zip(gid.to_pylist(), i.to_pylist(), j.to_pylist(), members, strict=True):
+                flat = m.values
+                block, cid, comp, n = (flat.field(f).to_numpy() for f in ("block", "cid", "comp", "n"))
+                raw = [np.frombuffer(v.as_buffer(), np.uint8) for v in flat.field("cells")]
+                # Neighbouring cells are taken together, down to as many as the least set has.
+                width = min(map(len, raw))
+                counts = np.stack([np.minimum(v.reshape(width, -1).sum(axis=1, dtype=np.int64), 255).astype(np.uint8) if len(v) > width else v for v in raw])
+                left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+                ok = possible_partners(counts, n, left, right, percent) & (comp[left][:, None] != comp[right][None, :])
+                which = np.union1d(left[ok.any(axis=1)], right[ok.any(axis=0)])
+                out.append((np.full(len(which), g), cid[which], comp[which]))
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["gid", "cid", "comp"])
+
+    return run
+
+
+def _as_one(members: DataFrame) -> DataFrame:
+    """Members of the groups that hold several components; groups whose members have the same smallest hash are one."""
+    alike = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.xxhash64("cid")).alias("least")).where("lo <> hi")
+    return members.join(alike.select("gid", "least"), "gid").select(F.col("least").alias("gid"), "cid", "comp").distinct()
+
+
+def partnered(members: DataFrame, sets: DataFrame, percent: int, star: bool = False) -> DataFrame:
+    """Members (gid, cid, comp) that have a possible partner in their group and another component.
+
+    Only counts in cells travel, a tenth or so of a set's bytes; but for a
+    ``star`` no link is lost.
+    """
+    counted = sets.select("cid", "n", "s").mapInArrow(_counted, "cid long, n long, cells binary")
+    placed = _placed(_as_one(members).join(sets.select("cid", "n"), "cid"), COUNTED, 1 << 40, star)
+    together = placed.join(counted, "cid").groupBy("gid", "i", "j").agg(F.collect_list(F.struct("block", "cid", "comp", "n", "cells")).alias("members"))
+    return together.mapInArrow(_partnered(percent), "gid long, cid long, comp long").distinct()
+
+
+def _placed(sized: DataFrame, most: int, most_elements: int, star: bool) -> DataFrame:
+    """Members in blocks, once for each pair of blocks (i, j) that is compared; ``sized`` has gid, cid, comp, n.
+
+    Members of the component that has most of a group lie in blocks of their
+    own, which are never compared with one another.  A ``star`` only compares
+    each block with itself and with one other, the same for all: three rows a
+    member at most, however large the group.
+    """
+    parts = sized.groupBy("gid", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    whole = parts.groupBy("gid").agg(F.sum("size").alias("size"), F.sum("total").alias("total"), F.max(F.struct("size", "total", "comp")).alias("main"))
+    blocks = lambda size, total: F.ceil(F.greatest(size / most, total / most_elements)).cast("int")
+    main = F.struct(F.lit(0).alias("size"), F.lit(0).alias("total"), F.lit(None).cast("long").alias("comp")) if star else F.col("main")
+    whole = whole.withColumn("main", main).select("gid", F.col("main.comp").alias("main"), blocks(F.col("size") - F.col("main.size"), F.col("total") - F.col("main.total")).alias("rest"), blocks(F.col("main.size"), F.col("main.total")).alias("own"))
+    # Blocks of the other components come first.
+    inside, first = F.coalesce(F.col("comp") == F.col("main"), F.lit(False)), F.lit(0)
+    block = F.when(inside, F.col("rest") + F.pmod(F.xxhash64("cid"), F.col("own"))).otherwise(F.pmod(F.xxhash64("cid"), F.col("rest"))).cast("int")
+    if star:
+        others = F.when(F.col("block") == 0, F.sequence(first, F.col("rest") - 1)).otherwise(F.array(first, F.col("block")))
+    else:
+        others = F.sequence(first, F.when(inside, F.col("rest")).otherwise(F.col("rest") + F.col("own")) - 1)
+    placed = sized.join(whole, "gid").where("rest > 0").withColumn("block", block).withColumn("other", F.explode(others))
+    return placed.select("gid", "cid", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def group_links(members: DataFrame, sets: DataFrame, percent: int, bits: int = 32, star: bool = False) -> DataFrame:
     """Links (a, b) of the groups that hold several components; ``members`` has gid, cid, comp.
 
     Sets travel as numbers of ``bits`` bits, which may take too many elements
     for common ones; the links are to be confirmed.  Groups whose members have
     the same smallest hash, as groups with nearly the same members mostly do,
-    are compared as one, so that a set travels once for all of them.
+    are compared as one, so that a set travels once for all of them.  A
+    ``star`` finds most links, not all.
     """
-    alike = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.xxhash64("cid")).alias("least")).where("lo <> hi")
-    members = members.join(alike.select("gid", "least"), "gid").select(F.col("least").alias("gid"), "cid", "comp").distinct()
-    sized = members.join(sets.select("cid", "n"), "cid")
-    mixed = sized.groupBy("gid").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
-    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_ELEMENTS)).cast("int")
-    placed = sized.join(mixed.select("gid", blocks.alias("blocks")), "gid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("gid", "cid", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    placed = _placed(_as_one(members).join(sets.select("cid", "n"), "cid"), BLOCK, BLOCK_ELEMENTS, star)
 
     def narrowed(batches):
         for cid, n, s in tv.rows(batches, ["cid", "n", "s"]):
@@ -532,7 +623,8 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFram
     # Each set with the partner it meets most, and in three of its groups.
     closest = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
     few = kept.where((F.col("rank") == 1) | (F.col("rank") == F.col("spare")) | (F.col("rank") == F.floor((F.col("spare") + 1) / 2)))
-    begun = materialize(closest.union(group_links(few.select("gid", "cid", F.col("cid").alias("comp")).distinct(), sets, percent)).distinct(), GROUPS_AT_ONCE)
+    few = materialize(partnered(few.select("gid", "cid", F.col("cid").alias("comp")).distinct(), sets, percent, star=True), GROUPS_AT_ONCE)
+    begun = materialize(closest.union(group_links(few, sets, percent, star=True)).distinct(), GROUPS_AT_ONCE)
     links = confirmed(begun, sets, percent)
     comps = materialize(connected_components(links).toDF("cid", "comp"))
 
@@ -540,8 +632,9 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFram
     apart = pairs.join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     members = materialize(kept.select("gid", "cid").distinct().join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).select("gid", "cid", "comp"))
     more = confirmed(apart, sets, percent)
+    likely = materialize(partnered(members, sets, percent), GROUPS_AT_ONCE)
     for bits in (32, 64):
-        found = materialize(group_links(members, sets, percent, bits), GROUPS_AT_ONCE)
+        found = materialize(group_links(likely, sets, percent, bits), GROUPS_AT_ONCE)
         rest = confirmed(found, sets, percent)
         if bits == 64 or rest.count() == found.count():
             break
@@ -554,7 +647,7 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFram
     by_set = materialize(whole.join(lowest, "comp").select("cid", "component_id"))
     out = table.join(by_set.toDF("set", "component_id"), (F.col("cid") == F.col("set")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     out = materialize(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
-    release(shared, nodes, pairs, kept, named, sets, begun, links, comps, members, more, found, rest, everything, by_set)
+    release(shared, nodes, pairs, kept, named, sets, few, begun, links, comps, members, likely, more, found, rest, everything, by_set)
     return out
 
 

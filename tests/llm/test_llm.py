@@ -329,6 +329,50 @@ def test_words_equal_the_library():
     assert got == [np.array(e.ids, "<u4").tobytes() for e in want]
 
 
+def _set_table(spark, sets):
+    rows = [(cid, len(s), np.sort(np.array(list(s), np.uint64)).tobytes()) for cid, s in sets.items()]
+    return spark.createDataFrame([(c, n, bytearray(x)) for c, n, x in rows], "cid long, n long, s binary")
+
+
+def test_counts_in_cells_keep_all_links_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COUNTED", 40)
+    rng = np.random.default_rng(3)
+    new = lambda k: set(rng.integers(0, 1 << 64, k, np.uint64).tolist())
+    sets, common = {}, new(40)
+    for cid in range(0, 400, 2):
+        base = sets[cid - 2] if cid % 20 == 18 else common | new(int(rng.integers(250, 400)))
+        keep = list(base)[: int(len(base) * rng.uniform(0.7, 1))]
+        sets[cid] = set(keep) | new(int(rng.integers(0, 20)))
+    # Sets of which one cell holds all that it can count.
+    sets[400] = set(range(3000))
+    sets[402] = set(range(500, 3000))
+    table = _set_table(spark, sets)
+    members = spark.createDataFrame([(7, c, c) for c in sets], "gid long, cid long, comp long")
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    kept = {r.cid for r in ngram_join.partnered(members, table, 75).collect()}
+    assert links and {x for pair in links for x in pair} <= kept and len(kept) < len(sets) // 2
+    likely = spark.createDataFrame([(7, c, c) for c in kept], "gid long, cid long, comp long")
+    found = {tuple(sorted((r.a, r.b))) for r in ngram_join.group_links(likely, table, 75, 64).collect()}
+    root = {c: c for c in sets}
+
+    def top(c):
+        return c if root[c] == c else top(root[c])
+
+    for a, b in found:
+        root[top(a)] = top(b)
+    assert found <= links and all(top(a) == top(b) for a, b in links)
+
+
+def test_rows_of_large_groups_grow_with_their_members(spark):
+    sized = spark.range(20_000).selectExpr("1L as gid", "id * 2 as cid", "if(id % 100 = 0, id, 0) as comp", "100L as n")
+    assert ngram_join._placed(sized, 512, 1 << 40, True).count() <= 3 * 20_000
+    # All but 199 members are one component, which isn't compared with itself.
+    placed = ngram_join._placed(sized, 512, 1 << 40, False)
+    assert placed.count() <= 2 * 20_000
+    met = placed.groupBy("i", "j").agg(F.countDistinct("comp").alias("comps"), F.count("*").alias("rows")).collect()
+    assert len(met) == 40 and all(r.comps > 1 for r in met)
+
+
 def test_fill_is_closest_to_capacity():
     for _ in range(60):
         counts = {RNG.randint(1, 30): RNG.randint(1, 3) for _ in range(5)}
