@@ -43,22 +43,23 @@ class Merges:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], _NONE)
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, as little-endian unsigned 32-bit integers."""
-        out = [b""] * len(words)
-        length = np.array([len(w) for w in words], np.int64)
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, as little-endian unsigned 32-bit integers; no word may hold a line end."""
+        out = np.full(len(words), b"", object)
+        raw = np.frombuffer(("\n".join(words) + "\n").encode("utf-8"), np.uint8)
+        ends = np.flatnonzero(raw == 10) if words else np.zeros(0, np.int64)
+        starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+        length = ends - starts
         order = np.argsort(length, kind="stable")
-        for n in np.unique(length[length > 0]).tolist():
-            same = order[np.searchsorted(length[order], n) : np.searchsorted(length[order], n, "right")]
-            for i in range(0, len(same), 20_000):
-                which = same[i : i + 20_000]
-                raw = np.frombuffer(b"".join([words[k] for k in which.tolist()]), np.uint8).reshape(-1, n)
-                rank = np.hstack([self.beside[raw[:, :-2], raw[:, 1:-1]], self.ending[raw[:, -2:-1], raw[:, -1:]]]) if n > 1 else np.zeros((len(raw), 0), np.int64)
-                for rows, ids in self._merged(np.hstack([self.inner[raw[:, :-1]], self.last[raw[:, -1:]]]), rank):
-                    data, step = ids.astype("<u4").tobytes(), 4 * ids.shape[1]
-                    for j, k in enumerate(which[rows].tolist()):
-                        out[k] = data[j * step : (j + 1) * step]
-        return out
+        edge = np.searchsorted(length[order], [1, *range(2, int(length.max(initial=0)) + 2)])
+        for n, (low, high) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True), 1):
+            for i in range(low, high, 20_000):
+                which = order[i : min(i + 20_000, high)]
+                held = raw[starts[which][:, None] + np.arange(n)]
+                rank = np.hstack([self.beside[held[:, :-2], held[:, 1:-1]], self.ending[held[:, -2:-1], held[:, -1:]]]) if n > 1 else np.zeros((len(held), 0), np.int64)
+                for rows, ids in self._merged(np.hstack([self.inner[held[:, :-1]], self.last[held[:, -1:]]]), rank):
+                    out[which[rows]] = np.ascontiguousarray(ids.astype("<u4")).view(f"V{4 * ids.shape[1]}").ravel().tolist()
+        return out.tolist()
 
     def _merged(self, ids: np.ndarray, rank: np.ndarray):
         """Yields (rows, their ids) by the number of ids that remain; ``rank`` has that of each pair."""

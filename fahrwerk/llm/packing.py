@@ -22,6 +22,7 @@ import json
 import os
 import re
 import zlib
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,11 @@ CACHE_LIMIT = 300_000
 #: Fixed value: how the vocabulary's pattern ends; a run of letters is one pre-token, other marks but single digits are another.
 WORD_PATTERN = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _MARKS = re.compile("[\u0300-\U0010ffff]")
-_WIDE = re.compile("[\u0100-\U0010ffff]")
+#: Letters below U+0100 in lower case; the same with ASCII marks behind them, which are one pre-token.
+_LETTERS = re.compile(r"^[a-z\xdf-\xf6\xf8-\xff]+$", re.MULTILINE)
+_MARKED = re.compile(r"^([a-z\xdf-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]+)$", re.MULTILINE)
+#: Bytes of texts whose words are looked up at once.
+SLICE = 2_000_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -50,7 +55,7 @@ class Words:
     """Ids of texts, word by word: no pre-token of this vocabulary holds white space.
 
     Words of letters below U+0100 are one pre-token, which ``Merges`` encodes,
-    many at once; all others go to the library.  That the vocabulary's parts
+    many at once, also where ASCII marks follow; all others go to the library.  That the vocabulary's parts
     are those that this relies on is checked at the start.
     """
 
@@ -67,22 +72,18 @@ class Words:
         self.known: dict[str, bytes] = {"": b""}
 
     def learn(self, words: set[str]) -> None:
-        """Encodes new words; a mark at a word's end is a pre-token of its own."""
-        plain, other, tails = [], [], []
-        for w in words:
-            if w.isalpha() and w.islower() and not _WIDE.search(w):
-                plain.append(w)
-            elif w[-1] in ".,;:!?" and (head := w[:-1]).isalpha() and head.islower() and not _WIDE.search(head):
-                tails.append(w)
-            else:
-                other.append(w)
+        """Encodes new words, none of which holds a line end; marks at a word's end are a pre-token of their own."""
+        plain = _LETTERS.findall(joined := "\n".join(words))
+        tails = _MARKED.findall(joined)
+        other = words.difference(plain, [head + tail for head, tail in tails]) if len(plain) + len(tails) < len(words) else ()
         known = self.known
-        heads = {w[:-1] for w in tails}.difference(known, plain)
-        plain += heads
-        known.update(zip(plain, self.merges.encode([w.encode("utf-8") for w in plain]), strict=True))
-        other += {w[-1] for w in tails}.difference(known, other)
+        plain += {head for head, _ in tails}.difference(known, plain)
+        known.update(zip(plain, self.merges.encode(plain), strict=True))
+        other = [*other, *{tail for _, tail in tails}.difference(known, other)]
         known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, self.model.encode_batch_fast(other, add_special_tokens=False), strict=True))
-        known.update((w, known[w[:-1]] + known[w[-1]]) for w in tails)
+        known.update([(head + tail, known[head] + known[tail]) for head, tail in tails])
+        for head in {head for head, _ in tails if len(head) > CACHED_CHARS}.difference(words):
+            del known[head]
 
     @staticmethod
     def plain(text: str) -> list[str]:
@@ -93,11 +94,10 @@ class Words:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.plain(t) for t in texts]
-        words = set().union(*parts)
-        new = words.difference(self.known)
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(parts)))
         if len(self.known) + len(new) > CACHE_LIMIT:
-            self.known = {"": b""}
-            new = words - {""}
+            # Words that are met again now mostly are frequent ones; the others are forgotten.
+            self.known = {w: self.known[w] for w in {"", *chain.from_iterable(parts)}.difference(new)}
         if new:
             self.learn(new)
         out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
@@ -122,9 +122,10 @@ def _pieces(name: str, window: int):
         end = np.array([END_ID], "<u4").tobytes()
         for ids, texts in tv.rows(batches, ["doc_id", "text"]):
             ids = ids.to_pylist()
-            for i in range(0, len(ids), 256):
+            for i, _, off in tv.slices(texts, SLICE):
+                size = len(off) - 1
                 doc, start, length, crc, total = [], [], [], [], []
-                for d, packed in zip(ids[i : i + 256], w.encode([t or "" for t in texts.slice(i, 256).to_pylist()]), strict=True):
+                for d, packed in zip(ids[i : i + size], w.encode([t or "" for t in texts.slice(i, size).to_pylist()]), strict=True):
                     packed += end
                     n = len(packed) // 4
                     for s in range(0, n, window):

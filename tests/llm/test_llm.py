@@ -373,6 +373,23 @@ def test_rows_of_large_groups_grow_with_their_members(spark):
     assert len(met) == 40 and all(r.comps > 1 for r in met)
 
 
+def test_marks_behind_a_word_are_learned_apart(monkeypatch):
+    words, sent = packing.words(), []
+
+    class Library:
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(texts)
+            return model.encode_batch_fast(texts, **kw)
+
+    model = words.model
+    monkeypatch.setattr(words, "model", Library())
+    monkeypatch.setattr(words, "known", {"": b""})
+    texts = ["thwh*** reed!! zie,%%% plain one. (two a'b c'", "straße### ÷÷ x9 thwh%%%"]
+    got = words.encode(texts)
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch(texts, add_special_tokens=False)]
+    assert set(sent) == {"***", "!!", ",%%%", ".", "(two", "a'b", "'", "###", "÷÷", "x9", "%%%"}
+
+
 def test_fill_is_closest_to_capacity():
     for _ in range(60):
         counts = {RNG.randint(1, 30): RNG.randint(1, 3) for _ in range(5)}
