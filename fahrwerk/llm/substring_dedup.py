@@ -545,35 +545,44 @@ def _united(key: str, name: str):
 
 
 def _cut(name: str):
-    """Texts without the words of the spans in this column."""
+    """Texts without the words of the spans in this column, a slice of a batch at a time."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            spans = batch.column(batch.schema.get_field_index(name))
-            new = texts.to_pylist()
-            for i, buf, off in tv.slices(texts):
-                for k in range(len(off) - 1):
-                    if not spans[i + k].is_valid or new[i + k] is None:
-                        continue
-                    raw = buf[off[k] : off[k + 1]]
-                    starts, _, _ = tv.bounds(raw, np.array([0, len(raw)]))
-                    edge = np.append(starts, len(raw))
-                    keep, gone = np.ones(len(raw), bool), np.zeros(len(starts), bool)
-                    for s in spans[i + k].as_py():
-                        s0, s1 = s["start"], min(s["end"], len(starts))
-                        gone[s0:s1] = True
-                        if s0 < s1:
-                            keep[edge[s0] : edge[s1]] = False
-                    new[i + k] = None if gone.all() else raw[keep].tobytes().decode("utf-8")
-            names = [f for f in batch.schema.names if f != name]
-            cols = [pa.array(new, pa.string()) if f == "text" else batch.column(batch.schema.get_field_index(f)) for f in names]
-            gone = pa.array([a is None and b.is_valid for a, b in zip(new, texts, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays(cols, names).filter(pa.compute.invert(gone))
+            k = batch.schema.get_field_index("text")
+            sizes = [len(off) - 1 for _, _, off in tv.slices(batch.column(k), SLICE)]
+            for i, size in zip(np.cumsum([0, *sizes]).tolist(), sizes, strict=False):
+                yield _without_spans(batch.slice(i, size), name)
+            del batch
+        tv.give_back()
 
     return run
 
 
+def _without_spans(batch: pa.RecordBatch, name: str) -> pa.RecordBatch:
+    texts = batch.column(batch.schema.get_field_index("text"))
+    spans = batch.column(batch.schema.get_field_index(name))
+    new = texts.to_pylist()
+    for i, buf, off in tv.slices(texts):
+        for k in range(len(off) - 1):
+            if not spans[i + k].is_valid or new[i + k] is None:
+                continue
+            raw = buf[off[k] : off[k + 1]]
+            starts, _, _ = tv.bounds(raw, np.array([0, len(raw)]))
+            edge = np.append(starts, len(raw))
+            keep, gone = np.ones(len(raw), bool), np.zeros(len(starts), bool)
+            for s in spans[i + k].as_py():
+                s0, s1 = s["start"], min(s["end"], len(starts))
+                gone[s0:s1] = True
+                if s0 < s1:
+                    keep[edge[s0] : edge[s1]] = False
+            new[i + k] = None if gone.all() else raw[keep].tobytes().decode("utf-8")
+    names = [f for f in batch.schema.names if f != name]
+    cols = [pa.array(new, pa.string()) if f == "text" else batch.column(batch.schema.get_field_index(f)) for f in names]
+    gone = pa.array([a is None and b.is_valid for a, b in zip(new, texts, strict=True)], pa.bool_())
+    return pa.RecordBatch.from_arrays(cols, names).filter(pa.compute.invert(gone))
+
+
 def drop_repeats(documents: DataFrame, least: int = LEAST, identity: float = IDENTITY) -> DataFrame:
     """``documents`` without passages that an earlier document holds; rows of which nothing remains go."""
     import pyarrow.compute  # noqa: F401
@@ -589,7 +598,8 @@ def drop_repeats(documents: DataFrame, least: int = LEAST, identity: float = IDE
     out = joined.mapInArrow(_cut(spans_), documents.schema)
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(documents.schema["n_chars"].dataType))
-    return out.select(*documents.columns)
+    # Written here, as whoever writes it may hand whole texts to Python in batches of any size.
+    return materialize(out.select(*documents.columns))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

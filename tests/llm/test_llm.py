@@ -329,6 +329,21 @@ def test_words_equal_the_library():
     assert got == [np.array(e.ids, "<u4").tobytes() for e in want]
 
 
+def test_texts_are_cut_a_slice_at_a_time(spark, monkeypatch):
+    import pyarrow.compute  # noqa: F401
+
+    monkeypatch.setattr(substring_dedup, "SLICE", 1000)
+    rows = [(i, None if i % 7 == 0 else " ".join(f"w{i}x{k}" for k in range(60)), [{"start": 0, "end": 60 if i % 5 == 0 else 20}] if i % 2 else None) for i in range(100)]
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+    got = list(substring_dedup._cut("spans")(iter([batch.slice(0, 50), batch.slice(50, 50), batch.slice(0, 0)])))
+    assert all(b.num_rows <= 8 for b in got)
+    want = [(i, t if t is None or s is None else " ".join(t.split(" ")[20:])) for i, t, s in rows if not (t is not None and s is not None and s[0]["end"] == 60)]
+    assert [(r["doc_id"], r["text"]) for b in got for r in b.to_pylist()] == want
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert "llm-" in substring_dedup.drop_repeats(docs).inputFiles()[0]  # written by drop_repeats, in batches of its own
+
+
 def _set_table(spark, sets):
     rows = [(cid, len(s), np.sort(np.array(list(s), np.uint64)).tobytes()) for cid, s in sets.items()]
     return spark.createDataFrame([(c, n, bytearray(x)) for c, n, x in rows], "cid long, n long, s binary")
