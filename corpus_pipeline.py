@@ -72,6 +72,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
+        if i + 1 < len(STAGES) and not hasattr(docs, "_llm_path"):  # some stages have written theirs
             docs = materialize(docs)
     return docs

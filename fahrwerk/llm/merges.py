@@ -7,8 +7,6 @@ that are new beside it; rows in which no pair is left are done.
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 
 from .bpe_codec import byte_letters
@@ -17,10 +15,9 @@ _NONE = np.int64(1 << 40)
 
 
 class Merges:
-    """The merge list of a byte-level vocabulary whose words end in a suffix."""
+    """The merge list of a byte-level vocabulary whose words end in a suffix; ``model`` is that part of its file."""
 
-    def __init__(self, path: str):
-        model = json.load(open(path, encoding="utf-8"))["model"]
+    def __init__(self, model: dict):
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         self.inner, self.last = np.zeros(256, np.int64), np.zeros(256, np.int64)
         for letter, byte in byte_letters().items():

@@ -306,7 +306,7 @@ def _shared(percent: int):
         del t, parts
         tv.give_back()
 
-    return run
+    return tv.trimmed(run)
 
 
 def _groups(bucket: int, sig: np.ndarray, row: np.ndarray, names: np.ndarray, ns: np.ndarray, percent: int):

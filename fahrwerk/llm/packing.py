@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .common import materialize
 from .merges import Merges
 from .vocab import vocabulary_path
 
@@ -68,8 +69,11 @@ class Words:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         if steps != ["NFC", "Replace", "Lowercase"] or not pattern.endswith(WORD_PATTERN) or any(not t["content"].startswith("<|") for t in spec["added_tokens"]):
             raise ValueError(f"{path} does not cut texts at white space, in lower case")
-        self.model, self.merges = Tokenizer.from_file(path), Merges(path)
+        self.merges = Merges(spec["model"])
+        del spec  # before the library reads the file once more
+        self.model = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        tv.give_back()
 
     def learn(self, words: set[str]) -> None:
         """Encodes new words, none of which holds a line end; marks at a word's end are a pre-token of their own."""
@@ -138,7 +142,7 @@ def _pieces(name: str, window: int):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, length, crc, total)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
         w.known = {"": b""}
 
-    return run
+    return tv.trimmed(run)
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -221,7 +225,8 @@ def pack_documents(documents: DataFrame, vocabulary: str = VOCABULARY, window: i
     """
     docs = documents.select("doc_id", "text")
     shards = max(1, docs.count() // docs_per_shard)
-    pieces = docs.mapInArrow(_pieces(vocabulary, window), PIECE)
+    # Written here, as whoever writes the result may hand whole texts to Python in batches of any size.
+    pieces = materialize(docs.mapInArrow(_pieces(vocabulary, window), PIECE))
     shard = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)).alias("shard")
     return pieces.select(shard, "*").groupBy("shard").applyInArrow(_pack(window), f"{PIECE}, sequence_id long, offset long")
 

@@ -126,6 +126,16 @@ def give_back() -> None:
         _libc.malloc_trim(0)
 
 
+def trimmed(run):
+    """``run`` over batches; what it held goes back to the system when it has ended."""
+
+    def out(batches):
+        yield from run(batches)
+        give_back()
+
+    return out
+
+
 def rows(batches, columns: list[str]):
     """Batches as they come, kept to ``columns``."""
     for batch in batches:

@@ -425,7 +425,8 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, limit: int = LABELLED_LI
             if ok:
                 yield batch.filter(pa.array(np.concatenate(ok)))
 
-    return documents.mapInArrow(keep, documents.schema)
+    # Written here, as whoever writes it may hand whole texts to Python in batches of any size.
+    return materialize(documents.mapInArrow(tv.trimmed(keep), documents.schema))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

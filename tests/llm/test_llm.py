@@ -405,6 +405,13 @@ def test_marks_behind_a_word_are_learned_apart(monkeypatch):
     assert set(sent) == {"***", "!!", ",%%%", ".", "(two", "a'b", "'", "###", "÷÷", "x9", "%%%"}
 
 
+def test_stages_that_read_texts_write_their_own_batches(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    for out in (toxicity.drop_toxic(docs, labels), packing.pack_documents(docs)):
+        assert "llm-" in out.inputFiles()[0] and sorted(r.doc_id for r in out.collect()) == [1, 2]
+
+
 def test_fill_is_closest_to_capacity():
     for _ in range(60):
         counts = {RNG.randint(1, 30): RNG.randint(1, 3) for _ in range(5)}
