@@ -11,7 +11,7 @@ import numpy as np
 
 from .bpe_codec import byte_letters
 
-_NONE = np.int64(1 << 40)
+_NONE = np.int32(1 << 30)
 
 
 class Merges:
@@ -19,7 +19,7 @@ class Merges:
 
     def __init__(self, model: dict):
         vocab, end = model["vocab"], model["end_of_word_suffix"]
-        self.inner, self.last = np.zeros(256, np.int64), np.zeros(256, np.int64)
+        self.inner, self.last = np.zeros(256, np.int32), np.zeros(256, np.int32)
         for letter, byte in byte_letters().items():
             self.inner[byte], self.last[byte] = vocab[letter], vocab[letter + end]
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -27,8 +27,8 @@ class Merges:
         for rank, (a, b) in enumerate(merges):
             pairs.setdefault(vocab[a] << 24 | vocab[b], (rank, vocab[a + b]))
         self.keys = np.array(sorted(pairs), np.int64)
-        self.rank = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
-        self.made = np.zeros(len(merges), np.int64)
+        self.rank = np.array([pairs[k][0] for k in self.keys.tolist()], np.int32)
+        self.made = np.zeros(len(merges), np.int32)
         for rank, made in pairs.values():
             self.made[rank] = made
         # Ranks of two bytes side by side, inside a word and at its end.
@@ -36,7 +36,7 @@ class Merges:
         self.beside, self.ending = (self.ranks(every, np.repeat(x[None, :], 256, axis=0)) for x in (self.inner, self.last))
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 24 | b
+        key = a.astype(np.int64) << 24 | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], _NONE)
 
@@ -53,7 +53,7 @@ class Merges:
             for i in range(low, high, 20_000):
                 which = order[i : min(i + 20_000, high)]
                 held = raw[starts[which][:, None] + np.arange(n)]
-                rank = np.hstack([self.beside[held[:, :-2], held[:, 1:-1]], self.ending[held[:, -2:-1], held[:, -1:]]]) if n > 1 else np.zeros((len(held), 0), np.int64)
+                rank = np.hstack([self.beside[held[:, :-2], held[:, 1:-1]], self.ending[held[:, -2:-1], held[:, -1:]]]) if n > 1 else np.zeros((len(held), 0), np.int32)
                 for rows, ids in self._merged(np.hstack([self.inner[held[:, :-1]], self.last[held[:, -1:]]]), rank):
                     out[which[rows]] = np.ascontiguousarray(ids.astype("<u4")).view(f"V{4 * ids.shape[1]}").ravel().tolist()
         return out.tolist()

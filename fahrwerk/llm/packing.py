@@ -22,7 +22,8 @@ import json
 import os
 import re
 import zlib
-from itertools import chain, filterfalse
+from itertools import chain, compress, repeat
+from operator import concat, is_
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +45,34 @@ CACHE_LIMIT = 300_000
 #: Fixed value: how the vocabulary's pattern ends; a run of letters is one pre-token, other marks but single digits are another.
 WORD_PATTERN = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _MARKS = re.compile("[\u0300-\U0010ffff]")
-#: Letters below U+0100 in lower case; the same with ASCII marks behind them, which are one pre-token.
-_LETTERS = re.compile(r"^[a-z\xdf-\xf6\xf8-\xff]+$", re.MULTILINE)
-_MARKED = re.compile(r"^([a-z\xdf-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]+)$", re.MULTILINE)
+#: By byte: 1 for a-z, 2 for ASCII marks, 0 for all others; and which bytes after 0xC3 make a letter below U+0100 in lower case.
+_KIND = np.zeros(256, np.int8)
+_KIND[97:123] = 1
+_KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
+_SECOND = np.zeros(256, np.int8)
+_SECOND[0x9F:0xC0] = 1
+_SECOND[0xB7] = 0
 #: Bytes of texts whose words are looked up at once.
 SLICE = 2_000_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def _kinds(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Which words are letters below U+0100 in lower case alone, in which ASCII marks follow them, and how many marks in each of those."""
+    raw = np.frombuffer(("\n".join(words) + "\n").encode("utf-8"), np.uint8)
+    kind = _KIND[raw]
+    first = np.flatnonzero(raw == 0xC3)
+    kind[first] = kind[first + 1] = _SECOND[raw[first + 1]]
+    ends = np.flatnonzero(raw == 10)
+    starts = np.append(0, ends[:-1] + 1)
+    letters = np.append(0, np.cumsum(kind == 1, dtype=np.int32))
+    marks = np.append(0, np.cumsum(kind == 2, dtype=np.int32))
+    head, tail = letters[ends] - letters[starts], marks[ends] - marks[starts]
+    ordered = (head > 0) & (head + tail == ends - starts) & (letters[starts + head] - letters[starts] == head)
+    marked = ordered & (tail > 0)
+    return ordered & (tail == 0), marked, tail[marked].tolist()
+
+
 class Words:
     """Ids of texts, word by word: no pre-token of this vocabulary holds white space.
 
@@ -77,16 +98,17 @@ class Words:
 
     def learn(self, words: set[str]) -> None:
         """Encodes new words, none of which holds a line end; marks at a word's end are a pre-token of their own."""
-        plain = _LETTERS.findall(joined := "\n".join(words))
-        tails = _MARKED.findall(joined)
-        other = words.difference(plain, [head + tail for head, tail in tails]) if len(plain) + len(tails) < len(words) else ()
-        known = self.known
-        plain += {head for head, _ in tails}.difference(known, plain)
+        new, known = list(words), self.known
+        whole, marked, marks = _kinds(new)
+        plain, ending = list(compress(new, whole)), list(compress(new, marked))
+        heads, tails = [w[:-n] for w, n in zip(ending, marks, strict=True)], [w[-n:] for w, n in zip(ending, marks, strict=True)]
+        plain += set(heads).difference(known, plain)
         known.update(zip(plain, self.merges.encode(plain), strict=True))
-        other = [*other, *{tail for _, tail in tails}.difference(known, other)]
+        other = list(compress(new, (~(whole | marked)).tolist()))
+        other += set(tails).difference(known, other)
         known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, self.model.encode_batch_fast(other, add_special_tokens=False), strict=True))
-        known.update([(head + tail, known[head] + known[tail]) for head, tail in tails])
-        for head in {head for head, _ in tails if len(head) > CACHED_CHARS}.difference(words):
+        known.update(zip(ending, map(concat, map(known.__getitem__, heads), map(known.__getitem__, tails)), strict=True))
+        for head in {h for h in heads if len(h) > CACHED_CHARS}.difference(words):
             del known[head]
 
     @staticmethod
@@ -98,13 +120,21 @@ class Words:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.plain(t) for t in texts]
-        new = set(filterfalse(self.known.__contains__, chain.from_iterable(parts)))
+        every = list(chain.from_iterable(parts))
+        found = list(map(self.known.get, every))
+        missing = list(compress(range(len(every)), map(is_, found, repeat(None))))
+        new = {every[k] for k in missing}
         if len(self.known) + len(new) > CACHE_LIMIT:
             # Words that are met again now mostly are frequent ones; the others are forgotten.
-            self.known = {w: self.known[w] for w in {"", *chain.from_iterable(parts)}.difference(new)}
+            self.known = {"": b""} | {w: ids for w, ids in zip(every, found, strict=True) if ids is not None}
         if new:
             self.learn(new)
-        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        for k in missing:
+            found[k] = self.known[every[k]]
+        out, at = [], 0
+        for p in parts:
+            out.append(b"".join(found[at : at + len(p)]))
+            at += len(p)
         for w in new:
             if len(w) > CACHED_CHARS:
                 del self.known[w]

@@ -405,6 +405,29 @@ def test_marks_behind_a_word_are_learned_apart(monkeypatch):
     assert set(sent) == {"***", "!!", ",%%%", ".", "(two", "a'b", "'", "###", "÷÷", "x9", "%%%"}
 
 
+def test_known_words_are_looked_up_once(monkeypatch):
+    words, asked = packing.words(), collections.Counter()
+
+    class Known(dict):
+        def get(self, word, other=None):
+            asked[word] += 1
+            return super().get(word, other)
+
+        def __getitem__(self, word):
+            asked[word] += 1
+            return super().__getitem__(word)
+
+        def __contains__(self, word):
+            asked[word] += 1
+            return super().__contains__(word)
+
+    texts = ["reed zie reed", "zie reed", ""]
+    want = [np.array(e.ids, "<u4").tobytes() for e in words.model.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(words, "known", Known({"": b"", "reed": words.encode(["reed"])[0], "zie": words.encode(["zie"])[0]}))
+    asked.clear()
+    assert words.encode(texts) == want and asked == {"reed": 3, "zie": 2, "": 1}
+
+
 def test_stages_that_read_texts_write_their_own_batches(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
