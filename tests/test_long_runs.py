@@ -122,3 +122,18 @@ def test_ties_that_sql_leaves_open_are_settled_by_the_row(spark, tmp_path):
         queries = [long_runs.long_numbered, long_runs.long_fill, long_runs.long_gap_fill, long_runs.long_blocks, long_runs.long_crash_dilation, long_runs.long_sliding_windows, long_runs.long_asof]
         found.append([sorted(map(str, q(spark, f"{tmp_path}/{turn}").collect())) for q in queries])
     assert found[0] == found[1] and all(found[0])
+
+
+def test_no_frame_is_read_again_for_each_row(runs):
+    """Frames that end with the chunk cost the square of its rows; cells are found without a function for each edge."""
+    asof = segmented.asof_before(runs.select("run_id", "seq"), runs.select("run_id", "seq", "v"), BY, ORDER, "v", SIZE)
+    for d in (segmented.filled(runs, "v", BY, ORDER, SIZE), segmented.gap_filled(runs, BY, ORDER, size=SIZE), asof, ranks.numbered(runs.drop("seq"), BY, ["t", "context", "v"])):
+        plan = d._jdf.queryExecution().toString().lower()
+        assert "unboundedfollowing" not in plan and "lambdafunction" not in plan
+
+
+@pytest.mark.parametrize("groups", [0, 1_000])
+def test_numbers_with_and_without_broadcast(runs, monkeypatch, groups):
+    monkeypatch.setattr(ranks, "BROADCAST_GROUPS", groups)
+    order = ["t", "context", "v"]
+    same(ranks.numbered(runs, BY, order, "place", 9), runs.withColumn("place", (F.row_number().over(Window.partitionBy("run_id").orderBy(*order)) - 1).cast("long")), ["run_id", "t", "context", "v", "place"])
