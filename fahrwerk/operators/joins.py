@@ -5,41 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import segment_squared_distance
+from ..functions.geo import segment_squared_distances
+from .lineage import cut
 
 RADIUS = 5.0
 #: Cells along a radius.
-CELLS = 2
+CELLS = 4
+#: Cells that every task may get.
+BROADCAST_CELLS = 100_000
+_CELL = ["cx", "cy", "cz"]
 
 
-def ranked_cells(features: DataFrame, radius: float = RADIUS, cells: DataFrame | None = None) -> DataFrame:
-    """The features that can be the first one within ``radius`` of some point of a cell, by cell (cx, cy, cz).
+def _celled(points: DataFrame, radius: float) -> DataFrame:
+    side = radius / CELLS
+    return points.withColumns({f"c{axis}": F.floor(F.col(axis) / side).cast("long") for axis in "xyz"})
+
+
+def ranked_cells(features: DataFrame, points: DataFrame, radius: float = RADIUS) -> DataFrame:
+    """The features that can be the first one within ``radius`` of some point, by the points' cells (cx, cy, cz).
 
-    A feature that is within the radius of a cell's every point settles the
-    cell: no feature of a higher rank can be the first one there.  So a cell
-    keeps the lowest such feature and those of lower ranks that reach into
-    it, which are few however dense the features lie: they grow with the part
-    of the ball that lies at the cell's border, not with the number of features.
-    Of features in the same place the lowest one is kept.  ``cells`` are those
-    that matter (distinct); without them all are made.
+    A feature that is within the radius of the whole box around a cell's points
+    settles the cell: no feature of a higher rank can be the first one there.
+    So a cell keeps the lowest such feature and those of lower ranks that reach
+    into the box, which are few however dense the features lie: they grow with
+    the part of the ball that lies at the box's border, not with the number of
+    features.  Of features in the same place the lowest one is kept.
     """
-    side = radius / CELLS
-    cell = lambda x: F.floor(x / side).cast("long")
+    cell = lambda x: F.floor(x / (radius / CELLS)).cast("long")
+    boxes = points.dropna(subset=list("xyz")).groupBy(*_CELL).agg(*[g(axis).alias(f"{n}{axis}") for axis in "xyz" for n, g in (("lo", F.min), ("hi", F.max))])
+    boxes = cut(boxes)
+    small = F.broadcast if boxes.count() <= BROADCAST_CELLS else lambda t: t
     place = [f"{e}{axis}" for axis in "xyz" for e in "ab"]
-    f = features.groupBy(*place).agg(F.min(F.struct("type_rank", "list_idx", "ftype")).alias("rank"))
+    # A feature becomes many rows: as many tasks as a shuffle has, however few features there are.
+    tasks = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    f = features.where("list_idx is not null").repartition(tasks, *place).groupBy(*place).agg(F.min(F.struct("type_rank", "list_idx", "ftype")).alias("rank")).select(*place, "rank.*")
+    # Only cells between the first and the last one of each axis.
+    f = f.crossJoin(F.broadcast(boxes.agg(*[g(c).alias(f"{n}{c}") for c in _CELL for n, g in (("first_", F.min), ("last_", F.max))])))
     for axis in "xyz":
-        lo, hi = F.least(f[f"a{axis}"], f[f"b{axis}"]) - radius, F.greatest(f[f"a{axis}"], f[f"b{axis}"]) + radius
-        f = f.withColumn(f"c{axis}", F.explode(F.sequence(cell(lo), cell(hi))))
-    f = f if cells is None else f.join(cells, ["cx", "cy", "cz"], "left_semi")
-    ends = [[F.col(f"{e}{c}") for c in "xyz"] for e in "ab"]
-    far = lambda *steps: segment_squared_distance([(F.col(f"c{c}") + s) * side for c, s in zip("xyz", steps, strict=True)], *ends)
-    reach = radius + side * 3**0.5 / 2
-    f = f.where(far(0.5, 0.5, 0.5) <= reach * reach * (1 + 1e-9))
-    # The farthest point of a box from a convex set is a corner; a hair less, for what rounding does.
-    corners = F.greatest(*[far(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)])
-    f = f.withColumn("settles", F.when(corners <= radius * radius * (1 - 1e-9), F.col("rank")))
-    first = F.min("settles").over(Window.partitionBy("cx", "cy", "cz"))
-    return f.withColumn("first", first).where(F.col("first").isNull() | (F.col("rank") <= F.col("first"))).drop("settles", "first")
+        lo = F.greatest(cell(F.least(f[f"a{axis}"], f[f"b{axis}"]) - radius), F.col(f"first_c{axis}"))
+        hi = F.least(cell(F.greatest(f[f"a{axis}"], f[f"b{axis}"]) + radius), F.col(f"last_c{axis}"))
+        f = f.where(lo <= hi).withColumn(f"c{axis}", F.explode(F.sequence(lo, hi)))
+    middle = [((F.col(f"lo{c}") + F.col(f"hi{c}")) / 2).alias(f"m{c}") for c in "xyz"]
+    half = F.sqrt(sum((F.col(f"hi{c}") - F.col(f"lo{c}")) * (F.col(f"hi{c}") - F.col(f"lo{c}")) for c in "xyz")) / 2
+    f = f.join(small(boxes.select(*_CELL, *middle, half.alias("half"))), _CELL)
+    f = f.withColumn("away", F.sqrt(segment_squared_distances(*[f"{e}{c}" for e in "mab" for c in "xyz"])))
+    # A hair more and less, for what rounding does.
+    f = f.where((F.col("away") - F.col("half")) <= radius * (1 + 1e-9)).withColumn("settles", (F.col("away") + F.col("half")) <= radius * (1 - 1e-9))
+    # The lowest of each type, then the lowest type: sums of fixed size, which need no sort.
+    first = f.where("settles").groupBy(*_CELL, "type_rank").agg(F.min("list_idx").alias("list_idx")).groupBy(*_CELL).agg(F.min(F.struct("type_rank", "list_idx")).alias("first"))
+    out = f.join(small(first), _CELL, "left").where(F.col("first").isNull() | (F.struct("type_rank", "list_idx") <= F.col("first")))
+    return out.select(*_CELL, *place, "type_rank", "list_idx", "ftype")
 
 
 def spatial_context(points: DataFrame, features: DataFrame, key: list[str], radius: float = RADIUS) -> DataFrame:
@@ -48,12 +63,14 @@ def spatial_context(points: DataFrame, features: DataFrame, key: list[str], radi
     A point looks into its own cell of ``ranked_cells``, so the join is on
     equal cells, and each point meets a few features, however many there are.
     """
-    side = radius / CELLS
-    p = points.withColumns({f"c{axis}": F.floor(F.col(axis) / side).cast("long") for axis in "xyz"})
-    cells = p.select("cx", "cy", "cz").distinct()
-    near = p.join(ranked_cells(features, radius, cells), ["cx", "cy", "cz"])
-    d2 = segment_squared_distance([F.col(c) for c in "xyz"], [F.col(f"a{c}") for c in "xyz"], [F.col(f"b{c}") for c in "xyz"])
-    best = near.where(d2 <= radius * radius).groupBy(*key).agg(F.min("rank").alias("rank"))
+    p = _celled(points, radius).select(*key, *"xyz", *_CELL)
+    near = p.join(ranked_cells(features, p, radius), _CELL)
+    d2 = segment_squared_distances(*"xyz", *[f"{e}{c}" for e in "ab" for c in "xyz"])
+    # The box as well: where rounding makes them differ at the very border, both must hold.
+    for c in "xyz":
+        near = near.where(F.col(c).between(F.least(f"a{c}", f"b{c}") - radius, F.greatest(f"a{c}", f"b{c}") + radius))
+    best = near.where(d2 <= radius * radius).groupBy(*key, "type_rank", "ftype").agg(F.min("list_idx").alias("list_idx"))
+    best = best.groupBy(*key).agg(F.min(F.struct("type_rank", "list_idx", "ftype")).alias("rank"))
     named = best.select(*key, F.concat_ws("_", "rank.ftype", "rank.list_idx").alias("feature"))
     return points.join(named, key, "left").withColumn("feature", F.coalesce("feature", F.lit("road")))
 

@@ -76,6 +76,28 @@ def test_spatial_cases(spark):
     assert got == {1: "pothole_0", 2: "ramp_0", 3: "ramp_0", 4: "road", 5: "ramp_0", 6: "ramp_0"}
 
 
+def test_spatial_against_all_pairs(spark):
+    """Dense features on lines, ramps among them: the same as by all pairs, and cells keep few."""
+    rng = np.random.default_rng(3)
+    x, y, kind = rng.integers(0, 600, 3000) / 10, rng.integers(0, 20, 3000) * 2.0, rng.integers(0, 3, 3000)
+    f = np.stack([x, y, np.zeros(3000), x + 12.0 * (kind == 0), y, np.zeros(3000)], axis=1)
+    p = np.stack([rng.integers(0, 8000, 400) / 100, rng.integers(0, 60, 400).astype(float), np.zeros(400)], axis=1)
+    features = spark.createDataFrame([(int(k), i, f"t{k}", *map(float, r)) for i, (k, r) in enumerate(zip(kind, f, strict=True))], "type_rank int, list_idx int, ftype string, ax double, ay double, az double, bx double, by double, bz double")
+    points = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "id int, x double, y double, z double")
+    want = {}
+    for i, q in enumerate(p):
+        d = f[:, 3:] - f[:, :3]
+        n = (d * d).sum(axis=1)
+        t = np.clip(((q - f[:, :3]) * d).sum(axis=1) / np.where(n == 0, 1, n), 0, 1)[:, None]
+        off = q - (f[:, :3] + t * d)
+        near = np.flatnonzero(((off * off).sum(axis=1) <= 25) & (q >= np.minimum(f[:, :3], f[:, 3:]) - 5).all(axis=1) & (q <= np.maximum(f[:, :3], f[:, 3:]) + 5).all(axis=1))
+        want[i] = min(((kind[k], k) for k in near), default=None)
+    got = {r.id: r.feature for r in joins.spatial_context(points, features, ["id"]).collect()}
+    assert got == {i: "road" if w is None else f"t{w[0]}_{w[1]}" for i, w in want.items()}
+    celled = joins._celled(points, 5.0)
+    assert joins.ranked_cells(features, celled, 5.0).count() < 12 * celled.select("cx", "cy", "cz").distinct().count()
+
+
 def test_asof(spark):
     left = spark.createDataFrame([(1, t) for t in (0, 5, 10, 11)], "k int, t long")
     right = spark.createDataFrame([(1, 5, 50), (1, 10, 100)], "k int, t long, v int")
