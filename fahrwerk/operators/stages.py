@@ -21,6 +21,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from . import features, warping
 from .cluster import moments
+from .lineage import cut
 from .reduction import fit_reducer
 
 #: Features of a window by domain.
@@ -180,7 +181,8 @@ class SeededKMeans(Estimator, HasInputCol, HasOutputCol, _Saved):
 
     def _fit(self, df):
         name, c = self.getInputCol(), np.array(self.getOrDefault("seeds"), float)
-        points = df.select(F.col(name).alias("v"))
+        # Made once: all rounds read them.
+        points = cut(df.select(F.col(name).alias("v")))
         for _ in range(self.getOrDefault("rounds")):
 
             def sums(batches, c=c):

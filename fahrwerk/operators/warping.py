@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 #: Series that are aligned at once: their cost matrices lie in memory.
 TOGETHER = 1024
 
@@ -84,17 +86,19 @@ def nearest(x: np.ndarray, centroids: list[np.ndarray]) -> tuple[np.ndarray, np.
 def _matrices(values: pd.Series):
     """(rows, matrix) of series of equal length, a few at a time; unusable ones are left out."""
     lengths: dict[int, list[int]] = {}
-    for k, v in enumerate(values):
-        if v is not None and len(v) and not pd.isna(v).any():
+    arrays = [None if v is None else np.asarray(v, float) for v in values.to_numpy()]
+    for k, v in enumerate(arrays):
+        if v is not None and len(v) and not np.isnan(v).any():
             lengths.setdefault(len(v), []).append(k)
     for rows in lengths.values():
         for i in range(0, len(rows), TOGETHER):
             part = rows[i : i + TOGETHER]
-            yield np.array(part), np.stack([np.asarray(values.iloc[k], float) for k in part])
+            yield np.array(part), np.stack([arrays[k] for k in part])
 
 
 def fit(series: DataFrame, seeds: list[list[float]], rounds: int = 50, tol: float = 1e-6) -> tuple[list[np.ndarray], int]:
-    """The centroids of series (column v), and the rounds that it took."""
+    """The centroids of series (column v), and the rounds that it took.  The series are made once, all rounds read them."""
+    series = cut(series.select("v"))
     centroids = [np.array(s, float) for s in seeds]
     for number in range(rounds):
         now = [c.copy() for c in centroids]
@@ -109,7 +113,7 @@ def fit(series: DataFrame, seeds: list[list[float]], rounds: int = 50, tol: floa
             yield pd.DataFrame([(k, j, t[0, j], t[1, j]) for k, t in enumerate(total) for j in range(t.shape[1]) if t[1, j]], columns=["k", "j", "s", "n"])
 
         moved = 0.0
-        for r in series.select("v").mapInPandas(sums, "k int, j int, s double, n double").groupBy("k", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect():
+        for r in series.mapInPandas(sums, "k int, j int, s double, n double").groupBy("k", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect():
             moved = max(moved, abs(r.s / r.n - centroids[r.k][r.j]))
             centroids[r.k][r.j] = r.s / r.n
         if moved <= tol:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import pricing, warping
+from ..operators import lineage, pricing, warping
 from ..operators.stages import FeatureReducer, JoinedVectors, SeededKMeans, Standardizer, WarpedDistances, WindowFeatures
 from .base import query, r
 from .billing import chosen_centroids
@@ -46,7 +46,8 @@ def priced(distances: DataFrame, prices: list[float], key: list[str]) -> DataFra
 def method_prices(spark, sf_dir) -> DataFrame:
     """grp, run_id, win, part, truth, and the price of each method: centroids begin as the contexts' and are fitted on the training runs."""
     parts = ordered_split(spark, sf_dir)
-    windows = _windows(spark, sf_dir).join(parts, "run_id")
+    # Every fit reads the windows several times.
+    windows = lineage.cut(_windows(spark, sf_dir).join(parts, "run_id"))
     chosen = chosen_centroids(spark, sf_dir).select("context", "v", labels.context_price(F.col("context")).alias("price")).orderBy("context").collect()
     seeds, prices = [[float(x) for x in c.v] for c in chosen], [c.price for c in chosen]
     train = windows.where("part = 'train'").select("run_id", "win", "v")
@@ -63,7 +64,7 @@ def method_prices(spark, sf_dir) -> DataFrame:
 @query()
 def eval_all_methods(spark, sf_dir):
     """Correlation and errors of each method on each run, as priced and stretched around the run's median."""
-    p = method_prices(spark, sf_dir)
+    p = lineage.cut(method_prices(spark, sf_dir))
     long = p.select("grp", "run_id", "win", "part", "truth", F.explode(F.create_map(*[x for m in METHODS for x in (F.lit(m), F.col(m))])).alias("method", "price"))
     long = pricing.stretched(long, "price", ["run_id", "method"])
     by = ["grp", "run_id", "part", "method"]

@@ -140,3 +140,17 @@ def test_domains(spark, windows):
         assert set(stages.DOMAINS) >= {domain}
         sizes = {len(r.f) for r in WindowFeatures(inputCol="v", outputCol="f", domain=domain).transform(windows).collect()}
         assert len(sizes) == 1 and (width is None or sizes == {width})
+
+
+@pytest.mark.parametrize("fit", [lambda d, s: evaluation.warping.fit(d, s)[1], lambda d, s: stages.SeededKMeans(inputCol="v", seeds=s).fit(d)])
+def test_rounds_dont_make_their_rows_again(spark, fit):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = [([float(x) for x in np.random.default_rng(i).random(6) * 9],) for i in range(40)]
+    fit(spark.createDataFrame(rows, "v array<double>").mapInArrow(run, "v array<double>"), [[0.0] * 6, [9.0] * 6])
+    assert made.value == 40
