@@ -34,8 +34,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .autoencoder import _sigmoid
-
 HIDDEN = (128, 64, 32)
 #: Models of shards that are averaged in one step.
 FAN = 16
@@ -72,48 +70,67 @@ def shaped(vector: np.ndarray, sizes: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
+def _bend(z: np.ndarray) -> None:
+    """The sigmoid, in place."""
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    np.reciprocal(z, out=z)
+
+
 def forward(x: np.ndarray, layers: list[dict]) -> tuple[np.ndarray, list]:
-    """What the stack gives for windows (windows, steps, signals), and what the way back needs."""
-    kept = []
+    """What the stack gives for windows (windows, steps, signals), and what the way back needs.
+
+    Inside, time comes first, so that each step's gates lie together and are bent in one go.
+    """
+    kept, x = [], np.ascontiguousarray(x.transpose(1, 0, 2))
     for w in layers:
         n = w["hh"].shape[1]
-        ahead = x @ w["ih"].T + w["b"]
-        h = np.zeros((len(x), n), x.dtype)
-        c = np.zeros_like(h)
-        steps, out = [], np.empty((*x.shape[:2], n), x.dtype)
-        for t in range(x.shape[1]):
-            i, f, g, o = np.split(ahead[:, t] + h @ w["hh"].T, GATES, axis=1)
-            i, f, g, o = _sigmoid(i), _sigmoid(f), np.tanh(g), _sigmoid(o)
-            before, last = c, h
-            c = f * before + i * g
-            bent = np.tanh(c)
-            h = o * bent
-            out[:, t] = h
-            steps.append((i, f, g, o, before, last, bent))
-        kept.append((x, steps))
-        x = out
-    return x, kept
+        gates = x @ w["ih"].T + w["b"]
+        states, cells, bent = (np.zeros((len(x) + k, x.shape[1], n), x.dtype) for k in (1, 1, 0))
+        hh, moved = np.ascontiguousarray(w["hh"].T), np.empty_like(gates[0])
+        for t, z in enumerate(gates):
+            z += np.matmul(states[t], hh, out=moved)
+            # Also the cell's gate: tanh(x) = 2 sigmoid(2 x) - 1, which costs a third of it.
+            g = z[:, 2 * n : 3 * n]
+            g *= 2
+            _bend(z)
+            g *= 2
+            g -= 1
+            np.multiply(z[:, n : 2 * n], cells[t], out=cells[t + 1])
+            cells[t + 1] += z[:, :n] * g
+            b = np.multiply(cells[t + 1], 2, out=bent[t])
+            _bend(b)
+            b *= 2
+            b -= 1
+            np.multiply(z[:, 3 * n :], bent[t], out=states[t + 1])
+        kept.append((x, gates, states, cells, bent))
+        x = states[1:]
+    return x.transpose(1, 0, 2), kept
 
 
 def gradients(layers: list[dict], kept: list, error: np.ndarray) -> list[dict]:
     """Derivatives of a loss by all weights, from those by the stack's output: back through layers and time."""
-    found = []
-    for w, (x, steps) in zip(reversed(layers), reversed(kept), strict=True):
-        back = np.empty((*x.shape[:2], w["ih"].shape[0]), x.dtype)
-        g_hh = np.zeros_like(w["hh"])
-        dh = np.zeros_like(steps[0][5])
-        dc = np.zeros_like(dh)
-        for t in range(x.shape[1] - 1, -1, -1):
-            i, f, g, o, before, last, bent = steps[t]
-            dh = dh + error[:, t]
-            dc = dc + dh * o * (1 - bent * bent)
-            z = back[:, t]
-            np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dc * i * (1 - g * g), dh * bent * o * (1 - o)], axis=1, out=z)
-            g_hh += z.T @ last
-            dh, dc = z @ w["hh"], dc * f
-        rows = back.reshape(-1, back.shape[2])
-        found.append({"ih": rows.T @ x.reshape(-1, x.shape[2]), "hh": g_hh, "b": rows.sum(axis=0)})
-        error = back @ w["ih"]
+    found, error = [], error.transpose(1, 0, 2)
+    for w, (x, gates, states, cells, bent) in zip(reversed(layers), reversed(kept), strict=True):
+        n = w["hh"].shape[1]
+        i, f, g, o = (gates[:, :, k * n : (k + 1) * n] for k in range(GATES))
+        # What doesn't hang on later steps, for all steps at once.
+        by_cell = np.stack([g * i * (1 - i), cells[:-1] * f * (1 - f), i * (1 - g * g)], axis=2)
+        by_state, into_cell = bent * o * (1 - o), o * (1 - bent * bent)
+        back = np.empty((*gates.shape[:2], GATES, n), x.dtype)
+        dh = np.zeros_like(cells[0])
+        dc, part = np.zeros_like(dh), np.empty_like(dh)
+        for t in range(len(x) - 1, -1, -1):
+            dh += error[t]
+            dc += np.multiply(dh, into_cell[t], out=part)
+            np.multiply(dc[:, None], by_cell[t], out=back[t, :, :3])
+            np.multiply(dh, by_state[t], out=back[t, :, 3])
+            np.matmul(back[t].reshape(-1, GATES * n), w["hh"], out=dh)
+            dc *= f[t]
+        rows = back.reshape(-1, GATES * n)
+        found.append({"ih": rows.T @ x.reshape(-1, x.shape[2]), "hh": rows.T @ states[:-1].reshape(-1, n), "b": rows.sum(axis=0)})
+        error = (rows @ w["ih"]).reshape(x.shape)
     return found[::-1]
 
 
